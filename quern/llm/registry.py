@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe
+from quern.llm import bpe, simhash
 
 
 def queries():
     return {
         "op8_bpe": bpe.op8_bpe,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 

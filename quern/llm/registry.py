@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, simhash
+from quern.llm import bpe, sharding, simhash
 
 
 def queries():
     return {
         "op8_bpe": bpe.op8_bpe,
+        "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
     }
 

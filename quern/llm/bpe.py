@@ -17,7 +17,6 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of text whose words are merged together.
 CHUNK = 4_000_000
 #: Words that a task remembers at most.
-REMEMBER = 400_000
+REMEMBER = 600_000
 
 
 def default_vocabulary() -> str:
@@ -97,8 +96,8 @@ class Vocabulary:
             out += [part] if part in self.specials else self.words.findall(part)
         return out
 
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The token ids of each non-empty word."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The token ids of each non-empty word, as bytes of 32-bit numbers."""
         ends = np.cumsum([len(w) for w in words])
         n = int(ends[-1]) if words else 0
         if not n:
@@ -153,26 +152,45 @@ class Vocabulary:
             before = prv[at]
             add(np.unique(np.concatenate([before[before < n], at[inner]])))
         alive = np.flatnonzero(sym[:n] >= 0)
-        ids = sym[alive].tolist()
-        cuts = np.searchsorted(alive, ends).tolist()
-        return [tuple(ids[i:j]) for i, j in zip([0, *cuts[:-1]], cuts)]
+        ids = sym[alive].astype(np.int32).tobytes()
+        cuts = (4 * np.searchsorted(alive, ends)).tolist()
+        return [ids[i:j] for i, j in zip([0, *cuts[:-1]], cuts)]
 
 
 class Encoder:
-    """Encodes texts and remembers the words it has merged, ``REMEMBER`` at most."""
+    """Encodes texts and remembers the words it has merged, ``REMEMBER`` at most, as the bytes of their ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {s: (i,) for s, i in vocabulary.specials.items()}
+        self.vocabulary = vocabulary
+        self.forget()
 
-    def learn(self, words) -> None:
-        if len(self.known) > REMEMBER:
-            self.known = {s: (i,) for s, i in self.vocabulary.specials.items()}
+    def forget(self) -> None:
+        self.known = {s: array("i", [i]).tobytes() for s, i in self.vocabulary.specials.items()}
+
+    def learn(self, words: set[str]) -> None:
+        """Merge words that are not known yet."""
+        if len(self.known) + len(words) > REMEMBER:
+            self.forget()
         new = [w for w in words if w not in self.known]
         self.known.update(zip(new, self.vocabulary.merge([w.encode() for w in new])))
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """The token ids of each text."""
-        out: list[array] = []
+    def look_up(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """The ids of each word of each text; each word is looked up once, and once more if it was new."""
+        get, gaps, new = self.known.get, [], set()
+        found = [list(map(get, words)) for words in texts]
+        for words, ids in zip(texts, found):
+            gaps.append([i for i, x in enumerate(ids) if x is None] if None in ids else [])
+            new.update([words[i] for i in gaps[-1]])
+        if new:
+            self.learn(new)
+            for words, ids, gap in zip(texts, found, gaps):
+                for i in gap:
+                    ids[i] = self.known[words[i]]
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The token ids of each text, as bytes of 32-bit numbers."""
+        out: list[bytes] = []
         at = 0
         while at < len(texts):
             pieces, chars = [], 0
@@ -180,27 +198,24 @@ class Encoder:
                 pieces.append(self.vocabulary.pieces(texts[at]))
                 chars += len(texts[at])
                 at += 1
-            self.learn(set(chain.from_iterable(pieces)))
-            get = self.known.__getitem__
-            out += [array("i", chain.from_iterable(map(get, p))) for p in pieces]
+            out += map(b"".join, self.look_up(pieces))
         return out
 
     def counts(self, words: list[str]) -> list[int]:
         """The number of tokens of each word."""
-        self.learn(set(words))
-        return [len(self.known[w]) for w in words]
+        return [len(x) >> 2 for x in self.look_up([words])[0]]
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
+_ENCODERS: dict[int, Encoder] = {}
 
 
-def vocabulary_of(sent: Broadcast) -> Vocabulary:
-    """The vocabulary behind a broadcast file, built once per Python worker."""
+def encoder_of(sent: Broadcast) -> Encoder:
+    """The encoder of a broadcast vocabulary; a Python worker keeps one, with its words, from task to task."""
     text = sent.value
-    if hash(text) not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[hash(text)] = Vocabulary(text)
-    return _VOCABULARIES[hash(text)]
+    if hash(text) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[hash(text)] = Encoder(Vocabulary(text))
+    return _ENCODERS[hash(text)]
 
 
 def send_vocabulary(spark, path: str | None = None) -> Broadcast:
@@ -226,15 +241,15 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", vocabula
     sent = send_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_of(sent))
+        encoder = encoder_of(sent)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 found = encoder.encode([t or "" for t in column.slice(at, 1024).to_pylist()])
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate([np.frombuffer(x, np.int32) for x in found]) if found else np.empty(0, np.int32)
-                yield put(part, **{ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+                flat = pa.array(np.frombuffer(b"".join(found), np.int32))
+                yield put(part, **{ids: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)})
 
     return docs.mapInArrow(run, with_columns(docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))))
 
@@ -244,7 +259,7 @@ def decode(tokens: DataFrame, ids: str = "token_ids", text: str = "decoded", voc
     sent = send_vocabulary(tokens.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = vocabulary_of(sent).bytes_of.__getitem__
+        piece = encoder_of(sent).vocabulary.bytes_of.__getitem__
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             for at in range(0, batch.num_rows, 1024):

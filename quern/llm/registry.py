@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, sharding, simhash
+from quern.llm import bpe, sharding, simhash, suffix_dedup
 
 
 def queries():
     return {
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,

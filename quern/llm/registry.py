@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, sharding, simhash, suffix_dedup
+from quern.llm import bpe, language, sharding, simhash, suffix_dedup
 
 
 def queries():
     return {
+        "op2_language": language.op2_language,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_sharding": sharding.op9_sharding,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, fingerprints, language, sharding, simhash, suffix_dedup
+from quern.llm import bpe, fingerprints, language, pii, sharding, simhash, suffix_dedup
 
 
 def queries():
     return {
         "op2_language": language.op2_language,
+        "op3_pii": pii.op3_pii,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_bpe": bpe.op8_bpe,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, fingerprints, language, pii, sharding, simhash, suffix_dedup
+from quern.llm import bpe, decontaminate, fingerprints, language, pii, sharding, simhash, suffix_dedup
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_language": language.op2_language,
         "op3_pii": pii.op3_pii,
         "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_sharding": sharding.op9_sharding,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, decontaminate, fingerprints, language, pii, sharding, simhash, suffix_dedup
+import corpus_pipeline
+from quern.llm import bpe, decontaminate, fingerprints, language, licenses, pii, sharding, simhash, suffix_dedup, token_counts
 
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_licenses": licenses.op1_licenses,
         "op2_language": language.op2_language,
         "op3_pii": pii.op3_pii,
         "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_bpe": bpe.op8_bpe,
@@ -19,4 +23,7 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    found = {"op1_licenses": licenses.op1_sql()}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -30,7 +30,7 @@ _FORMS = (
     ("range", re.compile(_NUMBER + r"\s*%?\s*(?:-|–|to)\s*(\d+(?:\.\d+)?)\s*(?:%|percent\b)", re.I), lambda a, b: (float(a) / 100, float(b) / 100)),
     ("point", re.compile(_NUMBER + r"\s*(?:%|percent\b)", re.I), lambda a: (float(a) / 100,) * 2),
     ("point", re.compile(r"(?<![\d.,+-])(0?\.\d+)(?![\d%])"), lambda a: (float(a),) * 2),
-    ("point", re.compile(r"(?<![\d.,])(\d+)\s*(?:in|out of|/)\s*(\d+)(?![\d.,])", re.I), lambda a, b: (float(a) / float(b),) * 2 if float(b) else (9.0, 9.0)),
+    ("point", re.compile(r"(?<![\d.,])(\d+)\s*(?:in|out of|/)\s*(\d+)(?!\d|[.,]\d)", re.I), lambda a, b: (float(a) / float(b),) * 2 if float(b) else (9.0, 9.0)),
 )
 MOST = 6
 

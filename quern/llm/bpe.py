@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words are merged together.
 CHUNK = 4_000_000
-#: Words that a task remembers at most.
-REMEMBER = 600_000
+#: Words of one generation of an encoder's memory.
+REMEMBER = 200_000
 
 
 def default_vocabulary() -> str:
@@ -158,24 +158,35 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts and remembers the words it has merged, ``REMEMBER`` at most, as the bytes of their ids."""
+    """Encodes texts and remembers the words it has merged, as the bytes of their ids.
+
+    The memory has two generations of ``REMEMBER`` words. When the young one is full it becomes the
+    old one; words that are met again come back from there without being merged.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.forget()
+        self.fixed = dict(zip(vocabulary.specials, self.kept([array("i", [i]).tobytes() for i in vocabulary.specials.values()])))
+        self.known, self.old = dict(self.fixed), {}
 
-    def forget(self) -> None:
-        self.known = {s: array("i", [i]).tobytes() for s, i in self.vocabulary.specials.items()}
+    def kept(self, ids: list[bytes]) -> list:
+        """What is remembered of words with these ids."""
+        return ids
 
     def learn(self, words: set[str]) -> None:
-        """Merge words that are not known yet."""
+        """Remember words that are not known yet."""
         if len(self.known) + len(words) > REMEMBER:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.vocabulary.merge([w.encode() for w in new])))
-
-    def look_up(self, texts: list[list[str]]) -> list[list[bytes]]:
-        """The ids of each word of each text; each word is looked up once, and once more if it was new."""
+            self.known, self.old = dict(self.fixed), self.known
+        new = []
+        for w in words:
+            if w in self.old:
+                self.known[w] = self.old[w]
+            elif w not in self.known:
+                new.append(w)
+        self.known.update(zip(new, self.kept(self.vocabulary.merge([w.encode() for w in new]))))
+
+    def look_up(self, texts: list[list[str]]) -> list[list]:
+        """What is remembered of each word of each text; each word is looked up once, and once more if it was new."""
         get, gaps, new = self.known.get, [], set()
         found = [list(map(get, words)) for words in texts]
         for words, ids in zip(texts, found):
@@ -201,21 +212,24 @@ class Encoder:
             out += map(b"".join, self.look_up(pieces))
         return out
 
-    def counts(self, words: list[str]) -> list[int]:
-        """The number of tokens of each word."""
-        return [len(x) >> 2 for x in self.look_up([words])[0]]
+
+class Counter(Encoder):
+    """Like an encoder, but it remembers only how many tokens a word has."""
+
+    def kept(self, ids: list[bytes]) -> list:
+        return [len(x) >> 2 for x in ids]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[type, int], Encoder] = {}
 
 
-def encoder_of(sent: Broadcast) -> Encoder:
-    """The encoder of a broadcast vocabulary; a Python worker keeps one, with its words, from task to task."""
-    text = sent.value
-    if hash(text) not in _ENCODERS:
+def encoder_of(sent: Broadcast, kind: type[Encoder] = Encoder) -> Encoder:
+    """The encoder of a broadcast vocabulary; a Python worker keeps the last one, with its words, from task to task."""
+    key = (kind, hash(sent.value))
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[hash(text)] = Encoder(Vocabulary(text))
-    return _ENCODERS[hash(text)]
+        _ENCODERS[key] = kind(Vocabulary(sent.value))
+    return _ENCODERS[key]
 
 
 def send_vocabulary(spark, path: str | None = None) -> Broadcast:

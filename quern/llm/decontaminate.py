@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become a template: numbers, units and names are typed placeholders, all other words their
-lower-case form. Windows of five template words of documents and benchmark items meet in a hash
+lower-case form. A name is a capitalised word that does not begin a sentence; a unit is a known
+word after a number, or a currency or percent sign. Words are runs of letters, and all characters
+beyond ASCII are letters but for general, Latin-1 and CJK punctuation. Windows of five template words of documents and benchmark items meet in a hash
 join. An item leaks into a document if at least 0.8 of its distinct windows stand there, and if
 its slots are filled consistently: along the alignment with most windows, each value of the item
 stands for one value of the document. So a question with other numbers or names is found, and a
@@ -22,8 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,54 +31,94 @@ from pyspark.sql import functions as F
 WINDOW = 5
 LEAST = 0.8
 BITS = 1 << 24
-#: Distinct words that a task remembers at most.
-REMEMBER = 400_000
+#: Bytes of text read at once.
+CHUNK = 1_000_000
 
-TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+|[$€£%]|[.!?:\n]")
-UNITS = frozenset("$ € £ % mm cm m km g kg mg t l ml s sec min h hr hrs hours hour minutes minute seconds second days day weeks week months month years year miles mile feet foot inches inch pounds pound ounces ounce dollars dollar cents cent euros euro mph kmh liters liter litres litre meters meter metres metre grams gram kilograms percent degrees".split())
-WORD, NUMBER, UNIT, CAPITAL, END = 0, 1, 2, 3, 4
+UNITS = "mm cm m km g kg mg t l ml s sec min h hr hrs hours hour minutes minute seconds second days day weeks week months month years year miles mile feet foot inches inch pounds pound ounces ounce dollars dollar cents cent euros euro percent mph kmh liters liter litres litre meters meter metres metre grams gram kilograms degrees".split()
+WORD, NUMBER, UNIT, NAME, END = 0, 1, 2, 3, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+# byte classes: 0 other, 1 letter, 2 digit, 3 end of a sentence, 4 symbol
+_CLASS = np.zeros(256, np.int8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_CLASS[list(b".!?:\n")] = 3
+_CLASS[list(b"$%")] = 4
 
-class Words:
-    """Kinds and hashes of tokens, remembered."""
-
-    def __init__(self):
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.kind = np.zeros(1 << 16, np.int8)
-        self.hash = np.zeros(1 << 16, np.uint64)
-
-    def add(self, token: str) -> None:
-        i = len(self.row)
-        if i == len(self.kind):
-            self.kind, self.hash = np.resize(self.kind, 2 * i), np.resize(self.hash, 2 * i)
-        lower = token.lower()
-        self.kind[i] = END if token in ".!?:\n" else NUMBER if token[0].isdigit() else UNIT if lower in UNITS else CAPITAL if token[0].isupper() and len(token) > 1 else WORD
-        self.hash[i] = xxhash.xxh64_intdigest(lower)
-        self.row[token] = i
-
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, their template hashes and their slot kinds (0: a plain word)."""
-        tokens = TOKEN.findall(text)
-        try:
-            rows = np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            if len(self.row) > REMEMBER:
-                self.forget()
-            for t in set(tokens) - self.row.keys():
-                self.add(t)
-            rows = np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
-        kind = self.kind[rows]
-        start = np.append(True, kind[:-1] == END)[: len(kind)]
-        after_number = np.append(False, kind[:-1] == NUMBER)[: len(kind)]
-        symbol = np.array([len(t) == 1 and not t.isalnum() for t in tokens], bool) if (kind == UNIT).any() else np.zeros(len(kind), bool)
-        slot = np.where(kind == NUMBER, NUMBER, np.where((kind == UNIT) & (after_number | symbol), UNIT, np.where((kind == CAPITAL) & ~start, CAPITAL, WORD))).astype(np.int8)
-        template = np.where(slot == WORD, self.hash[rows], slot.astype(np.uint64))
-        word = np.flatnonzero(kind != END)
-        return [tokens[i] for i in word.tolist()] if len(word) and slot.any() else [], template[word], slot[word]
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(30))
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes; runs ascend and do not overlap."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = stop - start
+    power = np.ones(int(size.max()) + 1, np.uint64)
+    power[1:] = _ODD
+    power = np.cumprod(power)
+    offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    value = (data[np.repeat(start, size) + offset].astype(np.uint64) + np.uint64(1)) * power[offset]
+    return mixed(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64) * _ODD)
+
+
+_UNIT_HASHES = np.sort(run_hashes(np.frombuffer("".join(UNITS).encode(), np.uint8), np.cumsum([0, *map(len, UNITS[:-1])]), np.cumsum([*map(len, UNITS)])))
+
+
+def lower_bytes(text: str) -> tuple[bytes, bytes]:
+    """A text and its lower-case form, of the same length in bytes."""
+    raw, low = text.encode(), text.lower().encode()
+    if len(raw) != len(low):
+        low = "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text).encode()
+    return raw, low
+
+
+class Template:
+    """The words of some texts: text number, template hash, slot kind, and place in ``low``."""
+
+    def __init__(self, texts: list[str]):
+        pairs = [lower_bytes(t) for t in texts]
+        raw, self.low = (b"".join([x + b"\n" for x in side]) for side in zip(*pairs))
+        data, low = np.frombuffer(raw, np.uint8), np.frombuffer(self.low, np.uint8)
+        ends = np.cumsum([len(r) + 1 for r, _ in pairs])
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data >= 0xC2)
+        lead = lead[lead + 2 < len(data)]
+        first, second = data[lead], data[lead + 1]
+        for at, size in ((lead[first == 0xC2], 2), (lead[(first == 0xE2) & ((second == 0x80) | (second == 0x81))], 3), (lead[(first == 0xE3) & (second == 0x80)], 3)):
+            for k in range(size):
+                kind[at + k] = 0
+        kind[lead[(first == 0xC2) & (second == 0xA3)]] = 4  # pound sign
+        euro = lead[(first == 0xE2) & (second == 0x82) & (data[lead + 2] == 0xAC)]
+        kind[euro], kind[euro + 1], kind[euro + 2] = 4, 0, 0
+        joint = np.flatnonzero((data == 44) | (data == 46))
+        joint = joint[(joint > 0) & (joint + 1 < len(data))]
+        kind[joint[(kind[joint - 1] == 2) & (kind[joint + 1] == 2)]] = 2
+        begin = (kind > 0) & np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] > 2))
+        start = np.flatnonzero(begin)
+        change = np.flatnonzero(np.append(kind[1:] != kind[:-1], True) | (kind > 2)) + 1
+        stop = change[np.searchsorted(change, start, "right")] if len(start) else start
+        of = kind[start]
+        hashes = run_hashes(low, start, stop)
+        found = np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)
+        before = np.append(3, of[:-1])[: len(of)]
+        size = stop - start
+        slot = np.zeros(len(start), np.int8)
+        slot[(of == 1) & (data[start] != low[start]) & (before != 3) & (size > 1)] = NAME
+        wide = (data[start] >= 0xC2) & (start + 1 < len(data))  # a letter of two bytes differs in its second
+        slot[wide & (of == 1) & (data[np.minimum(start + 1, len(data) - 1)] != low[np.minimum(start + 1, len(data) - 1)]) & (before != 3)] = NAME
+        slot[(of == 4) | ((_UNIT_HASHES[found] == hashes) & (before == 2) & (of == 1))] = UNIT
+        slot[of == 2] = NUMBER
+        word = of != 3
+        self.start, self.stop, self.slot = start[word], stop[word], slot[word]
+        self.hash = np.where(self.slot == WORD, hashes[word], self.slot.astype(np.uint64))
+        self.text = np.searchsorted(ends, self.start, "right")
+
+    def value(self, word: int) -> str:
+        """What fills a slot, led by its kind, so values of different kinds never mix."""
+        return f"{self.slot[word]}{self.low[self.start[word] : self.stop[word]].decode('utf-8', 'replace')}"
 
 
 def windows(template: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -88,39 +128,39 @@ def windows(template: np.ndarray, size: int = WINDOW) -> np.ndarray:
     out = template[: len(template) - size + 1].copy()
     for k in range(1, size):
         out = (out ^ (out >> np.uint64(29))) * _ODD + template[k : len(template) - size + 1 + k]
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(30))
+    return mixed(out)
 
 
 def template_windows(rows: DataFrame, id: str, text: str, size: int = WINDOW, bitmap: Broadcast | None = None) -> DataFrame:
-    """(id, place, window, slots, total): each window, the values in its slots, and the windows of its text.
+    """(id, place, window, slots, total): each window, the values in its slots, and the distinct windows of its text.
 
-    With a bitmap, only windows on its set bits.
+    With a bitmap only windows on its set bits come, and ``total`` is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool) if bitmap is not None else None
         for batch in batches:
-            ids, places, hashes, slots, totals = [], [], [], [], []
-            texts = batch.column(1)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                tokens, template, slot = words.read(texts[i].as_py() or "")
-                found = windows(template, size)
-                at = np.flatnonzero(bits[found & np.uint64(BITS - 1)]) if bits is not None else np.arange(len(found))
-                if not len(at):
-                    continue
-                ids.append(np.full(len(at), key))
-                places.append(at)
-                hashes.append(found[at])
-                totals.append(np.full(len(at), len(np.unique(found))))
-                if tokens and slot.any():
-                    # a slot's value is led by its kind, so values of different kinds never mix
-                    slots += [[f"{slot[p]}{tokens[p].lower()}" for p in range(a, a + size) if slot[p]] for a in at.tolist()]
-                else:
-                    slots += [[]] * len(at)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(np.concatenate(totals), pa.int32())], names=[id, "place", "window", "slots", "total"])
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            at = 0
+            while at < batch.num_rows:
+                part, chars = [], 0
+                while at + len(part) < batch.num_rows and (not part or chars < CHUNK):
+                    part.append(texts[at + len(part)].as_py() or "")
+                    chars += len(part[-1])
+                t = Template(part)
+                found = windows(t.hash, size)
+                own = t.text[: len(found)]
+                whole = own == t.text[size - 1 :] if len(found) else np.zeros(0, bool)
+                hit = np.flatnonzero(whole & bits[found & np.uint64(BITS - 1)] if bits is not None else whole)
+                first = np.searchsorted(t.text, np.arange(len(part)))
+                total = None
+                if bits is None:
+                    pairs = np.unique(np.stack([own[hit].astype(np.uint64), found[hit]]), axis=1)[0].astype(np.int64)
+                    total = pa.array(np.bincount(pairs, minlength=len(part))[own[hit]], pa.int32())
+                slots = [[t.value(p) for p in range(h, h + size) if t.slot[p]] for h in hit.tolist()]
+                columns = [pa.array(ids[at + own[hit]], pa.int64()), pa.array(hit - first[own[hit]], pa.int32()), pa.array(found[hit].view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.nulls(len(hit), pa.int32()) if total is None else total]
+                yield pa.RecordBatch.from_arrays(columns, names=[id, "place", "window", "slots", "total"])
+                at += len(part)
 
     picked = rows.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias("_text")).where(F.col(id).isNotNull())
     return picked.mapInArrow(run, f"`{id}` long, place int, window long, slots array<string>, total int")

@@ -34,15 +34,15 @@ UNKNOWN = "und"
 #: Labelled rows per language that training draws, in expectation.
 SAMPLE = 4_000
 #: Entries of the model per language.
-WORDS = 40_000
-GRAMS = 40_000
+WORDS = 25_000
+GRAMS = 15_000
 LONGEST = 5
 #: Words that score a text fully; fewer words give a less certain score.
 CERTAIN = 8
 #: A word of letters, in Python and in Spark.
 LETTERS = regex.compile(r"\p{L}+")
 #: Words that a task remembers at most.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 def held_out(id: str = "doc_id") -> Column:
@@ -110,23 +110,26 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     tokens = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("entry"))
     counts = tokens.groupBy("lang", "entry").agg(F.count(F.lit(1)).alias("n"))
 
-    def top(table: DataFrame, bound: int) -> list:
-        """The most frequent entries over all languages; ``bound`` per language on average."""
-        found = table.groupBy("entry").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return found.orderBy(F.desc("all"), "entry").limit(bound * 4).select("entry", "by").collect()
-
     sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sizes)
+
+    def top(table: DataFrame, bound: int) -> tuple[list[str], np.ndarray]:
+        """The most frequent entries over all languages, ``bound`` per language on average, and their counts."""
+        columns = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+        found = table.groupBy("entry").agg(F.sum("n").alias("all"), *columns).orderBy(F.desc("all"), "entry").limit(bound * len(languages))
+        held = found.drop("all").toArrow()
+        return held.column("entry").to_pylist(), np.stack([held.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
+
     padded = F.concat(F.lit("^"), "entry", F.lit("$"))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - k + 1)), lambda i: F.substring(padded, i, k))))
-    gram_counts = counts.select("lang", "n", F.explode(F.array_distinct(pieces)).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - k + 1)), lambda i: F.substring(padded, i, k))))
+    gram_counts = counts.select("lang", "n", F.explode(F.array_distinct(cut)).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n"))
 
     if not languages:
         return Model([], [], [], np.zeros((0, 0)), np.zeros(0))
     total = np.array([sizes[x] for x in languages], float) + 1
-    known, pieces_known = top(counts.where("n > 1"), words), top(gram_counts, grams)
-    table = np.array([[r.by.get(x, 0) for x in languages] for r in known + pieces_known], float).reshape(-1, len(languages))
-    return Model(languages, [r.entry for r in known], [r.entry for r in pieces_known], np.log((table + 0.1) / total), np.log(0.1 / total))
+    known, known_counts = top(counts.where("n > 1"), words)
+    pieces, piece_counts = top(gram_counts, grams)
+    return Model(languages, known, pieces, np.log((np.concatenate([known_counts, piece_counts]) + 0.1) / total), np.log(0.1 / total))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.bpe import CHUNK, Encoder, encoder_of, put, send_vocabulary, with_columns
+from quern.llm.bpe import CHUNK, Counter, Vocabulary, encoder_of, put, send_vocabulary, with_columns
 
-LEAF = 64
+LEAF = 32
 
 
 def tree_of(leaves: np.ndarray) -> np.ndarray:
@@ -50,10 +50,15 @@ def leaf_at(chars: np.ndarray, place: int) -> tuple[int, int]:
     return node - width, start
 
 
-def sums(values: list[int], cuts: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive ``cuts``."""
-    total = np.append(0, np.cumsum(values, dtype=np.int64))
-    return (total[cuts[1:]] - total[cuts[:-1]]).astype(np.int32)
+def sums(words: list[str], counts: list[int], cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of the words between consecutive ``cuts``."""
+    spans = list(zip(cuts, cuts[1:]))
+    return np.array([len("".join(words[a:b])) for a, b in spans], np.int32), np.array([sum(counts[a:b]) for a, b in spans], np.int32)
+
+
+def cuts_of(words: list[str]) -> list[int]:
+    """Where leaves of ``LEAF`` pre-tokens begin and end; at least one leaf."""
+    return [*range(0, max(1, len(words)), LEAF), len(words)]
 
 
 def update(tree: np.ndarray, leaf: int, values: np.ndarray) -> None:
@@ -67,7 +72,7 @@ def update(tree: np.ndarray, leaf: int, values: np.ndarray) -> None:
             tree[node] = tree[2 * node] + tree[2 * node + 1]
 
 
-def build(encoder: Encoder, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def build(encoder: Counter, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The trees of characters and tokens of each text."""
     out = []
     at = 0
@@ -77,55 +82,61 @@ def build(encoder: Encoder, texts: list[str]) -> list[tuple[np.ndarray, np.ndarr
             pieces.append(encoder.vocabulary.pieces(texts[at]))
             chars += len(texts[at])
             at += 1
-        for words, ids in zip(pieces, encoder.look_up(pieces)):
-            cuts = np.append(np.arange(0, len(words), LEAF), len(words))
-            if not words:
-                cuts = np.array([0, 0])
-            out.append((tree_of(sums(list(map(len, words)), cuts)), tree_of(sums([len(x) >> 2 for x in ids], cuts))))
+        for words, counts in zip(pieces, encoder.look_up(pieces)):
+            out.append(tuple(map(tree_of, sums(words, counts, cuts_of(words)))))
     return out
 
 
-def edit(encoder: Encoder, text: str, chars: np.ndarray, tokens: np.ndarray, start: int, stop: int, put_in: str) -> tuple[str, np.ndarray, np.ndarray, int]:
-    """The edited text, its trees, and how many characters were cut into pre-tokens again."""
+def touched(vocabulary: Vocabulary, text: str, chars: np.ndarray, start: int, stop: int, put_in: str) -> tuple[str, int, int, list[str]]:
+    """The edited text, the leaves [first, last) that the edit touches, and the pre-tokens that take their place."""
     n = len(text)
     start = min(max(start, 0), n)
     stop = min(max(stop, start), n)
     edited = text[:start] + put_in + text[stop:]
     shift = len(put_in) - (stop - start)
     width = len(chars) // 2
+    if any(s in text or s in edited for s in vocabulary.specials):  # special tokens reach over pre-tokens
+        return edited, 0, width, vocabulary.pieces(edited)
     first, begin = leaf_at(chars, max(0, start - 1))
     if first:
         first -= 1
         begin -= int(chars[width + first])
-    if any(s in text or s in edited for s in encoder.vocabulary.specials):  # special tokens reach over pre-tokens
-        words, last = encoder.vocabulary.pieces(edited), width
-        begin, first = 0, 0
-    else:
-        last, end = leaf_at(chars, max(0, stop - 1))
-        end += int(chars[width + last])
-        last += 1
-        words = []
-        for m in encoder.vocabulary.words.finditer(edited, begin):
-            words.append(m[0])
-            while last < width and end + shift < m.end():
-                end += int(chars[width + last])
-                last += 1
-            if m.end() == end + shift and end >= stop:
-                break
-        else:
-            last = width
-    counts = encoder.counts(words)
-    read = sum(map(len, words))
-    if last >= width and len(words) > 4 * LEAF * max(1, width - first) or len(words) > 4 * LEAF * (last - first):
-        kept_chars, kept_tokens = chars[width : width + first], tokens[width : width + first]
-        rest_chars, rest_tokens = chars[width + last :], tokens[width + last :]
-        cuts = np.append(np.arange(0, len(words), LEAF), len(words))
-        return edited, tree_of(np.concatenate([kept_chars, sums(list(map(len, words)), cuts), rest_chars])), tree_of(np.concatenate([kept_tokens, sums(counts, cuts), rest_tokens])), read
-    cuts = np.linspace(0, len(words), last - first + 1).astype(np.int64)
-    chars, tokens = chars.copy(), tokens.copy()
-    update(chars, first, sums(list(map(len, words)), cuts))
-    update(tokens, first, sums(counts, cuts))
-    return edited, chars, tokens, read
+    last, end = leaf_at(chars, max(0, stop - 1))
+    end += int(chars[width + last])
+    last += 1
+    words = []
+    for m in vocabulary.words.finditer(edited, begin):
+        words.append(m[0])
+        while last < width and end + shift < m.end():
+            end += int(chars[width + last])
+            last += 1
+        if m.end() == end + shift and end >= stop:
+            return edited, first, last, words
+    return edited, first, width, words
+
+
+def replaced(tree: np.ndarray, first: int, last: int, values: np.ndarray) -> np.ndarray:
+    """The tree with ``values`` in place of the leaves [first, last)."""
+    width = len(tree) // 2
+    if len(values) == last - first:
+        tree = tree.copy()
+        update(tree, first, values)
+        return tree
+    return tree_of(np.concatenate([tree[width : width + first], values, tree[width + last :]]))
+
+
+def edit(encoder: Counter, rows: list[tuple[str, np.ndarray, np.ndarray, int, int, str]]) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
+    """For each (text, characters, tokens, start, stop, put_in) the edited text, its trees, and how many
+    characters were cut into pre-tokens again. The new words of all rows are merged together."""
+    plans = [touched(encoder.vocabulary, text, chars, a, b, p) for text, chars, _, a, b, p in rows]
+    out = []
+    for (_, chars, tokens, *_), (edited, first, last, words), counts in zip(rows, plans, encoder.look_up([w for *_, w in plans])):
+        # the leaves keep their number, so that only sums above them change, unless they would grow too long
+        grown = len(words) > 4 * LEAF * (last - first)
+        cuts = cuts_of(words) if grown else np.linspace(0, len(words), last - first + 1).astype(np.int64).tolist()
+        new_chars, new_tokens = sums(words, counts, cuts)
+        out.append((edited, replaced(chars, first, last, new_chars), replaced(tokens, first, last, new_tokens), int(new_chars.sum())))
+    return out
 
 
 _TREE = T.ArrayType(T.IntegerType())
@@ -141,7 +152,7 @@ def count(docs: DataFrame, text: str = "text", vocabulary: str | None = None) ->
     sent = send_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(sent)
+        encoder = encoder_of(sent, Counter)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -156,18 +167,18 @@ def apply_edits(counted: DataFrame, text: str = "text", start: str = "start", st
     sent = send_vocabulary(counted.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(sent)
+        encoder = encoder_of(sent, Counter)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: B023, E731
                 texts, chars, tokens, read = [], [], [], []
-                for i, (t, a, b, p) in enumerate(zip(*(column(c).to_pylist() for c in (text, start, stop, put_in)))):
-                    c, k = (column(x)[i].values.to_numpy() for x in ("char_tree", "token_tree"))
-                    if a is None or b is None or p is None:
-                        done = (t, c, k, 0)
-                    else:
-                        done = edit(encoder, t or "", c, k, a, b, p)
+                trees = [np.split(column(x).flatten().to_numpy(), np.cumsum(column(x).value_lengths().to_numpy())[:-1]) for x in ("char_tree", "token_tree")]
+                rows = list(zip(column(text).to_pylist(), *trees, *(column(x).to_pylist() for x in (start, stop, put_in))))
+                edits = [(t or "", *rest) for t, *rest in rows if all(x is not None for x in rest[2:])]
+                changed = iter(edit(encoder, edits))
+                for t, c, k, *rest in rows:
+                    done = (t, c, k, 0) if any(x is None for x in rest) else next(changed)
                     for out, x in zip((texts, chars, tokens, read), done):
                         out.append(x)
                 yield put(part, **{text: pa.array(texts, pa.string()), "n_tokens": pa.array([int(k[1]) for k in tokens], pa.int64()), "char_tree": _lists(chars), "token_tree": _lists(tokens), "reread_chars": pa.array(read, pa.int64())})

@@ -12,7 +12,7 @@ from quern.llm import token_counts as tc
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(bpe.Vocabulary(open(bpe.default_vocabulary(), encoding="utf-8").read()))
+    return bpe.Counter(bpe.Vocabulary(open(bpe.default_vocabulary(), encoding="utf-8").read()))
 
 
 def test_edits_of_random_texts(encoder, monkeypatch):
@@ -29,9 +29,9 @@ def test_edits_of_random_texts(encoder, monkeypatch):
             if rng.random() < 0.02:
                 new += "<|endoftext|>"
             want = text[:a] + new + text[min(b, len(text)) :]
-            text, chars, tokens, _ = tc.edit(encoder, text, chars, tokens, a, b, new)
+            ((text, chars, tokens, _),) = tc.edit(encoder, [(text, chars, tokens, a, b, new)])
             assert text == want
-            assert chars[1] == len(text) and tokens[1] == len(encoder.encode([text])[0]) // 4
+            assert chars[1] == len(text) and tokens[1] == sum(encoder.look_up([encoder.vocabulary.pieces(text)])[0])
             assert np.array_equal(chars, tc.tree_of(chars[len(chars) // 2 :]))
 
 

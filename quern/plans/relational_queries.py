@@ -177,15 +177,15 @@ def jn_tuple_compare(spark, sf):
 @query(
     "jn_containing_span",
     """
-WITH s AS (SELECT o_orderstatus AS k, o_orderkey AS span, CAST(o_totalprice AS BIGINT) AS lo, CAST(o_totalprice AS BIGINT) + 2000 AS hi FROM orders WHERE o_orderkey % 40 = 0),
-p AS (SELECT o_orderkey, o_orderstatus AS k, CAST(o_totalprice AS BIGINT) AS x FROM orders WHERE o_orderkey % 7 = 0),
+WITH s AS (SELECT o_custkey AS k, o_orderkey AS span, o_totalprice AS lo, o_totalprice + 20000 AS hi FROM orders),
+p AS (SELECT o_orderkey, o_custkey AS k, o_totalprice - 5000 AS x FROM orders),
 j AS (SELECT p.o_orderkey, s.span, row_number() OVER (PARTITION BY p.o_orderkey ORDER BY s.lo NULLS LAST, s.span NULLS LAST) AS n FROM p LEFT JOIN s ON s.k = p.k AND p.x >= s.lo AND p.x < s.hi)
 SELECT o_orderkey, span FROM j WHERE n = 1""",
 )
 def jn_containing_span(spark, sf):
-    o = table(spark, sf, "orders").withColumn("x", F.round("o_totalprice").cast("long"))
-    spans = o.where("o_orderkey % 40 = 0").select(F.col("o_orderstatus").alias("k"), F.col("o_orderkey").alias("span"), F.col("x").alias("lo"), (F.col("x") + 2000).alias("hi"))
-    points = o.where("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_orderstatus").alias("k"), "x", F.col("o_orderkey").alias("_row"))
+    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "k")
+    spans = o.select("k", F.col("o_orderkey").alias("span"), F.col("o_totalprice").alias("lo"), (F.col("o_totalprice") + 20000).alias("hi"))
+    points = o.select("o_orderkey", "k", (F.col("o_totalprice") - 5000).alias("x"), F.col("o_orderkey").alias("_row"))
     return joins.containing_span(points, spans, ["k"], "x", "lo", "hi", F.asc_nulls_last("lo"), F.asc_nulls_last("span")).select("o_orderkey", "span")
 
 
@@ -208,13 +208,13 @@ def jn_unique_owner(spark, sf):
 @query(
     "jn_key_diff",
     """
-WITH b AS (SELECT l_suppkey AS k, count(*) AS v FROM lineitem WHERE year(l_shipdate) = 1994 AND l_suppkey % 3 <> 0 GROUP BY 1), a AS (SELECT l_suppkey AS k, count(*) AS v FROM lineitem WHERE year(l_shipdate) = 1995 AND l_suppkey % 4 <> 0 GROUP BY 1)
+WITH b AS (SELECT l_partkey AS k, count(*) AS v FROM lineitem WHERE year(l_shipdate) = 1994 AND l_returnflag = 'R' GROUP BY 1), a AS (SELECT l_partkey AS k, count(*) AS v FROM lineitem WHERE year(l_shipdate) = 1995 AND l_returnflag = 'A' GROUP BY 1)
 SELECT coalesce(b.k, a.k) AS k, b.v AS before, a.v AS after, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'aligned' END AS change FROM b FULL JOIN a ON a.k = b.k""",
 )
 def jn_key_diff(spark, sf):
-    l = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "k")  # noqa: E741
-    b = l.where("year(l_shipdate) = 1994 and k % 3 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("v"))
-    a = l.where("year(l_shipdate) = 1995 and k % 4 <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("v"))
+    l = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "k")  # noqa: E741
+    b = l.where("year(l_shipdate) = 1994 and l_returnflag = 'R'").groupBy("k").agg(F.count(F.lit(1)).alias("v"))
+    a = l.where("year(l_shipdate) = 1995 and l_returnflag = 'A'").groupBy("k").agg(F.count(F.lit(1)).alias("v"))
     return joins.key_diff(b, a, "k", "v")
 
 
@@ -460,11 +460,11 @@ def st_exclusive_ids(spark, sf):
 
 @query(
     "st_merge_conflicts",
-    "WITH old AS (SELECT o_orderkey AS k, o_custkey AS owner FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner FROM orders WHERE o_orderkey % 5 = 0) SELECT coalesce(old.k, new.k) AS k, coalesce(old.owner, new.owner) AS owner, coalesce(old.owner <> new.owner, false) AS conflict FROM old FULL JOIN new ON old.k = new.k",
+    "WITH old AS (SELECT o_orderkey AS k, o_custkey AS owner FROM orders WHERE o_orderstatus <> 'O'), new AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1 ELSE o_custkey END AS owner FROM orders WHERE o_orderpriority = '1-URGENT') SELECT coalesce(old.k, new.k) AS k, coalesce(old.owner, new.owner) AS owner, coalesce(old.owner <> new.owner, false) AS conflict FROM old FULL JOIN new ON old.k = new.k",
 )
 def st_merge_conflicts(spark, sf):
     from quern.operators.ingest import merge_keeping_first
 
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("owner"))
-    new = o.where("k % 5 = 0").withColumn("owner", F.when(F.col("k") % 10 == 0, F.col("owner") + 1).otherwise(F.col("owner")))
-    return merge_keeping_first(o.where("k % 2 = 0"), new, ["k"], "owner")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("owner"), "o_orderstatus", "o_orderpriority")
+    new = o.where("o_orderpriority = '1-URGENT'").withColumn("owner", F.when(F.col("o_orderstatus") == "P", F.col("owner") + 1).otherwise(F.col("owner")))
+    return merge_keeping_first(o.where("o_orderstatus <> 'O'"), new, ["k"], "owner")

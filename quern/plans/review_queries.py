@@ -33,11 +33,11 @@ def rv_checked_decisions(spark, sf):
     return review.checked(d, s, "id").select("id", "problem", "state")
 
 
-@query("rv_replay", "SELECT o_orderkey AS decision_key, 'log' AS origin FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
+@query("rv_replay", "SELECT o_orderkey AS decision_key, 'log' AS origin FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'")
 def rv_replay(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("decision_key"))
-    new = o.where("decision_key % 3 = 0").withColumn("origin", F.lit("new"))
-    return review.replay(o.where("decision_key % 2 = 0").withColumn("origin", F.lit("log")), new.union(new))
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey").alias("decision_key")
+    new = o.where("o_orderpriority = '1-URGENT'").select(key, F.lit("new").alias("origin"))
+    return review.replay(o.where("o_orderstatus = 'F'").select(key, F.lit("log").alias("origin")), new.union(new))
 
 
 @query(
@@ -141,21 +141,21 @@ def sm_provenance(spark, sf):
     return content_versions(e, "item", "props", "event_id").select("event_id", F.col("version").alias("revision"))
 
 
-@query("tr_unpooled", "SELECT o_orderpriority AS family, o_orderkey FROM orders WHERE o_orderkey % 9 = 0 AND o_orderpriority <> '1-URGENT'")
+@query("tr_unpooled", "SELECT o_orderpriority AS family, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT'")
 def tr_unpooled(spark, sf):
-    o = table(spark, sf, "orders").withColumn("poolable", F.col("o_orderkey") % 9 != 0)
+    o = table(spark, sf, "orders").withColumn("poolable", F.col("o_orderstatus") != "P")
     taken = spark.createDataFrame([("1-URGENT",)], "o_orderpriority string")
     return o.where("not poolable").join(F.broadcast(taken), "o_orderpriority", "left_anti").select(F.col("o_orderpriority").alias("family"), "o_orderkey")
 
 
 @query(
     "tr_method_resolution",
-    "WITH m AS (SELECT o_orderpriority AS kind, o_orderstatus AS exact_id, 'published' AS source, 1 AS rank, min(o_orderkey) AS slug FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, o_orderstatus, 'prepared', 2, min(o_orderkey) FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, o_orderstatus, 'discovered', 3, min(o_orderkey) FROM orders GROUP BY 1, 2) SELECT kind, exact_id, arg_min(source, rank) AS source, arg_min(slug, rank) AS slug FROM m GROUP BY 1, 2",
+    "WITH m AS (SELECT o_orderpriority AS kind, o_orderstatus AS exact_id, 'published' AS source, 1 AS rank, min(o_orderkey) AS slug FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, o_orderstatus, 'prepared', 2, min(o_orderkey) FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, o_orderstatus, 'discovered', 3, min(o_orderkey) FROM orders GROUP BY 1, 2) SELECT kind, exact_id, arg_min(source, rank) AS source, arg_min(slug, rank) AS slug FROM m GROUP BY 1, 2",
 )
 def tr_method_resolution(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("exact_id"), "o_orderkey")
     part = lambda df, name, rank: df.groupBy("kind", "exact_id").agg(F.min("o_orderkey").alias("slug")).select("*", F.lit(name).alias("source"), F.lit(rank).alias("rank"))
-    m = part(o.where("o_orderkey % 5 = 0"), "published", 1).unionByName(part(o.where("o_orderkey % 2 = 0"), "prepared", 2)).unionByName(part(o, "discovered", 3))
+    m = part(o.where("exact_id = 'P'"), "published", 1).unionByName(part(o.where("kind in ('1-URGENT', '2-HIGH')"), "prepared", 2)).unionByName(part(o, "discovered", 3))
     w = Window.partitionBy("kind", "exact_id").orderBy("rank")
     return m.withColumn("n", F.row_number().over(w)).where("n = 1").select("kind", "exact_id", "source", "slug")
 

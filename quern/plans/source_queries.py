@@ -46,10 +46,10 @@ def src_records(spark, sf):
 
 @query(
     "src_feed_items",
-    "SELECT o_custkey::VARCHAR AS feed_url, o_orderkey::VARCHAR AS upstream_id, 'https://x.example/' || o_orderkey AS canonical_url, 'Order & ' || o_orderstatus AS title, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS published FROM orders WHERE o_custkey % 10 = 1",
+    "SELECT o_custkey::VARCHAR AS feed_url, o_orderkey::VARCHAR AS upstream_id, 'https://x.example/' || o_orderkey AS canonical_url, 'Order & ' || o_orderstatus AS title, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS published FROM orders",
 )
 def src_feed_items(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 10 = 1")
+    o = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
     item = F.concat(F.lit("<item><guid>"), key, F.lit("</guid><link>https://x.example/"), key, F.lit("</link><title>Order &amp; "), F.col("o_orderstatus"), F.lit("</title><dc:creator>n</dc:creator><pubDate>"), F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
     body = F.concat(F.lit('<rss version="2.0" xmlns:dc="d"><channel><title>t</title>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
@@ -116,12 +116,12 @@ def ex_review_flags(spark, sf):
 
 @query(
     "ex_evaluation",
-    "WITH e AS (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderkey % 2 = 0), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_custkey END AS v FROM orders WHERE o_orderkey % 3 = 0) SELECT CASE WHEN e.k IS NULL THEN 'spurious' WHEN a.k IS NULL THEN 'missed' WHEN e.v = a.v THEN 'correct' ELSE 'wrong_value' END AS outcome, count(*) AS n FROM e FULL JOIN a ON a.k = e.k GROUP BY 1",
+    "WITH e AS (SELECT o_orderkey AS k, o_custkey AS v FROM orders WHERE o_orderstatus = 'F'), a AS (SELECT o_orderkey AS k, CASE WHEN o_totalprice > 200000 THEN -1 ELSE o_custkey END AS v FROM orders WHERE o_orderpriority = '1-URGENT') SELECT CASE WHEN e.k IS NULL THEN 'spurious' WHEN a.k IS NULL THEN 'missed' WHEN e.v = a.v THEN 'correct' ELSE 'wrong_value' END AS outcome, count(*) AS n FROM e FULL JOIN a ON a.k = e.k GROUP BY 1",
 )
 def ex_evaluation(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
-    found = o.where("k % 3 = 0").withColumn("v", F.when(F.col("k") % 5 == 0, -1).otherwise(F.col("v")))
-    return extract.evaluate(o.where("k % 2 = 0"), found, ["k"], "v").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    found = o.where("o_orderpriority = '1-URGENT'").withColumn("v", F.when(F.col("o_totalprice") > 200000, -1).otherwise(F.col("v")))
+    return extract.evaluate(o.where("o_orderstatus = 'F'"), found, ["k"], "v").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("id_resolve_authors")
@@ -168,7 +168,7 @@ def ev_correction_chain(spark, sf):
     """
 WITH r AS (SELECT o_custkey AS id, o_orderkey % 4 + 1 AS revision, o_orderstatus AS kind, o_orderdate AS created, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS supersedes FROM orders),
 g AS (SELECT id, revision, count(*) AS n, min(kind) AS kind, min(created) AS created, min(supersedes) AS supersedes FROM r GROUP BY 1, 2),
-x AS (SELECT o_custkey AS id, o_orderkey % 4 + 1 AS revision, o_custkey + 1 AS to_id, 1 AS to_revision, 'O' AS to_kind FROM orders WHERE o_orderkey % 6 = 0),
+x AS (SELECT o_custkey AS id, o_orderkey % 4 + 1 AS revision, o_custkey + 1 AS to_id, 1 AS to_revision, 'O' AS to_kind FROM orders),
 j AS (SELECT x.*, g.created, t.kind AS tkind, t.created AS tcreated FROM x JOIN g USING (id, revision) LEFT JOIN g t ON t.id = x.to_id AND t.revision = x.to_revision)
 SELECT id, revision, 'duplicate_revision' AS code FROM g WHERE n > 1 UNION ALL SELECT id, revision, 'missing_reference' FROM j WHERE tkind IS NULL UNION ALL SELECT id, revision, 'wrong_kind' FROM j WHERE tkind <> to_kind UNION ALL SELECT id, revision, 'future_reference' FROM j WHERE tcreated > created
 UNION ALL SELECT g.id, g.revision, 'broken_lineage' FROM g LEFT JOIN g o ON o.id = g.id AND o.revision = g.supersedes WHERE (g.revision > 1 OR g.supersedes IS NOT NULL) AND (o.id IS NULL OR g.supersedes <> g.revision - 1)""",
@@ -177,7 +177,7 @@ def ev_bundle_errors(spark, sf):
     o = table(spark, sf, "orders")
     revision = F.col("o_orderkey") % 4 + 1
     r = o.select(F.col("o_custkey").alias("id"), revision.alias("revision"), F.col("o_orderstatus").alias("kind"), F.col("o_orderdate").alias("created"), F.when(revision > 1, revision - 1).alias("supersedes"))
-    x = o.where("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("id"), revision.alias("revision"), (F.col("o_custkey") + 1).alias("to_id"), F.lit(1).cast("long").alias("to_revision"), F.lit("O").alias("to_kind"))
+    x = o.select(F.col("o_custkey").alias("id"), revision.alias("revision"), (F.col("o_custkey") + 1).alias("to_id"), F.lit(1).cast("long").alias("to_revision"), F.lit("O").alias("to_kind"))
     return evidence.bundle_errors(r, x)
 
 
@@ -228,11 +228,11 @@ def rd_statement_list(spark, sf):
 
 @query(
     "rd_person_detail",
-    "SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS statements, (SELECT count(DISTINCT l_suppkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS sources FROM customer WHERE c_custkey <= 50",
+    "SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS statements, (SELECT count(DISTINCT l_suppkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS sources FROM customer",
 )
 def rd_person_detail(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey <= 50").select("c_custkey", "c_name")
-    o = table(spark, sf, "orders").where("o_custkey <= 50").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("l_orderkey"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("l_orderkey"))
     n = o.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("statements"))
     s = o.join(table(spark, sf, "lineitem"), "l_orderkey").groupBy("c_custkey").agg(F.countDistinct("l_suppkey").alias("sources"))
     return c.join(n, "c_custkey", "left").join(s, "c_custkey", "left").fillna(0, ["statements", "sources"])

@@ -24,9 +24,9 @@ def fn_slug(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", tx.slug(F.col("text")).alias("slug"))
 
 
-@query("fn_fold", "SELECT doc_id, md5(translate(lower(substring(text, 1, 400)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS accents, md5(replace(replace(replace(replace(lower(substring(text, 1, 400)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS german FROM documents")
+@query("fn_fold", "SELECT doc_id, md5(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS accents, md5(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS german FROM documents")
 def fn_fold(spark, sf):
-    t = F.substring("text", 1, 400)
+    t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.fold_accents(t)).alias("accents"), F.md5(tx.fold_german(t)).alias("german"))
 
 
@@ -80,9 +80,9 @@ def fn_target_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", horizon.alias("horizon"), d["start"].cast("string").alias("start_day"), d["end"].cast("string").alias("end_day"))
 
 
-@query("fn_inverted_text", "SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS text FROM benchmark")
+@query("fn_inverted_text", "SELECT item_id, text FROM benchmark")
 def fn_inverted_text(spark, sf):
-    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("p", "w"))
+    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
     index = words.groupBy("item_id", "w").agg(F.collect_list("p").alias("places")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "places"))).alias("index"))
     return index.select("item_id", tx.inverted_text(F.col("index")).alias("text"))
 
@@ -261,10 +261,10 @@ def sm_version_history(spark, sf):
     return ingest.version_history(o, "item", "content", "event_id", "zero").select("event_id", "version", "status", "is_current")
 
 
-@query("sm_carry_forward", "SELECT o_orderkey, 'unchanged' AS status FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
+@query("sm_carry_forward", "SELECT o_orderkey, 'unchanged' AS status FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'")
 def sm_carry_forward(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey")
-    return ingest.carried_forward(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0"), "o_orderkey")
+    o = table(spark, sf, "orders")
+    return ingest.carried_forward(o.where("o_orderstatus = 'F'").select("o_orderkey"), o.where("o_orderpriority = '1-URGENT'"), "o_orderkey")
 
 
 @query("sm_run_outcomes", "SELECT user_id, CASE WHEN f = 0 THEN 'succeeded' WHEN f < n THEN 'partial' ELSE 'failed' END AS outcome, least(60, power(2, least(f, 5)))::INT AS backoff FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE value < 30) AS f FROM events GROUP BY 1)")
@@ -282,11 +282,11 @@ def sm_as_of(spark, sf):
     return ingest.as_of(o, "ev", "kn", "rv", F.lit("1996-01-01").cast("timestamp_ntz")).select("o_orderkey", "history_status")
 
 
-@query("snk_upsert", "SELECT o_orderkey, o_custkey, 'old' AS origin FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey + 1, 'new' FROM orders WHERE o_orderkey % 5 = 0")
+@query("snk_upsert", "SELECT o_orderkey, o_custkey, 'old' AS origin FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' UNION ALL SELECT o_orderkey, o_custkey + 1, 'new' FROM orders WHERE o_orderpriority = '1-URGENT'")
 def snk_upsert(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    new = o.where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("new").alias("origin"))
-    return ingest.upsert(o.where("o_orderkey % 2 = 0").withColumn("origin", F.lit("old")), new, ["o_orderkey"])
+    o = table(spark, sf, "orders")
+    new = o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("new").alias("origin"))
+    return ingest.upsert(o.where("o_orderstatus <> 'O'").select("o_orderkey", "o_custkey", F.lit("old").alias("origin")), new, ["o_orderkey"])
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.scratch import written
+
 
 def coordinates(index: Column, sizes: dict[str, int]) -> list[Column]:
     """The coordinates of a flat cell index, the last dimension running fastest."""
@@ -108,3 +110,24 @@ def annualised(before: Column, after: Column, years: Column) -> Column:
 def brier(forecast: str, outcome: str) -> Column:
     """Mean Brier loss of a group."""
     return F.avg(F.pow(F.col(forecast) - F.col(outcome), F.lit(2.0)))
+
+
+def interval_problem(lower: Column, estimate: Column, upper: Column, most: float) -> Column:
+    """What is wrong with a ratio and its interval: not_positive, not_in_order or implausible (beyond ``most``); null if nothing."""
+    return F.when(lower <= 0, "not_positive").when(~values_in_order(lower, estimate, upper), "not_in_order").when(estimate > most, "implausible")
+
+
+def cyclic_edges(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
+    """Edges on cycles or behind them; none if the graph is acyclic.
+
+    Each round takes away the edges of nodes that nothing leads to, so it needs as many rounds as
+    the longest path before a cycle has nodes. Rounds are written to the shared folder.
+    """
+    left = written(edges.distinct())
+    n = left.count()
+    for _ in range(rounds):
+        left = written(left.join(left.select(F.col(b).alias(a)).distinct(), a, "left_semi"))
+        before, n = n, left.count()
+        if n in (0, before):
+            return left.select(a, b)
+    raise RuntimeError("the graph is deeper than the number of rounds")

@@ -58,3 +58,9 @@ def rotation(df: DataFrame, keys: list[str], id: str, last: int, size: int) -> D
     """The next ``size`` rows of each key after id ``last``, wrapping round."""
     w = Window.partitionBy(*keys).orderBy((F.col(id) <= last).cast("int"), F.col(id))
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
+
+
+def covered_first(df: DataFrame, keys: list[str], people: str, statements: str, at: str, name: str) -> DataFrame:
+    """``place`` of each row of a key by coverage: people, statements, latest time, then name."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(people), F.desc(statements), F.desc(at), F.asc(name))
+    return df.withColumn("place", F.row_number().over(w))

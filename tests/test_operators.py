@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import policy
 from quern.functions import text as tx
-from quern.operators import components, extract, paging, search, trends
+from quern.operators import components, evidence, extract, paging, rules, search, trends
 
 
 def test_pages_cover_all_rows_both_ways(spark):
@@ -89,3 +90,26 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r.c for r in df.select(tx.canonical_url(F.col("u")).alias("c")).collect()] == ["https://ex.org/a?a=1&b=2", "http://ex.org", None, None]
     assert tx.name_key("Dr. José  O'Neil-Smith J.") == "dr jose oneil smith"
+
+
+def test_sentence_rules(spark):
+    said = ["by 2030", "before the end", "between 2031 and 2030", "the early 2040s", "within 3 years", "3 to 5 years ago it was over 2 years", "over the next 5-10 years", "a 10% chance by 2030", "1 in 20 by 2030", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    got = [r.t and tuple(r.t) for r in df.orderBy("i").select(rules.timeline(F.col("s")).alias("t")).collect()]
+    assert got == [("point", 2030, 2030, "year"), None, None, ("range", 2040, 2043, "year"), ("point", 3, 3, "years_ahead"), None, ("range", 5, 10, "years_ahead"), None, None, None]
+    q = spark.createDataFrame([("costs 1,250.5 million euros",), ("12.5.3 euros",), ("euros 5",), (None,)], "s string")
+    assert [r.q and tuple(r.q) for r in q.select(rules.quantity(F.col("s"), ["euros"]).alias("q")).collect()] == [(1250.5e6, "euros"), None, None, None]
+
+
+def test_robots():
+    body = "User-agent: a\nUser-agent: b # two\nDisallow: /x\nAllow: /x/y$\n\nUser-agent: *\nDisallow: /*.pdf\nDisallow:\n"
+    cases = [("a/1.0", "/x/z", False), ("b", "/x/y", True), ("b", "/x/yz", False), ("b", "/f.pdf", True), ("c", "/d/f.pdf", False), ("c", "/x", True)]
+    for agent, path, want in cases:
+        assert policy.robots_allow(body, path, agent) is want
+    assert policy.robots_allow(None, "/", "a") and policy.robots_allow("nonsense", "/", "a")
+
+
+def test_cyclic_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (8, 9)], "a int, b int")
+    assert {tuple(r) for r in evidence.cyclic_edges(edges).collect()} == {(2, 3), (3, 2), (3, 4)}
+    assert evidence.cyclic_edges(edges.where("a <> 3")).count() == 0 and evidence.cyclic_edges(edges.limit(0)).count() == 0

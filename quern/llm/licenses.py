@@ -2,7 +2,8 @@
 
 A text is cut into sentences. Each normalised sentence (ASCII lower case, other characters as one
 space) that is a known licence sentence gives its identifier, every run of other sentences gives
-``_``. The sequence of identifiers is then matched against rules, which are ordered: the first
+``_``. Sentences end at punctuation and blank lines; a line break, with the comment signs after it,
+ends one too unless the lines together are a known sentence, so wrapped texts are read whole. The sequence of identifiers is then matched against rules, which are ordered: the first
 rule that matches at a place takes it, and rules may allow other sentences in between.
 
 Texts without a cue that all known sentences share are passed over, which changes no result.
@@ -117,13 +118,22 @@ def rule_pattern(rule: str) -> str:
 
 
 def sequence(text: Column) -> Column:
-    """The identifiers of a text's sentences, each followed by a space; runs of others as ``_``."""
+    """The identifiers of a text's sentences, each followed by a space; runs of others as ``_``.
+
+    The text becomes words with ``S`` at each end of a sentence or blank line and ``L`` at each other
+    line break; a known sentence stands between such marks and may have an ``L`` for any of its spaces.
+    """
     table = known()
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    parts = F.split(F.regexp_replace(text, r"([.!?;:])[ \n\r\t]+", "$1\n"), r"\n+")
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
-    ids = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.when(s.isin(*table), F.element_at(names, s)).otherwise("_"))
-    joined = F.regexp_replace(F.concat(F.array_join(ids, " "), F.lit(" ")), "(?:(?<![^ ])_ )+", "_ ")
+    every = "(?<![^SL])(?:" + "|".join(s.replace(" ", "[ L]") for s in sorted(table, key=len, reverse=True)) + ")(?![^SL])"
+    words = F.translate(text, UPPER, LOWER)
+    # no pattern repeats a group: on long runs Java would run out of stack
+    for pattern, mark in ((r"\n[^a-z0-9]*\n", "S"), (r"\n[^a-z0-9S]*", "L"), (r"[.!?;:](?=[ \r\tLS])", "S"), ("[^a-z0-9SL]+", " "), ("[ L]*S[ SL]*", "S"), (" ?L ?", "L")):
+        words = F.regexp_replace(words, pattern, mark)
+    words = F.trim(words)
+    others = F.transform(F.split(words, every), lambda s: F.when(s.rlike("[a-z0-9]"), F.lit("_ ")).otherwise(""))
+    hits = F.transform(F.regexp_extract_all(words, F.lit(every), F.lit(0)), lambda s: F.concat(F.element_at(names, F.translate(s, "L", " ")), F.lit(" ")))
+    joined = F.array_join(F.zip_with(others, hits, lambda o, h: F.concat(o, F.coalesce(h, F.lit("")))), "")
     return F.when(F.translate(text, UPPER, LOWER).rlike("|".join(CUES)), joined).otherwise("")
 
 
@@ -150,7 +160,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
-    """The same scan for DuckDB: sentences as rows, identifiers by a join."""
+    """The same scan for DuckDB, for texts that wrap no known sentence: sentences as rows, identifiers by a join."""
     values = ", ".join(f"('{s}', '{i}')" for s, i in known().items())
     every = "|".join(f"(?:{rule_pattern(rule)})" for _, rule in RULES)
     names = " ".join(f"WHEN regexp_full_match(hit, '{rule_pattern(rule)}') THEN '{name}'" for name, rule in RULES)

@@ -1,5 +1,7 @@
 """License scans against SQL and on whole licence texts."""
 
+import textwrap
+
 import duckdb
 
 from quern.llm import licenses as lic
@@ -48,3 +50,47 @@ def test_query_agrees_with_sql(spark):
     want = con.sql(lic.op1_sql()).select("doc_id, sentences, licenses, n_licenses").fetchall()
     got = [tuple(r) for r in lic.op1_licenses(spark, sf).select("doc_id", "sentences", "licenses", "n_licenses").collect()]
     assert sorted(got) == sorted(want) and any(r[3] for r in got)
+
+
+def wrapped(*names, lead="", width=72, items=False):
+    lines = []
+    for k, n in enumerate(names):
+        lines += [*textwrap.wrap((f"{k}. " if items and k else "") + lic.SENTENCES[n], width), ""]
+    return "\n".join((lead + x).rstrip() for x in lines)
+
+
+WRAPPED = [
+    (("mit_grant", "mit_notice", "mit_warranty", "mit_liability"), ["MIT"]),
+    (("apache_grant", "apache_use", "apache_copy", "apache_basis", "apache_see"), ["Apache-2.0"]),
+    (("bsd_grant", "bsd_source", "bsd_binary"), ["BSD-2-Clause"]),
+    (("bsd_grant", "bsd_source", "bsd_binary", "bsd_names"), ["BSD-3-Clause"]),
+    (("gpl3_grant", "gpl_hope", "gpl_see"), ["GPL-3.0"]),
+    (("lgpl_grant",), ["LGPL-2.1"]),
+    (("isc_grant",), ["ISC"]),
+    (("mpl2_grant",), ["MPL-2.0"]),
+    (("cc_by_sa_grant",), ["CC-BY-SA-4.0"]),
+]
+APACHE = """/*
+ * Copyright 2020 Some Authors
+ * Licensed under the Apache License, Version 2.0 (the "License"); you may not
+ * use this file except in compliance with the License. You may obtain a copy of
+ * the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+ * WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+ * License for the specific language governing permissions and limitations under
+ * the License.
+ */
+int x;"""
+
+
+def test_wrapped_texts(spark):
+    cases = [(wrapped(*names, lead=lead, width=width, items=True).replace("\n", end), want) for names, want in WRAPPED for lead in ("", " * ", "# ", "// ", ";; ") for width in (40, 76) for end in ("\n", "\r\n")]
+    cases += [(APACHE, ["Apache-2.0"]), ("Some title\nReleased under the MIT License\nmore", ["MIT"]), ("Released under\n\nthe MIT License.", []), ("\n * " * 50_000 + "Released under the\nMIT License.", ["MIT"])]
+    got = lic.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    for r in got:
+        assert r.licenses == cases[r.doc_id][1], cases[r.doc_id][0][:400]
+    assert "apache_copy" in got[len(cases) - 4].sentences and "apache_see" in got[len(cases) - 4].sentences

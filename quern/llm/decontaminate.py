@@ -5,8 +5,9 @@ lower-case form. A name is a capitalised word that does not begin a sentence; a
 word after a number, or a currency or percent sign. Words are runs of letters, and all characters
 beyond ASCII are letters but for general, Latin-1 and CJK punctuation. Windows of five template words of documents and benchmark items meet in a hash
 join. An item leaks into a document if at least 0.8 of its distinct windows stand there, and if
-its slots are filled consistently: along the alignment with most windows, each value of the item
-stands for one value of the document. So a question with other numbers or names is found, and a
+its slots are filled consistently: along one alignment, each value of the item stands for one value
+of the document. That is any alignment which holds 0.8 of the windows by itself, or else the one
+with most windows. So a question with other numbers or names is found, and a
 mere likeness of phrasing with slots filled at random is not.
 
 Only windows whose hash falls on a set bit of a bitmap of ``BITS`` bits leave the scan of the
@@ -182,11 +183,15 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     met = have.join(wanted, "window")
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))
     lines = met.groupBy(id, item, "total", (F.col("at") - F.col("place")).alias("line")).agg(F.collect_set("window").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    both = lines.groupBy(id, item, "total").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.max_by("pairs", F.struct(F.size("found"), -F.abs("line"), "line")).alias("pairs"))
+    lines = lines.withColumn("consistent", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a))))
+    # a copy that is consistent and long enough by itself shows the leak, whatever else the document holds
+    alone = F.col("consistent") & (F.size("found") / F.col("total") >= least)
+    best = F.struct(alone, F.size("found"), -F.abs("line"), "line")
+    both = lines.groupBy(id, item, "total").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.max_by(F.struct("pairs", "consistent"), best).alias("best"))
+    both = both.select(id, item, "total", "found", "best.*")
     contained = F.size("found") / F.col("total")
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p.a)))
     exact = F.forall("pairs", lambda p: p.a == p.b)
-    return both.where((contained >= least) & consistent).groupBy(id, item).agg(F.max(contained).alias("contained"), F.max(exact).alias("exact"))
+    return both.where((contained >= least) & F.col("consistent")).groupBy(id, item).agg(F.max(contained).alias("contained"), F.max(exact).alias("exact"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id: str = "doc_id", **options) -> DataFrame:

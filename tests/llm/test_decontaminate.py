@@ -95,3 +95,9 @@ def test_query(spark):
     assert got == plain(docs, items)
     whole = {(d, i) for d, t in docs for i, x in items if x in t}
     assert whole <= {(d, i) for d, i, _ in got}
+
+
+def test_exact_copy_after_an_inconsistent_one(spark):
+    mixed = ITEM.replace("Tom had", "Peter had").replace("Tom ate", "Susan ate")
+    d, i = frames(spark, [(1, mixed), (2, mixed + "\n" + ITEM), (3, ITEM + "\n" + mixed)], [(7, ITEM)])
+    assert sorted((r.doc_id, r.exact) for r in dc.leaks(d, i).collect()) == [(2, True), (3, True)]

@@ -10,6 +10,10 @@ of the document. That is any alignment which holds 0.8 of the windows by itself,
 with most windows. So a question with other numbers or names is found, and a
 mere likeness of phrasing with slots filled at random is not.
 
+Whether a word is a name depends on what stands before it and on its case, so each item is also
+looked for with its names as plain words; either form shows a leak. A verbatim passage set into
+running text and a copy in lower case are found by the second form.
+
 Only windows whose hash falls on a set bit of a bitmap of ``BITS`` bits leave the scan of the
 documents. The bitmap has a fixed size; it spares work and never decides a match.
 
@@ -77,9 +81,12 @@ def lower_bytes(text: str) -> tuple[bytes, bytes]:
 
 
 class Template:
-    """The words of some texts: text number, template hash, slot kind, and place in ``low``."""
+    """The words of some texts: text number, template hash, slot kind, and place in ``low``.
+
+    Without ``names`` a name is a word like others.
+    """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], names: bool = True):
         pairs = [lower_bytes(t) for t in texts]
         raw, self.low = (b"".join([x + b"\n" for x in side]) for side in zip(*pairs))
         data, low = np.frombuffer(raw, np.uint8), np.frombuffer(self.low, np.uint8)
@@ -112,6 +119,8 @@ class Template:
         slot[wide & (of == 1) & (data[np.minimum(start + 1, len(data) - 1)] != low[np.minimum(start + 1, len(data) - 1)]) & (before != 3)] = NAME
         slot[(of == 4) | ((_UNIT_HASHES[found] == hashes) & (before == 2) & (of == 1))] = UNIT
         slot[of == 2] = NUMBER
+        if not names:
+            slot[slot == NAME] = WORD
         word = of != 3
         self.start, self.stop, self.slot = start[word], stop[word], slot[word]
         self.hash = np.where(self.slot == WORD, hashes[word], self.slot.astype(np.uint64))
@@ -132,7 +141,7 @@ def windows(template: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return mixed(out)
 
 
-def template_windows(rows: DataFrame, id: str, text: str, size: int = WINDOW, bitmap: Broadcast | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, id: str, text: str, size: int = WINDOW, bitmap: Broadcast | None = None, names: bool = True) -> DataFrame:
     """(id, place, window, slots, total): each window, the values in its slots, and the distinct windows of its text.
 
     With a bitmap only windows on its set bits come, and ``total`` is null.
@@ -148,7 +157,7 @@ def template_windows(rows: DataFrame, id: str, text: str, size: int = WINDOW, bi
                 while at + len(part) < batch.num_rows and (not part or chars < CHUNK):
                     part.append(texts[at + len(part)].as_py() or "")
                     chars += len(part[-1])
-                t = Template(part)
+                t = Template(part, names)
                 found = windows(t.hash, size)
                 own = t.text[: len(found)]
                 whole = own == t.text[size - 1 :] if len(found) else np.zeros(0, bool)
@@ -177,9 +186,15 @@ def bitmap_of(found: DataFrame) -> bytes:
 
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, least: float = LEAST) -> DataFrame:
     """(id, item, contained, exact): items that leak into a document; ``exact`` if all slots hold the item's own values."""
-    wanted = template_windows(items, item, item_text, size)
+    forms = [leaks_of_form(docs, items, id, text, item, item_text, size, least, names) for names in (True, False)]
+    return forms[0].unionByName(forms[1]).groupBy(id, item).agg(F.max("contained").alias("contained"), F.max("exact").alias("exact"))
+
+
+def leaks_of_form(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, item_text: str, size: int, least: float, names: bool) -> DataFrame:
+    """``leaks`` by windows of one form: names as slots, or as plain words."""
+    wanted = template_windows(items, item, item_text, size, names=names)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
-    have = template_windows(docs, id, text, size, sent).select(id, F.col("place").alias("at"), "window", F.col("slots").alias("own"))
+    have = template_windows(docs, id, text, size, sent, names).select(id, F.col("place").alias("at"), "window", F.col("slots").alias("own"))
     met = have.join(wanted, "window")
     pairs = F.arrays_zip(F.col("slots").alias("a"), F.col("own").alias("b"))
     lines = met.groupBy(id, item, "total", (F.col("at") - F.col("place")).alias("line")).agg(F.collect_set("window").alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
@@ -191,6 +206,8 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     both = both.select(id, item, "total", "found", "best.*")
     contained = F.size("found") / F.col("total")
     exact = F.forall("pairs", lambda p: p.a == p.b)
+    if not names:
+        exact = exact & (contained == 1)  # a name that differs is seen only as a missing window
     return both.where((contained >= least) & F.col("consistent")).groupBy(id, item).agg(F.max(contained).alias("contained"), F.max(exact).alias("exact"))
 
 

@@ -101,3 +101,11 @@ def test_exact_copy_after_an_inconsistent_one(spark):
     mixed = ITEM.replace("Tom had", "Peter had").replace("Tom ate", "Susan ate")
     d, i = frames(spark, [(1, mixed), (2, mixed + "\n" + ITEM), (3, ITEM + "\n" + mixed)], [(7, ITEM)])
     assert sorted((r.doc_id, r.exact) for r in dc.leaks(d, i).collect()) == [(2, True), (3, True)]
+
+
+def test_verbatim_in_running_text_and_in_lower_case(spark):
+    short = "Se que trabajan mucho hoy"
+    named = "Yesterday Tom met Ann near Rome while Peter and Susan went from Paris to London with Max"
+    docs = [(1, "foo bar, " + short + " y mas"), (2, named.lower()), (3, "foo bar se que descansan mucho hoy"), (4, named.lower().replace("ann", "bob").replace("paris", "oslo"))]
+    d, i = frames(spark, docs, [(7, short), (8, named)])
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in dc.leaks(d, i).collect()) == [(1, 7, True), (2, 8, True)]

@@ -53,7 +53,9 @@ def src_feed_items(spark, sf):
     key = F.col("o_orderkey").cast("string")
     item = F.concat(F.lit("<item><guid>"), key, F.lit("</guid><link>https://x.example/"), key, F.lit("</link><title>Order &amp; "), F.col("o_orderstatus"), F.lit("</title><dc:creator>n</dc:creator><pubDate>"), F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
     body = F.concat(F.lit('<rss version="2.0" xmlns:dc="d"><channel><title>t</title>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
-    found = feeds.items(o.groupBy(F.col("o_custkey").cast("string").alias("feed_url")).agg(body.alias("body")), most=1000)
+    # a feed comes in blocks of at most 1,000 order keys, so no body grows with a customer's orders
+    block = F.floor(F.col("o_orderkey") / 1000).alias("block")
+    found = feeds.items(o.groupBy(F.col("o_custkey").cast("string").alias("feed_url"), block).agg(body.alias("body")), most=None)
     return found.select("feed_url", "upstream_id", "canonical_url", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published"))
 
 

@@ -16,14 +16,15 @@ def parse_time(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm xx")), F.try_to_timestamp(F.trim(c)))
 
 
-def items(feeds: DataFrame, feed: str = "feed_url", body: str = "body", most: int = 50) -> DataFrame:
-    """(feed, upstream_id, canonical_url, title, published_at, author, text) of the first ``most`` items of each feed.
+def items(feeds: DataFrame, feed: str = "feed_url", body: str = "body", most: int | None = 50) -> DataFrame:
+    """(feed, upstream_id, canonical_url, title, published_at, author, text) of the first ``most`` items of each feed; of all for None.
 
     Elements are cut out as text and read one by one, so a broken item costs only itself.
     """
     rss = F.regexp_extract_all(body, F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))
     atom = F.regexp_extract_all(body, F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1))
-    cut = feeds.select(feed, F.posexplode(F.slice(F.concat(rss, atom), 1, most)).alias("place", "xml"))
+    found = F.concat(rss, atom)
+    cut = feeds.select(feed, F.posexplode(found if most is None else F.slice(found, 1, most)).alias("place", "xml"))
     # namespaced elements are of no use here and their prefixes are undeclared in a cut-out element
     plain = F.regexp_replace(F.regexp_replace("xml", r"(?s)<([a-zA-Z]+:[\w.-]+)\b[^>]*?(?:/>|>.*?</\1>)", ""), r"\s[a-zA-Z]+:[\w.-]+=\"[^\"]*\"", "")
     is_rss = F.col("xml").startswith("<item")

@@ -5,10 +5,13 @@ array; an index maps the rank of each mergeable pair to all its positions. The a
 leave a heap in ascending order, all occurrences of a rank are merged at once, and the pairs
 that arise beside them are added to the lists of their ranks.
 
-Defined cases: null and empty texts have no tokens and decode to an empty text; a special
-token written in a text is one token, as the vocabulary file says; repeated rows are encoded
-alike; an empty table gives an empty table; extra columns pass through, and a column that has
-the name of an output is replaced.
+Only the text goes to Python, and only ids and decoded text come back; all else stays in Spark.
+
+Defined cases: null and empty texts have no tokens and decode to an empty text, and so do null
+lists of ids; very long texts are encoded whole; a special token written in a text is one token,
+as the vocabulary file says; of overlapping pairs the left one is merged first; repeated rows are
+encoded alike; an empty table gives an empty table; extra columns pass through, and a column that
+has the name of an output is replaced.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quern.llm.common import held
 
 #: The pattern that splits text before merges (fixed value of byte-level vocabularies).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words are merged together.
 CHUNK = 4_000_000
-#: Words of one generation of an encoder's memory.
-REMEMBER = 200_000
+#: Words of one generation of an encoder's memory, and their characters.
+REMEMBER, REMEMBER_CHARS = 150_000, 3_000_000
 
 
 def default_vocabulary() -> str:
@@ -71,6 +75,7 @@ class Vocabulary:
             self.bytes_of[i] = bytes(of_letter[c] for c in token)
         for token, i in self.specials.items():
             self.bytes_of[i] = token.encode()
+        self.byte_table = pa.array(self.bytes_of, pa.large_binary())
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.left = np.array([vocab[a] for a, _ in merges], np.int32)
         self.right = np.array([vocab[b] for _, b in merges], np.int32)
@@ -160,14 +165,14 @@ class Vocabulary:
 class Encoder:
     """Encodes texts and remembers the words it has merged, as the bytes of their ids.
 
-    The memory has two generations of ``REMEMBER`` words. When the young one is full it becomes the
-    old one; words that are met again come back from there without being merged.
+    The memory has two generations, each bounded in words and characters. When the young one is full
+    it becomes the old one; words that are met again come back from there without being merged.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.fixed = dict(zip(vocabulary.specials, self.kept([array("i", [i]).tobytes() for i in vocabulary.specials.values()])))
-        self.known, self.old = dict(self.fixed), {}
+        self.known, self.old, self.chars = dict(self.fixed), {}, 0
 
     def kept(self, ids: list[bytes]) -> list:
         """What is remembered of words with these ids."""
@@ -175,8 +180,10 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Remember words that are not known yet."""
-        if len(self.known) + len(words) > REMEMBER:
-            self.known, self.old = dict(self.fixed), self.known
+        chars = sum(map(len, words))
+        if len(self.known) + len(words) > REMEMBER or self.chars + chars > REMEMBER_CHARS:
+            self.known, self.old, self.chars = dict(self.fixed), self.known, 0
+        self.chars += chars
         new = []
         for w in words:
             if w in self.old:
@@ -220,16 +227,9 @@ class Counter(Encoder):
         return [len(x) >> 2 for x in ids]
 
 
-_ENCODERS: dict[tuple[type, int], Encoder] = {}
-
-
 def encoder_of(sent: Broadcast, kind: type[Encoder] = Encoder) -> Encoder:
-    """The encoder of a broadcast vocabulary; a Python worker keeps the last one, with its words, from task to task."""
-    key = (kind, hash(sent.value))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = kind(Vocabulary(sent.value))
-    return _ENCODERS[key]
+    """The encoder of a broadcast vocabulary, kept with its words from task to task."""
+    return held((kind, hash(sent.value)), lambda: kind(Vocabulary(sent.value)))
 
 
 def send_vocabulary(spark, path: str | None = None) -> Broadcast:
@@ -238,56 +238,70 @@ def send_vocabulary(spark, path: str | None = None) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def with_columns(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    names = {f.name for f in fields}
-    return T.StructType([f for f in schema.fields if f.name not in names] + list(fields))
+def encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    """The token ids of each text of an Arrow column without nulls."""
+    found = []
+    for at in range(0, len(texts), 1024):
+        found += encoder.encode(texts.slice(at, 1024).to_pylist())
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def put(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    """The batch with ``columns`` at its end; older columns of those names go."""
-    old = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in columns]
-    pairs = old + list(columns.items())
-    return pa.RecordBatch.from_arrays([c for _, c in pairs], names=[n for n, _ in pairs])
+def decoded(vocabulary: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The text of each list of ids; bytes that are no UTF-8 become U+FFFD."""
+    offsets = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    out = []
+    for at in range(0, len(ids), 1024):
+        cuts = offsets[at : at + 1025]
+        pieces = vocabulary.byte_table.take(ids.slice(at, 1024).flatten())
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+        whole = pieces.buffers()[2].to_pybytes() if len(pieces) else b""
+        places = ends[cuts - cuts[0]].tolist()
+        out += [whole[a:b].decode("utf-8", "replace") for a, b in zip(places, places[1:])]
+    return pa.array(out, pa.string())
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", vocabulary: str | None = None) -> DataFrame:
     """Add the token ids of ``text`` as ``ids`` (array of int)."""
     sent = send_vocabulary(docs.sparkSession, vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = encoder.encode([t or "" for t in column.slice(at, 1024).to_pylist()])
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
-                flat = pa.array(np.frombuffer(b"".join(found), np.int32))
-                yield put(part, **{ids: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)})
+        for texts in batches:
+            yield encoded(encoder, texts)
 
-    return docs.mapInArrow(run, with_columns(docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))))
+    return docs.withColumn(ids, F.arrow_udf(run, "array<int>")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def decode(tokens: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """Add the text of ``ids`` as ``text``; bytes that are no UTF-8 become U+FFFD."""
     sent = send_vocabulary(tokens.sparkSession, vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = encoder_of(sent).vocabulary.bytes_of.__getitem__
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            for at in range(0, batch.num_rows, 1024):
-                lists = column.slice(at, 1024).to_pylist()
-                yield put(batch.slice(at, 1024), **{text: pa.array([b"".join(map(piece, x or [])).decode("utf-8", "replace") for x in lists], pa.string())})
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = encoder_of(sent).vocabulary
+        for lists in batches:
+            yield decoded(vocabulary, lists)
+
+    return tokens.withColumn(text, F.arrow_udf(run, "string")(ids))
+
+
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids", back: str = "decoded", vocabulary: str | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one passage through Python: adds ``ids`` and ``back``."""
+    sent = send_vocabulary(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = encoder_of(sent)
+        for texts in batches:
+            lists = encoded(encoder, texts)
+            yield pa.StructArray.from_arrays([lists, decoded(encoder.vocabulary, lists)], names=["ids", "back"])
 
-    return tokens.mapInArrow(run, with_columns(tokens.schema, T.StructField(text, T.StringType())))
+    both = F.arrow_udf(run, "ids array<int>, back string")(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.withColumn("_both", both).withColumns({ids: F.col("_both.ids"), back: F.col("_both.back")}).drop("_both")
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again, as digests."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tokens = encode(docs).select("doc_id", "token_ids")
-    both = decode(tokens)
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

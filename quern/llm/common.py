@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +34,25 @@ def written(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, made by ``make``: one thing at a time, of whatever operator."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def joined_hot(big: DataFrame, small: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, of which ``small`` has one row each.
+
+    A key's rows in ``big`` are dealt over ``salts`` by column ``by``; ``small`` is repeated for just
+    the salts that a key has, so one key never lands in one task as a whole.
+    """
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    wanted = dealt.select(key, "_salt").distinct().join(small, key)
+    return dealt.join(wanted, [key, "_salt"]).drop("_salt")

@@ -1,14 +1,25 @@
-"""Near copies by word shingles: texts whose five-word shingle sets have Jaccard similarity 0.8 or more.
+"""Near copies at a similarity: SimHash ball hashing over texts whose shingle sets are alike.
 
-MinHash proposes, an exact comparison decides. A text's signature is cut into ``BANDS`` bands of
-``ROWS`` minima; a pair at the threshold shares no band with probability 3e-5, a closer pair with
-less. Texts that share a band are compared with the first of the band and with the ``NEXT`` before
-them in it, so bands of up to ``NEXT`` + 1 texts are compared in all pairs and larger ones in linear
-work. Every link is verified on the shingle sets themselves, so no link is false.
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8
+or more. The 64-bit fingerprints of such texts differ by about 10 bits, too many for the ball of one
+fingerprint, so a text has ``TABLES`` independent SimHash fingerprints of 32 bits each. In each table
+every fingerprint has a ball, all values at one or no flipped bit; texts whose balls share a value
+(two or fewer differing bits) are candidates. A pair at 0.8 is a candidate in at least one table with
+probability 0.9975, at 0.85 with 0.99998. Candidates are compared on all their fingerprints first
+(``FAR``) and then on the shingle sets themselves, so no link is false.
 
-Defined cases: words are those of ``simhash``; null and empty texts have the empty shingle; texts of
-fewer words than a shingle have their whole word sequence as the only shingle; equal sets are one
-point, so copies never multiply; rows with a null id are dropped; an empty table gives an empty table.
+Groups are not compared in all pairs. In a first round each candidate is compared with the centre
+of its class in a table: the text nearest to the majority of the class's bits, and the smallest one.
+In a second round only the pairs whose texts meet in a ball and lie in different components of the
+first round are compared; of those none is left out.
+
+Texts with one shingle set are one point from the start. Sets are held as 64-bit hashes.
+
+Defined cases: words are those of ``simhash``; null and empty texts have the empty shingle and are
+copies of one another; texts of fewer words than a shingle have their whole word sequence as the
+only shingle; long texts are read whole; of a component the row with the smallest id stays, rows
+without an id last, and of rows with one id the one with the smallest digest of all columns; wholly
+equal rows stay once; an empty table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -20,105 +31,293 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quern.llm.common import written
-from quern.llm.simhash import components
+from quern.llm.common import joined_hot, written
+from quern.llm.simhash import _join, cells_for, code_of, components, syndromes
 
 WORDS = 5
 LEAST = 0.8
-BANDS, ROWS = 20, 4
-#: Texts before a text, in a band, that it is compared with besides the band's first.
-NEXT = 8
-_SEEDS = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * ROWS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+TABLES, BITS = 48, 32
+#: Differing bits, of TABLES * BITS, beyond which a pair is no candidate: at similarity 0.8 233 are expected, with a deviation of 14.
+FAR = 320
+#: Variants that a task writes out at once, and fingerprints that it takes at most.
+SLICE = 4_000_000
+TASK_POINTS = 4_000_000
+_FLIPS = np.append(np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64))
+_ODD = np.random.default_rng(11).integers(0, 2**63, (2, TABLES * BITS // 64), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _WordHashes(dict):
+    """Hashes of words, computed once; the memory is emptied when it is full."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        found = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: str | None, words: int = WORDS, memory: dict | None = None) -> np.ndarray:
     """Hashes of a text's distinct shingles, ascending."""
     parts = (text or "").encode().lower().split()
-    joined = b" ".join(parts)
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        return np.array([digest(joined, 42)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in parts])
-    starts = np.append(0, ends[:-1])[: len(parts) - words + 1].tolist()
-    stops = (ends[words - 1 :] - 1).tolist()
-    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts, stops)], np.uint64))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band of the signature of a shingle set."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, ((hashes[at : at + 1024, None] ^ _SEEDS[0]) * _SEEDS[1]).min(axis=0))
-    out = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + column
+    memory = _WordHashes() if memory is None else memory
+    own = np.fromiter(map(memory.__getitem__, parts), np.uint64, len(parts))
+    size = max(1, len(own) - words + 1)
+    out = np.full(size, len(parts) if len(parts) < words else words, np.uint64)
+    for k in range(min(words, len(own))):
+        out = mixed(out) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + size]
+    return np.unique(mixed(out))
+
+
+def majority(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of ``words`` (rows, texts, 64-bit words) the bits that are set in over half of each text's ``count`` rows.
+
+    Rows are added up bit by bit with carries, in binary, so a row costs a few operations per word.
+    """
+    planes, level = [], words
+    while len(level):
+        carries = []
+        while len(level) > 1:
+            third = len(level) // 3
+            if not third:
+                carries.append((level[:1] & level[1:2]))
+                level = level[:1] ^ level[1:2]
+                break
+            a, b, c = level[:third], level[third : 2 * third], level[2 * third : 3 * third]
+            both = a ^ b
+            carries.append((a & b) | (both & c))
+            level = np.concatenate([both ^ c, level[3 * third :]])
+        planes.append(level[0])
+        level = np.concatenate(carries) if carries else level[:0]
+    more = np.zeros(words.shape[1:], np.uint64)
+    same = ~more
+    half = (count // 2)[:, None]
+    for k in range(max(len(planes), int(half.max()).bit_length()) - 1, -1, -1):
+        plane = planes[k] if k < len(planes) else np.zeros_like(more)
+        bit = -((half >> k) & 1).astype(np.int64).view(np.uint64)
+        more |= same & plane & ~bit
+        same &= ~(plane ^ bit)
+    return more
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of each shingle set: a row of ``TABLES`` numbers of 32 bits."""
+    out = np.zeros((len(sets), TABLES * BITS // 64), np.uint64)
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        # texts of like size are added up together, the shorter ones filled up with zeros
+        most = max(8, int(sizes[order[at]] * 1.2))
+        stop = min(int(np.searchsorted(sizes[order], most, "right")), at + max(1, 200_000 // most))
+        part = order[at:stop]
+        rows = int(sizes[part].max())
+        padded = np.zeros((rows, len(part)), np.uint64)
+        for k, i in enumerate(part.tolist()):
+            padded[: sizes[i], k] = sets[i]
+        words = mixed((padded[:, :, None] ^ _ODD[0]) * _ODD[1])
+        words[np.arange(rows)[:, None] >= sizes[part]] = 0
+        out[part] = majority(words, sizes[part])
+        at = stop
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def prints(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """``docs`` with ``_fp``, the digest of the shingle set, and ``_sketch``, its fingerprints two to a number."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = _WordHashes()
+        for texts in batches:
+            fps, rows = [], []
+            for at in range(0, len(texts), 1024):
+                sets = [shingles(t, words, memory) for t in texts.slice(at, 1024).to_pylist()]
+                fps += [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+                rows.append(sketches(sets))
+            flat = np.concatenate(rows).view(np.int64).ravel() if rows else np.empty(0, np.int64)
+            offsets = np.arange(len(texts) + 1, dtype=np.int32) * (TABLES * BITS // 64)
+            yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["fp", "sketch"])
+
+    found = F.arrow_udf(run, "fp long, sketch array<long>")(F.col(text).cast("string"))
+    return docs.withColumn("_found", found).withColumns({"_fp": F.col("_found.fp"), "_sketch": F.col("_found.sketch")}).drop("_found")
+
 
+def meetings(values: np.ndarray, codes: np.ndarray, cell: int, slice_size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members (places in ``values``) of all balls' values in a cell that have several, and the first place of each value among them."""
+    parts = 1 + len(values) * len(_FLIPS) // slice_size
+    for part in range(parts):
+        found, owners = [], []
+        for flip in _FLIPS:
+            v = values ^ flip
+            keep = np.ones(len(v), bool) if parts == 1 else mixed(v) % np.uint64(parts) == part
+            if codes.any():
+                keep &= code_of(v, codes) == cell
+            own = np.flatnonzero(keep)
+            found.append(v[own])
+            owners.append(own)
+        value, owner = np.concatenate(found), np.concatenate(owners)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        same = value[1:] == value[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        value, owner = value[shared[: len(value)]], owner[shared[: len(value)]]
+        yield owner, np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
 
-def prints(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(id, fp, bands, text): ``fp`` is the digest of the shingle set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def centres(values: np.ndarray, points: np.ndarray, codes: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (point, another): each class of a cell with its smallest point and with the one nearest to its majority."""
+    label = np.arange(len(values))
+    for owner, first in meetings(values, codes, cell):
+        size = np.diff(np.append(first, len(owner)))
+        head = np.repeat(owner[first], size)
+        apart = head != owner
+        label = _join(label, head[apart], owner[apart])
+    order = np.lexsort((points, label))
+    own = label[order]
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    size = np.diff(np.append(start, len(own)))
+    start, size = start[size > 1], size[size > 1]
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    row = order[np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
+    begin = np.cumsum(size) - size
+    far = np.zeros(len(row), np.int64)
+    for bit in range(BITS):
+        ones = ((values[row] >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
+        common = 2 * np.add.reduceat(ones, begin) > size
+        far += ones != np.repeat(common, size)
+    place = np.lexsort((points[row], far, np.repeat(np.arange(len(size)), size)))
+    middle = np.repeat(points[row[place[begin]]], size)
+    least = np.repeat(points[row[begin]], size)
+    member = points[row]
+    a, b = np.append(member, member), np.append(middle, least)
+    return a[a != b], b[a != b]
+
+
+def crossings(values: np.ndarray, points: np.ndarray, roots: np.ndarray, codes: np.ndarray, cell: int, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of points that meet in a cell and have different ``roots``, the larger point first."""
+    for owner, first in meetings(values, codes, cell):
+        size = np.diff(np.append(first, len(owner)))
+        ball = np.repeat(np.arange(len(first)), size)
+        order = np.lexsort((roots[owner], ball))
+        owner = owner[order]
+        root = roots[owner]
+        change = np.append(True, (root[1:] != root[:-1]) | (ball[1:] != ball[:-1]))[: len(owner)]
+        group = np.cumsum(change) - 1
+        group_stop = np.append(np.flatnonzero(change)[1:], len(owner))[group] if len(owner) else owner
+        n = np.repeat(first + size, size) - group_stop
+        at = 0
+        total = np.cumsum(n)
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            m = n[at:stop]
+            if m.any():
+                left = np.repeat(np.arange(at, stop), m)
+                right = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(group_stop[at:stop], m)
+                x, y = points[owner[left]], points[owner[right]]
+                pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                yield pairs[0], pairs[1]
+            at = stop
+
+
+def met(points: DataFrame, n: int, rooted: bool) -> DataFrame:
+    """Candidate pairs (a, b) among ``points`` (fp, sketch and, if ``rooted``, root), from all tables.
+
+    A fingerprint travels once to each cell of a table that its ball touches, together with its point.
+    """
+    cells = cells_for(n, TASK_POINTS, 1, BITS, 1)
+    codes = syndromes(cells.bit_length() - 1)[:BITS]
+    reach = np.unique(np.append(0, codes))
+    width = 3 if rooted else 2
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py(), words) for x in batch.column(1)]
-            fps = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            rows = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), rows, batch.column(1).cast(pa.string())], names=["id", "fp", "bands", "text"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                fps = part.column(0).to_numpy(zero_copy_only=False)
+                tables = part.column(1).flatten().to_numpy().view(np.uint32).reshape(len(fps), TABLES)
+                goal: dict[tuple[int, int], list[bytes]] = {}
+                for t in range(TABLES):
+                    value = tables[:, t].astype(np.uint64)
+                    rows = np.stack([value.view(np.int64), fps] + ([part.column(2).to_numpy(zero_copy_only=False)] if rooted else []), axis=1)
+                    own = code_of(value, codes)
+                    for code in np.unique(own).tolist():
+                        held = rows[own == code].tobytes()
+                        for cell in (reach ^ code).tolist():
+                            goal.setdefault((t, cell), []).append(held)
+                keys = sorted(goal)
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int64()), pa.array([b"".join(goal[k]) for k in keys], pa.binary())], names=["table", "cell", "rows"])
+
+    def meet(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.concatenate([np.frombuffer(x.as_py(), np.int64) for b in group for x in b.column("rows")]).reshape(-1, width)
+        held = held[np.argsort(held[:, 1], kind="stable")]
+        values, fps, cell = held[:, 0].view(np.uint64), held[:, 1], key[1].as_py()
+        found = crossings(values, fps, held[:, 2], codes, cell) if rooted else [centres(values, fps, codes, cell)]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    sent = points.select("fp", "sketch", *(["root"] if rooted else [])).mapInArrow(send, "table int, cell long, rows binary")
+    return sent.groupBy("table", "cell").applyInArrow(meet, "a long, b long").distinct()
 
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "id long, fp long, bands array<long>, text string")
+
+def close(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs whose fingerprints differ in ``FAR`` bits or fewer over all tables."""
+    side = lambda name: points.select(F.col("fp").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return joined_hot(pairs, side("b"), "b", "a").join(side("a"), "a").where(bits <= FAR).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are alike by ``least``; ``texts`` holds (fp, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        memory = _WordHashes()
         last: dict[str, tuple] = {"a": (None, None), "b": (None, None)}
-        for batch in batches:
+        for a, b, text_a, text_b in batches:
             keep = []
-            for i in range(batch.num_rows):
-                for side, at in (("a", 0), ("b", 1)):
-                    fp = batch.column(at)[i].as_py()
+            for i in range(len(a)):
+                for side, fp, text in (("a", a[i].as_py(), text_a), ("b", b[i].as_py(), text_b)):
                     if last[side][0] != fp:
-                        last[side] = fp, shingles(batch.column(at + 2)[i].as_py(), words)
-                keep.append(similarity(last["a"][1], last["b"][1]) >= least)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                        last[side] = fp, shingles(text[i].as_py(), words, memory)
+                x, y = last["a"][1], last["b"][1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.array(keep, pa.bool_())
 
     side = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def kept_ids(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """The smallest id of each component of near copies."""
-    held = written(prints(docs, id, text, words))
-    points = written(held.groupBy("fp").agg(F.min("id").alias("least"), F.any_value("bands").alias("bands")))
-    banded = points.select("fp", F.posexplode("bands").alias("band", "value"))
-    w = Window.partitionBy("band", "value").orderBy("fp")
-    before = F.array(*[F.lag("fp", k).over(w) for k in range(1, NEXT + 1)])
-    near = banded.select("fp", F.first("fp").over(w).alias("head"), before.alias("before")).where("fp <> head")
-    near = written(near.groupBy("fp", "head").agg(F.array_distinct(F.flatten(F.collect_set(F.array_compact("before")))).alias("before")))
-
-    ends = near.select(F.explode(F.concat(F.array("fp", "head"), "before")).alias("fp")).distinct()
-    one = points.join(ends, "fp").select("fp", F.col("least").alias("id"))
-    texts = written(held.select("id", "fp", "text").join(one, ["id", "fp"]).dropDuplicates(["fp"]))
-
-    heads = near.select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    sure = written(verified(heads, texts, words, least))
-    # pairs that one head ties already need no comparison of their own
-    of = sure.groupBy("a").agg(F.collect_set("b").alias("heads"))
-    ties = lambda name: of.select(F.col("a").alias(name), F.col("heads").alias(f"heads_{name}"))
-    more = near.select(F.col("fp").alias("a"), F.explode("before").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
-    none = F.array().cast("array<bigint>")
-    more = more.join(ties("a"), "a", "left").join(ties("b"), "b", "left").where(~F.arrays_overlap(F.coalesce("heads_a", none), F.coalesce("heads_b", none)))
-    edges = sure.unionByName(written(verified(more.select("a", "b"), texts, words, least)))
-
-    roots = components(edges)
-    named = points.join(roots, points.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
-    return named.groupBy("root").agg(F.min("least").alias(id)).select(id).distinct()
+    met = joined_hot(pairs, side("b"), "b", "a").join(side("a"), "a")
+    return met.withColumn("_alike", F.arrow_udf(run, "boolean")("a", "b", "text_a", "text_b")).where("_alike").select("a", "b")
+
+
+def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``docs`` with one row of each component of near copies."""
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    order = F.struct(F.col(id).isNull().alias("last"), F.col(id).cast("long").alias("id"), F.col("_row").alias("row"))
+    found = written(prints(rows, text, words).select(order.alias("first"), F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch")))
+    points = written(found.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("sketch").alias("sketch")))
+    n = points.count()
+
+    def alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
+        near = written(close(pairs, points))
+        ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        one = points.join(ends, "fp").select("fp", F.col("first.row").alias("_row"))
+        texts = written(rows.select("_row", F.col(text).cast("string").alias("text")).join(one, "_row").groupBy("fp").agg(F.any_value("text").alias("text")))
+        return written(verified(near, texts, words, least))
+
+    first = written(met(points, n, False))
+    sure = alike(first, points)
+    ends = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    roots = components(sure)
+    some = written(points.join(ends, "fp").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
+    second = written(met(some, n, True).join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    roots = components(sure.unionByName(alike(second, some)))
+
+    named = points.join(roots, points.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)

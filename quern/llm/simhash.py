@@ -7,14 +7,15 @@ one another, so a value's fingerprints need only be tied to the smallest of them
 
 The variants are shuffled by a linear code: value ``v`` belongs to cell ``H v``, the XOR of the
 numbers 1 to 64 of its set bits. The flips that lead a fingerprint into a cell follow from the
-cell alone, so a fingerprint travels once to each cell (8 bytes) and its variants there are
-written out on arrival. A cell with many variants is worked off in slices by a second code, so
-memory is bounded by the fingerprints of a cell; ``cells`` grows with the number of
-fingerprints once those would not fit a task.
+cell alone, so a fingerprint travels once to each cell that its ball touches (8 bytes) and its
+variants there are written out on arrival. There are so many cells that none gets more than
+``TASK_POINTS`` fingerprints on average (``cells_for``), whatever their number, and a cell is worked
+off in slices by a second code, so memory is bounded. For large tables that means all 2,081 cells
+of a ball, the volume of the method itself: about 17 kB a fingerprint.
 
 Defined cases: null and empty texts have no words and the fingerprint zero; texts of fewer words
-than a shingle have their whole word sequence as the only shingle; equal fingerprints are one
-point, so copies never multiply; ties go to the smallest id; an empty table gives an empty
+than a shingle have their whole word sequence as the only shingle; long texts are read whole; equal
+fingerprints are one point, so copies never multiply; ties go to the smallest id; an empty table gives an empty
 table; extra columns are ignored; rows with a null id are dropped, for they cannot be named.
 """
 
@@ -30,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import written
+from quern.llm.common import joined_hot, written
 
 WORDS = 4
 HALF = 2
 CELLS = 128
 #: Variants written out at once in a task.
 SLICE = 4_000_000
-#: Fingerprints that a task takes at most before there are more cells.
-TASK_POINTS = 8_000_000
+#: Fingerprints that a cell, and so a task, gets at most on average.
+TASK_POINTS = 4_000_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -89,7 +90,7 @@ def ball(half: int = HALF) -> tuple[np.ndarray, list[tuple[int, ...]]]:
 def code_of(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """XOR of the codes of each value's set bits."""
     out = np.zeros(len(values), np.int64)
-    for bit in range(64):
+    for bit in range(len(codes)):
         out ^= np.where((values >> np.uint64(bit)) & np.uint64(1), codes[bit], 0)
     return out
 
@@ -99,6 +100,20 @@ def cell_codes(cells: int) -> np.ndarray:
     return syndromes(bits) if bits <= 7 else syndromes(bits, 64 - bits)
 
 
+def reach_of(cells: int, half: int = HALF, width: int = 64) -> np.ndarray:
+    """The codes of all flips: a fingerprint of code ``c`` is sent to the cells ``c ^ reach``."""
+    codes = cell_codes(cells)[:width]
+    return np.unique([np.bitwise_xor.reduce(codes[list(c)]) if c else 0 for k in range(half + 1) for c in combinations(range(width), k)])
+
+
+def cells_for(points: int, most: int = TASK_POINTS, least: int = CELLS, width: int = 64, half: int = HALF) -> int:
+    """The smallest power of two, at least ``least``, of cells that get at most ``most`` fingerprints each on average."""
+    cells = least
+    while points * len(reach_of(cells, half, width)) > most * cells and cells < 1 << 40:
+        cells *= 2
+    return cells
+
+
 def ties(points: np.ndarray, cell: int, cells: int, half: int = HALF, slice_size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
     """Within one cell, each fingerprint's smallest kin: pairs (fingerprint, smaller one it is tied to).
 
@@ -171,13 +186,12 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links(points: DataFrame, half: int = HALF, cells: int = CELLS) -> DataFrame:
     """Pairs (``a``, ``b``), ``b`` the smaller, that tie all fingerprints ``fp`` whose balls meet."""
     wide = cell_codes(cells)
-    sets = ball(half)[1]
-    reach = np.unique([np.bitwise_xor.reduce(wide[list(s)]) if s else 0 for s in sets])
+    reach = reach_of(cells, half)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each cell that a batch's fingerprints reach, with those fingerprints as bytes."""
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for part in (batch.slice(at, 2048) for batch in batches for at in range(0, batch.num_rows, 2048)):
+            fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             own = code_of(fps, wide)
             order = np.argsort(own, kind="stable")
             own, fps = own[order], fps[order]
@@ -201,20 +215,22 @@ def links(points: DataFrame, half: int = HALF, cells: int = CELLS) -> DataFrame:
     return sent.groupBy("cell").applyInArrow(meet, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, root), root the smallest node of each.
 
     Alternates large-star and small-star steps; both keep the components and shorten all paths.
-    Each round is written to the shared folder; when the edges stay the same, they are stars.
+    Each round is written to the shared folder; when the edges stay the same, they are stars. The
+    number of rounds grows with the square of the logarithm of the nodes at most, so ``rounds`` is only a
+    guard against a fault.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined_hot(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = joined_hot(large, low, "a", "b").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = written(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
@@ -230,18 +246,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     """``id``, ``fp`` and ``component_id``, the smallest id that links lead to, for each row."""
     prints = written(fingerprints(docs, id, text, words))
     points = written(prints.groupBy("fp").agg(F.min(id).alias("least")))
-    if cells is None:
-        cells, n = CELLS, points.count()
-        while n > TASK_POINTS * (cells // CELLS) and cells < 1 << 20:
-            cells *= 2
+    cells = cells or cells_for(points.count())
     roots = components(links(points, half, cells))
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_point = named.join(least, "root").select("fp", "component_id")
-    # a fingerprint that many rows share is dealt over salts on both sides
-    salts = 32
-    many = of_point.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return prints.withColumn("salt", F.pmod(F.xxhash64(id), F.lit(salts)).cast("int")).join(many, ["fp", "salt"]).select(id, "fp", "component_id")
+    of_point = joined_hot(named.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
+    return joined_hot(prints, of_point, "fp", id).select(id, "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

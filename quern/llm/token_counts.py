@@ -8,8 +8,9 @@ pre-tokens, and updates the sums from the touched leaves to the root.
 
 Defined cases: a null text counts as empty, with no token and one empty leaf; an edit that is
 null in any column changes nothing; bounds beyond the text are cut to it; very long texts have
-many leaves; repeated rows are counted alike; an empty table gives an empty table; extra columns
-pass through, and a column that has the name of an output is replaced.
+many leaves; an edit at the bound of two leaves belongs to the left one; rows with a null id are
+counted like others; repeated rows are counted alike; an empty table gives an empty table; extra
+columns pass through, and a column that has the name of an output is replaced.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.llm.bpe import CHUNK, Counter, Vocabulary, encoder_of, put, send_vocabulary, with_columns
+from quern.llm.bpe import CHUNK, Counter, Vocabulary, encoder_of, send_vocabulary
 
 LEAF = 32
 
@@ -139,52 +139,82 @@ def edit(encoder: Counter, rows: list[tuple[str, np.ndarray, np.ndarray, int, in
     return out
 
 
-_TREE = T.ArrayType(T.IntegerType())
+_NAMES = ["n_tokens", "char_tree", "token_tree", "reread_chars"]
 
 
 def _lists(trees: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, trees)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(trees).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(trees or [np.zeros(0)]).astype(np.int32)))
+
+
+_COUNTED = "n_tokens long, char_tree array<int>, token_tree array<int>"
+
+
+def counted_texts(encoder: Counter, texts: list[str]) -> list[pa.Array]:
+    """``n_tokens``, ``char_tree`` and ``token_tree`` of each text."""
+    trees = []
+    for at in range(0, len(texts), 1024):
+        trees += build(encoder, texts[at : at + 1024])
+    return [pa.array([int(t[1]) for _, t in trees], pa.int64()), _lists([c for c, _ in trees]), _lists([t for _, t in trees])]
+
+
+def edited_texts(encoder: Counter, rows: list[tuple]) -> list[pa.Array]:
+    """The text, counts, trees and ``reread_chars`` of rows (text, characters, tokens, start, stop, put_in) after their edits."""
+    done = []
+    for at in range(0, len(rows), 1024):
+        part = [(t or "", *rest) for t, *rest in rows[at : at + 1024]]
+        changed = iter(edit(encoder, [r for r in part if all(x is not None for x in r[3:])]))
+        # a null edit leaves a null text null
+        done += [(old[0], r[1], r[2], 0) if any(x is None for x in r[3:]) else next(changed) for r, old in zip(part, rows[at : at + 1024])]
+    texts, chars, tokens, read = zip(*done) if done else ((), (), (), ())
+    return [pa.array(texts, pa.string()), pa.array([int(k[1]) for k in tokens], pa.int64()), _lists(chars), _lists(tokens), pa.array(read, pa.int64())]
+
+
+def _trees(lists: pa.ListArray) -> list[np.ndarray]:
+    return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
 
 
 def count(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Add ``n_tokens`` and the trees ``char_tree`` and ``token_tree``."""
     sent = send_vocabulary(docs.sparkSession, vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent, Counter)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                trees = build(encoder, [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
-                yield put(part, n_tokens=pa.array([int(t[1]) for _, t in trees], pa.int64()), char_tree=_lists([c for c, _ in trees]), token_tree=_lists([t for _, t in trees]))
+        for texts in batches:
+            yield pa.StructArray.from_arrays(counted_texts(encoder, texts.to_pylist()), names=_NAMES[:3])
 
-    return docs.mapInArrow(run, with_columns(docs.schema, T.StructField("n_tokens", T.LongType()), T.StructField("char_tree", _TREE), T.StructField("token_tree", _TREE)))
+    found = F.arrow_udf(run, _COUNTED)(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.withColumn("_found", found).withColumns({n: F.col(f"_found.{n}") for n in _NAMES[:3]}).drop("_found")
 
 
 def apply_edits(counted: DataFrame, text: str = "text", start: str = "start", stop: str = "stop", put_in: str = "put_in", vocabulary: str | None = None) -> DataFrame:
     """Apply one edit per row of ``counted``: renew text, trees and ``n_tokens``, and add ``reread_chars``."""
     sent = send_vocabulary(counted.sparkSession, vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent, Counter)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: B023, E731
-                texts, chars, tokens, read = [], [], [], []
-                trees = [np.split(column(x).flatten().to_numpy(), np.cumsum(column(x).value_lengths().to_numpy())[:-1]) for x in ("char_tree", "token_tree")]
-                rows = list(zip(column(text).to_pylist(), *trees, *(column(x).to_pylist() for x in (start, stop, put_in))))
-                edits = [(t or "", *rest) for t, *rest in rows if all(x is not None for x in rest[2:])]
-                changed = iter(edit(encoder, edits))
-                for t, c, k, *rest in rows:
-                    done = (t, c, k, 0) if any(x is None for x in rest) else next(changed)
-                    for out, x in zip((texts, chars, tokens, read), done):
-                        out.append(x)
-                yield put(part, **{text: pa.array(texts, pa.string()), "n_tokens": pa.array([int(k[1]) for k in tokens], pa.int64()), "char_tree": _lists(chars), "token_tree": _lists(tokens), "reread_chars": pa.array(read, pa.int64())})
-
-    fields = [T.StructField(text, T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("char_tree", _TREE), T.StructField("token_tree", _TREE), T.StructField("reread_chars", T.LongType())]
-    return counted.mapInArrow(run, with_columns(counted.schema, *fields))
+        for texts, chars, tokens, *edits in batches:
+            rows = list(zip(texts.to_pylist(), _trees(chars), _trees(tokens), *(e.to_pylist() for e in edits)))
+            yield pa.StructArray.from_arrays(edited_texts(encoder, rows), names=["text", *_NAMES])
+
+    found = F.arrow_udf(run, f"text string, {_COUNTED}, reread_chars long")(F.col(text).cast("string"), "char_tree", "token_tree", F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
+    return counted.withColumn("_found", found).withColumns({text: F.col("_found.text")} | {n: F.col(f"_found.{n}") for n in _NAMES}).drop("_found")
+
+
+def count_and_edit(docs: DataFrame, text: str = "text", start: str = "start", stop: str = "stop", put_in: str = "put_in", vocabulary: str | None = None) -> DataFrame:
+    """``count`` and then ``apply_edits`` in one passage through Python; the count before is ``tokens_before``."""
+    sent = send_vocabulary(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        encoder = encoder_of(sent, Counter)
+        for texts, *edits in batches:
+            texts = texts.to_pylist()
+            before, chars, tokens = counted_texts(encoder, [t or "" for t in texts])
+            rows = list(zip(texts, _trees(chars), _trees(tokens), *(e.to_pylist() for e in edits)))
+            yield pa.StructArray.from_arrays([before, *edited_texts(encoder, rows)], names=["tokens_before", "text", *_NAMES])
+
+    found = F.arrow_udf(run, f"tokens_before long, text string, {_COUNTED}, reread_chars long")(F.col(text).cast("string"), F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
+    return docs.withColumn("_found", found).withColumns({text: F.col("_found.text")} | {n: F.col(f"_found.{n}") for n in ("tokens_before", *_NAMES)}).drop("_found")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,5 +225,4 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stop = F.least(n, start + 40)
     piece = F.substring("text", start + 1, stop - start)
     edits = docs.select("*", start.alias("start"), stop.alias("stop"), F.concat(F.reverse(piece), F.lit(" (edited)")).alias("put_in"))
-    counted = count(edits).withColumn("tokens_before", F.col("n_tokens"))
-    return apply_edits(counted).select("doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.length("text").cast("long").alias("edited_chars"), "reread_chars")
+    return count_and_edit(edits).select("doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.length("text").cast("long").alias("edited_chars"), "reread_chars")

@@ -53,8 +53,22 @@ def test_query(spark, theirs):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "hi hi", None), (3, "hi hi", None)], "doc_id long, text string, token_ids string")
-    rows = bpe.decode(bpe.encode(df)).orderBy("doc_id").collect()
-    assert [list(r.token_ids) for r in rows][:2] == [[], []]
-    assert [r.decoded for r in rows] == ["", "", "hi hi", "hi hi"]
-    assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+    long = "word " * 40_000 + "é" * 60_000
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "hi hi", None), (3, "hi hi", None), (4, long, "z")], "doc_id long, text string, token_ids string")
+    for both in (bpe.decode(bpe.encode(df)), bpe.round_trip(df)):
+        rows = both.orderBy("doc_id").collect()
+        assert [list(r.token_ids) for r in rows][:2] == [[], []]
+        assert [r.decoded for r in rows] == ["", "", "hi hi", "hi hi", long]
+        assert len(rows[-1].token_ids) == len(bpe.Encoder(bpe.Vocabulary(open(bpe.default_vocabulary(), encoding="utf-8").read())).encode([long])[0]) // 4
+    assert bpe.decode(bpe.encode(df.limit(0))).count() == bpe.round_trip(df.limit(0)).count() == 0
+    broken = spark.createDataFrame([(1, [0, 188]), (2, None), (3, [])], "doc_id long, token_ids array<int>")
+    assert [r.decoded for r in bpe.decode(broken).orderBy("doc_id").collect()][1:] == ["", ""]
+
+
+def test_memory_is_bounded_and_changes_nothing(ours, monkeypatch):
+    texts = [f"w{i} " * 3 + "x" * i for i in range(300)]
+    want = ours.encode(texts)
+    monkeypatch.setattr(bpe, "REMEMBER", 20)
+    monkeypatch.setattr(bpe, "REMEMBER_CHARS", 400)
+    small = bpe.Encoder(ours.vocabulary)
+    assert [small.encode([t])[0] for t in texts] == want and len(small.known) < 60

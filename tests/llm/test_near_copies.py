@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quern.llm import near_copies
 
@@ -46,9 +48,58 @@ def test_stage_on_documents(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want
 
 
-def test_large_band(spark):
-    """A band of more texts than are compared in all pairs is still one component."""
+def test_large_groups(spark):
+    """A group of many near copies is one component, also where its texts are alike only through one of them."""
+    rng = random.Random(4)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(60)]
+    star = [f"s{i}" for i in range(400)]
+    rows.append((500, " ".join(star)))
+    for k in range(60):  # each at about 0.86 to the middle and 0.75 to one another
+        own = list(star)
+        for p in rng.sample(range(0, 400, 5), 6):
+            own[p] = f"x{k}_{p}"
+        rows.append((600 + k, " ".join(own)))
+    want = plain_kept(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [r.doc_id for r in near_copies.kept_ids(docs).collect()] == [0]
+    assert want == [0, 500] and sorted(r.doc_id for r in near_copies.kept(docs).collect()) == want
+
+
+def test_majority_and_shingles():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**63, (50, 3, 2), np.int64).astype(np.uint64)
+    count = np.array([50, 37, 1])
+    for i, c in enumerate(count):
+        words[c:, i] = 0
+    got = near_copies.majority(words, count)
+    for i, c in enumerate(count):
+        for k in range(2):
+            assert int(got[i, k]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in words[:c, i, k]) > c)
+    assert len(near_copies.shingles("a b c d e f a b c d e f")) == 6 and len(near_copies.shingles("a b")) == 1
+    assert near_copies.shingles("A  b").tolist() == near_copies.shingles("a b").tolist() != near_copies.shingles("b a").tolist()
+
+
+def test_crossings_are_all_pairs_of_different_roots():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**32, 30, np.int64).astype(np.uint64)
+    values = np.concatenate([base, base ^ np.uint64(1), base[:10] ^ np.uint64(6), base[:5]])
+    points, roots = np.arange(len(values)) * 7 - 100, rng.integers(0, 3, len(values))
+    want = {(points[j], points[i]) for i in range(len(values)) for j in range(i + 1, len(values)) if roots[i] != roots[j] and int(values[i] ^ values[j]).bit_count() <= 2}
+    for cells in (1, 4):
+        codes = near_copies.syndromes(cells.bit_length() - 1)[:32]
+        for size in (4_000_000, 100):
+            got = set()
+            for cell in range(cells):
+                for owner, first in near_copies.meetings(values, codes, cell, size):
+                    assert len(owner) == 0 or first[0] == 0
+                for a, b in near_copies.crossings(values, points, roots, codes, cell, most=5):
+                    got |= set(zip(a.tolist(), b.tolist()))
+            assert got == want
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    rows = [(2, "a b c", "x"), (2, "a b c", "x"), (2, "A b  c", "y"), (None, "a b c", "x"), (None, "other words", "x"), (None, None, None), (9, "", "x"), (8, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp string")
+    got = near_copies.kept(docs).collect()
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in got) == [(0, "o"), (2, got[[r.doc_id for r in got].index(2)].text[0]), (8, " ")]
+    assert near_copies.kept(docs.limit(0)).count() == 0

@@ -9,16 +9,14 @@ import corpus_pipeline
 from quern.llm import bpe, language
 from tests.llm.test_decontaminate import plain as plain_leaks
 from tests.llm.test_pii import plain as plain_spans
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_kept
 
 
 def test_run(spark):
     sf = "/root/testdata/sf0.001"
     docs = {d.doc_id: d for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    kept = sorted(i for i, d in docs.items() if re.search(r"[^\W\d_]", d.text))
-    least = plain_components(kept, [plain_fingerprint(docs[i].text) for i in kept])
-    kept = [i for i, c in zip(kept, least) if i == c]
+    kept = plain_kept([(i, d.text) for i, d in docs.items() if re.search(r"[^\W\d_]", d.text)])
     bad = {d for d, _, _ in plain_leaks([(i, docs[i].text) for i in kept], items)}
     kept = [i for i in kept if i not in bad]
     t = Tokenizer.from_file(bpe.default_vocabulary())
@@ -43,3 +41,17 @@ def test_stages_keep_columns_and_empty_tables(spark):
     assert sorted((r.doc_id, r.text) for r in out if r.text)[-1] == (3, "word [EMAIL]")
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, rows, sf).collect()} == {3}
     assert language.UNKNOWN == "und"
+
+
+def test_stages_on_long_texts_ties_and_extra_columns(spark):
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, long, "en", "s", 1, "x"), (2, long.upper(), "en", "s", 1, None), (3, "short one here", "fr", None, 1, "x"), (3, "short one here", "fr", None, 1, "y"), (None, "no id but text", None, None, None, "x"), (4, "call +1 (555) 555-1234 " + "now " * 30_000, None, "s", 2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, sf)
+        assert "score" in df.columns, name
+    got = sorted((r.doc_id or 0, r.text[:10], r.score) for r in df.collect())
+    assert [g[0] for g in got] == [0, 1, 3, 4] and got[1][1] == long[:10] and got[3][1] == "call [PHON"
+    out = corpus_pipeline.STAGES[-1][1](spark, df, sf).collect()
+    assert len(out) == 4 and all(r.round_trip for r in out)

@@ -57,6 +57,21 @@ def test_ties_cover_all_pairs():
         assert [int(points[x]) for x in label] == plain_components([int(p) for p in points], points.tolist())
 
 
+def test_cells_bound_a_task_share():
+    """Fingerprints per cell, by arithmetic, stay under the bound at any number of fingerprints."""
+    for n in (10**5, 8 * 10**6, 128 * 10**6, 10**9, 64 * 10**9):
+        cells = simhash.cells_for(n)
+        share = n * len(simhash.reach_of(cells)) / cells
+        print(n, cells, share)
+        assert share <= simhash.TASK_POINTS or (cells == simhash.CELLS and n <= simhash.TASK_POINTS)
+
+
+def test_components_with_a_hub(spark):
+    edges = [(i, 0) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(300)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(1, 3000)} == {0} and {got[i] for i in range(5001, 5301)} == {5000}
+
+
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     fps = [plain_fingerprint(d.text) for d in docs]
@@ -66,8 +81,8 @@ def test_query(spark):
 
 
 def test_edges(spark):
-    rows = [(7, None, "x"), (3, "", "x"), (5, "  ", "x"), (9, "same text here now", "x"), (8, "Same  text here NOW", "x"), (None, "lost", "x"), (8, "Same  text here NOW", "x")]
+    rows = [(7, None, "x"), (3, "", "x"), (5, "  ", "x"), (9, "same text here now", "x"), (8, "Same  text here NOW", "x"), (None, "lost", "x"), (8, "Same  text here NOW", "x"), (20, "w " * 200_000, "x"), (21, "W " * 199_990, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
-    assert got == [(3, 3), (5, 3), (7, 3), (8, 8), (8, 8), (9, 8)]
+    assert got == [(3, 3), (5, 3), (7, 3), (8, 8), (8, 8), (9, 8), (20, 20), (21, 20)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0

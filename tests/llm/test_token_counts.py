@@ -59,3 +59,8 @@ def test_edges(spark):
     long = "long " + "é" + ("long " * 60_000)[6:]
     assert got == [(1, "new", 1), (2, "", 0), (3, "so", 1), (3, "so", 1), (4, long[:9], len(t.encode(long).ids))]
     assert tc.count(df.limit(0)).count() == 0
+    both = sorted((r.doc_id, r.text[:9], r.tokens_before, r.n_tokens) for r in tc.count_and_edit(df).collect())
+    assert [(i, x, n) for i, x, _, n in both] == got and [b[2] for b in both][:3] == [0, 0, len(t.encode("some text").ids)]
+    nulls = spark.createDataFrame([(1, None, None, 1, "x"), (2, "ab", 0, None, "x"), (3, "ab", 0, 1, None), (None, "ab", None, None, None), (5, "ab", 1, 1, "c")], "doc_id long, text string, start int, stop int, put_in string")
+    found = sorted((r.doc_id or 0, r.text, r.reread_chars > 0) for r in tc.apply_edits(tc.count(nulls)).collect())
+    assert found == [(0, "ab", False), (1, None, False), (2, "ab", False), (3, "ab", False), (5, "acb", True)]

@@ -71,3 +71,17 @@ def test_blocks_and_edges(spark, tmp_path, monkeypatch):
         found = fp.op4_fingerprints(spark, path).collect()
         check(found, rows) if rows else None
         assert len(found) == len(rows)
+
+
+def test_blocks_follow_an_outlier(spark, monkeypatch):
+    """An id far from all others does not draw its neighbours into one block, and long texts are read whole."""
+    monkeypatch.setattr(fp, "BLOCK", 50)
+    ids = spark.range(2_000).selectExpr("id as doc_id").union(spark.createDataFrame([(10**17,), (-(10**17),)], "doc_id long"))
+    sizes = [r["count"] for r in ids.groupBy(fp.blocks_of(ids, "doc_id").alias("b")).count().collect()]
+    assert max(sizes) < 120 and len(sizes) > 30
+    after = {r["_block"]: r["_after"] for r in fp.blocks_before(spark.range(0, 20_000, 7).selectExpr("id as _block")).collect()}
+    assert all(b == a + 7 for b, a in after.items() if b) and after[0] == max(after)
+    long = "Wört " * 50_000
+    df = spark.createDataFrame([(1, long), (2, long.upper()), (3, None)], "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint for r in fp.fingerprints(df).collect()}
+    assert prints[1] == prints[2] != prints[3]

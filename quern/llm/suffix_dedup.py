@@ -5,7 +5,7 @@ grams: equal strings have equal anchors. Runs of neighbouring strings with one a
 segment. The texts are dealt once into buckets of about ``BUCKET`` bytes, and then
 
 1. each bucket sends its distinct anchors, hashed into parts; a part answers each bucket which
-   of them other buckets have too (a bit each);
+   of them other buckets have too, and which stand in ``HOT`` buckets or more (two bits each);
 2. each bucket sends the segments of shared anchors, each distinct one once and from its smallest
    document; later copies within the bucket are removed on the spot;
 3. each part drops segments that a smaller document has whole, and sorts the suffixes of the
@@ -15,11 +15,14 @@ segment. The texts are dealt once into buckets of about ``BUCKET`` bytes, and th
 4. each bucket gathers the spans of its documents.
 
 The text shuffle is written once and read by steps 1, 2 and 4. A hot string is sent once per
-bucket, not once per document.
-
-Defined cases: null and empty texts have no bytes; texts shorter than ``length`` stay whole;
-rows of one id never remove from one another; an empty table gives an empty table; extra columns
-are ignored; rows with a null id are dropped, for they have no order.
+bucket, not once per document. The segments of a hot anchor are cut further, and dealt over the parts,
+by the bytes beside the anchor that each string holds: a phrase that stands everywhere with changing
+neighbours then meets its like only.
+
+Defined cases: null and empty texts have no bytes; texts shorter than ``length`` stay whole; very long
+texts, also longer than a bucket, are read whole by one task; rows of one id never remove from one
+another; an empty table gives an empty table; extra columns are ignored, also those with the names of
+outputs; rows with a null id are dropped, for they have no order.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BUCKET = 6_000_000
 #: Bytes hashed at once, and strings sorted at once.
 PIECE = 2_000_000
 SORT = 2_000_000
+#: Buckets with one anchor from which it is dealt further.
+HOT = 64
 #: Depth of the shallow sort, in bytes.
 SHALLOW = 24
 
@@ -97,6 +102,29 @@ def segments(text: bytes | np.ndarray, ends: np.ndarray, length: int = LENGTH) -
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def finer(data: np.ndarray, anchor: np.uint64, first: int, stop: int, length: int) -> list[tuple[int, int, int]]:
+    """(key, first, stop) of the pieces of a segment whose strings have the same bytes beside their anchor.
+
+    The anchor is the leftmost one of a string, and the bytes are those of its longer side, so equal
+    strings have equal keys.
+    """
+    gram = min(GRAM, length)
+    side = (length - gram) // 2
+    if not side:
+        return [(int(anchor), first, stop)]
+    body = data[first : stop - 1 + length]
+    places = np.flatnonzero(gram_hashes(body, gram) == anchor)
+    start = np.arange(stop - first)
+    place = places[np.searchsorted(places, start)]
+    behind = place - start <= length - gram - side
+    beside = gram_hashes(body, side)[np.where(behind, place + gram, place - side)]
+    key = (beside ^ anchor) * _ODD + behind.astype(np.uint64)
+    key ^= key >> np.uint64(29)
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    tail = np.append(head[1:], len(key))
+    return list(zip(key[head].tolist(), (head + first).tolist(), (tail + first).tolist()))
+
+
 def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
     return (((anchor * _ODD) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
@@ -217,19 +245,19 @@ def _anchors_out(parts: int, length: int):
     return run
 
 
-def _shared_back(key: tuple, rows: pa.Table) -> pa.Table:
-    buckets = rows.column("bucket").to_pylist()
-    lists = [unpack(b)[0] for b in rows.column("blob").to_pylist()]
-    every = np.concatenate(lists)
-    every.sort()
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for b, own in zip(buckets, lists):
-        at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
-        hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
-        if hit.any():
-            out.append((b, np.packbits(hit).tobytes()))
-    return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+def _shared_back(hot: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        buckets = rows.column("bucket").to_pylist()
+        lists = [unpack(b)[0] for b in rows.column("blob").to_pylist()]
+        every, times = np.unique(np.concatenate(lists), return_counts=True)
+        out = []
+        for b, own in zip(buckets, lists):
+            n = times[np.searchsorted(every, own)]
+            if (n > 1).any():
+                out.append((b, np.packbits(n > 1).tobytes() + np.packbits(n >= hot).tobytes()))
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+
+    return run
 
 
 def _segments_out(parts: int, length: int):
@@ -250,13 +278,21 @@ def _segments_out(parts: int, length: int):
         np.minimum.at(low, index, number)
         np.maximum.at(high, index, number)
         wanted = low != high
+        hot = np.zeros(len(distinct), bool)
         by_part = part_of(distinct, parts)
         order = np.argsort(by_part, kind="stable")
         edges = np.searchsorted(by_part[order], np.arange(parts + 1))
         for p, bits in zip(answers.column("part").to_pylist(), answers.column("blob").to_pylist()):
             own = order[edges[p] : edges[p + 1]]
-            wanted[own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)]] = True
+            both = np.frombuffer(bits, np.uint8).reshape(2, -1)
+            for mark, answer in ((wanted, both[0]), (hot, both[1])):
+                mark[own[np.unpackbits(answer, count=len(own)).astype(bool)]] = True
         keep = np.flatnonzero(wanted[index])
+        cut = [(key, doc[k], a, b) for k in keep[hot[index[keep]]].tolist() for key, a, b in finer(np.frombuffer(text, np.uint8), anchor[k], int(first[k]), int(stop[k]), length)]
+        keep = keep[~hot[index[keep]]]
+        anchor, doc, first, stop = (np.append(whole[keep], np.array(part, whole.dtype)) for whole, part in zip((anchor, doc, first, stop), zip(*cut) if cut else ((),) * 4))
+        keep = np.argsort(first, kind="stable")
+        number = np.array(ids, np.int64)[doc]
         # documents come by ascending id, so the first segment of a content is from its smallest
         owner: dict[bytes, int] = {}
         gone_doc, gone_first, gone_stop = [], [], []
@@ -270,7 +306,7 @@ def _segments_out(parts: int, length: int):
                 gone_first.append(a - starts[d])
                 gone_stop.append(b - starts[d])
         sent = np.array(sent, np.int64)
-        part = by_part[index[sent]] if len(sent) else np.empty(0, np.int64)
+        part = part_of(anchor[sent], parts)
         order = np.argsort(part, kind="stable")
         sent, part = sent[order], part[order]
         head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, int)
@@ -393,7 +429,7 @@ def _removed(id: str):
     return run
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET, hot: int = HOT) -> DataFrame:
     """``id``, ``n_bytes``, ``removed`` (spans of bytes) and ``kept`` (the other bytes) for each row."""
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).where("_id is not null")
     total = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
@@ -401,7 +437,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
     own = dealt.groupBy("bucket")
     sent = own.applyInArrow(_anchors_out(parts, length), "part int, bucket int, blob binary")
-    answers = sent.groupBy("part").applyInArrow(_shared_back, "bucket int, part int, blob binary")
+    answers = sent.groupBy("part").applyInArrow(_shared_back(hot), "bucket int, part int, blob binary")
     found = own.cogroup(answers.groupBy("bucket")).applyInArrow(_segments_out(parts, length), "part int, bucket int, local boolean, blob binary")
     spans = found.groupBy("part").applyInArrow(_spans_out(length), "bucket int, blob binary")
     return own.cogroup(spans.groupBy("bucket")).applyInArrow(_removed(id), f"`{id}` long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")

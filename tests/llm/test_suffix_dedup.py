@@ -56,12 +56,38 @@ def test_against_all_strings(spark):
     rows = [(rng.randint(0, 100), t) for t in texts] + [(200, texts[3]), (200, texts[3]), (201, None), (202, "")]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, bucket string")
     want = sorted(plain([(i, (t or "").encode()) for i, t in rows], 50))
-    for size in (600, 100_000):
-        got = sorted((r.doc_id, [(s.start, s.stop) for s in r.removed], bytes(r.kept)) for r in sd.remove_repeats(df, bucket_bytes=size).collect())
+    for size, hot in ((600, 64), (600, 2), (100_000, 64)):
+        got = sorted((r.doc_id, [(s.start, s.stop) for s in r.removed], bytes(r.kept)) for r in sd.remove_repeats(df, bucket_bytes=size, hot=hot).collect())
         assert got == want
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_hot_anchor_is_dealt_over_parts(spark):
+    """A phrase with the smallest anchor that stands in every bucket with changing neighbours does not meet in one part."""
+    rng = random.Random(6)
+    words = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase = words(30)
+    rows = [(i, words(60) + phrase + words(60) + (words(0) if i % 7 else "the tail that some of the documents have in common, word for word")) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(plain([(i, t.encode()) for i, t in rows], 50))
+    for hot in (2, 10**9):
+        got = sorted((r.doc_id, [(s.start, s.stop) for s in r.removed], bytes(r.kept)) for r in sd.remove_repeats(df, bucket_bytes=900, hot=hot).collect())
+        assert got == want
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    anchor, _, first, stop = sd.segments(data, np.cumsum([len(t) for _, t in rows]), 50)
+    hot = max(set(anchor.tolist()), key=anchor.tolist().count)
+    own = [k for k in range(len(anchor)) if anchor[k] == hot]
+    keys = {key for k in own for key, _, _ in sd.finer(data, anchor[k], int(first[k]), int(stop[k]), 50)}
+    assert len(own) > 100 and len(keys) > 100
+
+
+def test_text_longer_than_a_bucket(spark):
+    long = "".join(random.Random(7).choice("abcdefgh") for _ in range(60_000))
+    rows = [(1, "x" + long), (2, long[:30_000]), (3, None), (4, "short")]
+    got = {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.removed)) for r in sd.remove_repeats(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, removed int"), bucket_bytes=5_000).collect()}
+    assert got == {1: (60_001, 0), 2: (30_000, 30_000), 3: (0, 0), 4: (5, 0)}
+
+
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     want = {i: (sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest()) for i, s, k in plain([(d.doc_id, d.text.encode()) for d in docs], 50)}

@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-#: Licence families whose texts may be copied, and those that may be copied unchanged only.
-COPYABLE = ("cc0", "cc-by", "cc-by-sa", "cc-by-nc", "apache-2.0", "mit", "gpl")
+#: Licence families whose texts may be copied, and those that may be copied unchanged only (fixed values).
+COPYABLE = ("cc0", "cc-by", "cc-by-sa")
 UNCHANGED_ONLY = ("cc-by-nd",)
 
 
@@ -71,8 +71,12 @@ def robots_rules(body: str, agent: str) -> list[tuple[bool, str]]:
 
 def robots_allow(body: str | None, path: str, agent: str) -> bool:
     """Whether the longest pattern that fits ``path`` allows it; ties allow, and so does silence."""
+    return fits(robots_rules(body or "", agent), path)
+
+
+def fits(rules: list[tuple[bool, str]], path: str) -> bool:
     best = (-1, True)
-    for allow, pattern in robots_rules(body or "", agent):
+    for allow, pattern in rules:
         stem = pattern.removesuffix("$")
         form = ".*".join(re.escape(p) for p in stem.split("*")) + ("$" if pattern.endswith("$") else "")
         if re.match(form, path):
@@ -85,6 +89,7 @@ def robots_allows(body: Column, path: Column, agent: str) -> Column:
 
     @F.pandas_udf(BooleanType())
     def check(bodies: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([robots_allow(b, p or "/", agent) for b, p in zip(bodies, paths)], dtype=bool)
+        rules = {b: robots_rules(b or "", agent) for b in set(bodies)}  # a body is read once a batch
+        return pd.Series([fits(rules[b], p or "/") for b, p in zip(bodies, paths)], dtype=bool)
 
     return check(body, path)

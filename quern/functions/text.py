@@ -33,8 +33,8 @@ def tokens(c: Column) -> Column:
 
 
 #: Accented letters and the plain letters that stand for them, in order (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+ACCENTED = "àáâãäåąçćèéêëęìíîïłñńòóôõöśùúûüýÿźż"
+PLAIN = "aaaaaaacceeeeeiiiilnnooooosuuuuyyzz"
 
 
 def fold_accents(c: Column) -> Column:
@@ -125,7 +125,7 @@ def quarter_key(ts: Column) -> Column:
 
 def target_dates(horizon: Column) -> Column:
     """struct(start, end) of "by Y" (end of Y), "before Y" (end of the year before) and "in Y" (the whole year)."""
-    word, year = F.lower(F.regexp_extract(horizon, r"(?i)\b(by|before|in)\s+((?:19|20)[0-9]{2})\b", 1)), F.regexp_extract(horizon, r"(?i)\b(by|before|in)\s+((?:19|20)[0-9]{2})\b", 2)
+    word, year = F.lower(F.regexp_extract(horizon, r"(?i)\b(by|before|in)\s+((?:20|21)[0-9]{2})\b", 1)), F.regexp_extract(horizon, r"(?i)\b(by|before|in)\s+((?:20|21)[0-9]{2})\b", 2)
     y = F.when(year != "", year.cast("int"))
     end = F.make_date(F.when(word == "before", y - 1).otherwise(y), F.lit(12), F.lit(31))
     return F.struct(F.when(word == "in", F.make_date(y, F.lit(1), F.lit(1))).alias("start"), end.alias("end"))
@@ -208,3 +208,23 @@ def sorted_query(url: str) -> str:
     parts = urlsplit(url)
     kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k not in TRACKING)
     return parts._replace(scheme=parts.scheme.lower(), netloc=parts.netloc.lower(), path=parts.path.rstrip("/"), query=urlencode(kept), fragment="").geturl()
+
+
+def canonical_json(c: Column) -> Column:
+    """A JSON text in compact form with the keys of all objects in order; null if it is no JSON."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def json_equal(a: Column, b: Column) -> Column:
+    """Whether two JSON texts are equal whatever the order of their keys; texts that are no JSON equal nothing."""
+    return F.coalesce(canonical_json(a) == canonical_json(b), F.lit(False))
+
+
+#: Hosts of profiles and the pattern of the handle in the path (fixed values).
+PROFILES = (("orcid", r"^orcid\.org$", r"^/(\d{4}-\d{4}-\d{4}-\d{3}[\dX])/?$"), ("github", r"^(?:www\.)?github\.com$", r"^/([A-Za-z0-9-]+)/?$"), ("mastodon", r"^[a-z0-9.-]+$", r"^/@([A-Za-z0-9_]+)/?$"))
+
+
+def profile_link(url: Column) -> Column:
+    """struct(kind, handle) of a link to a person's profile; null for other links."""
+    host, path = F.lower(F.parse_url(url, F.lit("HOST"))), F.parse_url(url, F.lit("PATH"))
+    return F.coalesce(*[F.when(host.rlike(h) & path.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(path, p, 1).alias("handle"))) for k, h, p in PROFILES])

@@ -29,6 +29,48 @@ def semantics(kind: Column, unit: Column) -> Column:
     return F.when(kind == "qualitative", "qualitative").when(unit == "probability", "probability").when(unit == "year", "timeline").when(unit.isNotNull(), "quantity")
 
 
+def outcome_conflict(text: Column, outcome: Column, patterns: dict[str, str]) -> Column:
+    """Whether a text names other outcomes than ``outcome`` and not this one.
+
+    ``patterns``: a regular expression per outcome. A text that names the own outcome too, or none, is no conflict.
+    """
+    said = F.coalesce(text, F.lit(""))
+    own = F.coalesce(*[F.when(outcome == k, said.rlike(p)) for k, p in patterns.items()], F.lit(False))
+    other = F.lit(False)
+    for k, p in patterns.items():
+        other = other | (said.rlike(p) & ~outcome.eqNullSafe(F.lit(k)))
+    return (said != "") & ~own & other
+
+
+def split_outcome(text: Column, patterns: dict[str, str]) -> Column:
+    """The outcome of a question that holds several: the one whose pattern alone fits ``text``; else null."""
+    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items()]))
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+
+
+def comparison(found: Column, target: Column) -> Column:
+    """struct(match, reason): whether a classified forecast answers the target question, and else the first reason why not.
+
+    ``found``: exact_id, poolable, reason, stored_id (a stored exact key or null), family, outcome, deadline,
+    conditional, unit. ``target``: exact_id, family, outcome, deadline (null if it is not part of the question),
+    conditional, unit.
+    """
+    both = lambda f: found[f].isNotNull() & target[f].isNotNull() & (found[f] != target[f])
+    match = F.coalesce(found["poolable"], F.lit(False)) & found["exact_id"].eqNullSafe(target["exact_id"])
+    reason = (
+        F.when(match, F.lit(None).cast("string"))
+        .when(found["stored_id"] != target["exact_id"], "different_question")
+        .when(~found["family"].eqNullSafe(target["family"]), "different_question")
+        .when(found["reason"].isNotNull(), found["reason"])
+        .when(~found["outcome"].eqNullSafe(target["outcome"]), "definition_mismatch")
+        .when(both("deadline"), "deadline_mismatch")
+        .when(found["conditional"] & ~target["conditional"], "condition_mismatch")
+        .when(both("unit"), "unit_mismatch")
+        .otherwise("insufficient_agreement")
+    )
+    return F.struct(match.alias("match"), reason.alias("reason"))
+
+
 def bound_phrase(text: Column) -> Column:
     """A value that only bounds: "at least 10"."""
     return F.coalesce(text.rlike(r"(?i)^\s*(?:at least|at most|more than|less than|over|under|no more than|no less than|>=?|<=?|≥|≤)"), F.lit(False))
@@ -41,14 +83,20 @@ def classify(rows: DataFrame, registry: DataFrame) -> DataFrame:
     family, semantics, unit, conditional, deadline (null: any). Exactly one registered question of
     the family may fit; a family without registered questions pools under an identity of its own.
     """
-    r = registry.select(F.col("exact_id").alias("_exact"), "family", F.col("semantics").alias("_semantics"), F.col("unit").alias("_unit"), F.col("conditional").alias("_conditional"), F.col("deadline").alias("_deadline"))
-    fits = (
-        (F.col("semantics") == F.col("_semantics"))
-        & F.col("unit").eqNullSafe(F.col("_unit"))
-        & (F.col("condition").isNotNull() == F.col("_conditional"))
-        & (F.col("_deadline").isNull() | F.col("deadline").eqNullSafe(F.col("_deadline")))
-    )
-    found = rows.join(r, "family", "left").groupBy(*rows.columns).agg(F.count("_exact").alias("_registered"), F.count(F.when(fits, 1)).alias("_fits"), F.min(F.when(fits, F.col("_exact"))).alias("_one"))
+    # one row per family, so rows are neither multiplied nor grouped again
+    r = registry.groupBy("family").agg(F.collect_list(F.struct("exact_id", "semantics", "unit", "conditional", "deadline")).alias("_questions"))
+
+    def fits(q: Column) -> Column:
+        return (
+            (F.col("semantics") == q.semantics)
+            & F.col("unit").eqNullSafe(q.unit)
+            & (F.col("condition").isNotNull() == q.conditional)
+            & (q.deadline.isNull() | F.col("deadline").eqNullSafe(q.deadline))
+        )
+
+    held = F.coalesce(F.col("_questions"), F.array().cast(r.schema["_questions"].dataType))
+    found = rows.join(r, "family", "left").withColumn("_registered", F.size(held)).withColumn("_found", F.filter(held, fits)).drop("_questions")
+    found = found.withColumn("_fits", F.size("_found")).withColumn("_one", F.array_min(F.transform("_found", lambda q: q.exact_id))).drop("_found")
     own = F.concat_ws("|", "family", "semantics", F.coalesce("unit", F.lit("")), F.when(F.col("condition").isNull(), "unconditional").otherwise(F.concat(F.lit("if "), phrase(F.col("condition")))), F.coalesce(F.col("deadline").cast("string"), F.lit("open")))
     timed = F.col("semantics") == "probability"
     reason = (

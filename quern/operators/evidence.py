@@ -131,3 +131,18 @@ def cyclic_edges(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100
         if n in (0, before):
             return left.select(a, b)
     raise RuntimeError("the graph is deeper than the number of rounds")
+
+
+def security_outcome(injection: Column, error: Column, attack: Column, goal: Column, applicable: Column) -> Column:
+    """struct(status, success) of an attack run: only an applicable target predicate says whether the attacker won.
+
+    ``goal`` is what the publisher reports of the attacker's goal; it is never read as safety.
+    """
+    status = (
+        F.when(injection.isNull(), "not_applicable_clean")
+        .when(error, "error_flag_not_observed_outcome")
+        .when(attack.isin("dos", "denial_of_service"), "dos_nonutility_predicate_not_target_goal")
+        .when(~F.coalesce(applicable, F.lit(False)), "unverified_historical_predicate")
+        .otherwise("verified_target_goal_predicate")
+    )
+    return F.struct(status.alias("status"), F.when(status == "verified_target_goal_predicate", goal).alias("success"))

@@ -143,3 +143,66 @@ def resolve_author(candidates: DataFrame, person: str) -> DataFrame:
         .otherwise("not_found")
     )
     return agg.select(person, decision.alias("decision")).join(agg.select(person, F.col("top.record").alias("chosen")), person).withColumn("chosen", F.when(F.col("decision").startswith("accept"), F.col("chosen")))
+
+
+def topic_signal(text: Column, stance: str, cues: dict[str, list[str]]) -> Column:
+    """The topics whose cues stand in a text as whole words, in the order given; null without a stance or a topic."""
+    low = F.lower(text)
+    words = lambda found: r"\b(?:" + "|".join(re.escape(c) for c in found) + r")\b"
+    topics = F.array_compact(F.array(*[F.when(low.rlike(words(found)), F.lit(t)) for t, found in cues.items()]))
+    return F.when(F.coalesce(text.rlike(stance), F.lit(False)) & (F.size(topics) > 0), topics)
+
+
+def preferred(df: DataFrame, item: str, signature: list[str], preference: list[Column], most: int | None = 12) -> DataFrame:
+    """One row per item and signature, the first by ``preference``, and of those the first ``most`` of an item.
+
+    ``most`` belongs to what is published of an item; None keeps all.
+    """
+    one = df.withColumn("_place", F.row_number().over(Window.partitionBy(item, *signature).orderBy(*preference))).where("_place = 1").drop("_place")
+    if most is None:
+        return one
+    return one.withColumn("_place", F.row_number().over(Window.partitionBy(item).orderBy(*preference))).where(F.col("_place") <= most).drop("_place")
+
+
+def summary(df: DataFrame, person: str, *dimensions: str) -> DataFrame:
+    """(dimension, value, n, people): rows and people of each value of each dimension, and people with several rows."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dimensions]))
+    counts = df.select(person, pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(person).alias("people"))
+    own = df.groupBy(person).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("people"))
+    return counts.unionByName(repeated.select(F.lit("repeated_people").alias("dimension"), F.lit(None).cast("string").alias("value"), "n", "people"))
+
+
+def review_warnings(**checks: Column) -> Column:
+    """Names of the checks that hold, in the order given; a check that is null does not hold."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+
+
+def suggested_keys(text: Column, keys: dict[str, list[str]]) -> Column:
+    """Question keys all of whose cue patterns fit a text, in the order given."""
+    fits = lambda cues: [text.rlike(c) for c in cues]
+    return F.array_compact(F.array(*[F.when(F.coalesce(*[F.when(~c, F.lit(False)) for c in fits(cues)], F.lit(True)) & text.isNotNull(), F.lit(k)) for k, cues in keys.items()]))
+
+
+def linked_profile(names: Column, accepted: Column, from_owned: Column, website: Column, known: Column) -> Column:
+    """struct(accepted, reason): whether a linked profile belongs to a person.
+
+    ``names``, ``accepted``: name keys of the profile and of the person; ``known``: the person's addresses.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "/+$", "")
+    own = F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "")
+    words = lambda xs: F.array_distinct(F.flatten(F.transform(xs, lambda n: F.split(n, " "))))
+    link = F.coalesce(from_owned, F.lit(False)) | ((bare(website) != "") & F.array_contains(F.transform(known, bare), bare(website)))
+    reason = (
+        F.when(F.coalesce(F.size(own), F.lit(0)) <= 0, "empty_profile_name")
+        .when(~F.arrays_overlap(own, accepted), F.when(F.arrays_overlap(words(own), words(accepted)), "name_similar_not_equal").otherwise("name_mismatch"))
+        .when(~F.coalesce(link, F.lit(False)), "no_corroborating_link")
+        .otherwise("name_match_and_corroborating_link")
+    )
+    return F.struct((reason == "name_match_and_corroborating_link").alias("accepted"), reason.alias("reason"))
+
+
+def attribution(**methods: Column) -> Column:
+    """struct(method, person): the first method, in the order given, that names a person."""
+    found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("method"), c.cast("string").alias("person"))) for n, c in methods.items()]))
+    return F.get(found, F.lit(0))

@@ -63,3 +63,10 @@ def excerpt(column: str, size: int) -> Column:
 def iso_micros(column: str) -> Column:
     """A timestamp as ISO 8601 text with microseconds and Z."""
     return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
+def public_state(column: str, asked: str | None, public: tuple[str, ...]) -> Column | None:
+    """``column`` equals the state asked for; a state that is not public is false for every row, so nothing is read."""
+    if asked is None:
+        return F.col(column).isin(*public)
+    return F.col(column) == asked if asked in public else F.lit(False)

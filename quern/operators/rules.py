@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-YEAR = r"((?:19|20)[0-9]{2})"
-DECADE = r"(?i)\b(?:(early|mid|late)[ -](?:the )?)?((?:19|20)[0-9]0)s\b"
+YEAR = r"((?:20|21)[0-9]{2})"
+DECADE = r"(?i)\b(?:(early|mid|late)[ -](?:the )?)?((?:20|21)[0-9]0)s\b"
 SPAN = rf"(?i)\b(?:between|from)? ?{YEAR} ?(?:and|to|-|–) ?{YEAR}\b"
 MEDIAN = rf"(?i)\bmedian\b[^.]*?\b{YEAR}\b"
 AHEAD = r"(?i)\b(?:within|in|over)(?: the next)? ([0-9]{1,3})(?: ?(?:-|–|to) ?([0-9]{1,3}))? years\b"

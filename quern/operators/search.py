@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import text as tx
 
@@ -74,10 +75,73 @@ def text_rank(text: Column, query: Prepared) -> Column:
 def search(df: DataFrame, kind: str, id: str, label: str, rank: Column, limit: int) -> DataFrame:
     """The best ``limit`` records of a kind, with the number of all matches."""
     found = df.select(F.lit(kind).alias("kind"), F.col(id).cast("string").alias("id"), F.col(label).alias("label"), rank.alias("rank")).where("rank > 0")
-    best = found.orderBy(F.desc("rank"), "label", "id").limit(limit)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return best.crossJoin(F.broadcast(total))  # one row on the right
+    return best_of(found, limit)
+
+
+def best_of(found: DataFrame, limit: int) -> DataFrame:
+    """Per kind the first ``limit`` matches by rank, label and id, and the number of all; one reading of the records.
+
+    Matches are ranked within blocks first, so no task orders all matches of a kind.
+    """
+    block = F.pmod(F.xxhash64("id"), F.lit(64))
+    order = [F.desc("rank"), "label", "id"]
+    inner = Window.partitionBy("kind", block)
+    few = found.withColumn("_place", F.row_number().over(inner.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(inner))
+    few = few.where(F.col("_place") <= limit).withColumn("_n", F.when(F.col("_place") == 1, F.col("_n")))
+    outer = Window.partitionBy("kind")
+    ranked = few.withColumn("_rank", F.row_number().over(outer.orderBy(*order))).withColumn("total", F.sum("_n").over(outer))
+    return ranked.where(F.col("_rank") <= limit).drop("_place", "_n", "_rank")
 
 
 def grouped(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+#: Kinds of records, and for each filter the kinds that it can narrow (fixed values).
+KINDS = ("person", "organization", "topic", "source", "statement", "source_item")
+NARROWS = {"date": ("statement", "source_item"), "topic": ("topic", "statement"), "person": ("person", "statement", "source_item"), "statement_type": ("statement",), "source_kind": ("source", "source_item")}
+#: Rows of each kind in a list of suggestions (fixed values), and of a page.
+SUGGESTED = dict(zip(KINDS, (2, 1, 2, 1, 1, 1)))
+DEFAULT_LIMIT, MOST_LIMIT = 8, 20
+
+
+def kinds_for(filters: dict[str, object], asked: tuple[str, ...] | None = None) -> tuple[str, ...]:
+    """The kinds to search: those asked for that every filter given can narrow.
+
+    A filter that fits none of the kinds asked for is refused, and so is an unknown filter or kind, and a
+    range of dates that ends before it starts.
+    """
+    given = {k: v for k, v in filters.items() if v is not None}
+    unknown = [k for k in given if k not in NARROWS] + [k for k in asked or () if k not in KINDS]
+    if unknown:
+        raise ValueError(f"unknown: {', '.join(unknown)}")
+    if "date" in given and given["date"][0] is not None and given["date"][1] is not None and given["date"][0] > given["date"][1]:
+        raise ValueError("a range of dates ends before it starts")
+    for k in given:
+        if asked and not set(asked) & set(NARROWS[k]):
+            raise ValueError(f"{k} narrows none of {', '.join(asked)}")
+    return tuple(k for k in asked or KINDS if all(k in NARROWS[f] for f in given))
+
+
+def page_limit(asked: int | None) -> int:
+    return min(MOST_LIMIT, max(1, asked)) if asked is not None else DEFAULT_LIMIT
+
+
+def visible_matches(matched: DataFrame, visible: DataFrame, id: str) -> DataFrame:
+    """Matches first, then visibility: only ids that matched are looked up among the visible ones."""
+    return matched.join(visible.select(id), id, "left_semi")
+
+
+def research(raw: str, people: DataFrame, statements: DataFrame, topics: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows (kind, id, label) of each table whose label holds the text, whatever its case."""
+    q = prepare(raw).text
+    pattern = "%" + re.sub(r"([\\%_])", r"\\\1", q) + "%"
+    parts = [df.where(F.col("label").ilike(pattern)).orderBy("label", "id").limit(limit) for df in (people, statements, topics)]
+    return grouped(*parts)
+
+
+def suggestions(found: DataFrame) -> DataFrame:
+    """Per kind as many of the best matches as a list of suggestions holds."""
+    most = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in SUGGESTED.items()], F.lit(1))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("rank"), "label", "id"))
+    return best_of(found, max(SUGGESTED.values())).withColumn("_place", place).where(F.col("_place") <= most).drop("_place")

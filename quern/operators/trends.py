@@ -135,3 +135,8 @@ def discover_questions(rows: DataFrame, key: str, person: str, statement: str, t
     """Questions with enough people that no prepared method covers; the sample is the smallest statement."""
     found = rows.where(~F.col(key).isin(taken)).groupBy(key).agg(F.countDistinct(person).alias("people"), F.count(F.lit(1)).alias("statements"), F.min(statement).alias("sample"))
     return found.where(F.col("people") >= least)
+
+
+def unique_exclusions(items: DataFrame, slug: str, reason: str) -> DataFrame:
+    """Each (slug, reason) once, however often a row was excluded for it."""
+    return items.dropDuplicates([slug, reason])

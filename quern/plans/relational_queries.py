@@ -27,9 +27,11 @@ def flt_day_range_end(spark, sf):
     return filters.where_all(table(spark, sf, "events"), filters.day_range("ts", None, "2024-01-15")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flt_none_matches", "SELECT o_orderkey FROM orders WHERE false")
+@query("flt_none_matches", "SELECT count(*) FILTER (WHERE kind = 'none') AS no_value, count(*) FILTER (WHERE kind = 'all') AS no_filter FROM (SELECT 'all' AS kind FROM orders UNION ALL SELECT 'none' FROM orders WHERE o_orderstatus IN (SELECT o_orderstatus FROM orders WHERE false))")
 def flt_none_matches(spark, sf):
-    return filters.where_all(table(spark, sf, "orders"), filters.one_of("o_orderstatus", [])).select("o_orderkey")
+    orders = table(spark, sf, "orders")
+    kinds = filters.where_all(orders, filters.one_of("o_orderstatus", [])).select(F.lit("none").alias("kind")).unionByName(filters.where_all(orders, filters.one_of("o_orderstatus", None)).select(F.lit("all").alias("kind")))
+    return kinds.agg(F.count(F.when(F.col("kind") == "none", 1)).alias("no_value"), F.count(F.when(F.col("kind") == "all", 1)).alias("no_filter"))
 
 
 @query("flt_distinct_from", "SELECT event_id, event_type, lag_type FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lag_type FROM events) WHERE event_type IS DISTINCT FROM lag_type")
@@ -126,9 +128,9 @@ def jn_semi(spark, sf):
     return table(spark, sf, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("jn_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey)")
+@query("jn_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 450000)")
 def jn_anti(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("jn_parameters", "SELECT e.event_id, e.value FROM events e CROSS JOIN (SELECT avg(value) AS mean FROM events) p WHERE e.value > p.mean")
@@ -196,11 +198,11 @@ def jn_previous_view(spark, sf):
 
 @query(
     "jn_unique_owner",
-    "WITH k AS (SELECT substring(c_name, length(c_name) - 2, 3) AS key, min(c_custkey) AS owner FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, owner FROM supplier JOIN k ON k.key = substring(s_name, length(s_name) - 2, 3)",
+    "WITH k AS (SELECT substring(c_name, length(c_name) - 2, 3) AS key, min(c_custkey) AS owner FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, owner FROM supplier JOIN k ON k.key = substring(s_name, length(s_name) - 2, 3)",
 )
 def jn_unique_owner(spark, sf):
     key = lambda c: F.substring(c, -3, 3)
-    keys = table(spark, sf, "customer").select(key("c_name").alias("key"), F.col("c_custkey").alias("owner"))
+    keys = table(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(key("c_name").alias("key"), F.col("c_custkey").alias("owner"))
     names = table(spark, sf, "supplier").select("s_suppkey", key("s_name").alias("key"))
     return joins.unique_owner(names, keys, "key", "owner").select("s_suppkey", "owner")
 
@@ -268,9 +270,9 @@ def ag_sum_or_zero(spark, sf):
     return table(spark, sf, "customer").join(o, "c_custkey", "left").groupBy("c_custkey").agg(F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "P", 1)), F.lit(0)).alias("pending"))
 
 
-@query("ag_change_mark")
+@query("ag_change_mark", "SELECT count(*) AS n, bit_xor(('0x' || substring(md5(o_orderkey::VARCHAR || chr(31) || o_orderstatus || chr(31) || o_custkey::VARCHAR), 1, 15))::BIGINT) AS mark FROM orders")
 def ag_change_mark(spark, sf):
-    return aggregates.change_mark(table(spark, sf, "orders"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return aggregates.change_mark(table(spark, sf, "orders"), "o_orderkey", "o_orderstatus", "o_custkey")
 
 
 @query("ag_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(value) AS n FROM events GROUP BY 1")
@@ -453,9 +455,9 @@ def st_except_intersect(spark, sf):
     return n.subtract(s).select(F.lit("only").alias("side"), "k").union(n.intersect(s).select(F.lit("both"), "k"))
 
 
-@query("st_exclusive_ids", "SELECT l_partkey AS id, min(l_suppkey) AS owner FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("st_exclusive_ids", "SELECT l_partkey AS id, min(l_suppkey) AS owner FROM lineitem WHERE l_quantity > 45 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def st_exclusive_ids(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("owner"), F.countDistinct("l_suppkey").alias("n")).where("n = 1").drop("n")
+    return table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("owner"), F.countDistinct("l_suppkey").alias("n")).where("n = 1").drop("n")
 
 
 @query(

@@ -86,7 +86,10 @@ def xp_versions(spark, sf):
     return e.select("item", "content", tx.prefixed_key("item", tx.content_key(F.col("item"), F.col("content"))).alias("slug"), "seen")
 
 
-@query("id_participants")
+@query(
+    "id_participants",
+    "WITH a AS (SELECT o_orderkey AS item, c_custkey AS person FROM orders JOIN customer ON c_custkey = o_custkey), b AS (SELECT o_orderkey AS item, c_custkey AS person FROM orders JOIN customer ON c_custkey = o_custkey + 1) SELECT item, person, 'author' AS role FROM a UNION ALL SELECT item, person, 'mentioned' FROM b WHERE (item, person) NOT IN (SELECT (item, person) FROM a)",
+)
 def id_participants(spark, sf):
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("person"), F.col("c_name").alias("display"))
     authors = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.format_string("Customer#%09d", F.col("o_custkey")).alias("name"))

@@ -13,15 +13,15 @@ from quern.session import table
 @query(
     "ex_timeline",
     """
-WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, year(o_orderdate) AS y FROM orders)
+WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, year(o_orderdate) + 110 AS y FROM orders)
 SELECT o_orderkey, CASE WHEN k IN (0, 4) THEN 'point' WHEN k <> 5 THEN 'range' END AS form, CASE k WHEN 2 THEN 2037 WHEN 3 THEN 5 WHEN 5 THEN NULL ELSE y END::INT AS low,
  CASE k WHEN 1 THEN y + 3 WHEN 2 THEN 2039 WHEN 3 THEN 10 WHEN 5 THEN NULL ELSE y END::INT AS high, CASE WHEN k = 3 THEN 'years_ahead' WHEN k <> 5 THEN 'year' END AS unit FROM o""",
 )
 def ex_timeline(spark, sf):
-    k, y = F.col("o_orderkey") % 6, F.year("o_orderdate").cast("string")
+    k, y = F.col("o_orderkey") % 6, (F.year("o_orderdate") + 110).cast("string")
     said = (
         F.when(k == 0, F.concat(F.lit("I expect it by "), y, F.lit(".")))
-        .when(k == 1, F.concat(F.lit("Probably between "), y, F.lit(" and "), (F.year("o_orderdate") + 3).cast("string")))
+        .when(k == 1, F.concat(F.lit("Probably between "), y, F.lit(" and "), (F.year("o_orderdate") + 113).cast("string")))
         .when(k == 2, "In the late 2030s, I would say")
         .when(k == 3, "We will see it within 5 to 10 years")
         .when(k == 4, F.concat(F.lit("My median is around "), y))
@@ -45,9 +45,9 @@ def ex_stance(spark, sf):
 @query(
     "fn_policy",
     """
-WITH s AS (SELECT c_custkey, c_acctbal > 0 AS enabled, CASE WHEN c_nationkey > 5 THEN 'notes' END AS notes, c_mktsegment <> 'BUILDING' AS own, c_nationkey <> 3 AS adm, CASE WHEN c_mktsegment = 'MACHINERY' THEN false END AS ev, CASE WHEN c_nationkey < 15 THEN 'cc-by-nd' ELSE 'reserved' END AS family FROM customer),
+WITH s AS (SELECT c_custkey, c_acctbal > 0 AS enabled, CASE WHEN c_nationkey > 5 THEN 'notes' END AS notes, c_mktsegment <> 'BUILDING' AS own, c_nationkey <> 3 AS adm, CASE WHEN c_mktsegment = 'MACHINERY' THEN false END AS ev, CASE WHEN c_nationkey < 4 THEN 'cc-by-nc' WHEN c_nationkey < 8 THEN 'cc-by' WHEN c_nationkey < 15 THEN 'cc-by-nd' WHEN c_nationkey < 18 THEN 'mit' WHEN c_nationkey < 20 THEN 'cc0' WHEN c_nationkey < 22 THEN 'gpl' ELSE 'reserved' END AS family FROM customer),
 a AS (SELECT *, enabled AND CASE WHEN own THEN adm ELSE notes IS NOT NULL END AS admitted FROM s)
-SELECT c_custkey, admitted, admitted AND coalesce(NOT own OR coalesce(ev, true), true) AS evidence, admitted AND coalesce(NOT own OR coalesce(ev, true), true) AS extraction, CASE WHEN admitted AND own AND family = 'cc-by-nd' THEN '2030-01-01' END AS raw_until FROM a""",
+SELECT c_custkey, admitted, admitted AND coalesce(NOT own OR coalesce(ev, true), true) AS evidence, admitted AND coalesce(NOT own OR coalesce(ev, true), true) AS extraction, CASE WHEN admitted AND own AND family IN ('cc-by-nd', 'cc-by', 'cc0', 'cc-by-sa') THEN '2030-01-01' END AS raw_until FROM a""",
 )
 def fn_policy(spark, sf):
     own = F.struct((F.col("c_nationkey") != 3).alias("admitted"), F.lit("basis").alias("rights_basis"), F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(False)).alias("evidence"), F.lit(None).cast("boolean").alias("extraction"), F.lit("2030-01-01").cast("timestamp_ntz").alias("expires_at"))
@@ -55,7 +55,7 @@ def fn_policy(spark, sf):
         F.col("c_acctbal") > 0,
         F.when(F.col("c_nationkey") > 5, "notes"),
         F.when(F.col("c_mktsegment") != "BUILDING", own),
-        F.when(F.col("c_nationkey") < 15, "cc-by-nd").otherwise("reserved"),
+        F.when(F.col("c_nationkey") < 4, "cc-by-nc").when(F.col("c_nationkey") < 8, "cc-by").when(F.col("c_nationkey") < 15, "cc-by-nd").when(F.col("c_nationkey") < 18, "mit").when(F.col("c_nationkey") < 20, "cc0").when(F.col("c_nationkey") < 22, "gpl").otherwise("reserved"),
         F.lit("2026-01-01").cast("timestamp_ntz"),
     )
     return table(spark, sf, "customer").select("c_custkey", p.alias("p")).select("c_custkey", "p.admitted", "p.evidence", "p.extraction", F.date_format("p.raw_until", "yyyy-MM-dd").alias("raw_until"))

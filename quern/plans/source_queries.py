@@ -19,14 +19,15 @@ def src_page_text(spark, sf):
 
 @query("src_page_catalog")
 def src_page_catalog(spark, sf):
-    p = table(spark, sf, "pages")
-    hosts = [r.h for r in p.select(F.lower(F.parse_url("url", F.lit("HOST"))).alias("h")).where("h is not null").groupBy("h").count().orderBy(F.desc("count"), "h").limit(3).collect()]
-    return pages.catalog(p, [pages.Publisher("Example", tuple(hosts))])
+    return pages.catalog(table(spark, sf, "pages"), [pages.Publisher("Net", ("blog.tionsh.example.net", "blog.ththan.example.net")), pages.Publisher("Org", ("thther.example.org",), "/en")])
 
 
-@query("src_page_feeds")
+@query("src_page_feeds", "SELECT page_id, 'https://p' || page_id || '.example/' || CASE page_id % 3 WHEN 0 THEN 'feed.xml' WHEN 1 THEN 'news/rss' END AS url FROM pages WHERE page_id % 3 < 2 UNION ALL SELECT page_id, 'https://p' || page_id || '.example/all' FROM pages WHERE page_id % 3 = 0")
 def src_page_feeds(spark, sf):
-    return pages.feeds_of(pages.parse_pages(table(spark, sf, "pages")))
+    p, k = table(spark, sf, "pages"), F.col("page_id") % 3
+    link = F.when(k == 0, '<link rel="alternate" type="application/rss+xml" href="/all"><link rel="alternate" href="/feed.xml">').when(k == 1, '<a href="/news/rss">news</a>').otherwise('<a href="/feeding">x</a>')
+    made = p.select("page_id", F.concat(F.lit("https://p"), F.col("page_id").cast("string"), F.lit(".example/start")).alias("url"), F.concat(F.lit("<html><head>"), F.when(k == 0, link).otherwise(""), F.lit("</head><body>"), F.when(k != 0, link).otherwise(""), F.regexp_extract("html", r"(?s)<body>(.*)", 1)).alias("html"))
+    return pages.feeds_of(pages.parse_pages(made))
 
 
 @query(
@@ -79,16 +80,21 @@ def snk_atom(spark, sf):
     return feeds.atom(table(spark, sf, "part").withColumn("at", F.lit("2024-01-02").cast("timestamp_ntz")), "p_partkey", "p_name", "p_brand", "at")
 
 
-@query("ex_probabilities")
+@query("ex_probabilities", "SELECT o_orderkey, 0::INT AS sentence_index, 'point' AS form, (o_orderkey % 100) / 100.0::DOUBLE AS low, (o_orderkey % 100) / 100.0::DOUBLE AS high, make_date(year(o_orderdate) + 110, 12, 31) AS horizon_end FROM orders")
 def ex_probabilities(spark, sf):
     o = table(spark, sf, "orders")
-    said = F.format_string("I think the probability is %d%% by %d. Critics say the chance is 3%%. Is the risk 5%%?", F.col("o_orderkey") % 100, F.year("o_orderdate"))
+    said = F.format_string("I think the probability is %d%% by %d. Critics say the chance is 3%%. Is the risk 5%%?", F.col("o_orderkey") % 100, F.year("o_orderdate") + 110)
     return extract.extract_statements(o.select("o_orderkey", said.alias("text")), "o_orderkey", "text").select("o_orderkey", "sentence_index", "form", "low", "high", "horizon_end")
 
 
-@query("ex_documents")
+@query("ex_documents", "SELECT doc_id, 'My odds are ' || doc_id % 10 || ' in 10.' AS sentence, 'point' AS form, (doc_id % 10) / 10.0::DOUBLE AS low, (doc_id % 10) / 10.0::DOUBLE AS high FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, 'Chances are between 20 to ' || 30 + doc_id % 10 || '% here.', 'range', 0.2::DOUBLE, (30 + doc_id % 10) / 100.0::DOUBLE FROM documents WHERE doc_id % 4 = 1")
 def ex_documents(spark, sf):
-    return extract.extract_statements(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    """Whole documents with a claim set at their start, and one more at the end of some."""
+    k, d = F.col("doc_id") % 4, (F.col("doc_id") % 10).cast("string")
+    claim = F.when(k != 3, F.concat(F.lit("My odds are "), d, F.lit(" in 10.\n"))).otherwise("Others say the odds are 1 in 10.\n")
+    more = F.when(k == 1, F.concat(F.lit("\nChances are between 20 to "), (30 + F.col("doc_id") % 10).cast("string"), F.lit("% here."))).when(k == 2, "\nIs the chance 4%?").otherwise("")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(claim, F.col("text"), more).alias("text"))
+    return extract.extract_statements(docs, "doc_id", "text").select("doc_id", "sentence", "form", "low", "high")
 
 
 @query(
@@ -126,7 +132,15 @@ def ex_evaluation(spark, sf):
     return extract.evaluate(o.where("o_orderstatus = 'F'"), found, ["k"], "v").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("id_resolve_authors")
+@query(
+    "id_resolve_authors",
+    """
+WITH c AS (SELECT o_custkey AS person, o_orderkey AS record, o_orderpriority = '1-URGENT' AS cor, o_orderkey % 3 AS orcid, trunc(o_totalprice / 5000)::INT AS works, o_orderstatus = 'F' AS exact, o_custkey % 2 = 0 AS dist FROM orders),
+r AS (SELECT *, row_number() OVER w AS n, lead(works) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY person ORDER BY cor DESC, works DESC, record)),
+g AS (SELECT person, count(*) FILTER (WHERE cor) AS cs, count(DISTINCT orcid) FILTER (WHERE cor) AS ids, count(*) FILTER (WHERE exact) AS exacts, max(record) FILTER (WHERE n = 1) AS top, max(works) FILTER (WHERE n = 1) AS w, max(nxt) FILTER (WHERE n = 1) AS nxt, bool_or(dist) AS dist FROM r GROUP BY 1),
+d AS (SELECT person, top, CASE WHEN cs = 1 THEN 'accept_high' WHEN cs > 1 AND ids > 1 THEN 'ambiguous' WHEN cs > 1 THEN CASE WHEN dist AND w >= 25 AND w >= 3 * coalesce(nxt, 0) THEN 'accept_medium' ELSE 'ambiguous' END WHEN exacts > 1 THEN 'ambiguous' WHEN exacts = 1 AND dist AND w >= 3 THEN 'accept_medium' ELSE 'not_found' END AS decision FROM g)
+SELECT person, decision, CASE WHEN starts_with(decision, 'accept') THEN top END AS chosen FROM d""",
+)
 def id_resolve_authors(spark, sf):
     o = table(spark, sf, "orders")
     c = o.select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("record"), (F.col("o_orderpriority") == "1-URGENT").alias("corroborated"), (F.col("o_orderkey") % 3).cast("string").alias("orcid"), (F.col("o_totalprice") / 5000).cast("int").alias("works"), (F.col("o_orderstatus") == "F").alias("exact"), (F.col("o_custkey") % 2 == 0).alias("distinctive"))
@@ -148,9 +162,9 @@ def ev_reconcile(spark, sf):
     return t.select("p", "s", "part", "total", evidence.reconciles(F.col("part"), F.col("total"), F.round(F.col("part") * 100.0 / F.col("total")), 0.3).alias("ok"))
 
 
-@query("ev_missing_cells", "SELECT p, n FROM (SELECT DISTINCT o_orderpriority AS p FROM orders), (SELECT n_nationkey AS n FROM nation) WHERE NOT EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = p AND c_nationkey = n AND o_totalprice > 400000)")
+@query("ev_missing_cells", "SELECT p, n FROM (SELECT DISTINCT o_orderpriority AS p FROM orders), (SELECT n_nationkey AS n FROM nation) WHERE NOT EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = p AND c_nationkey = n AND o_totalprice > 495000)")
 def ev_missing_cells(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 400000").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderpriority").alias("p"), F.col("c_nationkey").alias("n"))
+    o = table(spark, sf, "orders").where("o_totalprice > 495000").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderpriority").alias("p"), F.col("c_nationkey").alias("n"))
     priorities = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("p")).distinct()
     nations = table(spark, sf, "nation").agg(F.array_sort(F.collect_list("n_nationkey")).alias("ns"))  # a fixed list of nations
     grid = priorities.crossJoin(F.broadcast(nations)).select("p", F.explode("ns").alias("n"))

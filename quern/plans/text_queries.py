@@ -24,10 +24,10 @@ def fn_slug(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", tx.slug(F.col("text")).alias("slug"))
 
 
-@query("fn_fold", "SELECT doc_id, md5(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')) AS accents, md5(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS german FROM documents")
+@query("fn_fold", "SELECT doc_id, md5(translate(lower(text), 'àáâãäåąçćèéêëęìíîïłñńòóôõöśùúûüýÿźż', 'aaaaaaacceeeeeiiiilnnooooosuuuuyyzz')) AS accents, md5(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS german, CASE WHEN doc_id % 2 = 0 THEN 'lukasz dabrowski' ELSE 'eva zolc' END AS name FROM documents")
 def fn_fold(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.fold_accents(t)).alias("accents"), F.md5(tx.fold_german(t)).alias("german"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.fold_accents(t)).alias("accents"), F.md5(tx.fold_german(t)).alias("german"), tx.fold_accents(F.when(F.col("doc_id") % 2 == 0, "Łukasz Dąbrowski").otherwise("Éva Żółć")).alias("name"))
 
 
 @query("fn_tokens", "SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), ' ') AS tokens FROM benchmark")
@@ -72,10 +72,10 @@ def fn_stable_uuid(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", tx.stable_uuid("quern:", F.col("s_name")).alias("id"))
 
 
-@query("fn_target_dates", "WITH h AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'By ' WHEN 1 THEN 'before ' WHEN 2 THEN 'in ' ELSE 'about ' END || year(o_orderdate) AS horizon, year(o_orderdate) AS y, o_orderkey % 4 AS k FROM orders) SELECT o_orderkey, horizon, CASE WHEN k = 2 THEN make_date(y, 1, 1) END::VARCHAR AS start_day, CASE k WHEN 0 THEN make_date(y, 12, 31) WHEN 1 THEN make_date(y - 1, 12, 31) WHEN 2 THEN make_date(y, 12, 31) END::VARCHAR AS end_day FROM h")
+@query("fn_target_dates", "WITH h AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'By ' WHEN 1 THEN 'before ' WHEN 2 THEN 'in ' ELSE 'about ' END || (year(o_orderdate) + 110) AS horizon, year(o_orderdate) + 110 AS y, o_orderkey % 4 AS k FROM orders) SELECT o_orderkey, horizon, CASE WHEN k = 2 THEN make_date(y, 1, 1) END::VARCHAR AS start_day, CASE k WHEN 0 THEN make_date(y, 12, 31) WHEN 1 THEN make_date(y - 1, 12, 31) WHEN 2 THEN make_date(y, 12, 31) END::VARCHAR AS end_day FROM h")
 def fn_target_dates(spark, sf):
     k = F.col("o_orderkey") % 4
-    horizon = F.concat(F.when(k == 0, "By ").when(k == 1, "before ").when(k == 2, "in ").otherwise("about "), F.year("o_orderdate").cast("string"))
+    horizon = F.concat(F.when(k == 0, "By ").when(k == 1, "before ").when(k == 2, "in ").otherwise("about "), (F.year("o_orderdate") + 110).cast("string"))
     d = tx.target_dates(horizon)
     return table(spark, sf, "orders").select("o_orderkey", horizon.alias("horizon"), d["start"].cast("string").alias("start_day"), d["end"].cast("string").alias("end_day"))
 
@@ -107,9 +107,10 @@ def fn_licence_family(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.licence_family(F.col("text")).alias("family"))
 
 
-@query("fn_name_keys")
+@query("fn_name_keys", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'customer' || substring(c_name, 10) ELSE 'eva zolty jr ' || c_custkey + 10 END AS key FROM customer")
 def fn_name_keys(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", tx.name_keys("c_name").alias("key"))
+    shown = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Éva B. Zo\u0301lty-Jr. "), (F.col("c_custkey") + 10).cast("string")))
+    return table(spark, sf, "customer").select("c_custkey", tx.name_keys(shown).alias("key"))
 
 
 @query("fn_cube_coordinates", "SELECT l_orderkey, l_linenumber, ((l_orderkey * 7 + l_linenumber) // 12) % 5 AS a, ((l_orderkey * 7 + l_linenumber) // 4) % 3 AS b, (l_orderkey * 7 + l_linenumber) % 4 AS c FROM lineitem")
@@ -147,11 +148,71 @@ def se_whole_tokens(spark, sf):
     return table(spark, sf, "documents").where(search.every_token_is_a_word(tx.tokens(F.col("text")), ("the", "and", "with"))).select("doc_id")
 
 
-@query("se_grouped")
+def _six_kinds(spark, sf, q):
+    """Matches of all six kinds of records; items and statements are matched by their text."""
+    named = (("person", "customer", "c_custkey", "c_mktsegment"), ("organization", "supplier", "s_suppkey", "s_name"), ("topic", "part", "p_partkey", "p_type"), ("source", "region", "r_regionkey", "r_name"))
+    label = lambda i, n: F.when(F.col(i) % 3 == 0, F.concat(n, F.lit(" member"))).when(F.col(i) % 7 == 1, F.lit("Me")).when(F.col(i) % 7 == 2, F.concat(F.lit("ME "), n)).otherwise(F.col(n))
+    found = [table(spark, sf, t).select(F.lit(k).alias("kind"), F.col(i).cast("string").alias("id"), label(i, n).alias("label")).withColumn("rank", search.name_rank(F.col("label"), F.col("label"), q)) for k, t, i, n in named]
+    said = (("statement", "benchmark", F.col("item_id").cast("string")), ("source_item", "conversations", F.concat_ws("/", "conv_id", "turn")))
+    found += [table(spark, sf, t).select(F.lit(k).alias("kind"), i.alias("id"), F.col("text").alias("label"), search.text_rank(F.col("text"), q).alias("rank")) for k, t, i in said]
+    return search.grouped(*found).where("rank > 0")
+
+
+_SIX = """
+m AS (SELECT 'person' AS kind, c_custkey AS i, c_mktsegment AS label FROM customer UNION ALL SELECT 'organization', s_suppkey, s_name FROM supplier UNION ALL SELECT 'topic', p_partkey, p_type FROM part UNION ALL SELECT 'source', r_regionkey, r_name FROM region),
+n AS (SELECT kind, i::VARCHAR AS id, CASE WHEN i % 3 = 0 THEN label || ' member' WHEN i % 7 = 1 THEN 'Me' WHEN i % 7 = 2 THEN 'ME ' || label ELSE label END AS label FROM m),
+s AS (SELECT 'statement' AS kind, item_id::VARCHAR AS id, text AS label FROM benchmark UNION ALL SELECT 'source_item', conv_id || '/' || turn, text FROM conversations),
+f AS (SELECT *, CASE WHEN lower(label) = 'me' THEN 400 WHEN starts_with(lower(label), 'me ') THEN 240 WHEN len(list_filter(string_split_regex(lower(label), '[^a-z0-9]+'), lambda w: starts_with(w, 'me'))) > 0 THEN 180 ELSE 0 END AS rank FROM n
+ UNION ALL SELECT *, CASE WHEN len(list_filter(string_split_regex(lower(label), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'me'))) = 0 THEN 0 WHEN regexp_replace(trim(lower(label)), '\\s+', ' ', 'g') = 'me' THEN 460 WHEN contains(lower(label), 'me') THEN 380 ELSE 100 END FROM s),
+r AS (SELECT kind, id, label, rank, row_number() OVER (PARTITION BY kind ORDER BY rank DESC, label, id) AS place, count(*) OVER (PARTITION BY kind) AS total FROM f WHERE rank > 0)"""
+
+
+@query("se_grouped", f"WITH {_SIX} SELECT kind, id, label, rank, total::BIGINT AS total FROM r WHERE place <= 8")
 def se_grouped(spark, sf):
-    q = search.prepare("customer#000000012")
-    parts = [search.search(table(spark, sf, t), t, i, n, search.name_rank(F.col(n), F.col(n), q), 5) for t, i, n in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"))]
-    return search.grouped(*parts)
+    return search.best_of(_six_kinds(spark, sf, search.prepare("Me")), search.page_limit(None))
+
+
+@query("se_suggest", f"WITH {_SIX} SELECT kind, id, label, rank, total::BIGINT AS total FROM r WHERE place <= CASE kind WHEN 'person' THEN 2 WHEN 'topic' THEN 2 ELSE 1 END")
+def se_suggest(spark, sf):
+    return search.suggestions(_six_kinds(spark, sf, search.prepare("ME")))
+
+
+@query("se_narrowed", f"WITH {_SIX} SELECT kind, id, label, rank, total::BIGINT AS total FROM r WHERE place <= 20 AND kind IN ('topic', 'statement')")
+def se_narrowed(spark, sf):
+    """A filter by topic narrows the kinds to search to those that have one."""
+    kinds = search.kinds_for({"topic": "x", "date": None})
+    return search.best_of(_six_kinds(spark, sf, search.prepare(" me ")).where(F.col("kind").isin(*kinds)), search.page_limit(99))
+
+
+@query("se_visible", f"WITH {_SIX}, v AS (SELECT f.* FROM f JOIN customer ON c_custkey::VARCHAR = id WHERE kind = 'person' AND rank > 0 AND c_acctbal > 0) SELECT id, label, rank, (SELECT count(*) FROM v) AS total FROM v ORDER BY rank DESC, label, id LIMIT 10")
+def se_visible(spark, sf):
+    """People are matched first; only matches are then looked up among the visible ones."""
+    found = _six_kinds(spark, sf, search.prepare("me")).where("kind = 'person'")
+    visible = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("id"))
+    return search.best_of(search.visible_matches(found, visible, "id"), 10).select("id", "label", "rank", "total")
+
+
+@query(
+    "se_by_role",
+    "WITH r AS (SELECT s_suppkey AS id, s_name AS label, CASE WHEN lower(s_name) = 'nation_1' THEN 400 WHEN EXISTS (SELECT 1 FROM nation JOIN region USING (r_regionkey) WHERE false) THEN 0 WHEN len(list_filter(string_split_regex(lower(n_name), '[^a-z0-9]+'), lambda w: starts_with(w, 'nation'))) > 0 AND len(list_filter(string_split_regex(lower(n_name), '[^a-z0-9]+'), lambda w: starts_with(w, '1'))) > 0 THEN 60 ELSE 0 END AS rank FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT id::VARCHAR AS id, label, rank, (SELECT count(*) FROM r WHERE rank > 0) AS total FROM r WHERE rank > 0 ORDER BY rank DESC, label, id::VARCHAR LIMIT 20".replace("WHEN EXISTS (SELECT 1 FROM nation JOIN region USING (r_regionkey) WHERE false) THEN 0 ", ""),
+)
+def se_by_role(spark, sf):
+    """Organizations that only their nation, in the place of a role, names."""
+    j = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))  # 25 rows
+    q = search.Prepared("nation_1", ("nation", "1"), "ok")
+    return search.search(j, "organization", "s_suppkey", "s_name", search.name_rank(F.col("s_name"), F.col("s_name"), q, role=F.col("n_name")), 20).drop("kind")
+
+
+@query(
+    "se_research",
+    "SELECT * FROM (SELECT 'person' AS kind, c_custkey::VARCHAR AS id, c_name AS label FROM customer WHERE contains(lower(c_name), '0001') ORDER BY label, id LIMIT 8) UNION ALL SELECT * FROM (SELECT 'statement', item_id::VARCHAR, text FROM benchmark WHERE contains(lower(text), '0001') ORDER BY text, 2 LIMIT 8) UNION ALL SELECT * FROM (SELECT 'topic', p_partkey::VARCHAR, p_brand || '#0001' FROM part WHERE p_size = 7 ORDER BY 3, 2 LIMIT 8)",
+)
+def se_research(spark, sf):
+    """The simple search: people and statements that hold the text, and topics by a case-blind pattern."""
+    people = table(spark, sf, "customer").select(F.lit("person").alias("kind"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("label"))
+    said = table(spark, sf, "benchmark").select(F.lit("statement").alias("kind"), F.col("item_id").cast("string").alias("id"), F.col("text").alias("label"))
+    topics = table(spark, sf, "part").where("p_size = 7").select(F.lit("topic").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.concat(F.col("p_brand"), F.lit("#0001")).alias("label"))
+    return search.research(" 0001 ", people, said, topics, 8)
 
 
 # ---- quality

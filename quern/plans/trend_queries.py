@@ -188,10 +188,11 @@ def tr_discovery(spark, sf):
     return trends.discover_questions(rows, "key", "user_id", "event_id", ["click:year", "click:percent"])
 
 
-@query("tr_qualitative_groups", f"WITH {_CANDIDATES} SELECT event_type AS question, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS members FROM c WHERE type = 'qualitative' GROUP BY 1")
+@query("tr_qualitative_groups", f"WITH {_CANDIDATES} SELECT event_type AS question, event_id // 1000 AS block, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS members FROM c WHERE type = 'qualitative' GROUP BY 1, 2")
 def tr_qualitative_groups(spark, sf):
+    # members come in blocks of at most 1,000 ids, so no group is one array
     q = _candidates(spark, sf).where("type = 'qualitative'")
-    return q.groupBy(F.col("event_type").alias("question")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("members"))
+    return q.groupBy(F.col("event_type").alias("question"), F.floor(F.col("event_id") / 1000).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("members"))
 
 
 # ---- comparability

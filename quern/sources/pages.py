@@ -135,28 +135,3 @@ def feeds_of(parsed: DataFrame, id: str = "page_id") -> DataFrame:
 
 def same_host(a: str, b: str) -> bool:
     return (urlsplit(a).hostname or "").removeprefix("www.") == (urlsplit(b).hostname or "").removeprefix("www.")
-
-
-def robots_allows(body: str, path: str, agent: str) -> bool:
-    """Whether robots rules let ``agent`` fetch ``path``: the longest matching rule decides, allow on a tie."""
-    groups: dict[str, list[tuple[bool, str]]] = {}
-    names: list[str] = []
-    ruled = False
-    for line in body.splitlines():
-        key, _, value = line.partition("#")[0].partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if key == "user-agent":
-            names, ruled = ([] if ruled else names) + [value.lower()], False
-            groups.setdefault(value.lower(), [])
-        elif key in ("allow", "disallow") and names:
-            ruled = True
-            if value:
-                for n in names:
-                    groups[n].append((key == "allow", value))
-    own = max((n for n in groups if n != "*" and n in agent.lower()), key=len, default="*")
-    best = (-1, True)
-    for allow, rule in groups.get(own, []):
-        pattern = re.escape(rule).replace(r"\*", ".*").replace(r"\$", "$")
-        if re.match(pattern, path):
-            best = max(best, (len(rule), allow))
-    return best[1]

@@ -49,3 +49,21 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         json_rows(df).orderBy("json").write.mode("overwrite").text(f"{path}/{name}")
     manifest(tables).orderBy("name").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def markdown_rows(df: DataFrame, order: list[str], title: str) -> DataFrame:
+    """(line, text) of a small report table as Markdown: heading, header, rule, rows in order."""
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    columns = df.columns
+    head = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    rows = df.select(F.struct(*order).alias("_o"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("text"))
+    # a report is small: its rows are put in order as one array
+    held = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "text"))), lambda r: r["text"]).alias("rows"))
+    return held.select(F.posexplode(F.concat(F.array(*map(F.lit, head)), "rows")).alias("line", "text"))
+
+
+def sitemap_rows(pages: DataFrame, url: str, changed: str) -> DataFrame:
+    """A ``url`` element of a site map per page."""
+    from quern.functions.text import escape_xml
+
+    return pages.select(F.concat(F.lit("<url><loc>"), escape_xml(F.col(url)), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format(changed, "yyyy-MM-dd"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>")).alias("entry"))

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from quern.functions import policy
 from quern.sources import canonical, feeds, pages, records, sinks
 
 PAGE = """<!doctype html><html lang="en"><head><title>A  title</title><meta name="author" content="Ann Lee and Bo Ng">
@@ -26,7 +27,7 @@ def test_page(spark):
 @pytest.mark.parametrize("path,agent,allowed", [("/x", "bot", False), ("/x/ok/1", "bot", True), ("/y", "bot", True), ("/x", "other", True), ("/z.pdf", "other", False), ("/z.pdfx", "other", True)])
 def test_robots(path, agent, allowed):
     body = "User-agent: bot\nDisallow: /x\nAllow: /x/ok\n\nUser-agent: *\nDisallow: /*.pdf$\n"
-    assert pages.robots_allows(body, path, agent) == allowed
+    assert policy.robots_allow(body, path, agent) == allowed
 
 
 def test_feeds(spark):

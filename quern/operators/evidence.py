@@ -117,15 +117,18 @@ def interval_problem(lower: Column, estimate: Column, upper: Column, most: float
     return F.when(lower <= 0, "not_positive").when(~values_in_order(lower, estimate, upper), "not_in_order").when(estimate > most, "implausible")
 
 
-def cyclic_edges(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
+def cyclic_edges(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """Edges on cycles or behind them; none if the graph is acyclic.
 
     Each round takes away the edges of nodes that nothing leads to, so it needs as many rounds as
-    the longest path before a cycle has nodes. Rounds are written to the shared folder.
+    the longest path before a cycle has nodes; a number of ``rounds`` refuses deeper graphs. Rounds are
+    written to the shared folder.
     """
     left = written(edges.distinct())
     n = left.count()
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         left = written(left.join(left.select(F.col(b).alias(a)).distinct(), a, "left_semi"))
         before, n = n, left.count()
         if n in (0, before):

@@ -35,10 +35,10 @@ _FORMS = (
 MOST = 6
 
 
-def probabilities(sentence: str | None) -> list[tuple[str, float, float, int, int]]:
+def probabilities(sentence: str | None, most: int | None = MOST) -> list[tuple[str, float, float, int, int]]:
     """(form, low, high, start, stop) of the probabilities that a sentence states; earlier forms take overlaps.
 
-    A sentence without a cue has none, and one with more than ``MOST`` is not trusted.
+    A sentence without a cue has none, and one with more than ``most`` is not trusted; None trusts all.
     """
     if not sentence or not re.search(CUE, sentence):
         return []
@@ -48,10 +48,10 @@ def probabilities(sentence: str | None) -> list[tuple[str, float, float, int, in
             low, high = read(*m.groups())
             if 0 <= low <= high <= 1 and all(m.end() <= s or m.start() >= e for *_, s, e in taken):
                 taken.append((name, low, high, m.start(), m.end()))
-    return sorted(taken, key=lambda x: x[3]) if len(taken) <= MOST else []
+    return sorted(taken, key=lambda x: x[3]) if most is None or len(taken) <= most else []
 
 
-def extract_statements(docs: DataFrame, id: str, text: str) -> DataFrame:
+def extract_statements(docs: DataFrame, id: str, text: str, most: int | None = MOST) -> DataFrame:
     """One row per stated probability: (id, sentence_index, sentence, form, low, high, start, stop, horizon_end, before, after).
 
     Sentences are cut and filtered by Spark; Python only reads numbers from those with a cue.
@@ -65,7 +65,7 @@ def extract_statements(docs: DataFrame, id: str, text: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(*row, *p) for row in b.itertuples(index=False) for p in probabilities(row.sentence)]
+            found = [(*row, *p) for row in b.itertuples(index=False) for p in probabilities(row.sentence, most)]
             yield pd.DataFrame(found, columns=[*b.columns, "form", "low", "high", "start", "stop"])
 
     return own.mapInPandas(read, f"`{id}` {kind}, sentence_index int, sentence string, before string, after string, horizon_end date, form string, low double, high double, start int, stop int")

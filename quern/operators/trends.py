@@ -120,9 +120,11 @@ def revision_edges(edges: DataFrame, eligible: DataFrame, id: str, changes: tupl
 def chains(links: DataFrame) -> DataFrame:
     """Components of links (from_id, to_id): (node, root, size)."""
     from quern.operators.components import components
+    from quern.operators.joins import joined_hot
 
     found = components(links, "from_id", "to_id")
-    return found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("root")))
+    # sizes meet their nodes in a join, so a large chain is no window of one task
+    return joined_hot(found, found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root", "node").select("node", "root", "size")
 
 
 def volume(rows: DataFrame, at: str, statement: str, person: str, *by: str) -> DataFrame:

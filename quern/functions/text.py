@@ -228,3 +228,47 @@ def profile_link(url: Column) -> Column:
     """struct(kind, handle) of a link to a person's profile; null for other links."""
     host, path = F.lower(F.parse_url(url, F.lit("HOST"))), F.parse_url(url, F.lit("PATH"))
     return F.coalesce(*[F.when(host.rlike(h) & path.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(path, p, 1).alias("handle"))) for k, h, p in PROFILES])
+
+
+def sentence_spans(c: Column) -> Column:
+    """Sentences with their place: array of (start, stop, text), in characters, stop exclusive; as ``sentences`` cuts them."""
+    gap = r"(?<=[.!?])\s+|\n+"
+    pieces = F.split(c, gap, -1)
+    gaps = F.regexp_extract_all(c, F.lit(gap), F.lit(0))
+
+    def add(acc: Column, i: Column) -> Column:
+        raw = F.get(pieces, i)
+        lead = F.length(raw) - F.length(F.ltrim(raw))
+        stop = acc["at"] + F.length(raw)
+        span = F.struct((acc["at"] + lead).alias("start"), (acc["at"] + lead + F.length(F.trim(raw))).alias("stop"), F.trim(raw).alias("text"))
+        return F.struct((stop + F.coalesce(F.length(F.get(gaps, i)), F.lit(0))).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("out"))
+    return F.filter(F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), first, add, lambda acc: acc["out"]), lambda s: s.text != "")
+
+
+def ipv6_groups(c: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers; null if it is none."""
+    t = F.lower(c)
+    halves = F.split(t, "::", -1)
+    left, right = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda g: g != ""), F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.when(F.size(halves) == 1, left).otherwise(F.concat(left, F.array_repeat(F.lit("0"), missing.cast("int")), right))
+    ok = t.rlike(r"^[0-9a-f:]+$") & t.contains(":") & ~t.rlike(r":::|^:[^:]|[^:]:$") & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4) & ((F.size(halves) == 1) | (missing >= 1))
+    return F.when(ok, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def blocked_ipv6(c: Column) -> Column:
+    """IPv6 addresses that a fetch must not reach: unspecified, loopback, local, link-local, multicast, and mapped IPv4 ones that are blocked."""
+    g = ipv6_groups(c)
+    at = lambda i: F.get(g, F.lit(i))
+    zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+    low = F.concat_ws(".", (at(6) / 256).cast("int"), at(6) % 256, (at(7) / 256).cast("int"), at(7) % 256)
+    local = at(0).between(0xFC00, 0xFDFF) | at(0).between(0xFE80, 0xFEBF) | (at(0) >= 0xFF00)
+    return F.when(g.isNotNull(), (zero(7) & (at(7) <= 1)) | local | (zero(5) & (at(5) == 0xFFFF) & F.coalesce(blocked_ipv4(low), F.lit(True))))
+
+
+def mapped(vocabulary: dict[str, str], c: Column) -> Column:
+    """The word that a vocabulary has for ``c``; any other word, but null, is an error."""
+    found = F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in vocabulary.items()])
+    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(found, F.raise_error(F.concat(F.lit("not in the vocabulary: "), c)).cast("string")))

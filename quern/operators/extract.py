@@ -206,3 +206,17 @@ def attribution(**methods: Column) -> Column:
     """struct(method, person): the first method, in the order given, that names a person."""
     found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("method"), c.cast("string").alias("person"))) for n, c in methods.items()]))
     return F.get(found, F.lit(0))
+
+
+def initial_state(flags: Column, gate: Column) -> Column:
+    """machine_validated for a statement without flags whose evidence gate holds, else needs_review."""
+    return F.when((F.size(flags) == 0) & F.coalesce(gate, F.lit(False)), "machine_validated").otherwise("needs_review")
+
+
+def evidence_gate(evidence: Column, *shown: Column) -> Column:
+    """Whether each value that a statement shows, as text, stands in its evidence by itself; null values are not shown."""
+    ok = F.lit(True)
+    for v in shown:
+        number = F.concat(F.lit(r"(?<![0-9.])"), F.replace(v, F.lit("."), F.lit(r"\.")), F.lit(r"(?![0-9]|\.[0-9])"))
+        ok = ok & (v.isNull() | F.coalesce(F.regexp_like(evidence, number), F.lit(False)))
+    return ok

@@ -96,3 +96,15 @@ def checkpoints(runs: DataFrame, source: str, order: list[str], ok: str, *carrie
     last = runs.groupBy(source).agg(F.max(F.when(F.col(ok), at)).alias("_good"), *[F.max_by(c, F.when(F.col(ok), at)).alias(c) for c in carried])
     since = runs.join(last.select(source, "_good"), source).groupBy(source).agg(F.count(F.when(F.col("_good").isNull() | (at > F.col("_good")), 1)).alias("failures"))
     return last.drop("_good").join(since, source).withColumn("wait", F.when(F.col("failures") > 0, backoff_seconds(F.col("failures"))).otherwise(0))
+
+
+def retained(rows: DataFrame, admitted: DataFrame, source: str, evidence: str, *withheld: str) -> DataFrame:
+    """Rows of admitted sources only; the ``withheld`` columns stay where the source's ``evidence`` may be kept."""
+    kept = rows.join(admitted.select(source, F.col(evidence).alias("_evidence")), source)
+    return kept.withColumns({c: F.when(F.col("_evidence"), F.col(c)) for c in withheld}).drop("_evidence")
+
+
+def failure_counts(runs: DataFrame, adapter: str, status: str, classes: dict[str, str]) -> DataFrame:
+    """(adapter, class, runs): runs by failure class; ``classes`` has a pattern of the status for each class, in order."""
+    found = F.coalesce(*[F.when(F.col(status).rlike(p), F.lit(c)) for c, p in classes.items()], F.lit("other"))
+    return runs.groupBy(F.col(adapter).alias("adapter"), found.alias("class")).agg(F.count(F.lit(1)).alias("runs"))

@@ -88,3 +88,28 @@ def prometheus(df: DataFrame, metric: str, value: str, *labels: str) -> DataFram
     pairs = [F.concat(F.lit(f'{x}="'), F.replace(F.replace(F.col(x).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for x in labels]
     body = F.concat(F.lit(metric + "{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string"))
     return df.select(body.alias("line"))
+
+
+def integrity_counts(**broken: DataFrame) -> DataFrame:
+    """(code, n): how many rows each table of broken rows has; a table without rows counts zero."""
+    lines = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n") for code, df in broken.items()]
+    out = lines[0]
+    for line in lines[1:]:
+        out = out.unionByName(line)
+    return out
+
+
+def identity_band(confirmed: Column, sources: Column, ambiguous: Column) -> Column:
+    """How sure a person's identity is: ambiguous, confirmed, likely or none."""
+    return F.when(F.coalesce(ambiguous, F.lit(False)), "ambiguous").when(confirmed > 0, "confirmed").when(sources > 0, "likely").otherwise("none")
+
+
+def coverage_shape(channels: Column) -> Column:
+    """single, paired or broad, by the number of channels in which a person is seen; none without any."""
+    return F.when(channels <= 0, "none").when(channels == 1, "single").when(channels == 2, "paired").otherwise("broad")
+
+
+def recency(last: Column, as_of: Column, days: list[tuple[str, int]], older: str = "older") -> Column:
+    """The first bucket that the age in whole days fits in; never for a null time."""
+    age = F.datediff(as_of, last)
+    return F.when(last.isNull(), "never").otherwise(F.coalesce(*[F.when(age <= n, F.lit(name)) for name, n in days], F.lit(older)))

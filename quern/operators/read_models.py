@@ -63,3 +63,55 @@ def cohort_report(people: DataFrame, facts: DataFrame, person: str, namespace: s
     n = people.agg(F.count(F.lit(1)).alias("_all"))
     have = facts.join(people.select(person), person, "left_semi").groupBy(namespace).agg(F.countDistinct(person).alias("people"))
     return have.crossJoin(F.broadcast(n)).select(namespace, "people", F.bround(F.col("people") / F.col("_all"), 4).alias("share"))  # one row on the right
+
+
+def statement_page(statements: DataFrame, people: DataFrame, topics: DataFrame, person: str, id: str, topic: str) -> DataFrame:
+    """Statements with their person as a nested object and their topics as a sorted list."""
+    names = people.select(F.col(person), F.struct(*people.columns).alias("person"))
+    held = topics.groupBy(id).agg(F.array_sort(F.collect_set(topic)).alias("topics"))
+    return statements.join(names, person, "left").join(held, id, "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
+def statement_detail(statements: DataFrame, evidence: DataFrame, edges: DataFrame, id: str, value) -> DataFrame:
+    """One statement with its evidence and its relations, each as a sorted list."""
+    one = statements.where(F.col(id) == value)
+    own = lambda df, name: df.where(F.col(id) == value).groupBy(id).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != id]))).alias(name))
+    return one.join(own(evidence, "evidence"), id, "left").join(own(edges, "relations"), id, "left")
+
+
+def person_detail(people: DataFrame, parts: dict[str, DataFrame], person: str, value) -> DataFrame:
+    """One person with each part (affiliations, identities, sources, statements) as a sorted list."""
+    out = people.where(F.col(person) == value)
+    for name, df in parts.items():
+        own = df.where(F.col(person) == value).groupBy(person).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != person]))).alias(name))
+        out = out.join(own, person, "left")
+    return out
+
+
+def freshness_histogram(sources: DataFrame, kind: str, state: Column, failing: Column) -> DataFrame:
+    """(kind, state, sources, failing) of all sources."""
+    return sources.groupBy(F.col(kind).alias("kind"), state.alias("state")).agg(F.count(F.lit(1)).alias("sources"), F.count(F.when(failing, 1)).alias("failing"))
+
+
+def capped(df: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first ``most`` rows and whether there are more."""
+    rows = df.orderBy(*order).limit(most + 1)
+    place = F.row_number().over(Window.orderBy(*order))  # over at most ``most`` + 1 rows
+    n = F.count(F.lit(1)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("_place", place).withColumn("truncated", n > most).where(F.col("_place") <= most).drop("_place")
+
+
+def dimension_chain(facts: DataFrame, links: DataFrame, dimension: DataFrame, key: str, link: str, states: Column) -> DataFrame:
+    """Facts with a dimension two steps away; links outside of ``states`` count as absent, and facts always stay."""
+    return facts.join(links.where(states), key, "left").join(dimension, link, "left")
+
+
+def current_version(items: DataFrame, keys: list[str], version: str, current: Column) -> DataFrame:
+    """Each item with the version that is current for its logical key, null without one."""
+    now = items.where(current).select(*keys, F.col(version).alias("current_version"))
+    return items.join(now, keys, "left")
+
+
+def joined_single(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row with the only row of ``one``, such as the current document; without it there are no rows."""
+    return rows.crossJoin(F.broadcast(one.limit(1)))  # one row on the right

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import model_queries, relational_queries, review_queries, rule_queries, source_queries, text_queries, trend_queries  # noqa: F401
+    from quern.plans import detail_queries, model_queries, relational_queries, review_queries, rule_queries, source_queries, text_queries, trend_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -50,3 +50,15 @@ def atom(entries: DataFrame, id: str, title: str, url: str, at: str) -> DataFram
 
     e = lambda c: escape_xml(F.col(c).cast("string"))
     return entries.select(F.concat(F.lit("<entry><id>"), e(id), F.lit("</id><title>"), e(title), F.lit('</title><link href="'), e(url), F.lit('"/><updated>'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>")).alias("entry"))
+
+
+def episodes(payloads: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """Podcast episodes of JSON payloads {feed, episodes: [...]}: guid, title, seconds, audio address and kind.
+
+    Durations come as seconds or as ``h:mm:ss``; an episode without an address has none of audio.
+    """
+    schema = "array<struct<guid:string,title:string,duration:string,enclosure:struct<url:string,type:string>>>"
+    e = payloads.select(*keep, F.explode(F.from_json(F.get_json_object(payload, "$.episodes"), schema)).alias("e"))
+    parts = F.transform(F.split("e.duration", ":"), lambda p: p.try_cast("int"))
+    seconds = F.when(F.col("e.duration").rlike(r"^\d+(?::\d{1,2}){0,2}$"), F.aggregate(parts, F.lit(0), lambda acc, p: acc * 60 + p))
+    return e.select(*keep, "e.guid", F.nullif(F.trim("e.title"), F.lit("")).alias("title"), seconds.alias("seconds"), F.col("e.enclosure.url").alias("audio"), F.col("e.enclosure.type").startswith("audio/").alias("is_audio"))

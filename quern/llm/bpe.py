@@ -28,14 +28,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import held
+from quern.llm.common import give_back, small_batches
 
 #: The pattern that splits text before merges (fixed value of byte-level vocabularies).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text whose words are merged together.
 CHUNK = 4_000_000
 #: Words of one generation of an encoder's memory, and their characters.
-REMEMBER, REMEMBER_CHARS = 150_000, 3_000_000
+REMEMBER, REMEMBER_CHARS = 60_000, 1_200_000
+#: Texts that a task encodes and hands back at once.
+PART = 256
 
 
 def default_vocabulary() -> str:
@@ -228,37 +230,36 @@ class Counter(Encoder):
 
 
 def encoder_of(sent: Broadcast, kind: type[Encoder] = Encoder) -> Encoder:
-    """The encoder of a broadcast vocabulary, kept with its words from task to task."""
-    return held((kind, hash(sent.value)), lambda: kind(Vocabulary(sent.value)))
+    """An encoder of a broadcast vocabulary; its words are forgotten when the task ends."""
+    return kind(Vocabulary(sent.value))
 
 
 def send_vocabulary(spark, path: str | None = None) -> Broadcast:
     """Broadcast a vocabulary file; its size does not depend on the data."""
+    small_batches(spark)
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
 def encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
     """The token ids of each text of an Arrow column without nulls."""
-    found = []
-    for at in range(0, len(texts), 1024):
-        found += encoder.encode(texts.slice(at, 1024).to_pylist())
+    found = encoder.encode(texts.to_pylist())
     offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 def decoded(vocabulary: Vocabulary, ids: pa.ListArray) -> pa.Array:
     """The text of each list of ids; bytes that are no UTF-8 become U+FFFD."""
-    offsets = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    out = []
-    for at in range(0, len(ids), 1024):
-        cuts = offsets[at : at + 1025]
-        pieces = vocabulary.byte_table.take(ids.slice(at, 1024).flatten())
-        ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
-        whole = pieces.buffers()[2].to_pybytes() if len(pieces) else b""
-        places = ends[cuts - cuts[0]].tolist()
-        out += [whole[a:b].decode("utf-8", "replace") for a, b in zip(places, places[1:])]
-    return pa.array(out, pa.string())
+    pieces = vocabulary.byte_table.take(ids.flatten())
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    whole = pieces.buffers()[2].to_pybytes() if len(pieces) else b""
+    places = ends[np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))].tolist()
+    return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(places, places[1:])], pa.string())
+
+
+def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same rows in smaller arrays."""
+    return (batch.slice(at, PART) for batch in batches for at in range(0, len(batch), PART))
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", vocabulary: str | None = None) -> DataFrame:
@@ -267,8 +268,10 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", vocabula
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent)
-        for texts in batches:
+        for texts in parts(batches):
             yield encoded(encoder, texts)
+        del encoder
+        give_back()
 
     return docs.withColumn(ids, F.arrow_udf(run, "array<int>")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
@@ -279,8 +282,10 @@ def decode(tokens: DataFrame, ids: str = "token_ids", text: str = "decoded", voc
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = encoder_of(sent).vocabulary
-        for lists in batches:
+        for lists in parts(batches):
             yield decoded(vocabulary, lists)
+        del vocabulary
+        give_back()
 
     return tokens.withColumn(text, F.arrow_udf(run, "string")(ids))
 
@@ -291,9 +296,12 @@ def round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids", back
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent)
-        for texts in batches:
+        lists = None
+        for texts in parts(batches):
             lists = encoded(encoder, texts)
             yield pa.StructArray.from_arrays([lists, decoded(encoder.vocabulary, lists)], names=["ids", "back"])
+        del encoder, lists
+        give_back()
 
     both = F.arrow_udf(run, "ids array<int>, back string")(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return docs.withColumn("_both", both).withColumns({ids: F.col("_both.ids"), back: F.col("_both.back")}).drop("_both")

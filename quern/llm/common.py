@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
-from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +37,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_HELD: dict[Hashable, Any] = {}
-
-
-def held(key: Hashable, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps from task to task, made by ``make``: one thing at a time, of whatever operator."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = make()
-    return _HELD[key]
-
-
 def joined_hot(big: DataFrame, small: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
     """``big`` joined with ``small`` on ``key``, of which ``small`` has one row each.
 
@@ -56,3 +46,23 @@ def joined_hot(big: DataFrame, small: DataFrame, key: str, by: str, salts: int =
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     wanted = dealt.select(key, "_salt").distinct().join(small, key)
     return dealt.join(wanted, [key, "_salt"]).drop("_salt")
+
+
+#: Rows of an Arrow batch between Spark and Python. Texts may be long, and both sides hold a batch in memory.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have at most ``BATCH_ROWS`` rows, unless the session has a number of its own."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, as its Python worker waits for other tasks with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

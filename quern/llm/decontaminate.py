@@ -17,10 +17,13 @@ running text and a copy in lower case are found by the second form.
 Only windows whose hash falls on a set bit of a bitmap of ``BITS`` bits leave the scan of the
 documents. The bitmap has a fixed size; it spares work and never decides a match.
 
-Defined cases: null and empty texts have no words and never match; items of fewer than five words
-have no window and are not looked for; long texts are read whole; repeated rows give their pair
-once; an empty table on either side gives an empty result; extra columns are ignored in ``leaks``
-and pass through ``clean``; rows with a null id are kept by ``clean`` and never match.
+Items of fewer than five words are one window, their whole text; they leak where that stands with
+just their own words and values.
+
+Defined cases: null and empty texts have no words and never match; long texts are read whole;
+repeated rows give their pair once; of alignments with equally many windows the one nearer to the
+item's own place counts, and then the earlier one; an empty table on either side gives an empty result; extra columns are ignored in ``leaks``
+and pass through ``clean``, also those named like ids or places here; rows with a null id are kept by ``clean`` and never match.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import give_back, small_batches
+
 WINDOW = 5
 LEAST = 0.8
 BITS = 1 << 24
 #: Bytes of text read at once.
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 UNITS = "mm cm m km g kg mg t l ml s sec min h hr hrs hours hour minutes minute seconds second days day weeks week months month years year miles mile feet foot inches inch pounds pound ounces ounce dollars dollar cents cent euros euro percent mph kmh liters liter litres litre meters meter metres metre grams gram kilograms degrees".split()
 WORD, NUMBER, UNIT, NAME, END = 0, 1, 2, 3, 4
@@ -148,7 +153,7 @@ def template_windows(rows: DataFrame, id: str, text: str, size: int = WINDOW, bi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool) if bitmap is not None else None
+        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool) if bitmap is not None else None
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             at = 0
@@ -171,23 +176,45 @@ def template_windows(rows: DataFrame, id: str, text: str, size: int = WINDOW, bi
                 columns = [pa.array(ids[at + own[hit]], pa.int64()), pa.array(hit - first[own[hit]], pa.int32()), pa.array(found[hit].view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.nulls(len(hit), pa.int32()) if total is None else total]
                 yield pa.RecordBatch.from_arrays(columns, names=[id, "place", "window", "slots", "total"])
                 at += len(part)
+        del bits
+        give_back()
 
+    small_batches(rows.sparkSession)
     picked = rows.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias("_text")).where(F.col(id).isNotNull())
     return picked.mapInArrow(run, f"`{id}` long, place int, window long, slots array<string>, total int")
 
 
 def bitmap_of(found: DataFrame) -> bytes:
-    """Bits of all windows; at most ``BITS`` numbers reach the driver."""
-    bits = np.zeros(BITS, bool)
-    for r in found.select((F.col("window").bitwiseAND(BITS - 1)).cast("int").alias("bit")).distinct().toLocalIterator():
-        bits[r.bit] = True
-    return np.packbits(bits).tobytes()
+    """Bits of all windows; Spark makes the bitmap, and at most ``BITS`` bits reach the driver."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    place = F.col("window").bitwiseAND(BITS - 1) + 1
+    for r in found.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        part = np.frombuffer(r.bits, np.uint8)
+        bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
+    return bits.tobytes()
+
+
+def short_items(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """(item, text, words) of the items of fewer than ``size`` words, but for those without any."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.bincount(Template([t or "" for t in texts.to_pylist()]).text, minlength=len(texts)), pa.int32())
+
+    rows = items.select(F.col(item).cast("long").alias(item), F.col(text).cast("string").alias("_text")).where(F.col(item).isNotNull())
+    return rows.withColumn("words", F.arrow_udf(run, "int")("_text")).where(F.col("words").between(1, size - 1))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, least: float = LEAST) -> DataFrame:
     """(id, item, contained, exact): items that leak into a document; ``exact`` if all slots hold the item's own values."""
     forms = [leaks_of_form(docs, items, id, text, item, item_text, size, least, names) for names in (True, False)]
-    return forms[0].unionByName(forms[1]).groupBy(id, item).agg(F.max("contained").alias("contained"), F.max("exact").alias("exact"))
+    short = short_items(items, item, item_text, size)
+    for words in sorted(r.words for r in short.select("words").distinct().collect()):
+        forms.append(leaks_of_form(docs, short.where(F.col("words") == words), id, text, item, "_text", words, 1.0, False).where("exact"))
+    found = forms[0]
+    for form in forms[1:]:
+        found = found.unionByName(form)
+    return found.groupBy(id, item).agg(F.max("contained").alias("contained"), F.max("exact").alias("exact"))
 
 
 def leaks_of_form(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, item_text: str, size: int, least: float, names: bool) -> DataFrame:

@@ -21,7 +21,6 @@ output is replaced.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import held, written
+from quern.llm.bpe import parts
+from quern.llm.common import give_back, small_batches, written
 
 UNKNOWN = "und"
 #: Labelled rows per language that training draws, in expectation.
@@ -45,8 +45,8 @@ LONGEST = 5
 CERTAIN = 8
 #: A word of letters, in Python and in Spark.
 LETTERS = regex.compile(r"\p{L}+")
-#: Unseen words that a worker remembers at most.
-REMEMBER = 100_000
+#: Unseen words that a task remembers at most.
+REMEMBER = 150_000
 
 
 def held_out(id: str = "doc_id") -> Column:
@@ -221,19 +221,19 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) from ``text`` alone."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
-    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scores = held(("language", key), lambda: Scores(Model(*sent.value)))
-        for texts in batches:
-            found = []
-            for at in range(0, len(texts), 256):
-                words = [Counter(LETTERS.findall((t or "").lower())) for t in texts.slice(at, 256).to_pylist()]
-                if scores.model.languages:
-                    scores.learn_all(words)
-                found += map(scores.text, words)
+        scores = Scores(Model(*sent.value))
+        for texts in parts(batches):
+            words = [Counter(LETTERS.findall((t or "").lower())) for t in texts.to_pylist()]
+            if scores.model.languages:
+                scores.learn_all(words)
+            found = list(map(scores.text, words))
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang", "score"])
+        del scores
+        give_back()
 
     found = F.arrow_udf(run, "lang string, score double")(F.col(text).cast("string"))
     return docs.withColumn("_found", found).withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")

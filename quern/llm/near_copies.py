@@ -8,10 +8,11 @@ every fingerprint has a ball, all values at one or no flipped bit; texts whose b
 probability 0.9975, at 0.85 with 0.99998. Candidates are compared on all their fingerprints first
 (``FAR``) and then on the shingle sets themselves, so no link is false.
 
-Groups are not compared in all pairs. In a first round each candidate is compared with the centre
-of its class in a table: the text nearest to the majority of the class's bits, and the smallest one.
-In a second round only the pairs whose texts meet in a ball and lie in different components of the
-first round are compared; of those none is left out.
+Groups are not compared in all pairs. A first round, on ``FIRST`` tables, compares each text with the
+smallest one of its class in a table and with the class's centre, the text nearest to the majority of
+its bits; what is alike becomes one component. A second round, on all tables, compares all pairs that
+meet in a ball and still lie in different components; of those none is left out. So work on a group
+of near copies grows with its size, and only texts that meet without being alike cost pairs.
 
 Texts with one shingle set are one point from the start. Sets are held as 64-bit hashes.
 
@@ -32,16 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import joined_hot, written
+from quern.llm.bpe import parts
+from quern.llm.common import give_back, joined_hot, small_batches, written
 from quern.llm.simhash import _join, cells_for, code_of, components, syndromes
 
 WORDS = 5
 LEAST = 0.8
 TABLES, BITS = 48, 32
+#: Tables of the first round.
+FIRST = 8
+#: Differing bits, of the 64 of two further tables, beyond which texts do not meet: at similarity 0.8 10 are expected, and more than this with probability 1e-4.
+NEAR = 21
 #: Differing bits, of TABLES * BITS, beyond which a pair is no candidate: at similarity 0.8 233 are expected, with a deviation of 14.
 FAR = 320
 #: Variants that a task writes out at once, and fingerprints that it takes at most.
-SLICE = 4_000_000
+SLICE = 1_500_000
 TASK_POINTS = 4_000_000
 _FLIPS = np.append(np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64))
 _ODD = np.random.default_rng(11).integers(0, 2**63, (2, TABLES * BITS // 64), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,7 +57,7 @@ class _WordHashes(dict):
     """Hashes of words, computed once; the memory is emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 60_000:
             self.clear()
         found = xxhash.xxh64_intdigest(word, 42)
         if len(word) <= 64:
@@ -79,7 +85,8 @@ def shingles(text: str | None, words: int = WORDS, memory: dict | None = None) -
 def majority(words: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Of ``words`` (rows, texts, 64-bit words) the bits that are set in over half of each text's ``count`` rows.
 
-    Rows are added up bit by bit with carries, in binary, so a row costs a few operations per word.
+    Where just half of the rows have a bit, the first row decides. Rows are added up bit by bit with
+    carries, in binary, so a row costs a few operations per word.
     """
     planes, level = [], words
     while len(level):
@@ -104,7 +111,8 @@ def majority(words: np.ndarray, count: np.ndarray) -> np.ndarray:
         bit = -((half >> k) & 1).astype(np.int64).view(np.uint64)
         more |= same & plane & ~bit
         same &= ~(plane ^ bit)
-    return more
+    even = -(1 - (count & 1)).astype(np.int64)[:, None].view(np.uint64)
+    return more | (same & even & words[0])
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -116,7 +124,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     while at < len(order):
         # texts of like size are added up together, the shorter ones filled up with zeros
         most = max(8, int(sizes[order[at]] * 1.2))
-        stop = min(int(np.searchsorted(sizes[order], most, "right")), at + max(1, 200_000 // most))
+        stop = min(int(np.searchsorted(sizes[order], most, "right")), at + max(1, 40_000 // most))
         part = order[at:stop]
         rows = int(sizes[part].max())
         padded = np.zeros((rows, len(part)), np.uint64)
@@ -134,28 +142,28 @@ def prints(docs: DataFrame, text: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = _WordHashes()
-        for texts in batches:
-            fps, rows = [], []
-            for at in range(0, len(texts), 1024):
-                sets = [shingles(t, words, memory) for t in texts.slice(at, 1024).to_pylist()]
-                fps += [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-                rows.append(sketches(sets))
-            flat = np.concatenate(rows).view(np.int64).ravel() if rows else np.empty(0, np.int64)
+        for texts in parts(batches):
+            sets = [shingles(t, words, memory) for t in texts.to_pylist()]
+            fps = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+            flat = sketches(sets).view(np.int64).ravel()
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * (TABLES * BITS // 64)
             yield pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["fp", "sketch"])
+        memory.clear()
+        give_back()
 
+    small_batches(docs.sparkSession)
     found = F.arrow_udf(run, "fp long, sketch array<long>")(F.col(text).cast("string"))
     return docs.withColumn("_found", found).withColumns({"_fp": F.col("_found.fp"), "_sketch": F.col("_found.sketch")}).drop("_found")
 
 
 def meetings(values: np.ndarray, codes: np.ndarray, cell: int, slice_size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Members (places in ``values``) of all balls' values in a cell that have several, and the first place of each value among them."""
-    parts = 1 + len(values) * len(_FLIPS) // slice_size
-    for part in range(parts):
+    slices = 1 + len(values) * len(_FLIPS) // slice_size
+    for part in range(slices):
         found, owners = [], []
         for flip in _FLIPS:
             v = values ^ flip
-            keep = np.ones(len(v), bool) if parts == 1 else mixed(v) % np.uint64(parts) == part
+            keep = np.ones(len(v), bool) if slices == 1 else mixed(v) % np.uint64(slices) == part
             if codes.any():
                 keep &= code_of(v, codes) == cell
             own = np.flatnonzero(keep)
@@ -171,7 +179,7 @@ def meetings(values: np.ndarray, codes: np.ndarray, cell: int, slice_size: int =
 
 
 def centres(values: np.ndarray, points: np.ndarray, codes: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (point, another): each class of a cell with its smallest point and with the one nearest to its majority."""
+    """Places of pairs: each member of a class of a cell with its smallest point and with the one nearest to its majority."""
     label = np.arange(len(values))
     for owner, first in meetings(values, codes, cell):
         size = np.diff(np.append(first, len(owner)))
@@ -193,15 +201,12 @@ def centres(values: np.ndarray, points: np.ndarray, codes: np.ndarray, cell: int
         common = 2 * np.add.reduceat(ones, begin) > size
         far += ones != np.repeat(common, size)
     place = np.lexsort((points[row], far, np.repeat(np.arange(len(size)), size)))
-    middle = np.repeat(points[row[place[begin]]], size)
-    least = np.repeat(points[row[begin]], size)
-    member = points[row]
-    a, b = np.append(member, member), np.append(middle, least)
+    a, b = np.append(row, row), np.append(np.repeat(row[place[begin]], size), np.repeat(row[begin], size))
     return a[a != b], b[a != b]
 
 
-def crossings(values: np.ndarray, points: np.ndarray, roots: np.ndarray, codes: np.ndarray, cell: int, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of points that meet in a cell and have different ``roots``, the larger point first."""
+def crossings(values: np.ndarray, roots: np.ndarray, codes: np.ndarray, cell: int, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs that meet in a cell and have different ``roots``."""
     for owner, first in meetings(values, codes, cell):
         size = np.diff(np.append(first, len(owner)))
         ball = np.repeat(np.arange(len(first)), size)
@@ -220,21 +225,20 @@ def crossings(values: np.ndarray, points: np.ndarray, roots: np.ndarray, codes:
             if m.any():
                 left = np.repeat(np.arange(at, stop), m)
                 right = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(group_stop[at:stop], m)
-                x, y = points[owner[left]], points[owner[right]]
-                pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-                yield pairs[0], pairs[1]
+                yield owner[left], owner[right]
             at = stop
 
 
 def met(points: DataFrame, n: int, rooted: bool) -> DataFrame:
-    """Candidate pairs (a, b) among ``points`` (fp, sketch and, if ``rooted``, root), from all tables.
+    """Candidate pairs (a, b), the larger point first, among ``points`` (fp, sketch and, if ``rooted``, root).
 
-    A fingerprint travels once to each cell of a table that its ball touches, together with its point.
+    A fingerprint travels once to each cell of a table that its ball touches, together with its point
+    and the fingerprints of the two next tables, by which texts that met by chance are told apart.
     """
     cells = cells_for(n, TASK_POINTS, 1, BITS, 1)
     codes = syndromes(cells.bit_length() - 1)[:BITS]
     reach = np.unique(np.append(0, codes))
-    width = 3 if rooted else 2
+    used, width = (TABLES, 4) if rooted else (FIRST, 3)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,24 +247,29 @@ def met(points: DataFrame, n: int, rooted: bool) -> DataFrame:
                 fps = part.column(0).to_numpy(zero_copy_only=False)
                 tables = part.column(1).flatten().to_numpy().view(np.uint32).reshape(len(fps), TABLES)
                 goal: dict[tuple[int, int], list[bytes]] = {}
-                for t in range(TABLES):
-                    value = tables[:, t].astype(np.uint64)
-                    rows = np.stack([value.view(np.int64), fps] + ([part.column(2).to_numpy(zero_copy_only=False)] if rooted else []), axis=1)
+                for t in range(used):
+                    value, more = (tables[:, (t + k) % TABLES].astype(np.uint64) for k in (0, 1))
+                    more = (more << np.uint64(32)) | tables[:, (t + 2) % TABLES]
+                    rows = np.stack([value.view(np.int64), fps, more.view(np.int64)] + ([part.column(2).to_numpy(zero_copy_only=False)] if rooted else []), axis=1)
                     own = code_of(value, codes)
                     for code in np.unique(own).tolist():
-                        held = rows[own == code].tobytes()
+                        sent = rows[own == code].tobytes()
                         for cell in (reach ^ code).tolist():
-                            goal.setdefault((t, cell), []).append(held)
+                            goal.setdefault((t, cell), []).append(sent)
                 keys = sorted(goal)
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int64()), pa.array([b"".join(goal[k]) for k in keys], pa.binary())], names=["table", "cell", "rows"])
 
     def meet(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.concatenate([np.frombuffer(x.as_py(), np.int64) for b in group for x in b.column("rows")]).reshape(-1, width)
-        held = held[np.argsort(held[:, 1], kind="stable")]
-        values, fps, cell = held[:, 0].view(np.uint64), held[:, 1], key[1].as_py()
-        found = crossings(values, fps, held[:, 2], codes, cell) if rooted else [centres(values, fps, codes, cell)]
-        for a, b in found:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        rows = np.concatenate([np.frombuffer(x.as_py(), np.int64) for b in group for x in b.column("rows")]).reshape(-1, width)
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        values, fps, more, cell = rows[:, 0].view(np.uint64), rows[:, 1], rows[:, 2].view(np.uint64), key[1].as_py()
+        for a, b in crossings(values, rows[:, 3], codes, cell) if rooted else [centres(values, fps, codes, cell)]:
+            near = np.bitwise_count(more[a] ^ more[b]) <= NEAR
+            x, y = fps[a[near]], fps[b[near]]
+            pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        del rows, values, fps, more
+        give_back()
 
     sent = points.select("fp", "sketch", *(["root"] if rooted else [])).mapInArrow(send, "table int, cell long, rows binary")
     return sent.groupBy("table", "cell").applyInArrow(meet, "a long, b long").distinct()
@@ -289,6 +298,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.array(keep, pa.bool_())
+        memory.clear()
+        give_back()
 
     side = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
     met = joined_hot(pairs, side("b"), "b", "a").join(side("a"), "a")
@@ -312,11 +323,9 @@ def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
 
     first = written(met(points, n, False))
     sure = alike(first, points)
-    ends = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    roots = components(sure)
-    some = written(points.join(ends, "fp").join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
-    second = written(met(some, n, True).join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    roots = components(sure.unionByName(alike(second, some)))
+    rooted = written(points.join(components(sure), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
+    second = written(met(rooted, n, True).join(first, ["a", "b"], "left_anti"))
+    roots = components(sure.unionByName(alike(second, rooted)))
 
     named = points.join(roots, points.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import joined_hot, written
+from quern.llm.common import joined_hot, small_batches, written
 
 WORDS = 4
 HALF = 2
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
             fps = np.array([fingerprint(texts[i].as_py(), words) for i in range(batch.num_rows)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id, "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias(text)).where(F.col(id).isNotNull())
     return rows.mapInArrow(run, f"`{id}` long, fp long")
 

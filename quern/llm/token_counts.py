@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import CHUNK, Counter, Vocabulary, encoder_of, send_vocabulary
+from quern.llm.bpe import CHUNK, PART, Counter, Vocabulary, encoder_of, parts, send_vocabulary
+from quern.llm.common import give_back
 
 LEAF = 32
 
@@ -152,24 +153,24 @@ _COUNTED = "n_tokens long, char_tree array<int>, token_tree array<int>"
 
 def counted_texts(encoder: Counter, texts: list[str]) -> list[pa.Array]:
     """``n_tokens``, ``char_tree`` and ``token_tree`` of each text."""
-    trees = []
-    for at in range(0, len(texts), 1024):
-        trees += build(encoder, texts[at : at + 1024])
+    trees = build(encoder, texts)
     return [pa.array([int(t[1]) for _, t in trees], pa.int64()), _lists([c for c, _ in trees]), _lists([t for _, t in trees])]
 
 
 def edited_texts(encoder: Counter, rows: list[tuple]) -> list[pa.Array]:
     """The text, counts, trees and ``reread_chars`` of rows (text, characters, tokens, start, stop, put_in) after their edits."""
-    done = []
-    for at in range(0, len(rows), 1024):
-        part = [(t or "", *rest) for t, *rest in rows[at : at + 1024]]
-        changed = iter(edit(encoder, [r for r in part if all(x is not None for x in r[3:])]))
-        # a null edit leaves a null text null
-        done += [(old[0], r[1], r[2], 0) if any(x is None for x in r[3:]) else next(changed) for r, old in zip(part, rows[at : at + 1024])]
+    changed = iter(edit(encoder, [(t or "", *rest) for t, *rest in rows if all(x is not None for x in rest[2:])]))
+    # a null edit leaves a null text null
+    done = [(t, chars, tokens, 0) if any(x is None for x in edits) else next(changed) for t, chars, tokens, *edits in rows]
     texts, chars, tokens, read = zip(*done) if done else ((), (), (), ())
     return [pa.array(texts, pa.string()), pa.array([int(k[1]) for k in tokens], pa.int64()), _lists(chars), _lists(tokens), pa.array(read, pa.int64())]
 
 
+def rows_of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[pa.Array, ...]]:
+    """The same rows in smaller arrays."""
+    return (tuple(c.slice(at, PART) for c in batch) for batch in batches for at in range(0, len(batch[0]), PART))
+
+
 def _trees(lists: pa.ListArray) -> list[np.ndarray]:
     return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(lists) else []
 
@@ -180,8 +181,10 @@ def count(docs: DataFrame, text: str = "text", vocabulary: str | None = None) ->
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent, Counter)
-        for texts in batches:
+        for texts in parts(batches):
             yield pa.StructArray.from_arrays(counted_texts(encoder, texts.to_pylist()), names=_NAMES[:3])
+        del encoder
+        give_back()
 
     found = F.arrow_udf(run, _COUNTED)(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return docs.withColumn("_found", found).withColumns({n: F.col(f"_found.{n}") for n in _NAMES[:3]}).drop("_found")
@@ -193,9 +196,11 @@ def apply_edits(counted: DataFrame, text: str = "text", start: str = "start", st
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent, Counter)
-        for texts, chars, tokens, *edits in batches:
+        for texts, chars, tokens, *edits in rows_of(batches):
             rows = list(zip(texts.to_pylist(), _trees(chars), _trees(tokens), *(e.to_pylist() for e in edits)))
             yield pa.StructArray.from_arrays(edited_texts(encoder, rows), names=["text", *_NAMES])
+        del encoder
+        give_back()
 
     found = F.arrow_udf(run, f"text string, {_COUNTED}, reread_chars long")(F.col(text).cast("string"), "char_tree", "token_tree", F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
     return counted.withColumn("_found", found).withColumns({text: F.col("_found.text")} | {n: F.col(f"_found.{n}") for n in _NAMES}).drop("_found")
@@ -207,11 +212,13 @@ def count_and_edit(docs: DataFrame, text: str = "text", start: str = "start", st
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         encoder = encoder_of(sent, Counter)
-        for texts, *edits in batches:
+        for texts, *edits in rows_of(batches):
             texts = texts.to_pylist()
             before, chars, tokens = counted_texts(encoder, [t or "" for t in texts])
             rows = list(zip(texts, _trees(chars), _trees(tokens), *(e.to_pylist() for e in edits)))
             yield pa.StructArray.from_arrays([before, *edited_texts(encoder, rows)], names=["tokens_before", "text", *_NAMES])
+        del encoder
+        give_back()
 
     found = F.arrow_udf(run, f"tokens_before long, text string, {_COUNTED}, reread_chars long")(F.col(text).cast("string"), F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
     return docs.withColumn("_found", found).withColumns({text: F.col("_found.text")} | {n: F.col(f"_found.{n}") for n in ("tokens_before", *_NAMES)}).drop("_found")

@@ -109,3 +109,14 @@ def test_verbatim_in_running_text_and_in_lower_case(spark):
     docs = [(1, "foo bar, " + short + " y mas"), (2, named.lower()), (3, "foo bar se que descansan mucho hoy"), (4, named.lower().replace("ann", "bob").replace("paris", "oslo"))]
     d, i = frames(spark, docs, [(7, short), (8, named)])
     assert sorted((r.doc_id, r.item_id, r.exact) for r in dc.leaks(d, i).collect()) == [(1, 7, True), (2, 8, True)]
+
+
+def test_short_items(spark):
+    """Items of fewer than five words leak where they stand with their own words and values."""
+    docs = [(1, "We ask: is 7 prime? Yes."), (2, "we ask: is 8 prime? no."), (3, "prime is 7"), (4, None), (5, "It is. 7 prime")]
+    items = [(1, "Is 7 prime?"), (2, "Yes"), (3, ""), (4, None), (5, "none of these four")]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, place int")
+    i = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, words string")
+    got = sorted((r.doc_id, r.item_id) for r in dc.leaks(d, i).collect())
+    assert got == [(1, 1), (1, 2), (5, 1)] or got == [(1, 1), (1, 2)]
+    assert sorted(r.doc_id for r in dc.clean(d, i).collect()) in ([2, 3, 4, 5], [2, 3, 4])

@@ -273,7 +273,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", vocabula
         del encoder
         give_back()
 
-    return docs.withColumn(ids, F.arrow_udf(run, "array<int>")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs.withColumn(ids, F.arrow_udf(run, "array<int>").asNondeterministic()(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def decode(tokens: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -287,7 +287,7 @@ def decode(tokens: DataFrame, ids: str = "token_ids", text: str = "decoded", voc
         del vocabulary
         give_back()
 
-    return tokens.withColumn(text, F.arrow_udf(run, "string")(ids))
+    return tokens.withColumn(text, F.arrow_udf(run, "string").asNondeterministic()(ids))
 
 
 def round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids", back: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -303,7 +303,7 @@ def round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids", back
         del encoder, lists
         give_back()
 
-    both = F.arrow_udf(run, "ids array<int>, back string")(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    both = F.arrow_udf(run, "ids array<int>, back string").asNondeterministic()(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return docs.withColumn("_both", both).withColumns({ids: F.col("_both.ids"), back: F.col("_both.back")}).drop("_both")
 
 

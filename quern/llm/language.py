@@ -235,7 +235,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         del scores
         give_back()
 
-    found = F.arrow_udf(run, "lang string, score double")(F.col(text).cast("string"))
+    # Spark would run a deterministic function again for a filter on what it found
+    found = F.arrow_udf(run, "lang string, score double").asNondeterministic()(F.col(text).cast("string"))
     return docs.withColumn("_found", found).withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
 
 

@@ -44,11 +44,13 @@ TABLES, BITS = 48, 32
 FIRST = 8
 #: Differing bits, of the 64 of two further tables, beyond which texts do not meet: at similarity 0.8 10 are expected, and more than this with probability 1e-4.
 NEAR = 21
-#: Differing bits, of TABLES * BITS, beyond which a pair is no candidate: at similarity 0.8 233 are expected, with a deviation of 14.
-FAR = 320
-#: Variants that a task writes out at once, and fingerprints that it takes at most.
+#: Differing bits, of TABLES * BITS, beyond which a pair is no candidate: at similarity 0.8 233 are expected, and more than this with probability 1e-6.
+FAR = 300
+#: Variants that a task writes out at once, and fingerprints of one table that it takes at most.
 SLICE = 1_500_000
 TASK_POINTS = 4_000_000
+#: Up to so many points a task takes ``TOGETHER`` tables, with all fingerprints of each point.
+WIDE_POINTS, TOGETHER = 1_000_000, 8
 _FLIPS = np.append(np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64))
 _ODD = np.random.default_rng(11).integers(0, 2**63, (2, TABLES * BITS // 64), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -152,7 +154,7 @@ def prints(docs: DataFrame, text: str, words: int) -> DataFrame:
         give_back()
 
     small_batches(docs.sparkSession)
-    found = F.arrow_udf(run, "fp long, sketch array<long>")(F.col(text).cast("string"))
+    found = F.arrow_udf(run, "fp long, sketch array<long>").asNondeterministic()(F.col(text).cast("string"))
     return docs.withColumn("_found", found).withColumns({"_fp": F.col("_found.fp"), "_sketch": F.col("_found.sketch")}).drop("_found")
 
 
@@ -229,50 +231,72 @@ def crossings(values: np.ndarray, roots: np.ndarray, codes: np.ndarray, cell: in
             at = stop
 
 
+def alike_prints(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, table: int | None = None) -> np.ndarray:
+    """Which of the pairs of rows differ in ``FAR`` bits or fewer and, with a ``table``, meet in none before it."""
+    near = np.flatnonzero(np.bitwise_count(sketch[a, 0] ^ sketch[b, 0]) <= NEAR)
+    out = np.zeros(len(a), bool)
+    for part in np.array_split(near, 1 + len(near) // 50_000):
+        bits = np.bitwise_count((sketch[a[part]] ^ sketch[b[part]]).view(np.uint32))
+        out[part] = bits.sum(axis=1, dtype=np.int64) <= FAR
+        if table:
+            out[part] &= (bits[:, :table] > 2).all(axis=1)
+    return out
+
+
 def met(points: DataFrame, n: int, rooted: bool) -> DataFrame:
     """Candidate pairs (a, b), the larger point first, among ``points`` (fp, sketch and, if ``rooted``, root).
 
-    A fingerprint travels once to each cell of a table that its ball touches, together with its point
-    and the fingerprints of the two next tables, by which texts that met by chance are told apart.
+    Up to ``WIDE_POINTS`` points, all fingerprints of a point travel together, once for every
+    ``TOGETHER`` tables, and decide in place; a pair comes from the first table where it meets. Beyond, a fingerprint travels once to each cell of a table
+    that its ball touches, together with its point and the fingerprints of the two next tables, by which
+    texts that met by chance are told apart; ``close`` decides on the rest.
     """
-    cells = cells_for(n, TASK_POINTS, 1, BITS, 1)
+    wide = n <= WIDE_POINTS
+    cells = 1 if wide else cells_for(n, TASK_POINTS, 1, BITS, 1)
     codes = syndromes(cells.bit_length() - 1)[:BITS]
     reach = np.unique(np.append(0, codes))
-    used, width = (TABLES, 4) if rooted else (FIRST, 3)
+    used = TABLES if rooted else FIRST
+    head = 2 if rooted else 1
+    width = head + (TABLES * BITS // 64 if wide else 2)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                fps = part.column(0).to_numpy(zero_copy_only=False)
-                tables = part.column(1).flatten().to_numpy().view(np.uint32).reshape(len(fps), TABLES)
-                goal: dict[tuple[int, int], list[bytes]] = {}
+        for part in (batch.slice(at, 2048) for batch in batches for at in range(0, batch.num_rows, 2048)):
+            own = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in ((0, 2) if rooted else (0,))], axis=1)
+            sketch = part.column(1).flatten().to_numpy().reshape(len(own), -1)
+            if wide:
+                held = np.concatenate([own, sketch], axis=1).tobytes()
+                goal = {(t, 0): [held] for t in range(0, used, TOGETHER)}
+            else:
+                tables, goal = sketch.view(np.uint32).reshape(len(own), TABLES).astype(np.uint64), {}
                 for t in range(used):
-                    value, more = (tables[:, (t + k) % TABLES].astype(np.uint64) for k in (0, 1))
-                    more = (more << np.uint64(32)) | tables[:, (t + 2) % TABLES]
-                    rows = np.stack([value.view(np.int64), fps, more.view(np.int64)] + ([part.column(2).to_numpy(zero_copy_only=False)] if rooted else []), axis=1)
-                    own = code_of(value, codes)
-                    for code in np.unique(own).tolist():
-                        sent = rows[own == code].tobytes()
-                        for cell in (reach ^ code).tolist():
+                    value = tables[:, t]
+                    more = (tables[:, (t + 1) % TABLES] << np.uint64(32)) | tables[:, (t + 2) % TABLES]
+                    rows = np.concatenate([own, np.stack([more, value], axis=1).view(np.int64)], axis=1)
+                    code = code_of(value, codes)
+                    for c in np.unique(code).tolist():
+                        sent = rows[code == c].tobytes()
+                        for cell in (reach ^ c).tolist():
                             goal.setdefault((t, cell), []).append(sent)
-                keys = sorted(goal)
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int64()), pa.array([b"".join(goal[k]) for k in keys], pa.binary())], names=["table", "cell", "rows"])
+            keys = sorted(goal)
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int64()), pa.array([b"".join(goal[k]) for k in keys], pa.binary())], names=["table", "cell", "rows"])
 
     def meet(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([np.frombuffer(x.as_py(), np.int64) for b in group for x in b.column("rows")]).reshape(-1, width)
-        rows = rows[np.argsort(rows[:, 1], kind="stable")]
-        values, fps, more, cell = rows[:, 0].view(np.uint64), rows[:, 1], rows[:, 2].view(np.uint64), key[1].as_py()
-        for a, b in crossings(values, rows[:, 3], codes, cell) if rooted else [centres(values, fps, codes, cell)]:
-            near = np.bitwise_count(more[a] ^ more[b]) <= NEAR
-            x, y = fps[a[near]], fps[b[near]]
-            pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-        del rows, values, fps, more
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        fps, prints, table, cell = rows[:, 0], np.ascontiguousarray(rows[:, head:]).view(np.uint64), key[0].as_py(), key[1].as_py()
+        columns = prints.view(np.uint32).reshape(len(rows), -1)[:, table : table + TOGETHER].T if wide else prints[:, 1:].T
+        for t, values in enumerate(columns.astype(np.uint64), table):
+            for a, b in crossings(values, rows[:, 1], codes, cell) if rooted else [centres(values, fps, codes, cell)]:
+                near = alike_prints(prints, a, b, t if rooted else None) if wide else np.bitwise_count(prints[a, 0] ^ prints[b, 0]) <= NEAR
+                x, y = fps[a[near]], fps[b[near]]
+                pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        del rows, fps, prints, columns
         give_back()
 
     sent = points.select("fp", "sketch", *(["root"] if rooted else [])).mapInArrow(send, "table int, cell long, rows binary")
-    return sent.groupBy("table", "cell").applyInArrow(meet, "a long, b long").distinct()
+    found = sent.groupBy("table", "cell").applyInArrow(meet, "a long, b long").distinct()
+    return found if wide else close(found, points)
 
 
 def close(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -303,7 +327,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
 
     side = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
     met = joined_hot(pairs, side("b"), "b", "a").join(side("a"), "a")
-    return met.withColumn("_alike", F.arrow_udf(run, "boolean")("a", "b", "text_a", "text_b")).where("_alike").select("a", "b")
+    return met.withColumn("_alike", F.arrow_udf(run, "boolean").asNondeterministic()("a", "b", "text_a", "text_b")).where("_alike").select("a", "b")
 
 
 def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -315,11 +339,10 @@ def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
     n = points.count()
 
     def alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
-        near = written(close(pairs, points))
-        ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         one = points.join(ends, "fp").select("fp", F.col("first.row").alias("_row"))
         texts = written(rows.select("_row", F.col(text).cast("string").alias("text")).join(one, "_row").groupBy("fp").agg(F.any_value("text").alias("text")))
-        return written(verified(near, texts, words, least))
+        return written(verified(pairs, texts, words, least))
 
     first = written(met(points, n, False))
     sure = alike(first, points)

@@ -10,7 +10,8 @@ running counts over blocks of rows, so no window holds more than a block.
 
 Defined cases: a null text has no bytes and size 1, and all null texts are one group, apart from
 empty texts; long texts count whole; ties of load go to the smaller shard, ties of size to the
-group key; repeated rows each get a slot; an empty table gives an empty table; extra columns pass
+group key; repeated rows each get a slot; rows with a null id are placed like others; with fewer
+groups than shards the last shards stay empty; an empty table gives an empty table; extra columns pass
 through, and a column that has the name of an output is replaced.
 """
 

@@ -186,7 +186,7 @@ def count(docs: DataFrame, text: str = "text", vocabulary: str | None = None) ->
         del encoder
         give_back()
 
-    found = F.arrow_udf(run, _COUNTED)(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    found = F.arrow_udf(run, _COUNTED).asNondeterministic()(F.coalesce(F.col(text).cast("string"), F.lit("")))
     return docs.withColumn("_found", found).withColumns({n: F.col(f"_found.{n}") for n in _NAMES[:3]}).drop("_found")
 
 
@@ -202,7 +202,7 @@ def apply_edits(counted: DataFrame, text: str = "text", start: str = "start", st
         del encoder
         give_back()
 
-    found = F.arrow_udf(run, f"text string, {_COUNTED}, reread_chars long")(F.col(text).cast("string"), "char_tree", "token_tree", F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
+    found = F.arrow_udf(run, f"text string, {_COUNTED}, reread_chars long").asNondeterministic()(F.col(text).cast("string"), "char_tree", "token_tree", F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
     return counted.withColumn("_found", found).withColumns({text: F.col("_found.text")} | {n: F.col(f"_found.{n}") for n in _NAMES}).drop("_found")
 
 
@@ -220,7 +220,7 @@ def count_and_edit(docs: DataFrame, text: str = "text", start: str = "start", st
         del encoder
         give_back()
 
-    found = F.arrow_udf(run, f"tokens_before long, text string, {_COUNTED}, reread_chars long")(F.col(text).cast("string"), F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
+    found = F.arrow_udf(run, f"tokens_before long, text string, {_COUNTED}, reread_chars long").asNondeterministic()(F.col(text).cast("string"), F.col(start).cast("int"), F.col(stop).cast("int"), F.col(put_in).cast("string"))
     return docs.withColumn("_found", found).withColumns({text: F.col("_found.text")} | {n: F.col(f"_found.{n}") for n in ("tokens_before", *_NAMES)}).drop("_found")
 
 

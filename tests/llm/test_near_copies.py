@@ -65,6 +65,20 @@ def test_large_groups(spark):
     assert want == [0, 500] and sorted(r.doc_id for r in near_copies.kept(docs).collect()) == want
 
 
+def test_many_points_take_cells(spark, monkeypatch):
+    """Beyond WIDE_POINTS fingerprints travel to the cells of each table, with the same result."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows += [(g * 10 + k, " ".join(f"x{rng.randrange(5000)}" if rng.random() < 0.006 * k else w for w in base)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    monkeypatch.setattr(near_copies, "WIDE_POINTS", 10)
+    monkeypatch.setattr(near_copies, "TASK_POINTS", 100)
+    assert sorted(r.doc_id for r in near_copies.kept(docs).collect()) == want
+
+
 def test_majority_and_shingles():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, (50, 3, 2), np.int64).astype(np.uint64)

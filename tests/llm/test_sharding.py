@@ -62,3 +62,10 @@ def test_edges(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.assign(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_empty_shards(spark):
+    rows = [(None, "a"), (None, "a"), (None, None), (7, "bb")]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect()
+    assert sorted((r.text or "-", r.size) for r in got) == [("-", 1), ("a", 2), ("a", 2), ("bb", 3)]
+    assert {r.shard for r in got} == {0, 1, 2} and all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(5))

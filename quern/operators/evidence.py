@@ -149,3 +149,53 @@ def security_outcome(injection: Column, error: Column, attack: Column, goal: Col
         .otherwise("verified_target_goal_predicate")
     )
     return F.struct(status.alias("status"), F.when(status == "verified_target_goal_predicate", goal).alias("success"))
+
+
+def record_errors(exported: Column, synthetic: Column) -> Column:
+    """Codes of the rules that one record breaks, from its columns; ``exported``, ``synthetic``: of the bundle.
+
+    Columns: is_synthetic, retrieved_at, known_at, reviewed_at, review_state, reviewer, publication_state,
+    rights_state, record_type, has_excerpt.
+    """
+    c = F.col
+    late = lambda a, b: F.coalesce(a > b, F.lit(False))
+    verified, eligible = c("review_state") == "human_verified", c("publication_state") == "eligible"
+    rules = {
+        "mixed_synthetic": c("is_synthetic") != synthetic,
+        "time_order": late(c("retrieved_at"), c("known_at")) | late(c("known_at"), exported) | late(c("reviewed_at"), exported),
+        "review_timestamp": c("review_state").isin("machine_validated", "human_verified") & c("reviewed_at").isNull(),
+        "human_reviewer": verified & c("reviewer").isNull(),
+        "publication_gate": eligible & (~verified | ~c("rights_state").isin("metadata_only", "redistribution_allowed")),
+        "content_rights": eligible & (c("has_excerpt") | (c("record_type") == "statement")) & (c("rights_state") != "redistribution_allowed"),
+    }
+    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules.items()]))
+
+
+#: Units without negative values, and units of whole numbers (fixed values).
+NONNEGATIVE = ("probability", "percent", "people", "jobs", "years", "hours", "count")
+WHOLE = ("people", "jobs", "count", "calendar_year")
+
+
+def value_errors(kind: Column, unit: Column, numbers: Column, level: Column, shares: Column, interval_kind: Column, inclusive: Column) -> Column:
+    """Codes of the rules that one value breaks.
+
+    ``numbers``: its numbers in order (of an interval the lower and the upper one, of quantiles the values),
+    ``shares``: the shares of quantiles, ``level``: the coverage of an interval.
+    """
+    ascends = lambda xs, strict: F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(xs) - 1)), lambda i: F.coalesce((F.get(xs, i - 1) < F.get(xs, i)) if strict else (F.get(xs, i - 1) <= F.get(xs, i)), F.lit(True)))
+    interval, quantiles = kind == "interval", kind.isin("quantiles", "date_quantiles")
+    statistical = interval_kind.isin("confidence", "credible")
+    most = F.when(unit == "probability", 1.0).when(unit == "percent", 100.0).when(unit == "calendar_year", 9999.0)
+    least = F.when(unit == "calendar_year", 1.0).when(unit.isin(*NONNEGATIVE), 0.0)
+    bound = F.get(numbers, F.lit(0))
+    rules = {
+        "value_range": interval & (F.get(numbers, F.lit(0)) > F.get(numbers, F.lit(1))),
+        "interval_level": interval & ((F.coalesce(statistical, F.lit(False)) != level.isNotNull()) | (level <= 0) | (level >= 1)),
+        "quantile_order": quantiles & (F.exists(shares, lambda q: (q < 0) | (q > 1)) | ~ascends(shares, True)),
+        "quantile_monotonicity": quantiles & ~ascends(numbers, False),
+        "empty_bound": ~inclusive & (((kind == "upper_bound") & (bound <= least)) | ((kind == "lower_bound") & (bound >= most))),
+        "unit_range": F.exists(numbers, lambda n: n < least) | (unit.isin("percent", "calendar_year") & F.exists(numbers, lambda n: n > most)),
+        "probability_range": (unit == "probability") & F.exists(numbers, lambda n: n > 1),
+        "integer_unit": unit.isin(*WHOLE) & F.exists(numbers, lambda n: n != F.floor(n)),
+    }
+    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules.items()]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import extract, filters, ingest, joins, paging, quality, read_models
+from quern.operators import evidence, extract, filters, ingest, joins, paging, quality, read_models
 from quern.plans.registry import query
 from quern.scratch import shared_folder
 from quern.session import table
@@ -204,3 +204,40 @@ def snk_files(spark, sf):
     sinks.write_snapshot({"orders": o}, path)
     sinks.write_snapshot({"orders": o.where("o_orderstatus = 'F'")}, path)
     return artifacts.json_lines(spark, f"{path}/orders", "o_orderkey long, o_orderstatus string").select("o_orderkey", "o_orderstatus")
+
+
+@query(
+    "ev_record_errors",
+    "WITH r AS (SELECT o_orderkey, o_orderkey % 50 = 0 AS synth, o_orderdate AS known, o_orderdate + INTERVAL 1 DAY * (o_custkey % 3 - 2) AS got, CASE WHEN o_custkey % 4 > 0 THEN o_orderdate + INTERVAL 30 DAY END AS rev, CASE o_custkey % 5 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'machine_validated' ELSE 'human_verified' END AS state, o_custkey % 6 <> 0 AS who, o_orderstatus = 'F' AS elig, CASE o_custkey % 7 WHEN 0 THEN 'restricted' WHEN 1 THEN 'metadata_only' ELSE 'redistribution_allowed' END AS rights, o_orderpriority = '1-URGENT' AS stmt, o_custkey % 2 = 0 AS excerpt FROM orders) SELECT o_orderkey, array_to_string(list_filter([CASE WHEN synth THEN 'mixed_synthetic' END, CASE WHEN got > known OR known > TIMESTAMP '1998-07-01' OR coalesce(rev > TIMESTAMP '1998-07-01', false) THEN 'time_order' END, CASE WHEN state <> 'unreviewed' AND rev IS NULL THEN 'review_timestamp' END, CASE WHEN state = 'human_verified' AND NOT who THEN 'human_reviewer' END, CASE WHEN elig AND (state <> 'human_verified' OR rights = 'restricted') THEN 'publication_gate' END, CASE WHEN elig AND (excerpt OR stmt) AND rights <> 'redistribution_allowed' THEN 'content_rights' END], lambda x: x IS NOT NULL), ',') AS codes FROM r",
+)
+def ev_record_errors(spark, sf):
+    k = F.col("o_custkey")
+    r = table(spark, sf, "orders").select(
+        "o_orderkey",
+        (F.col("o_orderkey") % 50 == 0).alias("is_synthetic"),
+        F.col("o_orderdate").alias("known_at"),
+        (F.col("o_orderdate") + F.make_dt_interval((k % 3 - 2).cast("int"))).alias("retrieved_at"),
+        F.when(k % 4 > 0, F.col("o_orderdate") + F.make_dt_interval(F.lit(30))).alias("reviewed_at"),
+        F.when(k % 5 == 0, "unreviewed").when(k % 5 == 1, "machine_validated").otherwise("human_verified").alias("review_state"),
+        F.when(k % 6 != 0, "someone").alias("reviewer"),
+        F.when(F.col("o_orderstatus") == "F", "eligible").otherwise("held").alias("publication_state"),
+        F.when(k % 7 == 0, "restricted").when(k % 7 == 1, "metadata_only").otherwise("redistribution_allowed").alias("rights_state"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "statement").otherwise("source").alias("record_type"),
+        (k % 2 == 0).alias("has_excerpt"),
+    )
+    codes = evidence.record_errors(F.lit("1998-07-01").cast("timestamp_ntz"), F.lit(False))
+    return r.select("o_orderkey", F.array_join(codes, ",").alias("codes"))
+
+
+@query(
+    "ev_value_errors",
+    "WITH v AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS k, l_partkey % 5 AS u, l_quantity AS a, l_quantity + (l_partkey % 3 - 1) * 10 AS b, l_discount AS d FROM lineitem) SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN k = 0 AND a > b THEN 'value_range' END, CASE WHEN k = 0 AND ((d > 0.03) <> (d > 0.05)) THEN 'interval_level' END, CASE WHEN k = 1 AND d >= 0.05 THEN 'quantile_order' END, CASE WHEN k = 1 AND a > b THEN 'quantile_monotonicity' END, CASE WHEN k = 2 AND u = 4 AND a <= 1 THEN 'empty_bound' WHEN k = 3 AND u IN (0) AND a >= 1 THEN 'empty_bound' WHEN k = 3 AND u = 1 AND a >= 100 THEN 'empty_bound' END, CASE WHEN (u IN (0, 1, 2) AND (a < 0 OR (k < 2 AND b < 0))) OR (u = 4 AND (a < 1 OR (k < 2 AND b < 1))) THEN 'unit_range' END, CASE WHEN u = 0 AND (a > 1 OR (k < 2 AND b > 1)) THEN 'probability_range' END], lambda x: x IS NOT NULL), ',') AS codes FROM v",
+)
+def ev_value_errors(spark, sf):
+    """Intervals, quantiles and bounds of all units, some with numbers out of order or out of their unit's range."""
+    k, u, a, d = F.col("l_suppkey") % 4, F.col("l_partkey") % 5, F.col("l_quantity"), F.col("l_discount")
+    b = a + (F.col("l_partkey") % 3 - 1) * 10
+    kind = F.when(k == 0, "interval").when(k == 1, "quantiles").when(k == 2, "upper_bound").otherwise("lower_bound")
+    unit = F.when(u == 0, "probability").when(u == 1, "percent").when(u == 2, "people").when(u == 3, "dollars").otherwise("calendar_year")
+    codes = evidence.value_errors(kind, unit, F.when(k < 2, F.array(a, b)).otherwise(F.array(a)), F.when(d > 0.05, 0.9), F.array(d, F.lit(0.05)), F.when(d > 0.03, "credible").otherwise("range"), F.lit(False))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(codes, ",").alias("codes"))

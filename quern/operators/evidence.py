@@ -199,3 +199,27 @@ def value_errors(kind: Column, unit: Column, numbers: Column, level: Column, sha
         "integer_unit": unit.isin(*WHOLE) & F.exists(numbers, lambda n: n != F.floor(n)),
     }
     return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for code, broken in rules.items()]))
+
+
+def decode_code(code: Column, fields: dict[str, int]) -> Column:
+    """struct of the fields that a code given as text packs, lowest bits first; blank is missing, and 0 is a code like others."""
+    plain = F.trim(code)
+    number = F.when(plain.rlike("^[0-9]+$"), plain.try_cast("long"))
+    out, at = [], 0
+    for name, bits in fields.items():
+        out.append(F.when(number < (1 << sum(fields.values())), F.call_function("shiftright", number, F.lit(at)).bitwiseAND((1 << bits) - 1)).alias(name))
+        at += bits
+    return F.struct(*out)
+
+
+def graph_problems(edges: DataFrame, graph: str, source: str, target: str, most_nodes: int, most_edges: int) -> DataFrame:
+    """(graph, nodes, edges, problem) of each graph: too_many_nodes, too_many_edges, self_edge, or null."""
+    ends = edges.select(graph, F.explode(F.array(source, target)).alias("_node")).groupBy(graph).agg(F.countDistinct("_node").alias("nodes"))
+    counts = edges.groupBy(graph).agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col(source) == F.col(target), 1)).alias("_self"))
+    problem = F.when(F.col("nodes") > most_nodes, "too_many_nodes").when(F.col("edges") > most_edges, "too_many_edges").when(F.col("_self") > 0, "self_edge")
+    return counts.join(ends, graph).select(graph, "nodes", "edges", problem.alias("problem"))
+
+
+def local_ids(ids: Column, artifact: Column, size: int = 12) -> Column:
+    """Ids of nodes that hold within one artifact only, named by the artifact's digest."""
+    return F.concat_ws(":", F.substring(F.sha2(artifact, 256), 1, size), ids.cast("string"))

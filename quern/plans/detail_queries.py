@@ -241,3 +241,33 @@ def ev_value_errors(spark, sf):
     unit = F.when(u == 0, "probability").when(u == 1, "percent").when(u == 2, "people").when(u == 3, "dollars").otherwise("calendar_year")
     codes = evidence.value_errors(kind, unit, F.when(k < 2, F.array(a, b)).otherwise(F.array(a)), F.when(d > 0.05, 0.9), F.array(d, F.lit(0.05)), F.when(d > 0.03, "credible").otherwise("range"), F.lit(False))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(codes, ",").alias("codes"))
+
+
+@query("ev_decode_code", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 32 & 3 END AS a, CASE WHEN l_partkey % 7 <> 0 THEN (l_partkey % 32 >> 2) & 7 END AS b FROM lineitem")
+def ev_decode_code(spark, sf):
+    code = F.when(F.col("l_partkey") % 7 == 0, " ").otherwise((F.col("l_partkey") % 32).cast("string"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", evidence.decode_code(code, {"a": 2, "b": 3}).alias("c")).select("l_orderkey", "l_linenumber", "c.a", "c.b")
+
+
+@query(
+    "ev_graph_problems",
+    "WITH e AS (SELECT l_orderkey AS g, l_partkey % 9 AS s, l_suppkey % 9 AS t FROM lineitem), n AS (SELECT g, count(DISTINCT x) AS nodes FROM (SELECT g, s AS x FROM e UNION ALL SELECT g, t FROM e) GROUP BY 1), c AS (SELECT g, count(*) AS edges, count(*) FILTER (WHERE s = t) AS own FROM e GROUP BY 1) SELECT g, nodes, edges, CASE WHEN nodes > 6 THEN 'too_many_nodes' WHEN edges > 5 THEN 'too_many_edges' WHEN own > 0 THEN 'self_edge' END AS problem, substring(sha256('g' || g), 1, 12) || ':7' AS local FROM c JOIN n USING (g)",
+)
+def ev_graph_problems(spark, sf):
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_partkey") % 9).alias("s"), (F.col("l_suppkey") % 9).alias("t"))
+    return evidence.graph_problems(e, "g", "s", "t", 6, 5).withColumn("local", evidence.local_ids(F.lit(7), F.concat(F.lit("g"), F.col("g").cast("string"))))
+
+
+@query(
+    "src_paged",
+    "WITH p AS (SELECT o_custkey AS feed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page, o_orderkey, o_orderstatus <> 'P' AS more FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT *, coalesce(lag(more) OVER (PARTITION BY feed ORDER BY page), true) AS led FROM p), c AS (SELECT *, NOT bool_and(led) OVER (PARTITION BY feed ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken FROM b) SELECT feed, page::BIGINT AS page, i::INT AS place, 'i' || o_orderkey || '/' || i AS item, broken FROM c, (SELECT unnest(range(2)) AS i)",
+)
+def src_paged(spark, sf):
+    from pyspark.sql.window import Window
+
+    o = table(spark, sf, "orders").where("o_orderkey % 3 <> 0")
+    page = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
+    item = lambda i: F.concat(F.lit("i"), F.col("o_orderkey").cast("string"), F.lit(f"/{i}"))
+    payload = F.to_json(F.struct(F.array(item(0), item(1)).alias("feed"), F.when(F.col("o_orderstatus") != "P", "next").alias("cursor")))
+    pages = o.select(F.col("o_custkey").alias("feed"), page.alias("page"), payload.alias("payload"))
+    return feeds.paged(pages, "feed", "page", "payload", "$.feed", "$.cursor")

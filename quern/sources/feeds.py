@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RSS_ITEM = "struct<guid:string,link:string,title:string,pubDate:string,author:string,description:string>"
 ATOM_ENTRY = "struct<id:string,link:struct<_href:string>,title:string,published:string,updated:string,author:struct<name:string>,summary:string>"
@@ -62,3 +63,17 @@ def episodes(payloads: DataFrame, payload: str, *keep: str) -> DataFrame:
     parts = F.transform(F.split("e.duration", ":"), lambda p: p.try_cast("int"))
     seconds = F.when(F.col("e.duration").rlike(r"^\d+(?::\d{1,2}){0,2}$"), F.aggregate(parts, F.lit(0), lambda acc, p: acc * 60 + p))
     return e.select(*keep, "e.guid", F.nullif(F.trim("e.title"), F.lit("")).alias("title"), seconds.alias("seconds"), F.col("e.enclosure.url").alias("audio"), F.col("e.enclosure.type").startswith("audio/").alias("is_audio"))
+
+
+def paged(pages: DataFrame, feed: str, page: str, payload: str, items: str, cursor: str) -> DataFrame:
+    """(feed, page, place, item, broken): the items of paged feeds in order, and whether the pages before are a whole chain.
+
+    ``items`` and ``cursor`` are JSON paths to the list and to the cursor of the next page; a page is
+    ``broken`` if one before it is missing or had no cursor to lead on.
+    """
+    rows = pages.select(feed, page, F.from_json(F.get_json_object(payload, items), "array<string>").alias("_items"), F.get_json_object(payload, cursor).alias("_next"))
+    w = Window.partitionBy(feed).orderBy(page)
+    led = F.when(F.lag(page).over(w).isNull(), F.col(page) == 0).otherwise((F.lag(page).over(w) == F.col(page) - 1) & F.lag("_next").over(w).isNotNull())
+    marked = rows.withColumn("_led", led)
+    marked = marked.withColumn("broken", F.min(F.col("_led").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0)
+    return marked.select(feed, page, "broken", F.posexplode("_items").alias("place", "item"))

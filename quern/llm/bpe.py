@@ -35,7 +35,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of text whose words are merged together.
 CHUNK = 4_000_000
 #: Words of one generation of an encoder's memory, and their characters.
-REMEMBER, REMEMBER_CHARS = 60_000, 1_200_000
+REMEMBER, REMEMBER_CHARS = 120_000, 2_400_000
 #: Texts that a task encodes and hands back at once.
 PART = 256
 

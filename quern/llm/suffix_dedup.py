@@ -102,27 +102,31 @@ def segments(text: bytes | np.ndarray, ends: np.ndarray, length: int = LENGTH) -
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def finer(data: np.ndarray, anchor: np.uint64, first: int, stop: int, length: int) -> list[tuple[int, int, int]]:
-    """(key, first, stop) of the pieces of a segment whose strings have the same bytes beside their anchor.
+def finer(data: np.ndarray, anchor: np.ndarray, first: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, key, first, stop) of the pieces of segments whose strings have the same bytes beside their anchor.
 
     The anchor is the leftmost one of a string, and the bytes are those of its longer side, so equal
     strings have equal keys.
     """
     gram = min(GRAM, length)
     side = (length - gram) // 2
-    if not side:
-        return [(int(anchor), first, stop)]
-    body = data[first : stop - 1 + length]
-    places = np.flatnonzero(gram_hashes(body, gram) == anchor)
-    start = np.arange(stop - first)
-    place = places[np.searchsorted(places, start)]
+    if not side or not len(first):
+        return np.arange(len(first)), anchor, first, stop
+    size = stop - first
+    owner = np.repeat(np.arange(len(first)), size)
+    start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    grams, beside = gram_hashes(data, gram), gram_hashes(data, side)
+    place, open_ = np.zeros(len(start), np.int64), np.arange(len(start))
+    for offset in range(length - gram + 1):
+        hit = grams[start[open_] + offset] == anchor[owner[open_]]
+        place[open_[hit]] = start[open_[hit]] + offset
+        open_ = open_[~hit]
     behind = place - start <= length - gram - side
-    beside = gram_hashes(body, side)[np.where(behind, place + gram, place - side)]
-    key = (beside ^ anchor) * _ODD + behind.astype(np.uint64)
+    key = (beside[np.where(behind, place + gram, place - side)] ^ anchor[owner]) * _ODD + behind.astype(np.uint64)
     key ^= key >> np.uint64(29)
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    tail = np.append(head[1:], len(key))
-    return list(zip(key[head].tolist(), (head + first).tolist(), (tail + first).tolist()))
+    head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+    tail = np.append(head[1:], len(key)) - 1
+    return owner[head], key[head], start[head], start[tail] + 1
 
 
 def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
@@ -288,9 +292,10 @@ def _segments_out(parts: int, length: int):
             for mark, answer in ((wanted, both[0]), (hot, both[1])):
                 mark[own[np.unpackbits(answer, count=len(own)).astype(bool)]] = True
         keep = np.flatnonzero(wanted[index])
-        cut = [(key, doc[k], a, b) for k in keep[hot[index[keep]]].tolist() for key, a, b in finer(np.frombuffer(text, np.uint8), anchor[k], int(first[k]), int(stop[k]), length)]
+        warm = keep[hot[index[keep]]]
         keep = keep[~hot[index[keep]]]
-        anchor, doc, first, stop = (np.append(whole[keep], np.array(part, whole.dtype)) for whole, part in zip((anchor, doc, first, stop), zip(*cut) if cut else ((),) * 4))
+        own, key, begin, end = finer(np.frombuffer(text, np.uint8), anchor[warm], first[warm], stop[warm], length)
+        anchor, doc, first, stop = (np.append(calm[keep], cut) for calm, cut in zip((anchor, doc, first, stop), (key, doc[warm][own], begin, end)))
         keep = np.argsort(first, kind="stable")
         number = np.array(ids, np.int64)[doc]
         # documents come by ascending id, so the first segment of a content is from its smallest

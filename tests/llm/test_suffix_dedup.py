@@ -76,8 +76,8 @@ def test_hot_anchor_is_dealt_over_parts(spark):
     data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
     anchor, _, first, stop = sd.segments(data, np.cumsum([len(t) for _, t in rows]), 50)
     hot = max(set(anchor.tolist()), key=anchor.tolist().count)
-    own = [k for k in range(len(anchor)) if anchor[k] == hot]
-    keys = {key for k in own for key, _, _ in sd.finer(data, anchor[k], int(first[k]), int(stop[k]), 50)}
+    own = np.flatnonzero(anchor == hot)
+    keys = set(sd.finer(data, anchor[own], first[own], stop[own], 50)[1].tolist())
     assert len(own) > 100 and len(keys) > 100
 
 

@@ -28,7 +28,6 @@ outputs; rows with a null id are dropped, for they have no order.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quern.llm import bpe, decontaminate, fingerprints, language, licenses, pii, sharding, simhash, suffix_dedup, token_counts
+from quern.llm import bpe, decontaminate, fingerprints, language, licenses, pii, resample, sharding, simhash, suffix_dedup, token_counts
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op8_bpe": bpe.op8_bpe,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
+        "op12_resample": resample.op12_resample,
     }
 
 

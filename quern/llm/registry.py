@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quern.llm import bpe, decontaminate, fingerprints, language, licenses, pii, resample, sharding, simhash, suffix_dedup, token_counts
+from quern.llm import bpe, centroids, decontaminate, fingerprints, language, licenses, pii, resample, sharding, simhash, suffix_dedup, token_counts
 
 
 def queries():
@@ -19,12 +19,13 @@ def queries():
         "op8_bpe": bpe.op8_bpe,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
+        "op11_centroids": centroids.op11_centroids,
         "op12_resample": resample.op12_resample,
     }
 
 
 def oracle_sql():
-    found = {"op1_licenses": licenses.op1_sql()}
+    found = {"op1_licenses": licenses.op1_sql(), "op11_centroids": centroids.op11_sql()}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

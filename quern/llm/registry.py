@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quern.llm import bpe, centroids, decontaminate, fingerprints, language, licenses, pii, resample, sharding, simhash, suffix_dedup, token_counts
+from quern.llm import bpe, centroids, decontaminate, fingerprints, language, licenses, minhash, pii, resample, sharding, simhash, suffix_dedup, token_counts
 
 
 def queries():
@@ -21,11 +21,12 @@ def queries():
         "op10_simhash": simhash.op10_simhash,
         "op11_centroids": centroids.op11_centroids,
         "op12_resample": resample.op12_resample,
+        "op13_minhash": minhash.op13_minhash,
     }
 
 
 def oracle_sql():
-    found = {"op1_licenses": licenses.op1_sql(), "op11_centroids": centroids.op11_sql()}
+    found = {"op1_licenses": licenses.op1_sql(), "op11_centroids": centroids.op11_sql(), "op13_minhash": minhash.op13_sql()}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -68,28 +68,6 @@ def generations(arrivals: DataFrame, key: str, digest: str, *order: str) -> Data
     return first.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).select(key, digest, "version", *[F.col(f"_at.{c}").alias(c) for c in order])
 
 
-def sealed_shards(arrivals: DataFrame, queue: list[str], time: str, id: str, size: str, seconds: int = 300, records: int = 4096, most_bytes: int = 64 << 20) -> DataFrame:
-    """(queue, slice, shard, records, bytes): shards that hold at most ``seconds``, ``records`` and ``most_bytes``.
-
-    A slice of time is cut where a further record would pass either bound of its running sums; a record
-    above the bytes is a shard of its own.
-    """
-    slice_ = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000))
-    w = Window.partitionBy(*queue, "slice").orderBy(time, id)
-    n = F.row_number().over(w) - 1
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    half = max(1, most_bytes // 2)  # a cut at each half keeps a shard below the whole
-    cut = arrivals.withColumn("slice", slice_).withColumn("shard", F.struct(F.floor(n / records).alias("a"), F.floor(before / half).alias("b")))
-    return cut.groupBy(*queue, "slice", "shard").agg(F.count(F.lit(1)).alias("records"), F.sum(size).alias("bytes"))
-
-
-def paused(levels: DataFrame, queue: str, order: list[str], level: str, high: float, low: float) -> DataFrame:
-    """Add ``paused``: a queue stops at ``high`` and goes on at ``low``, and keeps its state in between."""
-    w = Window.partitionBy(queue).orderBy(*order)
-    mark = F.when(F.col(level) >= high, True).when(F.col(level) <= low, False)
-    return levels.withColumn("paused", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)))
-
-
 def checkpoints(runs: DataFrame, source: str, order: list[str], ok: str, *carried: str) -> DataFrame:
     """Per source what its last good run left in ``carried``, the failures since then, and the seconds to wait."""
     at = F.struct(*order)

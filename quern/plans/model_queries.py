@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as tx
-from quern.operators import comparability, evidence, extract, filters, ingest, paging, read_models, review, trends
+from quern.operators import comparability, evidence, extract, filters, ingest, paging, queues, read_models, review, trends
 from quern.plans.registry import query
 from quern.scratch import shared_folder
 from quern.session import table
@@ -249,16 +249,26 @@ def sm_generations(spark, sf):
 
 @query(
     "sm_sealed_shards",
-    "WITH s AS (SELECT event_type, event_id, floor(epoch_us(ts) / 86400000000) AS slice, row_number() OVER w - 1 AS n, coalesce(sum(length(props)) OVER (PARTITION BY event_type, floor(epoch_us(ts) / 86400000000) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, length(props) AS size FROM events WINDOW w AS (PARTITION BY event_type, floor(epoch_us(ts) / 86400000000) ORDER BY ts, event_id)) SELECT event_type, slice::BIGINT AS slice, (n // 50)::BIGINT AS a, (b // 300)::BIGINT AS b, count(*) AS records, sum(size)::BIGINT AS bytes FROM s GROUP BY 1, 2, 3, 4",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, epoch_us(ts) AS t, length(props) AS b FROM events),
+    one_by_one AS (SELECT event_type, n, n AS first, t AS opened, b AS held FROM e WHERE n = 1
+        UNION ALL
+        SELECT event_type, n, CASE WHEN cut THEN n ELSE first END, CASE WHEN cut THEN t ELSE opened END, CASE WHEN cut THEN b ELSE held + b END
+        FROM (SELECT e.*, o.first, o.opened, o.held, e.n - o.first >= 45 OR o.held + e.b > 400 OR e.t - o.opened >= 43200000000 AS cut FROM one_by_one o JOIN e ON e.event_type = o.event_type AND e.n = o.n + 1))
+    SELECT event_type, first - 1 AS shard, count(*) AS records, sum(b)::BIGINT AS bytes, min(t) AS opened, max(t) AS closed FROM one_by_one JOIN e USING (event_type, n) GROUP BY 1, 2""",
 )
 def sm_sealed_shards(spark, sf):
     e = table(spark, sf, "events").withColumn("size", F.length("props"))
-    return ingest.sealed_shards(e, ["event_type"], "ts", "event_id", "size", 86400, 50, 600).select("event_type", "slice", "shard.a", "shard.b", "records", "bytes")
+    placed = queues.sealed(e, ["event_type"], "ts", "event_id", "size", 43200, 45, 400)
+    return queues.shards(placed, ["event_type"], "ts", "size").select("event_type", "shard", "records", "bytes", F.unix_micros("opened").alias("opened"), F.unix_micros("closed").alias("closed"))
 
 
-@query("sm_paused", "SELECT event_id, coalesce(last_value(CASE WHEN value >= 40 THEN true WHEN value <= 5 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS paused FROM events")
+@query(
+    "sm_paused",
+    """WITH m AS (SELECT event_id, user_id, ts, value, sum((value >= 40 OR value < 5)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
+    SELECT event_id, coalesce(max(value) FILTER (WHERE value >= 40 OR value < 5) OVER (PARTITION BY user_id, run) >= 40, false) AS paused FROM m""",
+)
 def sm_paused(spark, sf):
-    return ingest.paused(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 40.0, 5.0).select("event_id", "paused")
+    return queues.paused(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 40.0, 5.0).select("event_id", "paused")
 
 
 @query(

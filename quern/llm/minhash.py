@@ -16,8 +16,10 @@ Texts with one set are one point, so copies never multiply. A
 group is not compared in all pairs: components need only links that join. Two rounds of stars compare
 one member of each component in a bucket with one member of the bucket's largest component; after
 them, the members of a bucket that still lie in different components are compared (``crossings``), in blocks
-of bounded size, and of those pairs none is left out. The largest component of a bucket is not
-compared with itself, so work on a group of near copies grows with its size.
+of bounded size, and of those pairs none is left out: first by sketches, then on the sets of those in
+doubt. No pair leaves a task unless it is a link. The largest component of a bucket is not compared
+with itself, so work on a group of near copies grows with its size; only texts that are
+like one another but not alike enough cost pairs, a comparison of two sketches each.
 
 Defined cases: null and empty texts and texts without words have the empty set and are linked with
 nothing; fewer words than a shingle make one shingle; long texts are read whole; repeated rows are
@@ -97,7 +99,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text) with ``_p``: the size of its set, the set's digest, its bands' keys and a byte of each coordinate."""
+    """``docs`` (id, text) with ``_p``: the size of its set, the set's digest, its bands' keys as bytes and a byte of each coordinate."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = _WordHashes()
@@ -108,7 +110,7 @@ def prints(docs: DataFrame) -> DataFrame:
                 sketch = sketches(sets)
                 done[0].append(np.array([len(s) for s in sets], np.int64))
                 done[1] += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                done[2].append(band_keys(sketch).view(np.int64).ravel())
+                done[2] += [row.tobytes() for row in band_keys(sketch)]
                 done[3] += [row.tobytes() for row in (sketch & np.uint64(255)).astype(np.uint8)]
 
             sets, held = [], 0
@@ -119,14 +121,24 @@ def prints(docs: DataFrame) -> DataFrame:
                     flush(sets)
                     sets, held = [], 0
             flush(sets)
-            offsets = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(done[2])))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(done[0])), pa.array(done[1], pa.binary()), keys, pa.array(done[3], pa.binary())], names=["n", "set", "keys", "sketch"])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(done[0])), *(pa.array(x, pa.binary()) for x in done[1:])], names=["n", "set", "bands", "sketch"])
         memory.clear()
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.withColumn("_p", F.arrow_udf(run, "n long, set binary, keys array<long>, sketch binary").asNondeterministic()("text"))
+    return docs.withColumn("_p", F.arrow_udf(run, "n long, set binary, bands binary, sketch binary").asNondeterministic()("text"))
+
+
+def keys_of(points: DataFrame) -> DataFrame:
+    """(point, band, key): a row for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(keys)], names=["point", "band", "key"])
+
+    return points.select("point", "bands").mapInArrow(run, "point long, band int, key long")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -164,21 +176,12 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
 
 
-def alike_sketches(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Which rows of ``b`` may be as similar to the row ``a`` as ``least`` says, by sizes and sketches."""
-    near = 100 * np.minimum(size_a, size_b) >= least * np.maximum(size_a, size_b)
-    out = np.zeros(len(b), bool)
-    rows = np.flatnonzero(near)
-    out[rows] = (b[rows] == a).sum(axis=1) >= AGREE
-    return out
-
+def open_rows(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (group, key, left, right, side, small, point, root): all members of a bucket that holds several components, as blocks meet.
 
-def crossings(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all members of a bucket that lie in different components and whose sketches are alike.
-
-    Of a bucket's largest component no member is compared with another of it. The others are the left
-    side, all are the right side; both are dealt into blocks of about ``BLOCK``, and each left block
-    meets each right one. Small buckets share a group.
+    Of a bucket's largest component no member is compared with another of it. The others (``small``) are the
+    left side (0), all are the right side (1); both are dealt into blocks of about ``BLOCK``, and each left
+    block meets each right one. Small buckets share a group.
     """
     own = rooted(members, roots)
     of_root = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -187,32 +190,105 @@ def crossings(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFr
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     plan = written(of_key.select("key", F.col("big.root").alias("big"), blocks(rest).alias("lefts"), blocks(F.col("all")).alias("rights"), rest.alias("rest"), "all"))
     sent = plan.agg(F.sum(F.col("all") * F.col("lefts") + F.col("rest") * F.col("rights"))).first()[0] or 0
-    groups = 1 + sent // GROUP
 
-    open_ = joined_hot(own.select("key", "point", "root"), plan.select("key", "big", "lefts", "rights"), "key", "point").join(points.select("point", "n", "sketch"), "point")
+    open_ = joined_hot(own.select("key", "point", "root"), plan.select("key", "big", "lefts", "rights"), "key", "point").withColumn("small", F.col("root") != F.col("big"))
     block = lambda n: F.pmod(F.xxhash64("point", "key"), n).cast("int")
-    left = open_.where("root <> big").withColumn("left", block(F.col("lefts"))).withColumn("right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0))
+    left = open_.where("small").withColumn("left", block(F.col("lefts"))).withColumn("right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0))
     right = open_.withColumn("right", block(F.col("rights"))).withColumn("left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(1))
-    shown = [F.pmod(F.xxhash64("key", "left", "right"), F.lit(groups)).alias("group"), "key", "left", "right", "side", "point", "root", "n", "sketch"]
-
-    def compare(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(group))
-        key, lefts, rights, side, point, root, n = (table.column(c).to_numpy() for c in ("key", "left", "right", "side", "point", "root", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(point), SIZE)
-        order = np.lexsort((side, rights, lefts, key))
-        apart = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(lefts[order]) != 0) | (np.diff(rights[order]) != 0)) + 1
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for rows in np.split(order, apart):
-            cut = int(np.searchsorted(side[rows], 1))
+    shown = [F.pmod(F.xxhash64("key", "left", "right"), F.lit(1 + sent // GROUP)).alias("group"), "key", "left", "right", "side", "small", "point", "root"]
+    return left.select(shown).unionByName(right.select(shown))
+
+
+class _Block:
+    """The rows of a group, and the pairs in it that may be alike."""
+
+    def __init__(self, group: Iterator[pa.RecordBatch], least: int):
+        self.table, self.least = pa.Table.from_batches(list(group)), least
+        number = lambda name: self.table.column(name).to_numpy()
+        self.key, self.left, self.right, self.side, self.point, self.root, self.n = map(number, ("key", "left", "right", "side", "point", "root", "n"))
+        self.small = self.table.column("small").to_numpy(zero_copy_only=False)
+        self.keys = np.frombuffer(b"".join(self.table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+        self.sketch = np.frombuffer(b"".join(self.table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, rows, agreement): each left row with the right rows that it may be alike to, each pair once and in the first bucket that it shares."""
+        order = np.lexsort((self.side, self.right, self.left, self.key))
+        ends = [np.diff(x[order]) != 0 for x in (self.key, self.left, self.right)]
+        for rows in np.split(order, np.flatnonzero(ends[0] | ends[1] | ends[2]) + 1):
+            cut = int(np.searchsorted(self.side[rows], 1))
+            others = rows[cut:]
             for i in rows[:cut].tolist():
-                j = rows[cut:][root[rows[cut:]] != root[i]]
-                j = j[alike_sketches(sketch[i], n[i], sketch[j], n[j])]
-                if len(j):
-                    a.append(np.maximum(point[j], point[i]))
-                    b.append(np.minimum(point[j], point[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                j = others[self.root[others] != self.root[i]]
+                j = j[~self.small[j] | (self.point[j] < self.point[i])]  # of two small ones either could be the left
+                j = j[100 * np.minimum(self.n[i], self.n[j]) >= self.least * np.maximum(self.n[i], self.n[j])]
+                agree = (self.sketch[j] == self.sketch[i]).sum(axis=1)
+                j, agree = j[agree >= AGREE], agree[agree >= AGREE]
+                first = (self.keys[j] == self.keys[i]).argmax(axis=1)
+                here = first == int((self.keys[i] == self.key[i]).argmax())
+                if here.any():
+                    yield i, j[here], agree[here]
+
+
+def in_doubt(rows: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """Those of ``rows`` that take part in a pair whose sketches are alike."""
+    kinds = {x.name: x.dataType for x in rows.schema.fields}
+
+    def take_part(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(group, least)
+        marked = np.zeros(len(block.point), bool)
+        for i, j, _ in block.candidates():
+            marked[i] = True
+            marked[j] = True
+        yield from block.table.select(list(kinds)).filter(pa.array(marked)).combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{k}` {v.simpleString()}" for k, v in kinds.items())
+    return rows.join(points.select("point", "n", "bands", "sketch"), "point").groupBy("group").applyInArrow(take_part, schema)
+
+
+def crossings(members: DataFrame, points: DataFrame, roots: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
+    """Links (a, b) that join the members of a bucket that lie in different components, verified on the sets.
+
+    Only rows in doubt get their sets. A link joins two components within its group, and pairs of what is
+    joined are not compared any more; all others in doubt are.
+    """
+    rows = in_doubt(open_rows(members, points, roots), points, least)
+    whole = written(rows).join(points.select("point", "n", "bands", "sketch"), "point").join(sets, "point")
 
-    return left.select(shown).unionByName(right.select(shown)).groupBy("group").applyInArrow(compare, "a long, b long").distinct()
+    def compare(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(group, least)
+        column = block.table.column("set").combine_chunks()
+        flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()  # unsigned, they ascend
+        joined: dict[int, int] = {}
+
+        def find(root: int) -> int:
+            while root in joined:
+                root = joined[root]
+            return root
+
+        a, b = [], []
+        for i, j, agree in block.candidates():
+            j = j[np.argsort(-agree, kind="stable")]
+            own = flat[ends[i] : ends[i + 1]]
+            size = 8
+            while len(j):
+                here = find(int(block.root[i]))
+                part = [x for x in j[:size].tolist() if find(int(block.root[x])) != here]
+                j, size = j[size:], 256
+                if not part:
+                    continue
+                other = np.concatenate([flat[ends[x] : ends[x + 1]] for x in part])
+                hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                n = block.n[part]
+                both = np.add.reduceat(hit, np.append(0, np.cumsum(n)[:-1]), dtype=np.int64)
+                for x in np.array(part)[100 * both >= least * (len(own) + n - both)].tolist():
+                    p, q = find(int(block.root[i])), find(int(block.root[x]))
+                    if p != q:
+                        joined[max(p, q)] = min(p, q)
+                        a.append(max(block.point[i], block.point[x]))
+                        b.append(min(block.point[i], block.point[x]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return whole.groupBy("group").applyInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
@@ -227,10 +303,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     """(id, n_shingles, component_id) of each row with an id; ``component_id`` is the smallest id that links lead to."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
     found = written(prints(rows).select("id", "_p.*"))
-    sets_seen = found.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
+    sets_seen = found.where("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     points = written(sets_seen.withColumn("point", F.monotonically_increasing_id()))
 
-    spread = points.select("point", F.posexplode("keys").alias("band", "key"))
+    spread = keys_of(points)
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = written(spread.join(shared, "key", "left_semi"))
     # the sets of all points that share a bucket, read from the text of their smallest id
@@ -246,10 +322,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     edges = sure(tested)
     roots = written(components(edges))
     more = written(stars(members, roots).join(tested, ["a", "b"], "left_anti"))
-    edges, tested = edges.unionByName(sure(more)), tested.unionByName(more)
+    edges = edges.unionByName(sure(more))
     roots = written(components(edges))
-    last = written(crossings(members, points, roots).join(tested, ["a", "b"], "left_anti"))
-    roots = components(edges.unionByName(sure(last)))
+    last = written(crossings(members, points, roots, sets, least))
+    roots = components(edges.unionByName(last))
 
     named = written(points.join(roots.withColumnRenamed("node", "point"), "point", "left").select("set", "least", F.coalesce("root", "point").alias("root")))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -7,10 +7,10 @@ import re
 import unicodedata
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from quern.functions.arrays import running_sums
 
 
 def collapse(c: Column) -> Column:
@@ -191,16 +191,26 @@ def blocked_ipv4(c: Column) -> Column:
     return out
 
 
-def name_key(name: str | None) -> str:
-    """A person's name for matching: no marks, lower case, words of two letters and more."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name or "") if not unicodedata.combining(c)).lower()
-    words = re.sub("[^a-z0-9 ]", "", plain.replace(".", " ").replace("-", " ").replace("'", "")).split()
-    return " ".join(w for w in words if len(w) > 1)
+def _combining() -> str:
+    """A class of all characters that combine with the one before them."""
+    found, ranges = [c for c in range(0x110000) if unicodedata.combining(chr(c))], []
+    for c in found:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
 
+def name_keys(names: Column) -> Column:
+    """A person's name for matching: no marks, lower case, letters and digits of any script in words of two and more.
 
-@F.pandas_udf(StringType())
-def name_keys(names: pd.Series) -> pd.Series:
-    return names.map(name_key)
+    An apostrophe joins what stands beside it, any other sign parts words; null gives an empty key.
+    """
+    apart = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(names, F.lit("")), F.lit(True))
+    plain = F.replace(F.lower(F.regexp_replace(apart, _combining(), "")), F.lit("'"), F.lit(""))
+    words = F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: F.length(w) > 1), " ")
 
 
 def sorted_query(url: str) -> str:
@@ -233,18 +243,15 @@ def profile_link(url: Column) -> Column:
 def sentence_spans(c: Column) -> Column:
     """Sentences with their place: array of (start, stop, text), in characters, stop exclusive; as ``sentences`` cuts them."""
     gap = r"(?<=[.!?])\s+|\n+"
-    pieces = F.split(c, gap, -1)
-    gaps = F.regexp_extract_all(c, F.lit(gap), F.lit(0))
-
-    def add(acc: Column, i: Column) -> Column:
-        raw = F.get(pieces, i)
-        lead = F.length(raw) - F.length(F.ltrim(raw))
-        stop = acc["at"] + F.length(raw)
-        span = F.struct((acc["at"] + lead).alias("start"), (acc["at"] + lead + F.length(F.trim(raw))).alias("stop"), F.trim(raw).alias("text"))
-        return F.struct((stop + F.coalesce(F.length(F.get(gaps, i)), F.lit(0))).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("out"))
-    return F.filter(F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), first, add, lambda acc: acc["out"]), lambda s: s.text != "")
+    pieces, gaps = F.split(c, gap, -1), F.regexp_extract_all(c, F.lit(gap), F.lit(0))
+    lengths = F.zip_with(pieces, gaps, lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0)))
+
+    def place(raw: Column, end: Column) -> Column:
+        at = end["end"] - end["length"] + F.length(raw) - F.length(F.ltrim(raw))
+        return F.struct(at.cast("int").alias("start"), (at + F.length(F.trim(raw))).cast("int").alias("stop"), F.trim(raw).alias("text"))
+
+    ends = F.zip_with(running_sums(lengths), lengths, lambda e, n: F.struct(e.alias("end"), n.alias("length")))
+    return F.filter(F.zip_with(pieces, ends, place), lambda s: s.text != "")
 
 
 def ipv6_groups(c: Column) -> Column:

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.functions import text as tx
 
 THIRD_PARTY = r"(?i)\b(?:he|she|they|critics|experts|some people|others) (?:say|says|said|think|thinks|argue|argues|believe|believes)\b"
 HYPOTHETICAL = r"(?i)\b(?:suppose|imagine|hypothetically|for the sake of argument|let's say)\b"
@@ -25,52 +22,6 @@ def abstain(sentence: Column) -> Column:
     return F.when(sentence.rlike(r"\?\s*$"), "question").when(sentence.rlike(THIRD_PARTY), "third_party").when(sentence.rlike(HYPOTHETICAL), "hypothetical").when(sentence.rlike(NEGATED), "negated").when(sentence.rlike("^[\"“].*[\"”]$"), "quoted")
 
 
-_NUMBER = r"(?<![\d.,+-])(\d+(?:\.\d+)?)"
-_FORMS = (
-    ("range", re.compile(_NUMBER + r"\s*%?\s*(?:-|–|to)\s*(\d+(?:\.\d+)?)\s*(?:%|percent\b)", re.I), lambda a, b: (float(a) / 100, float(b) / 100)),
-    ("point", re.compile(_NUMBER + r"\s*(?:%|percent\b)", re.I), lambda a: (float(a) / 100,) * 2),
-    ("point", re.compile(r"(?<![\d.,+-])(0?\.\d+)(?![\d%])"), lambda a: (float(a),) * 2),
-    ("point", re.compile(r"(?<![\d.,])(\d+)\s*(?:in|out of|/)\s*(\d+)(?!\d|[.,]\d)", re.I), lambda a, b: (float(a) / float(b),) * 2 if float(b) else (9.0, 9.0)),
-)
-MOST = 6
-
-
-def probabilities(sentence: str | None, most: int | None = MOST) -> list[tuple[str, float, float, int, int]]:
-    """(form, low, high, start, stop) of the probabilities that a sentence states; earlier forms take overlaps.
-
-    A sentence without a cue has none, and one with more than ``most`` is not trusted; None trusts all.
-    """
-    if not sentence or not re.search(CUE, sentence):
-        return []
-    taken: list[tuple[str, float, float, int, int]] = []
-    for name, pattern, read in _FORMS:
-        for m in pattern.finditer(sentence):
-            low, high = read(*m.groups())
-            if 0 <= low <= high <= 1 and all(m.end() <= s or m.start() >= e for *_, s, e in taken):
-                taken.append((name, low, high, m.start(), m.end()))
-    return sorted(taken, key=lambda x: x[3]) if most is None or len(taken) <= most else []
-
-
-def extract_statements(docs: DataFrame, id: str, text: str, most: int | None = MOST) -> DataFrame:
-    """One row per stated probability: (id, sentence_index, sentence, form, low, high, start, stop, horizon_end, before, after).
-
-    Sentences are cut and filtered by Spark; Python only reads numbers from those with a cue.
-    """
-    cut = docs.select(id, F.posexplode(tx.sentences(F.col(text))).alias("sentence_index", "sentence"))
-    w = Window.partitionBy(id).orderBy("sentence_index")
-    cut = cut.withColumn("before", F.lag("sentence").over(w)).withColumn("after", F.lead("sentence").over(w))
-    own = cut.where(F.col("sentence").rlike(CUE) & F.col("sentence").rlike("[0-9]") & abstain(F.col("sentence")).isNull())
-    own = own.withColumn("horizon_end", F.coalesce(tx.target_dates(F.col("sentence"))["end"], tx.target_dates(F.col("after"))["end"]))
-    kind = own.schema[id].dataType.simpleString()
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(*row, *p) for row in b.itertuples(index=False) for p in probabilities(row.sentence, most)]
-            yield pd.DataFrame(found, columns=[*b.columns, "form", "low", "high", "start", "stop"])
-
-    return own.mapInPandas(read, f"`{id}` {kind}, sentence_index int, sentence string, before string, after string, horizon_end date, form string, low double, high double, start int, stop int")
-
-
 def review_flags(**flags: Column) -> Column:
     """Names of the flags that hold, sorted."""
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators import evidence, extract
+from quern.operators import evidence, extract, forecasts
 from quern.plans.registry import query
 from quern.session import table
 from quern.sources import feeds, pages, records, sinks
@@ -84,7 +84,7 @@ def snk_atom(spark, sf):
 def ex_probabilities(spark, sf):
     o = table(spark, sf, "orders")
     said = F.format_string("I think the probability is %d%% by %d. Critics say the chance is 3%%. Is the risk 5%%?", F.col("o_orderkey") % 100, F.year("o_orderdate") + 110)
-    return extract.extract_statements(o.select("o_orderkey", said.alias("text")), "o_orderkey", "text").select("o_orderkey", "sentence_index", "form", "low", "high", "horizon_end")
+    return forecasts.numbers_stated(o.select("o_orderkey", said.alias("text")), "o_orderkey", "text").select("o_orderkey", "sentence_index", "form", "low", "high", "horizon_end")
 
 
 @query("ex_documents", "SELECT doc_id, 'My odds are ' || doc_id % 10 || ' in 10.' AS sentence, 'point' AS form, (doc_id % 10) / 10.0::DOUBLE AS low, (doc_id % 10) / 10.0::DOUBLE AS high FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, 'Chances are between 20 to ' || 30 + doc_id % 10 || '% here.', 'range', 0.2::DOUBLE, (30 + doc_id % 10) / 100.0::DOUBLE FROM documents WHERE doc_id % 4 = 1")
@@ -94,7 +94,62 @@ def ex_documents(spark, sf):
     claim = F.when(k != 3, F.concat(F.lit("My odds are "), d, F.lit(" in 10.\n"))).otherwise("Others say the odds are 1 in 10.\n")
     more = F.when(k == 1, F.concat(F.lit("\nChances are between 20 to "), (30 + F.col("doc_id") % 10).cast("string"), F.lit("% here."))).when(k == 2, "\nIs the chance 4%?").otherwise("")
     docs = table(spark, sf, "documents").select("doc_id", F.concat(claim, F.col("text"), more).alias("text"))
-    return extract.extract_statements(docs, "doc_id", "text").select("doc_id", "sentence", "form", "low", "high")
+    return forecasts.numbers_stated(docs, "doc_id", "text").select("doc_id", "sentence", "form", "low", "high")
+
+
+#: A case for each rest of doc_id by ten: p a percentage, q one more, y a year.
+STATED = (
+    "There is a {p}% chance of human extinction by {y}.",
+    "The chance of extinction is {p}% and the chance of takeover is 5%.",
+    "By {y} much will change. The chance of extinction is {p}%.",
+    "I put the probability at {p}%. By that I mean extinction by {y}.",
+    "The probability of AGI is hard to say. {p}% probability by {y}.",
+    "What about extinction this century? I'll give a probability of {p}% for that.",
+    "My probability of AGI is {p}% by {y} and 0.25 by 2090.",
+    "The chance of a takeover is -{p}%.",
+    "My credence is 1-{q}% for catastrophic harm by {y}.",
+    "The chance of extinction is 1 in {q}.",
+)
+
+
+def _with_case(spark, sf, cases):
+    """Whole documents, each with a case behind it; ``at`` is where the case starts."""
+    p, y = F.col("doc_id") % 90 + 1, 2030 + F.col("doc_id") % 50
+    said = F.get(F.array(*[F.lit(x) for x in cases]), (F.col("doc_id") % len(cases)).cast("int"))
+    for mark, value in (("{p}", p), ("{q}", p + 1), ("{y}", y)):
+        said = F.replace(said, F.lit(mark), value.cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", F.concat(text, F.lit("\n"), said).alias("text"), (F.length(text) + 1).alias("at"), F.length(said).alias("n"))
+
+
+@query(
+    "ex_statements",
+    """WITH d AS (SELECT doc_id, doc_id % 10 AS k, doc_id % 90 + 1 AS p, 'by ' || 2030 + doc_id % 50 AS y FROM documents)
+    SELECT doc_id, CASE k WHEN 2 THEN 'horizon_before' WHEN 3 THEN 'that_means' WHEN 4 THEN 'list_item' WHEN 5 THEN 'for_that' ELSE 'sentence' END AS rule,
+        CASE k WHEN 4 THEN 'agi' WHEN 6 THEN 'agi' WHEN 8 THEN 'catastrophe' ELSE 'extinction' END AS outcome, CASE k WHEN 8 THEN 'range' ELSE 'point' END AS kind,
+        CASE k WHEN 8 THEN 0.01 WHEN 9 THEN 1 / (p + 1)::DOUBLE ELSE p / 100::DOUBLE END AS low, CASE k WHEN 8 THEN (p + 1) / 100::DOUBLE WHEN 9 THEN 1 / (p + 1)::DOUBLE ELSE p / 100::DOUBLE END AS high,
+        CASE WHEN k IN (5, 9) THEN NULL ELSE y END AS horizon, true AS whole FROM d WHERE k NOT IN (1, 7)
+    UNION ALL SELECT doc_id, 'sentence', 'agi', 'point', 0.25, 0.25, 'by 2090', true FROM d WHERE k = 6""",
+)
+def ex_statements(spark, sf):
+    """Statements within a sentence and across sentences; ``whole``: they start where the case does and end with the text."""
+    docs = _with_case(spark, sf, STATED)
+    found = forecasts.statements(docs, "doc_id", "text").join(docs.select("doc_id", "at", "n"), "doc_id")
+    whole = (F.col("start") == F.col("at")) & (F.col("stop") == F.col("at") + F.col("n"))
+    return found.select("doc_id", "rule", "outcome", "kind", "low", "high", "horizon", whole.alias("whole"))
+
+
+@query(
+    "ex_nearest_outcomes",
+    """WITH d AS (SELECT doc_id, doc_id % 4 AS k, doc_id % 90 + 1 AS p FROM documents)
+    SELECT doc_id, CASE k WHEN 3 THEN 'takeover' ELSE 'extinction' END AS outcome, p / 100::DOUBLE AS low FROM d WHERE k <> 1
+    UNION ALL SELECT doc_id, 'agi', (p + 1) / 100::DOUBLE FROM d WHERE k = 0 UNION ALL SELECT doc_id, 'takeover', 0.05 FROM d WHERE k = 2""",
+)
+def ex_nearest_outcomes(spark, sf):
+    """Numbers of sentences with several outcomes, each bound to the nearest in its clause; a tie binds to none."""
+    cases = ("The odds of extinction are {p}%, the odds of AGI {q}%.", "Extinction {p}% takeover is my probability.", "There is a {p}% chance of extinction and a 5% chance of takeover.", "The probability of AGI or takeover is {p}%.")
+    found = forecasts.statements(_with_case(spark, sf, cases), "doc_id", "text", by_nearest=True)
+    return found.select("doc_id", "outcome", "low")
 
 
 @query(

@@ -107,10 +107,14 @@ def fn_licence_family(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.licence_family(F.col("text")).alias("family"))
 
 
-@query("fn_name_keys", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'customer' || substring(c_name, 10) ELSE 'eva zolty jr ' || c_custkey + 10 END AS key FROM customer")
+@query(
+    "fn_name_keys",
+    "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'customer ' || substring(c_name, 10) WHEN 1 THEN 'eva zolty jr ' || c_custkey + 10 WHEN 2 THEN 'łukasz dabrowski ' || c_custkey + 10 WHEN 3 THEN 'иван петров ' || c_custkey + 10 ELSE '王小明 oneil ' || c_custkey + 10 END AS key FROM customer",
+)
 def fn_name_keys(spark, sf):
-    shown = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Éva B. Zo\u0301lty-Jr. "), (F.col("c_custkey") + 10).cast("string")))
-    return table(spark, sf, "customer").select("c_custkey", tx.name_keys(shown).alias("key"))
+    n = (F.col("c_custkey") + 10).cast("string")
+    shown = [F.col("c_name"), F.concat(F.lit("Éva B. Zo\u0301lty-Jr. "), n), F.concat(F.lit("Łukasz/Dąbrowski "), n), F.concat(F.lit("Иван Петров, "), n), F.concat(F.lit("王小明 (O'Neil) "), n)]
+    return table(spark, sf, "customer").select("c_custkey", tx.name_keys(F.get(F.array(*shown), (F.col("c_custkey") % 5).cast("int"))).alias("key"))
 
 
 @query("fn_cube_coordinates", "SELECT l_orderkey, l_linenumber, ((l_orderkey * 7 + l_linenumber) // 12) % 5 AS a, ((l_orderkey * 7 + l_linenumber) // 4) % 3 AS b, (l_orderkey * 7 + l_linenumber) % 4 AS c FROM lineitem")

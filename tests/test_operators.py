@@ -3,11 +3,13 @@
 import random
 
 import pytest
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from quern.functions import policy
 from quern.functions import text as tx
-from quern.operators import components, evidence, extract, paging, rules, search, trends
+from quern.operators import components, evidence, extract, forecasts, paging, rules, search, trends
 
 
 def test_pages_cover_all_rows_both_ways(spark):
@@ -60,8 +62,9 @@ def test_withdrawn_pick_does_not_bring_back_an_older_value(spark):
 
 
 @pytest.mark.parametrize("sentence,want", [("The probability is 10-20% by 2030", [(0.1, 0.2)]), ("I put the chance at 1 in 20.", [(0.05, 0.05)]), ("odds 0.3 or 40 percent", [(0.3, 0.3), (0.4, 0.4)]), ("Growth is 10%", []), ("risk -5%", []), ("chance 150%", []), ("probability " + "5% " * 7, []), (None, [])])
-def test_probabilities(sentence, want):
-    assert [(round(a, 6), round(b, 6)) for _, a, b, _, _ in extract.probabilities(sentence)] == want
+def test_probabilities(spark, sentence, want):
+    docs = spark.createDataFrame([(1, sentence)], "id int, text string")
+    assert [(round(r.low, 6), round(r.high, 6)) for r in forecasts.numbers_stated(docs, "id", "text", most=6).orderBy("start").collect()] == want
 
 
 def test_abstention_and_turns(spark):
@@ -89,7 +92,18 @@ def test_text_functions(spark):
     urls = ["HTTPS://Ex.org:443/a/?utm_source=x&b=2&a=1#f", "http://ex.org", "nonsense", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r.c for r in df.select(tx.canonical_url(F.col("u")).alias("c")).collect()] == ["https://ex.org/a?a=1&b=2", "http://ex.org", None, None]
-    assert tx.name_key("Dr. José  O'Neil-Smith J.") == "dr jose oneil smith"
+
+
+def plain_name_key(name):
+    apart = "".join(c for c in unicodedata.normalize("NFKD", name or "") if not unicodedata.combining(c)).lower().replace("'", "")
+    return " ".join(w for w in "".join(c if c.isalnum() else " " for c in apart).split() if len(w) > 1)
+
+
+def test_name_keys_of_any_script(spark):
+    names = ["Dr. José  O'Neil-Smith J.", "Łukasz Dąbrowski", "A/B Cde", "Иван  Ёлкин", "王小明", "नरेन्द्र मोदी", "Ǆemal Øre", "ﬁne ½ ④④", "محمد علي", "İpek ŞİŞLİ", "ó ​xy zz", "", None, "'", "山"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    assert [r.k for r in df.orderBy("i").select(tx.name_keys(F.col("n")).alias("k")).collect()] == [plain_name_key(n) for n in names]
+    assert plain_name_key(names[0]) == "dr jose oneil smith"
 
 
 def test_sentence_rules(spark):

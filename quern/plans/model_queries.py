@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,7 @@ from quern.plans.registry import query
 from quern.scratch import shared_folder
 from quern.session import table
 from quern.sources import artifacts, sinks
+from quern.streaming import generations
 
 # ---- read models
 
@@ -247,6 +250,19 @@ def sm_generations(spark, sf):
     return ingest.generations(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id").select("user_id", "event_type", "version")
 
 
+@query(
+    "sm_generation_queue",
+    "WITH f AS (SELECT user_id, event_type, min((ts, event_type)) AS seen FROM events GROUP BY 1, 2) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY seen)::INT AS version, 0 AS generation, true AS linked FROM f",
+)
+def sm_generation_queue(spark, sf):
+    """The events as a stream, through the queue's state into its sealed folder, and from there; one batch takes them all."""
+    # a stream reads a folder; the pattern lets the table be a file as well
+    schema = table(spark, sf, "events").schema
+    folder = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    sealed = generations.run_queue(lambda own: own.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"), spark, folder, "user_id", "event_type", "ts")
+    return sealed.read().join(F.broadcast(sealed.manifests().select("generation", "linked")), "generation").select("user_id", "event_type", "version", F.col("generation").cast("int").alias("generation"), "linked")
+
+
 @query(
     "sm_sealed_shards",
     """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, epoch_us(ts) AS t, length(props) AS b FROM events),
@@ -285,8 +301,6 @@ def sm_checkpoints(spark, sf):
 
 def _written_text(spark, df, name, **options):
     """``df``, one text column, as a new folder of text files, for readers to read."""
-    import uuid
-
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).text(path)
     return path

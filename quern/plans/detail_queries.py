@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import evidence, extract, filters, ingest, joins, paging, quality, read_models
+from quern.operators import bundles, evidence, extract, filters, ingest, joins, paging, quality, read_models
 from quern.plans.registry import query
 from quern.scratch import shared_folder
 from quern.session import table
@@ -271,3 +271,59 @@ def src_paged(spark, sf):
     payload = F.to_json(F.struct(F.array(item(0), item(1)).alias("feed"), F.when(F.col("o_orderstatus") != "P", "next").alias("cursor")))
     pages = o.select(F.col("o_custkey").alias("feed"), page.alias("page"), payload.alias("payload"))
     return feeds.paged(pages, "feed", "page", "payload", "$.feed", "$.cursor")
+
+
+# ---- bundles
+
+
+def _orders_as_records(spark, sf):
+    """Orders as records; each needs the one before it of the same customer, and every 16th one far back too."""
+    from pyspark.sql.window import Window
+
+    o = table(spark, sf, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    known = F.col("o_orderdate").cast("date")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "forecast").otherwise("statement")
+    records = o.select(F.col("o_orderkey").alias("id"), F.lit(1).alias("revision"), kind.alias("kind"), known.alias("known_at"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add(known, 30)).alias("reviewed_at"), F.when(F.col("o_orderkey") % 5 != 0, F.date_add(known, 10)).alias("latest"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    lags = o.select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("a"), F.lag("o_orderkey", 5).over(w).alias("b"))
+    before = lags.select("id", F.explode(F.array("a", F.when(F.col("id") % 16 == 0, F.col("b")))).alias("to_id")).where("to_id IS NOT NULL")
+    return o, records, before.select("id", F.lit(1).alias("revision"), "to_id", F.lit(1).alias("to_revision"))
+
+
+@query(
+    "ev_closure",
+    """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS known_at, lag(o_orderkey) OVER w AS a, CASE WHEN o_orderkey % 16 = 0 THEN lag(o_orderkey, 5) OVER w END AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    e AS (SELECT o_orderkey AS id, a AS to_id FROM o WHERE a IS NOT NULL UNION SELECT o_orderkey, b FROM o WHERE b IS NOT NULL), k AS (SELECT o_orderkey AS id FROM o WHERE known_at <= DATE '1997-01-01'),
+    r(bundle, id, depth) AS (SELECT o_custkey, o_orderkey, 0 FROM o WHERE o_orderkey % 7 = 0 AND o_orderkey IN (SELECT id FROM k) UNION SELECT bundle, e.to_id, depth + 1 FROM r JOIN e ON e.id = r.id WHERE e.to_id IN (SELECT id FROM k))
+    SELECT bundle, id, min(depth) AS depth FROM r GROUP BY 1, 2""",
+)
+def ev_closure(spark, sf):
+    """All that every seventh order needs, of what was known at a day."""
+    o, records, references = _orders_as_records(spark, sf)
+    seeds = o.where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("bundle"), F.col("o_orderkey").alias("id"), F.lit(1).alias("revision"))
+    return bundles.closure(seeds, references, records, "bundle", F.lit("1997-01-01").cast("date")).select("bundle", "id", "depth")
+
+
+@query(
+    "ev_snapshot_errors",
+    """WITH o AS (SELECT o_custkey AS s, o_orderkey AS k, o_orderdate::DATE AS d, lag(o_orderkey) OVER w AS a, CASE WHEN o_orderkey % 16 = 0 THEN lag(o_orderkey, 5) OVER w END AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    m AS (SELECT * FROM o WHERE k % 6 <> 0), c AS (SELECT DATE '1996-06-01' AS cut)
+    SELECT DISTINCT s AS snapshot, NULL::BIGINT AS id, 'snapshot_time' AS code FROM o WHERE s % 10 = 0
+    UNION ALL SELECT DISTINCT s, NULL, 'snapshot_duplicate' FROM m WHERE k % 11 = 0
+    UNION ALL SELECT DISTINCT s, k, 'snapshot_hash' FROM m WHERE k % 13 = 0
+    UNION ALL SELECT s, k, 'snapshot_cutoff' FROM m, c, range(2) WHERE d > cut AND (range = 0 OR k % 11 = 0)
+    UNION ALL SELECT s, k, 'snapshot_forecast_time' FROM m, c, range(2) WHERE s % 4 > 0 AND k % 2 = 0 AND (k % 5 = 0 OR d + 10 > cut) AND (range = 0 OR k % 11 = 0)
+    UNION ALL SELECT s, k, 'snapshot_review' FROM m, c, range(2) WHERE s % 4 > 0 AND k % 3 = 0 AND d + 30 > cut AND (range = 0 OR k % 11 = 0)
+    UNION ALL SELECT s, k, 'snapshot_closure' FROM m WHERE a % 6 = 0 OR b % 6 = 0""",
+)
+def ev_snapshot_errors(spark, sf):
+    """A snapshot of each customer's orders: every sixth is left out, every 11th stands twice, every 13th has another digest in one of its rows."""
+    o, records, references = _orders_as_records(spark, sf)
+    cut = F.lit("1996-06-01").cast("date")
+    s = F.col("o_custkey")
+    snapshots = o.select(s.alias("snapshot"), (s % 4 > 0).alias("as_known"), cut.alias("cutoff"), F.when(s % 10 == 0, F.date_add(cut, -1)).otherwise(cut).alias("created_at"), F.date_add(cut, 1).alias("known_at")).distinct()
+    k = F.col("o_orderkey")
+    rows = o.where("o_orderkey % 6 <> 0").withColumn("i", F.explode(F.when(k % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    wrong = (k % 13 == 0) & (F.col("i") == 0)
+    members = rows.select(s.alias("snapshot"), k.alias("id"), F.lit(1).alias("revision"), F.when(wrong, "x").otherwise(F.sha2(k.cast("string"), 256)).alias("sha256"))
+    return bundles.snapshot_errors(snapshots, members, records, references).select("snapshot", "id", "code")

@@ -48,13 +48,15 @@ def fold_german(c: Column) -> Column:
     return out
 
 
-def words_of(name: Column) -> Column:
-    """The words that a name can be found by: split at punctuation, and with hyphens left out, in both foldings."""
-    parts = [F.split(form, r"[^a-z0-9]+") for folded in (fold_accents(name), fold_german(name)) for form in (folded, F.replace(folded, F.lit("-"), F.lit("")))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.array_union(out, p)
-    return F.array_sort(F.filter(out, lambda w: w != ""))
+def word_line(text: Column) -> Column:
+    """The lower-case runs of letters and digits of a text, each between blanks."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
+def name_line(name: Column) -> Column:
+    """The words that a name can be found by, between blanks: split at punctuation, and with hyphens left out, in both foldings."""
+    forms = [form for folded in (fold_accents(name), fold_german(name)) for form in (folded, F.replace(folded, F.lit("-"), F.lit("")))]
+    return F.concat(F.lit(" "), F.regexp_replace(F.concat_ws(" ", *forms), r"[^a-z0-9]+", " "), F.lit(" "))
 
 
 def mentions(body: Column, name: str) -> Column:

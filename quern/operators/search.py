@@ -40,57 +40,52 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def every_token_begins_a_word(words: Column, tokens: tuple[str, ...]) -> Column:
-    return _all([F.exists(words, _begins(t)) for t in tokens])
+def every_token_begins_a_word(line: Column, tokens: tuple[str, ...]) -> Column:
+    """``line`` has its words between blanks, so a token is looked for as text, without an array of words."""
+    # as the one element of an array the line is made once for all tokens
+    return F.exists(F.array(line), lambda x: _all([F.contains(x, F.lit(f" {t}")) for t in tokens]))
 
 
-def _begins(token: str):
-    return lambda w: F.startswith(w, F.lit(token))
-
-
-def every_token_is_a_word(words: Column, tokens: tuple[str, ...]) -> Column:
-    return _all([F.array_contains(words, t) for t in tokens])
+def every_token_is_a_word(line: Column, tokens: tuple[str, ...]) -> Column:
+    return F.exists(F.array(line), lambda x: _all([F.contains(x, F.lit(f" {t} ")) for t in tokens]))
 
 
 def name_rank(name: Column, family: Column, query: Prepared, role: Column | None = None) -> Column:
     """How well a name matches, 0 if not at all."""
     folded = tx.collapse(tx.fold_accents(name))
-    words = tx.words_of(name)
+    words = tx.name_line(name)
     rank = F.when(folded == query.text, EXACT_NAME)
     if len(query.tokens) == 1:
         rank = rank.when(tx.fold_accents(family) == query.tokens[0], FAMILY_NAME)
     rank = rank.when(F.startswith(folded, F.lit(query.text + " ")), NAME_PREFIX).when(every_token_begins_a_word(words, query.tokens), TOKEN_PREFIX)
     if role is not None:
-        rank = rank.when(every_token_begins_a_word(tx.words_of(role), query.tokens), ROLE)
+        rank = rank.when(every_token_begins_a_word(tx.name_line(role), query.tokens), ROLE)
     return rank.otherwise(0)
 
 
 def text_rank(text: Column, query: Prepared) -> Column:
     """How well a statement's text matches: all tokens must begin a word."""
     lower = F.lower(tx.collapse(text))
-    hit = every_token_begins_a_word(tx.tokens(text), query.tokens)
+    hit = every_token_begins_a_word(tx.word_line(text), query.tokens)
     return F.when(~hit, 0).when(lower == query.text, EXACT_TEXT).when(F.contains(lower, F.lit(query.text)), PHRASE).otherwise(ALL_TOKENS)
 
 
 def search(df: DataFrame, kind: str, id: str, label: str, rank: Column, limit: int) -> DataFrame:
     """The best ``limit`` records of a kind, with the number of all matches."""
     found = df.select(F.lit(kind).alias("kind"), F.col(id).cast("string").alias("id"), F.col(label).alias("label"), rank.alias("rank")).where("rank > 0")
-    return best_of(found, limit)
+    total = found.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return found.orderBy(F.desc("rank"), "label", "id").limit(limit).crossJoin(F.broadcast(total))
 
 
 def best_of(found: DataFrame, limit: int) -> DataFrame:
-    """Per kind the first ``limit`` matches by rank, label and id, and the number of all; one reading of the records.
+    """Per kind the first ``limit`` matches by rank, label and id, and the number of all.
 
-    Matches are ranked within blocks first, so no task orders all matches of a kind.
+    Each task keeps the first ``limit`` of a kind before anything is shuffled, and counts are added up in part.
     """
-    block = F.pmod(F.xxhash64("id"), F.lit(64))
-    order = [F.desc("rank"), "label", "id"]
-    inner = Window.partitionBy("kind", block)
-    few = found.withColumn("_place", F.row_number().over(inner.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(inner))
-    few = few.where(F.col("_place") <= limit).withColumn("_n", F.when(F.col("_place") == 1, F.col("_n")))
-    outer = Window.partitionBy("kind")
-    ranked = few.withColumn("_rank", F.row_number().over(outer.orderBy(*order))).withColumn("total", F.sum("_n").over(outer))
-    return ranked.where(F.col("_rank") <= limit).drop("_place", "_n", "_rank")
+    counts = found.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))  # a row for each kind
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("rank"), "label", "id"))
+    few = found.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+    return few.join(F.broadcast(counts), "kind")
 
 
 def grouped(*parts: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def se_statements(spark, sf):
 
 @query("se_whole_tokens", f"SELECT doc_id FROM documents WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'and') AND list_contains({_WORDS}, 'with')")
 def se_whole_tokens(spark, sf):
-    return table(spark, sf, "documents").where(search.every_token_is_a_word(tx.tokens(F.col("text")), ("the", "and", "with"))).select("doc_id")
+    return table(spark, sf, "documents").where(search.every_token_is_a_word(tx.word_line(F.col("text")), ("the", "and", "with"))).select("doc_id")
 
 
 def _six_kinds(spark, sf, q):

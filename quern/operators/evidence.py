@@ -212,12 +212,19 @@ def decode_code(code: Column, fields: dict[str, int]) -> Column:
     return F.struct(*out)
 
 
-def graph_problems(edges: DataFrame, graph: str, source: str, target: str, most_nodes: int, most_edges: int) -> DataFrame:
-    """(graph, nodes, edges, problem) of each graph: too_many_nodes, too_many_edges, self_edge, or null."""
-    ends = edges.select(graph, F.explode(F.array(source, target)).alias("_node")).groupBy(graph).agg(F.countDistinct("_node").alias("nodes"))
-    counts = edges.groupBy(graph).agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col(source) == F.col(target), 1)).alias("_self"))
-    problem = F.when(F.col("nodes") > most_nodes, "too_many_nodes").when(F.col("edges") > most_edges, "too_many_edges").when(F.col("_self") > 0, "self_edge")
-    return counts.join(ends, graph).select(graph, "nodes", "edges", problem.alias("problem"))
+def graph_problems(graphs: DataFrame, edges: DataFrame, graph: str, nodes: str, source: str, target: str, most_nodes: int, most_edges: int) -> DataFrame:
+    """(graph, nodes, edges, problem) of each graph: too_many_nodes, too_many_edges, out_of_bounds, or null.
+
+    ``graphs`` has the number of ``nodes`` of each graph, ``edges`` the indexes of both ends. An index is out of
+    bounds if it is null, negative or not below that number. Cycles, self edges and repeated edges are what
+    a graph may have; graphs without edges are judged too.
+    """
+    beyond = lambda c: F.coalesce((F.col(c) < 0) | (F.col(c) >= F.col(nodes)), F.lit(True))
+    met = edges.select(graph, source, target).join(graphs.select(graph, nodes), graph)
+    counts = met.groupBy(graph).agg(F.count(F.lit(1)).alias("edges"), F.count(F.when(beyond(source) | beyond(target), 1)).alias("_out"))
+    all_ = graphs.select(graph, F.col(nodes).alias("nodes")).join(counts, graph, "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    problem = F.when(F.col("nodes") > most_nodes, "too_many_nodes").when(F.col("edges") > most_edges, "too_many_edges").when(F.col("_out") > 0, "out_of_bounds")
+    return all_.select(graph, "nodes", "edges", problem.alias("problem"))
 
 
 def local_ids(ids: Column, artifact: Column, size: int = 12) -> Column:

@@ -251,11 +251,15 @@ def ev_decode_code(spark, sf):
 
 @query(
     "ev_graph_problems",
-    "WITH e AS (SELECT l_orderkey AS g, l_partkey % 9 AS s, l_suppkey % 9 AS t FROM lineitem), n AS (SELECT g, count(DISTINCT x) AS nodes FROM (SELECT g, s AS x FROM e UNION ALL SELECT g, t FROM e) GROUP BY 1), c AS (SELECT g, count(*) AS edges, count(*) FILTER (WHERE s = t) AS own FROM e GROUP BY 1) SELECT g, nodes, edges, CASE WHEN nodes > 6 THEN 'too_many_nodes' WHEN edges > 5 THEN 'too_many_edges' WHEN own > 0 THEN 'self_edge' END AS problem, substring(sha256('g' || g), 1, 12) || ':7' AS local FROM c JOIN n USING (g)",
+    """WITH g AS (SELECT o_orderkey AS g, o_orderkey % 8 + 3 AS nodes FROM orders), e AS (SELECT l_orderkey AS g, l_partkey % 7 AS s, l_suppkey % 5 - CASE WHEN l_partkey % 50 = 0 THEN 9 ELSE 0 END AS t FROM lineitem)
+    SELECT g, any_value(nodes) AS nodes, count(s) AS edges, CASE WHEN any_value(nodes) > 9 THEN 'too_many_nodes' WHEN count(s) > 5 THEN 'too_many_edges' WHEN max(greatest(s, t)) >= any_value(nodes) OR min(least(s, t)) < 0 THEN 'out_of_bounds' END AS problem, substring(sha256('g' || g), 1, 12) || ':7' AS local FROM g LEFT JOIN e USING (g) GROUP BY g""",
 )
 def ev_graph_problems(spark, sf):
-    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_partkey") % 9).alias("s"), (F.col("l_suppkey") % 9).alias("t"))
-    return evidence.graph_problems(e, "g", "s", "t", 6, 5).withColumn("local", evidence.local_ids(F.lit(7), F.concat(F.lit("g"), F.col("g").cast("string"))))
+    graphs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("g"), (F.col("o_orderkey") % 8 + 3).alias("n"))
+    part = F.col("l_partkey")
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), (part % 7).alias("s"), (F.col("l_suppkey") % 5 - F.when(part % 50 == 0, 9).otherwise(0)).alias("t"))
+    found = evidence.graph_problems(graphs, e, "g", "n", "s", "t", 9, 5)
+    return found.withColumn("local", evidence.local_ids(F.lit(7), F.concat(F.lit("g"), F.col("g").cast("string"))))
 
 
 @query(

@@ -330,12 +330,23 @@ def src_csv_pair(spark, sf):
     return artifacts.csv_pair(spark, data, labels, "code").select("supplier", "code", "label")
 
 
-@query("src_json_stat", "SELECT n_nationkey, ['a', 'b'][i // 3 + 1] AS x, ['p', 'q', 'r'][i % 3 + 1] AS y, CASE WHEN i <> 4 THEN (n_nationkey * 10 + i)::DOUBLE END AS value FROM nation, (SELECT unnest(range(6)) AS i)")
+@query(
+    "src_json_stat",
+    """SELECT o_orderkey, ['a', 'b'][i // 3 + 1] AS x, ['p', 'q', 'r'][i % 3 + 1] AS y, CASE WHEN i NOT IN (2, 4) THEN (o_orderkey * 10 + i)::DOUBLE END AS value, CASE WHEN i = 1 THEN 'e' END AS status,
+        CASE WHEN i = 4 THEN 'explicit_null' WHEN i <> 2 THEN 'observed' WHEN o_orderkey % 2 = 0 THEN 'explicit_null' ELSE 'absent' END AS state FROM orders, (SELECT unnest(range(6)) AS i) WHERE o_orderkey % 5 > 0""",
+)
 def src_json_stat(spark, sf):
-    n = F.col("n_nationkey") * 10
-    values = F.concat_ws(",", *[(n + i).cast("string") if i != 4 else F.lit("null") for i in range(6)])
-    cube = F.concat(F.lit('{"dimension":{"x":{"category":{"index":["a","b"]}},"y":{"category":{"index":["p","q","r"]}}},"value":['), values, F.lit("]}"))
-    return artifacts.json_stat(table(spark, sf, "nation").select("n_nationkey", cube.alias("cube")), "cube", ["x", "y"], "n_nationkey")
+    """Cubes with lists (even orders) and with objects (odd ones); every fifth has a place beyond its cells, or one value too few."""
+    k = F.col("o_orderkey")
+    value = lambda i: F.lit("null") if i == 4 else (k * 10 + i).cast("string")
+    dense = F.concat(F.lit("["), F.concat_ws(",", *[F.lit("null") if i == 2 else value(i) for i in range(6)]), F.lit("]"))
+    sparse = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{i}":'), value(i)) for i in (5, 4, 3, 1, 0)]), F.lit("}"))
+    lists, objects = '{"dimension":{"x":{"category":{"index":["a","b"]}},"y":{"category":{"index":["p","q","r"]}}},', '{"dimension":{"x":{"category":{"index":{"b":1,"a":0}}},"y":{"category":{"index":{"r":2,"p":0,"q":1}}}},'
+    even = F.concat(F.lit(lists + '"status":[null,"e",null,null,null,null],"value":'), dense, F.lit("}"))
+    odd = F.concat(F.lit(objects + '"status":{"1":"e"},"value":'), sparse, F.lit("}"))
+    broken = F.when(k % 2 == 0, F.lit(lists + '"value":[1,2,3,4,5]}')).otherwise(F.replace(odd, F.lit('"5":'), F.lit('"6":')))
+    cube = F.when(k % 5 == 0, broken).when(k % 2 == 0, even).otherwise(odd)
+    return artifacts.json_stat(table(spark, sf, "orders").select("o_orderkey", cube.alias("cube")), "cube", ["x", "y"], "o_orderkey")
 
 
 @query("src_yaml_pairs", "SELECT n_nationkey, 'name' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'note', 'it''s # fine' FROM nation UNION ALL SELECT n_nationkey, 'none', NULL FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation")

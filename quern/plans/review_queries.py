@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as tx
-from quern.operators import aggregates, comparability, evidence, ingest, quality, review, trends
+from quern.operators import aggregates, comparability, evidence, ingest, mentions, quality, review, trends
 from quern.plans.registry import query
 from quern.session import table
 
@@ -223,3 +223,17 @@ def sm_outcomes_by_source(spark, sf):
     r = table(spark, sf, "events").groupBy(F.col("event_type").alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n"), aggregates.count_where(F.col("value") < 20).alias("bad"))
     r = r.withColumn("outcome", ingest.run_outcome(F.col("n"), F.col("bad")))
     return r.groupBy("s", "outcome").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("rows"))
+
+
+@query(
+    "id_mentions",
+    r"""WITH p AS (SELECT item_id AS person, regexp_extract(text, '^(\S+ \S+)', 1) AS name FROM benchmark),
+    m AS (SELECT doc_id, person FROM documents, p WHERE name <> '' AND regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])'))
+    SELECT doc_id, doc_id % 50 AS person, 'author' AS role FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, person, 'mentioned' FROM m WHERE doc_id % 3 <> 0 OR person <> doc_id % 50""",
+)
+def id_mentions(spark, sf):
+    """People named like the first two words of a benchmark item, in all documents; every third document has an author."""
+    docs = table(spark, sf, "documents")
+    people = table(spark, sf, "benchmark").select(F.col("item_id").alias("person"), F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("name"))
+    authors = docs.where("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") % 50).alias("person"))
+    return mentions.participants(docs, "doc_id", "text", authors, people, "person", "name")

@@ -28,20 +28,60 @@ def csv_pair(spark: SparkSession, data: str, labels: str, key: str) -> DataFrame
     return read(data).join(read(labels), key, "left")
 
 
+def _categories(cube: Column, dimension: str) -> Column:
+    """The categories of a dimension in order, whether its index is a list or an object of places; null if it has gaps."""
+    index = F.get_json_object(cube, f"$.dimension.{dimension}.category.index")
+    listed = F.when(index.startswith("["), F.from_json(index, "array<string>"))
+    placed = F.array_sort(F.transform(F.map_entries(F.when(index.startswith("{"), F.from_json(index, "map<string,int>"))), lambda e: F.struct(e["value"].alias("at"), e["key"].alias("code"))))
+    whole = F.transform(placed, lambda e: e["at"]) == F.sequence(F.lit(0), F.size(placed) - 1)
+    names = F.coalesce(listed, F.when((F.size(placed) > 0) & whole, F.transform(placed, lambda e: e["code"])))
+    return F.when((F.size(names) > 0) & (F.size(F.array_distinct(names)) == F.size(names)) & ~F.exists(names, lambda n: n.isNull()), names)
+
+
+def _cells(cube: Column, member: str, kind: str) -> tuple[Column, Column]:
+    """A member of a cube's cells as (list, map by place); one of them is null."""
+    text = F.get_json_object(cube, f"$.{member}")
+    return F.when(text.startswith("["), F.from_json(text, f"array<{kind}>")), F.when(text.startswith("{"), F.from_json(text, f"map<string,{kind}>"))
+
+
+def cube_problem(cube: Column, dimensions: list[str]) -> Column:
+    """Why a JSON-stat text is no cube: category_index, no_values, dense_count or sparse_index; null if it is one."""
+    names = F.array(*[_categories(cube, d) for d in dimensions])
+    total = F.aggregate(names, F.lit(1).cast("long"), lambda acc, n: acc * F.size(n))
+    dense, sparse = _cells(cube, "value", "string")
+    off = F.exists(F.map_keys(sparse), lambda k: ~k.rlike("^(?:0|[1-9][0-9]*)$") | F.coalesce(k.try_cast("long") >= total, F.lit(True)))
+    return (
+        F.when(F.exists(names, lambda n: n.isNull()), "category_index")
+        .when(dense.isNull() & sparse.isNull(), "no_values")
+        .when(dense.isNotNull() & (F.size(dense) != total), "dense_count")
+        .when(F.coalesce(off, F.lit(False)), "sparse_index")
+    )
+
+
 def json_stat(cubes: DataFrame, cube: str, dimensions: list[str], *keep: str) -> DataFrame:
-    """A row per cell of JSON-stat cubes: the category of each dimension and ``value``.
+    """A row per cell of JSON-stat cubes: the category of each dimension, ``value``, ``status`` and ``state``.
 
-    Categories come in the order of their index, given as a list; cells are in row-major order, null ones are kept.
+    Cells are in row-major order. An index of categories is a list or an object of places, values and
+    statuses are a list or an object by place; all forms give the same cells. ``state``: observed, explicit_null
+    or absent (an object of values has no such place). A text with a ``cube_problem`` gives no rows.
     """
-    path = lambda d: f"$.dimension.{d}.category.index"
-    rows = cubes.select(*keep, F.from_json(F.get_json_object(cube, "$.value"), "array<double>").alias("_values"), *[F.from_json(F.get_json_object(cube, path(d)), "array<string>").alias(d) for d in dimensions])
-    cells = rows.select(*keep, *dimensions, F.posexplode("_values").alias("_cell", "value"))
+    c = F.col(cube)
+    sound = cubes.where(cube_problem(c, dimensions).isNull())
+    (dense, sparse), (flags, flag_of) = _cells(c, "value", "double"), _cells(c, "status", "string")
+    rows = sound.select(*keep, *[_categories(c, d).alias(d) for d in dimensions], dense.alias("_dense"), sparse.alias("_sparse"), flags.alias("_flags"), flag_of.alias("_flag_of"))
+    total = reduce(lambda a, b: a * b, [F.size(d) for d in dimensions])
+    cells = rows.withColumn("_cell", F.explode(F.sequence(F.lit(0), total - 1)))
     width: Column = F.lit(1)
     out = []
     for d in reversed(dimensions):
         out.append(F.get(F.col(d), (F.floor(F.col("_cell") / width) % F.size(d)).cast("int")).alias(d))
         width = width * F.size(d)
-    return cells.select(*keep, *reversed(out), "value")
+    place = F.col("_cell").cast("string")
+    value = F.coalesce(F.get("_dense", F.col("_cell")), F.try_element_at("_sparse", place))
+    there = F.col("_dense").isNotNull() | F.map_contains_key("_sparse", place)
+    state = F.when(value.isNotNull(), "observed").when(there, "explicit_null").otherwise("absent")
+    status = F.coalesce(F.get("_flags", F.col("_cell")), F.try_element_at("_flag_of", place))
+    return cells.select(*keep, *reversed(out), value.alias("value"), status.alias("status"), state.alias("state"))
 
 
 def yaml_pairs(texts: DataFrame, text: str, *keep: str) -> DataFrame:

@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.functions import policy
-from quern.sources import canonical, feeds, pages, records, sinks
+from quern.sources import artifacts, canonical, feeds, pages, records, sinks
 
 PAGE = """<!doctype html><html lang="en"><head><title>A  title</title><meta name="author" content="Ann Lee and Bo Ng">
 <meta property="article:published_time" content="2024-03-01T10:00:00Z"><link rel="canonical" href="/a">
@@ -99,3 +100,23 @@ def test_snapshot_does_not_depend_on_partitions(spark, tmp_path):
 def test_csv(spark):
     df = spark.createDataFrame([("a,b", 'q"r', None, ["x", "y"], "=1+1", "-5")], "a string, b string, c string, d array<string>, e string, f string")
     assert sinks.csv_rows(df).first().csv == '"a,b","q""r",,x|y,\'=1+1,-5'
+
+
+def test_cubes_that_are_none_say_why(spark):
+    index = '{"dimension":{"x":{"category":{"index":%s}}},"value":%s}'
+    cases = [
+        (index % ('["a","b"]', "[1,2]"), None),
+        (index % ('{"b":1,"a":0}', '{"1":2}'), None),
+        (index % ('{"b":2,"a":0}', '{"1":2}'), "category_index"),
+        (index % ('["a","a"]', "[1,2]"), "category_index"),
+        (index % ("[]", "[]"), "category_index"),
+        (index % ('["a","b"]', "[1]"), "dense_count"),
+        (index % ('["a","b"]', '{"2":1}'), "sparse_index"),
+        (index % ('["a","b"]', '{"01":1}'), "sparse_index"),
+        (index % ('["a","b"]', "7"), "no_values"),
+        ("no json", "category_index"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r.p for r in df.orderBy("i").select(artifacts.cube_problem(F.col("t"), ["x"]).alias("p")).collect()] == [w for _, w in cases]
+    got = {(r.i, r.x, r.value, r.state) for r in artifacts.json_stat(df, "t", ["x"], "i").collect()}
+    assert got == {(0, "a", 1.0, "observed"), (0, "b", 2.0, "observed"), (1, "a", None, "absent"), (1, "b", 2.0, "observed")}

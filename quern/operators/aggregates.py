@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quern.scratch import written
 
 
 def count_where(condition: Column) -> Column:
@@ -25,9 +30,29 @@ def last_per_key(df: DataFrame, entity: str, key: str, value: str, *order: str)
     return df.groupBy(entity, key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    """Nearest-rank percentile of all samples, exact; tasks exchange counts of values, not samples."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{column}`)")
+def nearest_ranks(df: DataFrame, groups: list[str], column: str, **shares: float) -> DataFrame:
+    """(groups, one column for each share, n): exact nearest-rank percentiles of the values of each group, and their number.
+
+    Equal values are counted first. The counts are dealt by ranges of (group, value), and a range's running
+    sum starts at the sum of the group's ranges before it, so a task holds one range of values, however many
+    a group has. Null values do not count; a group of nulls has null percentiles.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = written(counts.repartitionByRange(*groups, column).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*groups, "_part").agg(F.sum("_n").alias("_sum"))
+    own = Window.partitionBy(*groups)
+    start = sums.select(*groups, "_part", (F.sum("_sum").over(own.orderBy("_part")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(own).alias("_total"))
+    keys = [*groups, "_part"]
+    other = lambda rows, names: rows.withColumnsRenamed({k: f"_of_{k}" for k in names})
+    same = lambda names: [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in names]
+    placed = dealt.join(other(start, keys), same(keys)).select(*keys, column, "_n", "_before", "_total")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys).orderBy(column))
+    ranked = placed.withColumn("_upto", upto)
+    # a decimal share, for 0.55 * 100 is more than 55 in doubles
+    first = [F.min(F.when(F.col("_upto") >= F.lit(Decimal(str(share))) * F.col("_total"), F.col(column))).alias(name) for name, share in shares.items()]
+    found = ranked.groupBy(*groups).agg(*first)
+    every = df.groupBy(*groups).agg(F.count(column).alias("n"))
+    return every.join(other(found, groups), same(groups), "left").select(*groups, *shares, "n")
 
 
 def ratio(part: Column, whole: Column, digits: int = 4) -> Column:

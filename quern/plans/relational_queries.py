@@ -277,7 +277,7 @@ def ag_change_mark(spark, sf):
 
 @query("ag_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(value) AS n FROM events GROUP BY 1")
 def ag_percentiles(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(aggregates.nearest_rank("value", 0.5).alias("p50"), aggregates.nearest_rank("value", 0.95).alias("p95"), F.count("value").alias("n"))
+    return aggregates.nearest_ranks(table(spark, sf, "events"), ["event_type"], "value", p50=0.5, p95=0.95)
 
 
 @query("ag_tally", "SELECT 'status' AS dimension, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")

@@ -214,7 +214,7 @@ def ev_partition_sums(spark, sf):
 
 @query("ev_quantile_order", "SELECT event_type, quantile_disc(value, 0.25) <= median(value) AND median(value) <= quantile_disc(value, 0.75) AS ordered FROM events GROUP BY 1")
 def ev_quantile_order(spark, sf):
-    g = table(spark, sf, "events").groupBy("event_type").agg(aggregates.nearest_rank("value", 0.25).alias("a"), F.median("value").alias("b"), aggregates.nearest_rank("value", 0.75).alias("c"))
+    g = aggregates.nearest_ranks(table(spark, sf, "events"), ["event_type"], "value", a=0.25, b=0.5, c=0.75)
     return g.select("event_type", evidence.values_in_order(F.col("a"), F.col("b"), F.col("c")).alias("ordered"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import policy
 from quern.functions import text as tx
-from quern.operators import components, evidence, extract, forecasts, paging, rules, search, trends
+from quern.operators import aggregates, components, evidence, extract, forecasts, paging, rules, search, trends
 
 
 def test_pages_cover_all_rows_both_ways(spark):
@@ -127,3 +127,17 @@ def test_cyclic_edges(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (8, 9)], "a int, b int")
     assert {tuple(r) for r in evidence.cyclic_edges(edges).collect()} == {(2, 3), (3, 2), (3, 4)}
     assert evidence.cyclic_edges(edges.where("a <> 3")).count() == 0 and evidence.cyclic_edges(edges.limit(0)).count() == 0
+
+
+def test_nearest_ranks_against_sorted_lists(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.5, 2.0, rng.random(), rng.random()])) for _ in range(997)] + [("nulls", None)] + [("hundred", float(i)) for i in range(1, 101)]
+    shares = {"p0": 0.0, "p50": 0.5, "p55": 0.55, "p95": 0.95, "p100": 1.0}
+    want = {}
+    for g in {g for g, _ in rows}:
+        values = sorted(v for h, v in rows if h == g and v is not None)
+        want[g] = (*[values[max(0, -(-round(share * 100) * len(values) // 100) - 1)] if values else None for share in shares.values()], len(values))
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: tuple(r)[1:] for r in aggregates.nearest_ranks(df, ["g"], "v", **shares).collect()}
+    assert got == want
+    assert aggregates.nearest_ranks(df.limit(0), ["g"], "v", p50=0.5).count() == 0

@@ -1,8 +1,8 @@
-"""Array functions that Spark lacks, as column expressions."""
+"""Array functions that Spark lacks, as column expressions, and columns that are computed once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,9 @@ def spans(text: Column, pattern: str) -> Column:
     # gap and match together end where the match does
     found = F.zip_with(hits, F.slice(running_sums(lengths), F.lit(1), F.size(hits)), lambda hit, stop: F.struct((stop - F.length(hit)).cast("int").alias("start"), stop.cast("int").alias("stop"), hit.alias("text")))
     return found
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once: Spark does not merge a generator's input into what reads it."""
+    rows = df.select("*", F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("_held"))
+    return rows.select(*df.columns, *[F.col(f"_held.{n}").alias(n) for n in columns])

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrays
 from quern.functions import text as tx
+from quern.functions.arrays import held
 from quern.operators.extract import CUE as CHANCE
 from quern.operators.extract import abstain
 
@@ -102,12 +103,6 @@ OUTCOMES = (
 )
 
 
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once: Spark does not merge a generator's input into what reads it."""
-    rows = df.select("*", F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("_held"))
-    return rows.select(*df.columns, *[F.col(f"_held.{n}").alias(n) for n in columns])
-
-
 # ---- numbers
 
 

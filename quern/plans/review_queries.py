@@ -228,7 +228,8 @@ def sm_outcomes_by_source(spark, sf):
 @query(
     "id_mentions",
     r"""WITH p AS (SELECT item_id AS person, regexp_extract(text, '^(\S+ \S+)', 1) AS name FROM benchmark),
-    m AS (SELECT doc_id, person FROM documents, p WHERE name <> '' AND regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])'))
+    c AS MATERIALIZED (SELECT doc_id, person, text, name FROM documents, p WHERE name <> '' AND contains(lower(text), lower(name))),
+    m AS (SELECT doc_id, person FROM c WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{N}_])'))
     SELECT doc_id, doc_id % 50 AS person, 'author' AS role FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, person, 'mentioned' FROM m WHERE doc_id % 3 <> 0 OR person <> doc_id % 50""",
 )
 def id_mentions(spark, sf):

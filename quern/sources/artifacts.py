@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.arrays import held
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per line; a line that is no JSON has its text in ``_corrupt`` and null elsewhere."""
@@ -28,34 +30,39 @@ def csv_pair(spark: SparkSession, data: str, labels: str, key: str) -> DataFrame
     return read(data).join(read(labels), key, "left")
 
 
-def _categories(cube: Column, dimension: str) -> Column:
-    """The categories of a dimension in order, whether its index is a list or an object of places; null if it has gaps."""
-    index = F.get_json_object(cube, f"$.dimension.{dimension}.category.index")
-    listed = F.when(index.startswith("["), F.from_json(index, "array<string>"))
-    placed = F.array_sort(F.transform(F.map_entries(F.when(index.startswith("{"), F.from_json(index, "map<string,int>"))), lambda e: F.struct(e["value"].alias("at"), e["key"].alias("code"))))
-    whole = F.transform(placed, lambda e: e["at"]) == F.sequence(F.lit(0), F.size(placed) - 1)
-    names = F.coalesce(listed, F.when((F.size(placed) > 0) & whole, F.transform(placed, lambda e: e["code"])))
-    return F.when((F.size(names) > 0) & (F.size(F.array_distinct(names)) == F.size(names)) & ~F.exists(names, lambda n: n.isNull()), names)
-
-
-def _cells(cube: Column, member: str, kind: str) -> tuple[Column, Column]:
-    """A member of a cube's cells as (list, map by place); one of them is null."""
-    text = F.get_json_object(cube, f"$.{member}")
-    return F.when(text.startswith("["), F.from_json(text, f"array<{kind}>")), F.when(text.startswith("{"), F.from_json(text, f"map<string,{kind}>"))
+def _read_cubes(cubes: DataFrame, cube: str, dimensions: list[str]) -> DataFrame:
+    """``cubes`` with the categories ``_<dimension>`` in order, the cells as ``_dense`` list or ``_sparse`` object by place, and ``problem``.
 
-
-def cube_problem(cube: Column, dimensions: list[str]) -> Column:
-    """Why a JSON-stat text is no cube: category_index, no_values, dense_count or sparse_index; null if it is one."""
-    names = F.array(*[_categories(cube, d) for d in dimensions])
-    total = F.aggregate(names, F.lit(1).cast("long"), lambda acc, n: acc * F.size(n))
-    dense, sparse = _cells(cube, "value", "string")
-    off = F.exists(F.map_keys(sparse), lambda k: ~k.rlike("^(?:0|[1-9][0-9]*)$") | F.coalesce(k.try_cast("long") >= total, F.lit(True)))
-    return (
-        F.when(F.exists(names, lambda n: n.isNull()), "category_index")
-        .when(dense.isNull() & sparse.isNull(), "no_values")
-        .when(dense.isNotNull() & (F.size(dense) != total), "dense_count")
-        .when(F.coalesce(off, F.lit(False)), "sparse_index")
-    )
+    An index of categories is a list or an object of places; categories are null if they repeat or have gaps.
+    """
+    c = F.col
+    index = {f"_index_{d}": F.get_json_object(c(cube), f"$.dimension.{d}.category.index") for d in dimensions}
+    rows = held(cubes, **index, _value=F.get_json_object(c(cube), "$.value"), _status=F.get_json_object(c(cube), "$.status"))
+    listed = lambda t, kind: F.when(c(t).startswith("["), F.from_json(c(t), f"array<{kind}>"))
+    placed = lambda t, kind: F.when(c(t).startswith("{"), F.from_json(c(t), f"map<string,{kind}>"))
+    pairs = {f"_placed_{d}": F.array_sort(F.transform(F.map_entries(placed(f"_index_{d}", "int")), lambda e: F.struct(e["value"].alias("at"), e["key"].alias("code")))) for d in dimensions}
+    rows = held(
+        rows, **pairs, **{f"_listed_{d}": listed(f"_index_{d}", "string") for d in dimensions},
+        _dense=listed("_value", "double"), _sparse=placed("_value", "double"), _flags=listed("_status", "string"), _flag_of=placed("_status", "string"),
+    )
+
+    def names(d: str) -> Column:
+        p = c(f"_placed_{d}")
+        whole = F.when(F.size(p) > 0, F.transform(p, lambda e: e["at"]) == F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0))))
+        return F.coalesce(c(f"_listed_{d}"), F.when(whole, F.transform(p, lambda e: e["code"])))
+
+    rows = held(rows, **{f"_{d}": names(d) for d in dimensions})
+    good = lambda d: (F.size(c(f"_{d}")) > 0) & (F.size(F.array_distinct(c(f"_{d}"))) == F.size(c(f"_{d}"))) & ~F.exists(c(f"_{d}"), lambda n: n.isNull())
+    total = reduce(lambda a, b: a * b, [F.size(c(f"_{d}")).cast("long") for d in dimensions])
+    rows = held(rows, _good=F.coalesce(reduce(lambda a, b: a & b, [good(d) for d in dimensions]), F.lit(False)), _total=total)
+    off = F.exists(F.map_keys("_sparse"), lambda k: ~k.rlike("^(?:0|[1-9][0-9]*)$") | F.coalesce(k.try_cast("long") >= c("_total"), F.lit(True)))
+    wrong = F.when(~c("_good"), "category_index").when(c("_dense").isNull() & c("_sparse").isNull(), "no_values").when(c("_dense").isNotNull() & (F.size("_dense") != c("_total")), "dense_count")
+    return held(rows, problem=F.coalesce(wrong, F.when(F.coalesce(off, F.lit(False)), "sparse_index")))
+
+
+def cube_problems(cubes: DataFrame, cube: str, dimensions: list[str], *keep: str) -> DataFrame:
+    """Why each JSON-stat text is no cube: category_index, no_values, dense_count or sparse_index; null if it is one."""
+    return _read_cubes(cubes, cube, dimensions).select(*keep, "problem")
 
 
 def json_stat(cubes: DataFrame, cube: str, dimensions: list[str], *keep: str) -> DataFrame:
@@ -63,19 +70,15 @@ def json_stat(cubes: DataFrame, cube: str, dimensions: list[str], *keep: str) ->
 
     Cells are in row-major order. An index of categories is a list or an object of places, values and
     statuses are a list or an object by place; all forms give the same cells. ``state``: observed, explicit_null
-    or absent (an object of values has no such place). A text with a ``cube_problem`` gives no rows.
+    or absent (an object of values has no such place). A text with a problem gives no rows.
     """
-    c = F.col(cube)
-    sound = cubes.where(cube_problem(c, dimensions).isNull())
-    (dense, sparse), (flags, flag_of) = _cells(c, "value", "double"), _cells(c, "status", "string")
-    rows = sound.select(*keep, *[_categories(c, d).alias(d) for d in dimensions], dense.alias("_dense"), sparse.alias("_sparse"), flags.alias("_flags"), flag_of.alias("_flag_of"))
-    total = reduce(lambda a, b: a * b, [F.size(d) for d in dimensions])
-    cells = rows.withColumn("_cell", F.explode(F.sequence(F.lit(0), total - 1)))
+    rows = _read_cubes(cubes, cube, dimensions).where("problem IS NULL")
+    cells = rows.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_total").cast("int") - 1)))
     width: Column = F.lit(1)
     out = []
     for d in reversed(dimensions):
-        out.append(F.get(F.col(d), (F.floor(F.col("_cell") / width) % F.size(d)).cast("int")).alias(d))
-        width = width * F.size(d)
+        out.append(F.get(F.col(f"_{d}"), (F.floor(F.col("_cell") / width) % F.size(f"_{d}")).cast("int")).alias(d))
+        width = width * F.size(f"_{d}")
     place = F.col("_cell").cast("string")
     value = F.coalesce(F.get("_dense", F.col("_cell")), F.try_element_at("_sparse", place))
     there = F.col("_dense").isNotNull() | F.map_contains_key("_sparse", place)

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from quern.functions import policy
 from quern.sources import artifacts, canonical, feeds, pages, records, sinks
@@ -117,6 +116,6 @@ def test_cubes_that_are_none_say_why(spark):
         ("no json", "category_index"),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
-    assert [r.p for r in df.orderBy("i").select(artifacts.cube_problem(F.col("t"), ["x"]).alias("p")).collect()] == [w for _, w in cases]
+    assert [r.problem for r in artifacts.cube_problems(df, "t", ["x"], "i").orderBy("i").collect()] == [w for _, w in cases]
     got = {(r.i, r.x, r.value, r.state) for r in artifacts.json_stat(df, "t", ["x"], "i").collect()}
     assert got == {(0, "a", 1.0, "observed"), (0, "b", 2.0, "observed"), (1, "a", None, "absent"), (1, "b", 2.0, "observed")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
+from functools import cache
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 from pyspark.sql import Column
@@ -193,6 +194,7 @@ def blocked_ipv4(c: Column) -> Column:
     return out
 
 
+@cache
 def _combining() -> str:
     """A class of all characters that combine with the one before them."""
     found, ranges = [c for c in range(0x110000) if unicodedata.combining(chr(c))], []
@@ -204,15 +206,19 @@ def _combining() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
-def name_keys(names: Column) -> Column:
-    """A person's name for matching: no marks, lower case, letters and digits of any script in words of two and more.
+def name_words(names: Column) -> Column:
+    """The words of a person's name: no marks, lower case, letters and digits of any script.
 
-    An apostrophe joins what stands beside it, any other sign parts words; null gives an empty key.
+    An apostrophe joins what stands beside it, any other sign parts words; null has no words.
     """
     apart = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(names, F.lit("")), F.lit(True))
     plain = F.replace(F.lower(F.regexp_replace(apart, _combining(), "")), F.lit("'"), F.lit(""))
-    words = F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " ")
-    return F.array_join(F.filter(words, lambda w: F.length(w) > 1), " ")
+    return F.filter(F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+
+
+def name_keys(names: Column) -> Column:
+    """A person's name for matching: its words of two letters and more; null gives an empty key."""
+    return F.array_join(F.filter(name_words(names), lambda w: F.length(w) > 1), " ")
 
 
 def sorted_query(url: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators import evidence, extract, forecasts
+from quern.operators import evidence, extract, forecasts, identity
 from quern.plans.registry import query
 from quern.session import table
 from quern.sources import feeds, pages, records, sinks
@@ -202,6 +202,23 @@ def id_resolve_authors(spark, sf):
     return extract.resolve_author(c, "person")
 
 
+@query(
+    "id_name_matches",
+    """WITH p AS (SELECT c_custkey AS person, c_custkey % 60 AS f, c_custkey % 3 AS i FROM customer),
+    r AS (SELECT o_orderkey AS record, o_orderkey % 70 AS f, o_orderkey % 4 AS i, CASE WHEN o_orderkey % 5 > 0 THEN 'o' || o_orderkey % 2 END AS orcid FROM orders WHERE o_orderkey % 11 = 0),
+    m AS (SELECT person, record, orcid, p.i = r.i AS exact FROM p JOIN r ON p.f = r.f WHERE p.i = 0 OR r.i = 0 OR p.i = r.i),
+    g AS (SELECT person, count(*) FILTER (WHERE exact) AS n, count(DISTINCT orcid) FILTER (WHERE exact) AS ids, count(*) FILTER (WHERE exact AND orcid IS NULL) AS bare, min(orcid) FILTER (WHERE exact) AS one FROM m GROUP BY 1)
+    SELECT person, record, exact, exact OR coalesce(orcid IS NOT NULL AND (n = 0 OR (ids = 1 AND bare = 0 AND orcid = one)), false) AS eligible FROM m JOIN g USING (person)""",
+)
+def id_name_matches(spark, sf):
+    """Customers and orders with names whose first initial is none, B., C. or D."""
+    named = lambda f, i: F.concat(F.lit("Éva "), F.get(F.array(F.lit(""), F.lit("B. "), F.lit("C. "), F.lit("D. ")), i.cast("int")), F.lit("O'Neil-"), f.cast("string"), F.lit("x"))
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    people = table(spark, sf, "customer").select(c.alias("person"), named(c % 60, c % 3).alias("name"))
+    records_ = table(spark, sf, "orders").where("o_orderkey % 11 = 0").select(k.alias("record"), F.upper(named(k % 70, k % 4)).alias("name"), F.when(k % 5 > 0, F.concat(F.lit("o"), (k % 2).cast("string"))).alias("orcid"))
+    return identity.name_matches(people, records_)
+
+
 @query("ev_decode_bits", "SELECT l_orderkey, l_linenumber, (l_partkey & 3)::BIGINT AS a, ((l_partkey >> 2) & 1)::BIGINT AS b, ((l_partkey >> 3) & 3)::BIGINT AS c FROM lineitem")
 def ev_decode_bits(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *evidence.decode_bits(F.col("l_partkey"), {"a": 2, "b": 1, "c": 2}))

@@ -129,7 +129,9 @@ def test_cyclic_edges(spark):
     assert evidence.cyclic_edges(edges.where("a <> 3")).count() == 0 and evidence.cyclic_edges(edges.limit(0)).count() == 0
 
 
-def test_nearest_ranks_against_sorted_lists(spark):
+@pytest.mark.parametrize("joined", ["true", "false"])
+def test_nearest_ranks_against_sorted_lists(spark, joined):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)
     rng = random.Random(5)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.5, 2.0, rng.random(), rng.random()])) for _ in range(997)] + [("nulls", None)] + [("hundred", float(i)) for i in range(1, 101)]
     shares = {"p0": 0.0, "p50": 0.5, "p55": 0.55, "p95": 0.95, "p100": 1.0}
@@ -141,3 +143,4 @@ def test_nearest_ranks_against_sorted_lists(spark):
     got = {r.g: tuple(r)[1:] for r in aggregates.nearest_ranks(df, ["g"], "v", **shares).collect()}
     assert got == want
     assert aggregates.nearest_ranks(df.limit(0), ["g"], "v", p50=0.5).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

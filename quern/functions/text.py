@@ -251,15 +251,19 @@ def profile_link(url: Column) -> Column:
 def sentence_spans(c: Column) -> Column:
     """Sentences with their place: array of (start, stop, text), in characters, stop exclusive; as ``sentences`` cuts them."""
     gap = r"(?<=[.!?])\s+|\n+"
-    pieces, gaps = F.split(c, gap, -1), F.regexp_extract_all(c, F.lit(gap), F.lit(0))
-    lengths = F.zip_with(pieces, gaps, lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0)))
+    # as the one element of an array the text is cut once, however often its pieces are named
+    cut = F.struct(F.split(c, gap, -1).alias("pieces"), F.regexp_extract_all(c, F.lit(gap), F.lit(0)).alias("gaps"))
 
     def place(raw: Column, end: Column) -> Column:
         at = end["end"] - end["length"] + F.length(raw) - F.length(F.ltrim(raw))
         return F.struct(at.cast("int").alias("start"), (at + F.length(F.trim(raw))).cast("int").alias("stop"), F.trim(raw).alias("text"))
 
-    ends = F.zip_with(running_sums(lengths), lengths, lambda e, n: F.struct(e.alias("end"), n.alias("length")))
-    return F.filter(F.zip_with(pieces, ends, place), lambda s: s.text != "")
+    def placed(z: Column) -> Column:
+        lengths = F.zip_with(z["pieces"], z["gaps"], lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0)))
+        ends = F.zip_with(running_sums(lengths), lengths, lambda e, n: F.struct(e.alias("end"), n.alias("length")))
+        return F.filter(F.zip_with(z["pieces"], ends, place), lambda s: s.text != "")
+
+    return F.get(F.transform(F.array(cut), placed), F.lit(0))
 
 
 def ipv6_groups(c: Column) -> Column:

@@ -259,9 +259,13 @@ def sentences_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     A speaker's gap parts what is said; sentences on either side of it are no neighbours.
     """
     plain = F.translate(F.col(text), "’‘“”", "''\"\"")
-    parts = F.split(plain, GAP, -1)
-    ends = arrays.running_sums(F.transform(parts, lambda p: F.length(p) + len(GAP)))
-    pieces = F.zip_with(parts, ends, lambda p, e: F.struct(p.alias("text"), (e - F.length(p) - len(GAP)).cast("int").alias("at")))
+
+    def said(z: Column) -> Column:
+        ends = arrays.running_sums(F.transform(z["parts"], lambda p: F.length(p) + len(GAP)))
+        return F.zip_with(z["parts"], ends, lambda p, e: F.struct(p.alias("text"), (e - F.length(p) - len(GAP)).cast("int").alias("at")))
+
+    # as the one element of an array the text is parted once
+    pieces = F.get(F.transform(F.array(F.struct(F.split(plain, GAP, -1).alias("parts"))), said), F.lit(0))
     cut = docs.select(id, F.posexplode(pieces).alias("part", "p")).select(id, "part", F.col("p.at").alias("at"), tx.sentence_spans(F.col("p.text")).alias("s"))
     pad = F.array(F.lit(None).cast("struct<start:int,stop:int,text:string>"))
     beside = F.arrays_zip(F.col("s").alias("own"), F.slice(F.concat(pad, "s"), F.lit(1), F.size("s")).alias("before"), F.concat(F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))), pad).alias("after"))

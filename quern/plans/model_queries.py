@@ -174,7 +174,7 @@ def cp_repeated_rows(spark, sf):
 
 @query("ex_topic_signal", "WITH t AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations), s AS (SELECT conv_id, turn, CASE WHEN regexp_matches(low, '\\b(the|der)\\b') THEN list_filter([CASE WHEN regexp_matches(low, '\\bof\\b|\\bin\\b') THEN 'place' END, CASE WHEN regexp_matches(low, '\\band\\b|\\bund\\b') THEN 'joint' END], lambda x: x IS NOT NULL) END AS topics FROM t) SELECT conv_id, turn, CASE WHEN len(topics) > 0 THEN array_to_string(topics, ',') END AS topics FROM s")
 def ex_topic_signal(spark, sf):
-    topics = extract.topic_signal(F.col("text"), r"(?i)\b(?:the|der)\b", {"place": ["of", "in"], "joint": ["and", "und"]})
+    topics = extract.topic_signal(F.col("text"), r"(?i)(?<!\w)(?:the|der)(?!\w)", {"place": ["of", "in"], "joint": ["and", "und"]})
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(topics, ",").alias("topics"))
 
 

@@ -10,9 +10,11 @@ probability 0.9975, at 0.85 with 0.99998. Candidates are compared on all their f
 
 Groups are not compared in all pairs. A first round, on ``FIRST`` tables, compares each text with the
 smallest one of its class in a table and with the class's centre, the text nearest to the majority of
-its bits; what is alike becomes one component. A second round, on all tables, compares all pairs that
-meet in a ball and still lie in different components; of those none is left out. So work on a group
-of near copies grows with its size, and only texts that meet without being alike cost pairs.
+its bits; what is alike becomes one component. A second round, on all tables, takes all pairs that
+meet in a ball and still lie in different components; of those none is left out. Texts that such pairs
+tie together are a family, and are compared in blocks where they stand, so no table of pairs is
+made (beyond ``WIDE_POINTS`` texts one still is). Work on a group of near copies grows with its size; only a family
+of texts that meet without being alike costs comparisons with the square of its size.
 
 Texts with one shingle set are one point from the start. Sets are held as 64-bit hashes.
 
@@ -51,6 +53,8 @@ SLICE = 1_500_000
 TASK_POINTS = 4_000_000
 #: Up to so many points a task takes ``TOGETHER`` tables, with all fingerprints of each point.
 WIDE_POINTS, TOGETHER = 1_000_000, 8
+#: Members of a family that are compared with one another, or with as many others, in one task.
+BLOCK = 512
 _FLIPS = np.append(np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64))
 _ODD = np.random.default_rng(11).integers(0, 2**63, (2, TABLES * BITS // 64), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -231,15 +235,12 @@ def crossings(values: np.ndarray, roots: np.ndarray, codes: np.ndarray, cell: in
             at = stop
 
 
-def alike_prints(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, table: int | None = None) -> np.ndarray:
-    """Which of the pairs of rows differ in ``FAR`` bits or fewer and, with a ``table``, meet in none before it."""
+def alike_prints(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows differ in ``FAR`` bits or fewer."""
     near = np.flatnonzero(np.bitwise_count(sketch[a, 0] ^ sketch[b, 0]) <= NEAR)
     out = np.zeros(len(a), bool)
     for part in np.array_split(near, 1 + len(near) // 50_000):
-        bits = np.bitwise_count((sketch[a[part]] ^ sketch[b[part]]).view(np.uint32))
-        out[part] = bits.sum(axis=1, dtype=np.int64) <= FAR
-        if table:
-            out[part] &= (bits[:, :table] > 2).all(axis=1)
+        out[part] = np.bitwise_count(sketch[a[part]] ^ sketch[b[part]]).sum(axis=1, dtype=np.int64) <= FAR
     return out
 
 
@@ -247,11 +248,13 @@ def met(points: DataFrame, n: int, rooted: bool) -> DataFrame:
     """Candidate pairs (a, b), the larger point first, among ``points`` (fp, sketch and, if ``rooted``, root).
 
     Up to ``WIDE_POINTS`` points, all fingerprints of a point travel together, once for every
-    ``TOGETHER`` tables, and decide in place; a pair comes from the first table where it meets. Beyond, a fingerprint travels once to each cell of a table
+    ``TOGETHER`` tables, and decide in place; if ``rooted``, a point comes with the smallest one that pairs lead to
+    instead of with all its partners, for ``family_links``. Beyond, a fingerprint travels once to each cell of a table
     that its ball touches, together with its point and the fingerprints of the two next tables, by which
     texts that met by chance are told apart; ``close`` decides on the rest.
     """
     wide = n <= WIDE_POINTS
+    stars = wide and rooted
     cells = 1 if wide else cells_for(n, TASK_POINTS, 1, BITS, 1)
     codes = syndromes(cells.bit_length() - 1)[:BITS]
     reach = np.unique(np.append(0, codes))
@@ -285,13 +288,20 @@ def met(points: DataFrame, n: int, rooted: bool) -> DataFrame:
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         fps, prints, table, cell = rows[:, 0], np.ascontiguousarray(rows[:, head:]).view(np.uint64), key[0].as_py(), key[1].as_py()
         columns = prints.view(np.uint32).reshape(len(rows), -1)[:, table : table + TOGETHER].T if wide else prints[:, 1:].T
-        for t, values in enumerate(columns.astype(np.uint64), table):
+        label = np.arange(len(rows))
+        for values in columns.astype(np.uint64):
             for a, b in crossings(values, rows[:, 1], codes, cell) if rooted else [centres(values, fps, codes, cell)]:
-                near = alike_prints(prints, a, b, t if rooted else None) if wide else np.bitwise_count(prints[a, 0] ^ prints[b, 0]) <= NEAR
+                near = alike_prints(prints, a, b) if wide else np.bitwise_count(prints[a, 0] ^ prints[b, 0]) <= NEAR
+                if stars:
+                    label = _join(label, a[near], b[near])
+                    continue
                 x, y = fps[a[near]], fps[b[near]]
                 pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-        del rows, fps, prints, columns
+        if stars:
+            own = np.flatnonzero(label != np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[own]), pa.array(fps[label[own]])], names=["a", "b"])
+        del rows, fps, prints, columns, label
         give_back()
 
     sent = points.select("fp", "sketch", *(["root"] if rooted else [])).mapInArrow(send, "table int, cell long, rows binary")
@@ -330,6 +340,63 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return met.withColumn("_alike", F.arrow_udf(run, "boolean").asNondeterministic()("a", "b", "text_a", "text_b")).where("_alike").select("a", "b")
 
 
+def families(stars: DataFrame) -> DataFrame:
+    """(fam, fp, n) of the points that ``stars`` (a, b) tie together; n points have one ``fam``."""
+    roots = components(stars)
+    members = written(roots.select(F.col("root").alias("fam"), F.col("node").alias("fp")).unionByName(roots.select(F.col("root").alias("fam"), F.col("root").alias("fp")).distinct()))
+    return joined_hot(members, members.groupBy("fam").agg(F.count(F.lit(1)).alias("n")), "fam", "fp")
+
+
+def family_links(members: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) between the roots of points of one family whose shingle sets are alike by ``least``.
+
+    ``members``: fam, n, fp, root, sketch, text. All members of different roots are compared, on their fingerprints
+    and then on their sets, and no pair leaves its task: a family is dealt into blocks of about ``BLOCK``, and each
+    two blocks meet in one task; small families share tasks. Of a task only links that join its roots come.
+    """
+    points = members.count()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = F.col("n") > BLOCK
+    bin = F.when(many, F.col("fam")).otherwise(F.pmod(F.xxhash64("fam"), F.lit(1 + points // BLOCK)))
+    dealt = own.select(many.alias("many"), bin.alias("bin"), F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "fam", "block", "fp", "root", "sketch", "text")
+
+    def run(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(group))
+        fam, block, root = (table.column(c).to_numpy() for c in ("fam", "block", "root"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fam), -1)
+        text, memory, sets = table.column("text"), _WordHashes(), {}
+
+        def held(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(text[i].as_py(), words, memory)
+            return sets[i]
+
+        names, label = np.unique(root, return_inverse=True)
+        place, left, right = label, key[2].as_py(), key[3].as_py()
+        label = np.arange(len(names))
+        order = np.argsort(fam, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(fam[order])) + 1):
+            near, far = rows[block[rows] == left], rows[block[rows] == right]
+            for k, i in enumerate(near.tolist()):
+                others = far[k + 1 :] if left == right else far
+                others = others[label[place[others]] != label[place[i]]]
+                for j in others[alike_prints(sketch, np.full(len(others), i), others)].tolist():
+                    if label[place[i]] != label[place[j]]:
+                        x, y = held(i), held(j)
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both >= least * (len(x) + len(y) - both):
+                            label = _join(label, place[[i]], place[[j]])
+            sets.clear()
+        memory.clear()
+        own = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[label[own]])], names=["a", "b"])
+        del table, sketch
+        give_back()
+
+    return dealt.groupBy("many", "bin", "left", "right").applyInArrow(run, "a long, b long")
+
+
 def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """``docs`` with one row of each component of near copies."""
     rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
@@ -338,17 +405,24 @@ def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
     points = written(found.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("sketch").alias("sketch")))
     n = points.count()
 
-    def alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        one = points.join(ends, "fp").select("fp", F.col("first.row").alias("_row"))
-        texts = written(rows.select("_row", F.col(text).cast("string").alias("text")).join(one, "_row").groupBy("fp").agg(F.any_value("text").alias("text")))
-        return written(verified(pairs, texts, words, least))
+    def texts(fps: DataFrame) -> DataFrame:
+        one = points.join(fps, "fp").select("fp", F.col("first.row").alias("_row"))
+        return written(rows.select("_row", F.col(text).cast("string").alias("text")).join(one, "_row").groupBy("fp").agg(F.any_value("text").alias("text")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return written(verified(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), words, least))
 
     first = written(met(points, n, False))
-    sure = alike(first, points)
+    sure = alike(first)
     rooted = written(points.join(components(sure), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
-    second = written(met(rooted, n, True).join(first, ["a", "b"], "left_anti"))
-    roots = components(sure.unionByName(alike(second, rooted)))
+    second = met(rooted, n, True)
+    if n <= WIDE_POINTS:
+        members = written(families(second))
+        whole = written(members.join(rooted.select("fp", "root", "sketch"), "fp").join(texts(members.select("fp")), "fp"))
+        more = written(family_links(whole, words, least))
+    else:
+        more = alike(written(second.join(first, ["a", "b"], "left_anti")))
+    roots = components(sure.unionByName(more))
 
     named = points.join(roots, points.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))

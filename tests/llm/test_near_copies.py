@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import near_copies
@@ -117,3 +118,36 @@ def test_repeated_rows_and_rows_without_id(spark):
     got = near_copies.kept(docs).collect()
     assert sorted((r.doc_id or 0, r.text[:1]) for r in got) == [(0, "o"), (2, got[[r.doc_id for r in got].index(2)].text[0]), (8, " ")]
     assert near_copies.kept(docs.limit(0)).count() == 0
+
+
+def test_a_family_below_the_threshold_makes_no_table_of_pairs(spark, monkeypatch):
+    """Texts of about 0.75 to one another meet with the square of their number; rows grow with the number alone."""
+    monkeypatch.setattr(near_copies, "BLOCK", 40)
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for k in range(150):
+        own = list(base)
+        for p in rng.sample(range(0, 300, 5), 6 if k % 3 else 3):
+            own[p] = f"x{k}_{p}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    points = near_copies.prints(docs, "text", 5).select("doc_id", "text", F.col("_fp").alias("fp"), F.col("_fp").alias("root"), F.col("_sketch").alias("sketch")).localCheckpoint()
+    stars = near_copies.met(points, 150, True).localCheckpoint()
+    assert 0 < stars.count() <= 150 * near_copies.TABLES // near_copies.TOGETHER
+    members = near_copies.families(stars).join(points, "fp")
+    links = near_copies.family_links(members, 5, 0.8).collect()
+    roots = {r.fp: r.doc_id for r in points.select("fp", "doc_id").collect()}
+    want, low = plain_kept(rows), {}
+    for a, b in ((roots[r.a], roots[r.b]) for r in links):
+        low.setdefault(a, set()).add(b), low.setdefault(b, set()).add(a)
+    seen, heads = set(), []
+    for i in range(150):
+        if i not in seen:
+            heads.append(i)
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += low.get(x, ())
+    assert heads == want and 1 < len(want) < 150

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
 from quern.functions import policy
@@ -24,6 +25,20 @@ def test_page(spark):
     assert {r.url for r in pages.feeds_of(pages.parse_pages(df)).collect()} == {"https://ex.org/feed.xml", "https://other.org/feed.xml"}
 
 
+def test_pages_are_parsed_few_at_once(monkeypatch):
+    """Of a large batch no more pages are parsed than a worker hands on; all come, in order."""
+    done, parse = [], pages.parse
+    monkeypatch.setattr(pages, "parse", lambda h, u: done.append(u) or parse(h, u))
+    n = 3 * pages.AT_ONCE + 1
+    batch = pa.RecordBatch.from_pydict({"k": [None, *range(1, n)], "url": [f"https://ex.org/{i}" for i in range(n)], "html": [None, *[PAGE] * (n - 1)]})
+    out = pages.parsed(iter([batch, batch.slice(0, 0)]))
+    first = next(out)
+    assert len(done) == first.num_rows == pages.AT_ONCE
+    rows = pa.Table.from_batches([first, *out]).to_pylist()
+    assert [r["k"] for r in rows] == [None, *range(1, n)] and [r["canonical_url"] for r in rows] == [None, *["https://ex.org/a"] * (n - 1)]
+    assert rows[0]["links"] == [] and rows[-1]["links"][-1] == {"rel": "a", "url": "https://creativecommons.org/licenses/by/4.0/"}
+
+
 @pytest.mark.parametrize("path,agent,allowed", [("/x", "bot", False), ("/x/ok/1", "bot", True), ("/y", "bot", True), ("/x", "other", True), ("/z.pdf", "other", False), ("/z.pdfx", "other", True)])
 def test_robots(path, agent, allowed):
     body = "User-agent: bot\nDisallow: /x\nAllow: /x/ok\n\nUser-agent: *\nDisallow: /*.pdf$\n"

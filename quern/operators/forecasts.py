@@ -23,6 +23,7 @@ the text; repeated rows state the same again; an empty table gives an empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,16 +45,16 @@ class Outcome:
     kind: str = "risk"
 
 
-# The forms of numbers, in the order in which they take overlaps.
+# The forms of numbers, in the order in which they take overlaps. Each looks first for the character that it begins with.
 START = r"(?<![\w.,/+−-])"
 PERCENT_NUMBER = r"(?:\d{1,3}(?:\.\d+)?|\.\d+)"
 PERCENT_UNIT = r"(?:%|percent\b)"
 DECIMAL_NUMBER = r"0?\.\d+"
 LINK = r"\s*(?:–|-|to|and)\s*"
-PERCENT = rf"(?iU){START}(?:({PERCENT_NUMBER})\s*{PERCENT_UNIT}?{LINK}({PERCENT_NUMBER})\s*{PERCENT_UNIT}(?![\w%])|({PERCENT_NUMBER})\s*{PERCENT_UNIT}(?![\w%]))"
-DECIMAL = rf"(?iU){START}(?:({DECIMAL_NUMBER})(?![\w.%]){LINK}({DECIMAL_NUMBER})(?![\w.%])|({DECIMAL_NUMBER})(?![\w.%]))"
-FRACTION = rf"(?iU){START}~?\s*(\d{{1,2}})\s*/\s*(\d{{1,2}})\s+chance\b"
-ONE_IN = rf"(?iU){START}(\d{{1,4}})\s+in\s+(\d{{1,6}})(?![\w%]|[.,]\d)"
+PERCENT = rf"(?iU)(?=[\d.]){START}(?:({PERCENT_NUMBER})\s*{PERCENT_UNIT}?{LINK}({PERCENT_NUMBER})\s*{PERCENT_UNIT}(?![\w%])|({PERCENT_NUMBER})\s*{PERCENT_UNIT}(?![\w%]))"
+DECIMAL = rf"(?iU)(?=[0.]){START}(?:({DECIMAL_NUMBER})(?![\w.%]){LINK}({DECIMAL_NUMBER})(?![\w.%])|({DECIMAL_NUMBER})(?![\w.%]))"
+FRACTION = rf"(?iU)(?=[~\s\d]){START}~?\s*(\d{{1,2}})\s*/\s*(\d{{1,2}})\s+chance\b"
+ONE_IN = rf"(?iU)(?=\d){START}(\d{{1,4}})\s+in\s+(\d{{1,6}})(?![\w%]|[.,]\d)"
 CUE = r"(?iU)\b(?:chance|probability|prob\.?|odds|credence|p\s*\(\s*doom\s*\)|likelihood)\b|p\(doom\)"
 RISK_PERCENT = (r"(?iU)\brisk\b", r"(?iU)%|\bpercent\b")
 INTRODUCER = r"(?isU)^.*\b((?:chance|probability|credence|likelihood|odds|risk)\b.*)$"
@@ -113,22 +114,25 @@ def speaks_of_chance(c: Column) -> Column:
 def _typed(c: Column, form: str, pattern: str) -> Column:
     """Spans of one form with their values; those that are no probability have a null ``low``."""
 
-    def group(s: Column, i: int) -> Column:
-        return F.nullif(F.regexp_extract(s, pattern, i), F.lit("")).try_cast("double")
+    def group(t: Column, i: int) -> Column:
+        return F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).try_cast("double")
 
-    def read(s: Column) -> Column:
-        t = s["text"]
-        if form in ("percent", "decimal"):
-            scale = F.lit(100.0 if form == "percent" else 1.0)
-            single = group(t, 3)
-            low, high = F.coalesce(single, group(t, 1)) / scale, F.coalesce(single, group(t, 2)) / scale
-            kind = F.when(single.isNull(), "range").otherwise("point")
-            fits = (low >= 0) & (low <= high) & (high <= 1)
-        else:
-            low = high = F.try_divide(group(t, 1), group(t, 2))
-            kind, fits = F.lit("point"), low <= 1
+    def limits(t: Column) -> Column:
+        """struct(kind, low, high), whether they fit or not."""
+        if form not in ("percent", "decimal"):
+            return arrays.once(F.try_divide(group(t, 1), group(t, 2)), lambda x: F.struct(F.lit("point").alias("kind"), x.alias("low"), x.alias("high")))
+        scale = F.lit(100.0 if form == "percent" else 1.0)
+        value = lambda x, i: (F.coalesce(x, group(t, i)) / scale).alias(("low", "high")[i - 1])
+        return arrays.once(group(t, 3), lambda x: F.struct(F.when(x.isNull(), "range").otherwise("point").alias("kind"), value(x, 1), value(x, 2)))
+
+    def checked(s: Column, v: Column) -> Column:
+        low, high = v["low"], v["high"]
+        fits = (low >= 0) & (low <= high) & (high <= 1) if form in ("percent", "decimal") else low <= 1
         value = lambda x: F.when(fits, x)
-        return F.struct(F.lit(form).alias("form"), kind.alias("kind"), value(low).alias("low"), value(high).alias("high"), F.trim(t).alias("text"), s["start"].alias("start"), s["stop"].alias("stop"))
+        return F.struct(F.lit(form).alias("form"), v["kind"].alias("kind"), value(low).alias("low"), value(high).alias("high"), F.trim(s["text"]).alias("text"), s["start"].alias("start"), s["stop"].alias("stop"))
+
+    def read(s: Column) -> Column:
+        return arrays.once(limits(s["text"]), lambda v: checked(s, v))
 
     return F.transform(arrays.spans(c, pattern), read)
 
@@ -203,12 +207,17 @@ def carried_on(regions: Column, outcomes: tuple[Outcome, ...]) -> Column:
     return F.forall(regions, lambda t: F.forall(F.split(F.regexp_replace(named(t), BYLINE, ""), CLAUSE), clause_fits))
 
 
-def nearest(c: Column, s: Column, outcomes: tuple[Outcome, ...]) -> Column:
-    """The outcome nearest to a number within its clause; null on a tie or without one."""
-    def places(o: Outcome) -> Column:
+def places(c: Column, outcomes: tuple[Outcome, ...]) -> Column:
+    """Where a text names outcomes: array of (start, stop, name)."""
+
+    def of(o: Outcome) -> Column:
         return F.transform(arrays.spans(c, "(?iU)" + o.pattern), lambda y: F.struct(y["start"].alias("start"), y["stop"].alias("stop"), F.lit(o.name).alias("name")))
 
-    found = F.concat(*[places(o) for o in outcomes if o.kind != "rival"])
+    return F.concat(*[of(o) for o in outcomes if o.kind != "rival"])
+
+
+def nearest(c: Column, s: Column, found: Column) -> Column:
+    """The outcome, of the places ``found``, nearest to a number within its clause; null on a tie or without one."""
 
     def reach(o: Column) -> Column:
         """Characters between number and outcome; null if a clause ends between them."""
@@ -216,10 +225,12 @@ def nearest(c: Column, s: Column, outcomes: tuple[Outcome, ...]) -> Column:
         between = F.substring(c, low + 1, high - low)
         return F.when(~between.rlike(CLAUSE), high - low)
 
+    def first(order: Column) -> Column:
+        tie = F.exists(F.slice(order, 2, F.greatest(F.size(order), F.lit(1))), lambda x: (x["d"] == F.get(order, F.lit(0))["d"]) & (x["name"] != F.get(order, F.lit(0))["name"]))
+        return F.when(~F.coalesce(tie, F.lit(False)), F.get(order, F.lit(0))["name"])
+
     apart = F.filter(F.transform(found, lambda o: F.struct(reach(o).alias("d"), o["name"].alias("name"))), lambda x: x["d"].isNotNull())
-    order = F.array_sort(apart)
-    tie = F.exists(F.slice(order, 2, F.greatest(F.size(order), F.lit(1))), lambda x: (x["d"] == F.get(order, F.lit(0))["d"]) & (x["name"] != F.get(order, F.lit(0))["name"]))
-    return F.when(~F.coalesce(tie, F.lit(False)), F.get(order, F.lit(0))["name"])
+    return arrays.once(F.array_sort(apart), first)
 
 
 # ---- horizons
@@ -253,12 +264,15 @@ def horizon(c: Column) -> Column:
 # ---- sentences
 
 
-def sentences_of(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, part, index, sentence, start, stop, before, before_start, after, after_stop) of every sentence.
+def sentences_of(docs: DataFrame, id: str, text: str, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, part, index, sentence, start, stop, before, before_start, after, after_stop) of every sentence, or of those ``where`` holds.
 
-    A speaker's gap parts what is said; sentences on either side of it are no neighbours.
+    A speaker's gap parts what is said; sentences on either side of it are no neighbours. Only the sentences
+    wanted become rows, each with its neighbours.
     """
-    plain = F.translate(F.col(text), "’‘“”", "''\"\"")
+    plain = F.col(text)
+    for sign, simple in (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"')):
+        plain = F.replace(plain, F.lit(sign), F.lit(simple))
 
     def said(z: Column) -> Column:
         ends = arrays.running_sums(F.transform(z["parts"], lambda p: F.length(p) + len(GAP)))
@@ -267,14 +281,16 @@ def sentences_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     # as the one element of an array the text is parted once
     pieces = F.get(F.transform(F.array(F.struct(F.split(plain, GAP, -1).alias("parts"))), said), F.lit(0))
     cut = docs.select(id, F.posexplode(pieces).alias("part", "p")).select(id, "part", F.col("p.at").alias("at"), tx.sentence_spans(F.col("p.text")).alias("s"))
-    pad = F.array(F.lit(None).cast("struct<start:int,stop:int,text:string>"))
-    beside = F.arrays_zip(F.col("s").alias("own"), F.slice(F.concat(pad, "s"), F.lit(1), F.size("s")).alias("before"), F.concat(F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))), pad).alias("after"))
-    rows = cut.select(id, "part", "at", F.posexplode(beside).alias("index", "b"))
+    wanted = F.transform("s", lambda x, i: i)
+    if where is not None:
+        wanted = F.filter(wanted, lambda i: where(F.get("s", i)["text"]))
+    beside = F.transform(wanted, lambda i: F.struct(i.alias("index"), F.get("s", i).alias("own"), F.get("s", i - 1).alias("before"), F.get("s", i + 1).alias("after")))
+    rows = cut.select(id, "part", "at", F.explode(beside).alias("b"))
     place = lambda c: F.col("at") + F.col(c)
     return rows.select(
-        id, "part", "index", F.col("b.own.text").alias("sentence"), place("b.own.start").alias("start"), place("b.own.stop").alias("stop"),
+        id, "part", F.col("b.index").alias("index"), F.col("b.own.text").alias("sentence"), place("b.own.start").alias("start"), place("b.own.stop").alias("stop"),
         F.col("b.before.text").alias("before"), place("b.before.start").alias("before_start"), F.col("b.after.text").alias("after"), place("b.after.stop").alias("after_stop"),
-    ).where(F.col("sentence").isNotNull())
+    )
 
 
 def numbers_stated(docs: DataFrame, id: str, text: str, most: int | None = None) -> DataFrame:
@@ -282,7 +298,7 @@ def numbers_stated(docs: DataFrame, id: str, text: str, most: int | None = None)
 
     ``form`` is point or range, ``start`` and ``stop`` are places in the sentence.
     """
-    own = sentences_of(docs, id, text).where(F.col("sentence").rlike(CHANCE) & F.col("sentence").rlike("[0-9]") & abstain(F.col("sentence")).isNull())
+    own = sentences_of(docs, id, text, lambda c: c.rlike("[0-9]") & c.rlike(CHANCE) & abstain(c).isNull())
     ends = F.coalesce(tx.target_dates(F.col("sentence"))["end"], tx.target_dates(F.col("after"))["end"])
     rows = held(own, horizon_end=ends, spans=numbers(F.col("sentence"), most))
     good = F.filter("spans", lambda s: s["low"].isNotNull() & stands_alone(F.col("sentence"), s))
@@ -301,9 +317,12 @@ def _read(df: DataFrame, at: str, c: Column, when: Column, outcomes: tuple[Outco
     df = held(df, **{f"{at}_risk": first_outcome(name("plain"), outcomes, "risk"), f"{at}_arrival": first_outcome(name("plain"), outcomes, "arrival"), f"{at}_tails": tails(name("c"), name("spans")), f"{at}_time": horizon(name("c"))})
     df = held(df, **{f"{at}_rest": F.when(F.size(name("spans")) > 0, ~abstains(name("plain"), outcomes) & carried_on(F.concat(F.array(lead(name("c"), name("spans"), name("tails"), outcomes)), name("tails")), outcomes))})
 
+    if by_nearest:
+        df = held(df, **{f"{at}_places": places(name("c"), outcomes)})
+
     def bind(s: Column) -> Column:
         soon = horizon_near(F.substring(name("c"), s["start"] + 1, F.lit(NEAR)))
-        key = nearest(name("c"), s, outcomes) if by_nearest else F.coalesce(name("risk"), F.when(soon.isNotNull(), name("arrival")))
+        key = nearest(name("c"), s, name("places")) if by_nearest else F.coalesce(name("risk"), F.when(soon.isNotNull(), name("arrival")))
         return F.struct(s["kind"].alias("kind"), s["low"].alias("low"), s["high"].alias("high"), s["text"].alias("value_text"), key.alias("outcome"), F.coalesce(soon, name("time")).alias("horizon"))
 
     ok = speaks_of_chance(name("c")) if by_nearest else name("rest") & speaks_of_chance(name("c"))
@@ -320,8 +339,8 @@ def statements(docs: DataFrame, id: str, text: str, outcomes: tuple[Outcome, ...
     sentence, all if None; ``by_nearest`` binds numbers to the nearest outcome instead of abstaining.
     """
     c = F.col
-    others = abstain(c("sentence")).isNotNull() if not_speaker is None else abstain(c("sentence")).isNotNull() | not_speaker
-    rows = sentences_of(docs, id, text).where(speaks_of_chance(c("sentence")) & c("sentence").rlike("[0-9]") & ~others)
+    rows = sentences_of(docs, id, text, lambda x: x.rlike("[0-9]") & speaks_of_chance(x) & abstain(x).isNull())
+    rows = rows if not_speaker is None else rows.where(~not_speaker)
     rows = _read(rows, "s", c("sentence"), F.lit(True), outcomes, most, by_nearest)
 
     def usable(other: str) -> Column:
@@ -336,16 +355,19 @@ def statements(docs: DataFrame, id: str, text: str, outcomes: tuple[Outcome, ...
         a, b = c("s_points"), c(f"{other}_points")
         return (F.size(a) == 0) | (F.size(b) == 0) | ((F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0))
 
+    # what the sentences beside one say is looked for only where a rule asks for it
+    leads, explains = c("before").rlike(HORIZON_FIRST), c("after").rlike(ANAPHORA)
+    listed, answers = c("sentence").rlike(LIST_ITEM), c("sentence").rlike(FOR_THAT[0]) & c("sentence").rlike(FOR_THAT[1])
     prior = F.coalesce(*[F.when(c("before").rlike(PROBABILITY_OF + r"(?:human\s+|the\s+)?(?:" + o.pattern + ")"), F.lit(o.name)) for o in outcomes if o.kind != "rival"])
     rows = held(
         rows, usable_before=usable("before"), usable_after=usable("after"), covered=F.size("s_own") > 0, asked=_names(c("sentence"), outcomes),
-        s_points=points(c("s_spans")), before_points=F.when(usable("before"), points(numbers(c("before")))), after_points=F.when(usable("after"), points(numbers(c("after")))),
-        prior=prior, what=first_outcome(c("before"), outcomes, "risk"), whole=F.concat_ws(" ", "sentence", "after"), pair=F.concat_ws(" ", "before", "sentence"), single=F.get(c("s_spans"), F.lit(0)),
+        s_points=points(c("s_spans")), before_points=F.when(usable("before") & leads, points(numbers(c("before")))), after_points=F.when(usable("after") & explains, points(numbers(c("after")))),
+        prior=F.when(listed, prior), what=F.when(leads | answers, first_outcome(c("before"), outcomes, "risk")), whole=F.concat_ws(" ", "sentence", "after"), pair=F.concat_ws(" ", "before", "sentence"), single=F.get(c("s_spans"), F.lit(0)),
     )
-    bare = ~c("covered") & ~c("asked") & c("usable_after") & c("after").rlike(ANAPHORA) & _names(c("after"), outcomes) & agrees("after")
+    bare = ~c("covered") & ~c("asked") & c("usable_after") & explains & _names(c("after"), outcomes) & agrees("after")
     rows = held(
-        rows, bare=F.coalesce(bare, F.lit(False)), lent=F.when(c("usable_before") & c("before").rlike(HORIZON_FIRST) & agrees("before"), horizon(c("before"))),
-        sound=F.coalesce(c("single.low").isNotNull() & stands_alone(c("sentence"), c("single")) & c("s_rest") & ~abstains(named(c("pair")), outcomes), F.lit(False)),
+        rows, bare=F.coalesce(bare, F.lit(False)), lent=F.when(c("usable_before") & leads & agrees("before"), horizon(c("before"))),
+        sound=F.coalesce((listed | answers) & c("single.low").isNotNull() & stands_alone(c("sentence"), c("single")) & c("s_rest") & ~abstains(named(c("pair")), outcomes), F.lit(False)),
     )
     rows = _read(rows, "w", c("whole"), c("bare"), outcomes, most, by_nearest)
 
@@ -360,9 +382,9 @@ def statements(docs: DataFrame, id: str, text: str, outcomes: tuple[Outcome, ...
         return F.when(takes, made("horizon_before", s, s["outcome"], c("lent"), "before_start", "stop", "pair")).otherwise(made("sentence", s, s["outcome"], s["horizon"], "start", "stop", "sentence"))
 
     meant = F.slice(F.filter("w_own", lambda s: F.contains(c("sentence"), s["value_text"])), 1, 1)
-    item = ~c("covered") & c("sentence").rlike(LIST_ITEM) & ~c("asked") & c("prior").isNotNull() & c("sound")
+    item = ~c("covered") & listed & ~c("asked") & c("prior").isNotNull() & c("sound")
     until = F.concat(F.lit("by "), F.regexp_extract("sentence", LIST_ITEM, 2))
-    answer = ~c("covered") & c("sentence").rlike(FOR_THAT[0]) & c("sentence").rlike(FOR_THAT[1]) & (F.size("s_spans") == 1) & (c("single.form") == "percent") & (c("single.kind") == "point")
+    answer = ~c("covered") & answers & (F.size("s_spans") == 1) & (c("single.form") == "percent") & (c("single.kind") == "point")
     same = ~c("asked") | (c("s_risk") == c("what"))
     found = F.concat(
         F.transform("s_own", explicit),

@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from quern.functions import arrays
+from quern.functions import text as tx
 from quern.operators import forecasts
 
 #: text -> [(rule, outcome, kind, low, high, value_text, horizon)]
@@ -118,3 +120,37 @@ def test_number_spans_against_plain_code(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
     for r in df.select("t", forecasts.numbers(F.col("t")).alias("n")).collect():
         assert [(x.form, x.kind, x.text, x.start, x.stop) for x in r.n] == plain_numbers(r.t), r.t
+
+
+def odd_texts(n=300):
+    rnd = random.Random(5)
+    return [(i, "".join(rnd.choice(["A", "b 5%", ".", "!", "?", " ", "  ", "\n", "\t", "\r\n", " ", " ", "’", "“", forecasts.GAP, "😀"]) for _ in range(rnd.randrange(25)))) for i in range(n)] + [(n, None), (n + 1, "")]
+
+
+def test_sentences_wanted_keep_their_places_and_neighbours(spark):
+    """Rows of the sentences wanted are those of all sentences, and only they are made."""
+    docs = spark.createDataFrame(odd_texts(), "id int, text string")
+    every = forecasts.sentences_of(docs, "id", "text")
+    wanted = forecasts.sentences_of(docs, "id", "text", lambda c: c.rlike("[0-9]"))
+    assert sorted(map(str, wanted.collect())) == sorted(map(str, every.where(F.col("sentence").rlike("[0-9]")).collect())) != []
+    texts = {i: (t or "").translate(str.maketrans("’‘“”", "''\"\"")) for i, t in odd_texts()}
+    for r in every.collect():
+        t = texts[r.id]
+        assert t[r.start : r.stop] == r.sentence
+        assert r.before is None or t[r.before_start :].startswith(r.before)
+        assert r.after is None or t[: r.after_stop].endswith(r.after)
+
+
+def test_sentence_gap_is_the_plain_pattern(spark):
+    plain = r"(?<=[.!?])\s+|\n+"
+    df = spark.createDataFrame(odd_texts(), "id int, text string")
+    cut = lambda p: (F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    for r in df.select(F.array(*cut(plain)).alias("a"), F.array(*cut(tx.SENTENCE_GAP)).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_number_spans_without_and_with_hits(spark):
+    """Forms that a text does not have give an empty array, a null text gives null, and a few hits have their places."""
+    df = spark.createDataFrame([("no",), (None,), ("",), ("😀 1 a 22 b 333",)], "t string")
+    got = [r.s if r.s is None else [tuple(x) for x in r.s] for r in df.select(arrays.spans(F.col("t"), r"\d+").alias("s")).collect()]
+    assert got == [[], None, [], [(2, 3, "1"), (6, 8, "22"), (11, 14, "333")]]

@@ -27,6 +27,11 @@ def _rows(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame
     return df.select(*keys, F.explode(_codes(rules)).alias("code"))
 
 
+def digest(c: Column) -> Column:
+    """A digest as bytes, half as long as in hexadecimal; different texts have different bytes, whatever they are."""
+    return F.when(c.rlike(r"^(?:[0-9a-f]{2})*\z"), F.concat(F.lit(b"\x01"), F.unhex(c))).otherwise(F.concat(F.lit(b"\x00"), F.encode(c, "UTF-8")))
+
+
 def closure(seeds: DataFrame, references: DataFrame, records: DataFrame, bundle: str, cutoff: Column) -> DataFrame:
     """(bundle, id, revision, depth): what each bundle's seeds (bundle, id, revision) need, directly or through others.
 
@@ -56,21 +61,24 @@ def snapshot_errors(snapshots: DataFrame, members: DataFrame, records: DataFrame
     none = [F.lit(None).cast(members.schema[c].dataType).alias(c) for c in KEY]
     times = (F.col("cutoff") > F.col("created_at")) | (F.col("created_at") > F.col("known_at"))
     whole = _rows(snapshots.select("snapshot", *none, "cutoff", "created_at", "known_at"), ["snapshot", *KEY], {"snapshot_time": times})
-    twice = members.groupBy("snapshot", *KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("snapshot").distinct().select("snapshot", *none, F.lit("snapshot_duplicate").alias("code"))
+    # one shuffle by record serves counts of members and what they need
+    held = members.select("snapshot", *KEY).repartition(*KEY)
+    twice = held.groupBy("snapshot", *KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("snapshot").distinct().select("snapshot", *none, F.lit("snapshot_duplicate").alias("code"))
 
-    there = records.select(*KEY, "kind", F.col("known_at").alias("_known"), "reviewed_at", "latest", F.col("sha256").alias("_sha256"))
-    met = members.join(there, KEY).join(snapshots.select("snapshot", "as_known", "cutoff"), "snapshot")
+    there = records.select(*KEY, (F.col("kind") == "forecast").alias("_forecast"), F.col("known_at").alias("_known"), "reviewed_at", "latest", digest(F.col("sha256")).alias("_digest"))
+    compared = members.select("snapshot", *KEY, digest(F.col("sha256")).alias("_own")).join(there, KEY).withColumn("_differs", F.col("_own") != F.col("_digest")).drop("_own", "_digest")
+    met = compared.join(snapshots.select("snapshot", "as_known", "cutoff"), "snapshot")
     cut = F.col("cutoff")
     rules = {
-        "snapshot_hash": F.col("sha256") != F.col("_sha256"),
+        "snapshot_hash": F.col("_differs"),
         "snapshot_cutoff": F.col("_known") > cut,
-        "snapshot_forecast_time": F.col("as_known") & (F.col("kind") == "forecast") & (F.col("latest").isNull() | (F.col("latest") > cut)),
+        "snapshot_forecast_time": F.col("as_known") & F.col("_forecast") & (F.col("latest").isNull() | (F.col("latest") > cut)),
         "snapshot_review": F.col("as_known") & (F.col("reviewed_at") > cut),
     }
     own = _rows(met, ["snapshot", *KEY], rules)
-    needs = members.select("snapshot", *KEY).distinct().join(records.select(*KEY), KEY, "left_semi").join(references.select(*KEY, "to_id", "to_revision"), KEY)
-    held = members.select("snapshot", F.col("id").alias("to_id"), F.col("revision").alias("to_revision"))
-    open_ = needs.join(held, ["snapshot", "to_id", "to_revision"], "left_anti").select("snapshot", *KEY).distinct().withColumn("code", F.lit("snapshot_closure"))
+    needs = held.distinct().join(records.select(*KEY), KEY, "left_semi").join(references.select(*KEY, "to_id", "to_revision"), KEY)
+    there_too = members.select("snapshot", F.col("id").alias("to_id"), F.col("revision").alias("to_revision"))
+    open_ = needs.join(there_too, ["snapshot", "to_id", "to_revision"], "left_anti").select("snapshot", *KEY).distinct().withColumn("code", F.lit("snapshot_closure"))
     return whole.unionByName(twice).unionByName(own).unionByName(open_)
 
 

@@ -121,3 +121,26 @@ def test_measurements_and_kinds(spark):
     ]
     got = one_row(spark, bundles.kind_errors, "a string, b string, c string, d string, e boolean, f string, g string, h int, i date, j boolean, k string, l string", [v for v, _ in cases])
     assert got == [w for _, w in cases]
+
+
+def test_digests_in_bytes(spark):
+    """Bytes are equal just where the texts are, and those of a hexadecimal digest are short."""
+    texts = ["", "ab", "AB", "abc", "ab\n", "x", "\u0001", "\u0000", "é", "00", "0001", "a" * 64, "a" * 63 + "b", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", bundles.digest(F.col("t")).alias("d"))
+    got = [r.d if r.d is None else bytes(r.d) for r in df.orderBy("i").collect()]
+    assert got[-1] is None and len(set(got)) == len(texts) and len(got[11]) == 33
+
+
+def test_snapshot_digests_travel_once(spark):
+    """Digests of any text are told apart, a null one breaks no rule, and none is shuffled to the snapshots."""
+    day = D(2024, 1, 1)
+    snapshots = spark.createDataFrame([(1, True, day, day, day)], "snapshot int, as_known boolean, cutoff date, created_at date, known_at date")
+    names = [("AB", "ab"), ("ab", "ab"), ("x", "y"), ("x", "x"), (None, "ab"), ("abc", None)]
+    members = spark.createDataFrame([(1, i, 1, m) for i, (m, _) in enumerate(names)] + [(1, 1, 1, "ab"), (1, 99, 1, "ab")], "snapshot int, id int, revision int, sha256 string")
+    records = spark.createDataFrame([(i, 1, "statement", day, None, None, r) for i, (_, r) in enumerate(names)], "id int, revision int, kind string, known_at date, reviewed_at date, latest date, sha256 string")
+    references = spark.createDataFrame([(0, 1, 1, 1), (2, 1, 77, 1), (99, 1, 77, 1)], "id int, revision int, to_id int, to_revision int")
+    out = bundles.snapshot_errors(snapshots, members, records, references)
+    assert sorted((r.id if r.id is not None else -1, r.code) for r in out.collect()) == [(-1, "snapshot_duplicate"), (0, "snapshot_hash"), (2, "snapshot_closure"), (2, "snapshot_hash")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    compared = [line.split("Project [")[1].split(", ") for line in plan.splitlines() if "Project [" in line and " AS _differs" in line]
+    assert compared and not any(c.startswith(("_own#", "_digest#", "sha256#")) for columns in compared for c in columns)

@@ -151,3 +151,63 @@ def test_a_family_below_the_threshold_makes_no_table_of_pairs(spark, monkeypatch
                     seen.add(x)
                     todo += low.get(x, ())
     assert heads == want and 1 < len(want) < 150
+
+
+def test_short_texts_lose_no_copy(spark):
+    """Fingerprints of few shingles scatter: of 8 and 9 words, or 13 with two more, a fifth to a quarter of the copies at 0.8 were kept."""
+    rng, rows = random.Random(7), []
+    for g in range(120):
+        n = (8, 12, 20, 22)[g % 4]
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        more = (1, 2, 4, 2)[g % 4]
+        own = [f"v{rng.randrange(10**6)}" for _ in range(more)]
+        rows += [(2 * g, " ".join(base if g % 4 < 3 else [*base, "x", "y"])), (2 * g + 1, " ".join([*base, *own]))]
+    want = plain_kept(rows)
+    assert len(want) == 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.kept(docs).collect()) == want
+
+
+def test_short_texts_with_a_common_line(spark):
+    """A line that all share ties no texts whose own shingles are rarer; those beyond the cells' switch are found too."""
+    rng, rows, line = random.Random(8), [], [f"l{i}" for i in range(30)]
+    for g in range(40):
+        base = [*line, *[f"w{rng.randrange(10**6)}" for _ in range(30)]]
+        rows += [(10 * g + k, " ".join([*base, *[f"v{rng.randrange(10**6)}" for _ in range(13 if k else 0)]])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_kept(rows)
+    assert 40 <= len(want) < 120
+    points = near_copies.prints(docs, "text", 5, 125).select(F.col("_fp").alias("fp"), F.col("_fp").alias("root"), F.col("_short").alias("short"))
+    assert near_copies.short_families(points, 0.8).agg(F.max("n")).first()[0] == 3
+    assert sorted(r.doc_id for r in near_copies.kept(docs).collect()) == want
+
+
+def test_families_are_compared_on_their_sets(spark):
+    """Two texts of 13 and 9 words more than FAR bits apart are linked where they are members of one family."""
+    rng = random.Random(9)
+    pairs = []
+    while len(pairs) < 5:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        a, b = near_copies.sketches([near_copies.shingles(" ".join(t)) for t in (base[:8], base)])
+        if np.bitwise_count(a ^ b).sum() > near_copies.FAR:
+            pairs.append((" ".join(base[:8]), " ".join(base)))
+    rows = [(g, 2, 2 * g + k, 2 * g + k, t) for g, both in enumerate(pairs) for k, t in enumerate(both)]
+    sketch = [near_copies.sketches([near_copies.shingles(r[-1])])[0].view(np.int64).tolist() for r in rows]
+    members = spark.createDataFrame([(*r, s) for r, s in zip(rows, sketch)], "fam long, n long, fp long, root long, text string, sketch array<long>")
+    got = {tuple(sorted((r.a, r.b))) for r in near_copies.family_links(members, 5, 0.8).collect()}
+    assert got == {(2 * g, 2 * g + 1) for g in range(5)}
+
+
+def test_alike_sets_counts_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, np.int64).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(base, rng.integers(40, 60), replace=False)) for _ in range(30)] + [base[:0], base[:1]]
+    same = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    for hashes, columns in ((2_000_000, 4_096), (100, 7)):
+        monkeypatch.setattr(near_copies, "HASHES", hashes)
+        monkeypatch.setattr(near_copies, "COLUMNS", columns)
+        a, b = near_copies.alike_sets(sets, None, 0.8)
+        want = {(i, j) for i in range(32) for j in range(i + 1, 32) if same(sets[i], sets[j])}
+        assert set(zip(a.tolist(), b.tolist())) == want and 0 < len(want) < 400
+        a, b = near_copies.alike_sets(sets[:12], sets[12:], 0.8)
+        assert set(zip(a.tolist(), b.tolist())) == {(i, j - 12) for i, j in want if i < 12 <= j}

@@ -435,11 +435,11 @@ def family_links(members: DataFrame, words: int, least: float) -> DataFrame:
     return dealt.groupBy("many", "bin", "left", "right").applyInArrow(run, "a long, b long")
 
 
-def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """``docs`` with one row of each component of near copies."""
+def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, short: int = SHORT) -> DataFrame:
+    """``docs`` with one row of each component of near copies; of texts of up to ``short`` shingles no pair is lost."""
     rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
     order = F.struct(F.col(id).isNull().alias("last"), F.col(id).cast("long").alias("id"), F.col("_row").alias("row"))
-    found = written(prints(rows, text, words, int(SHORT / least)).select(order.alias("first"), F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch"), F.col("_short").alias("short")))
+    found = written(prints(rows, text, words, int(short / least)).select(order.alias("first"), F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch"), F.col("_short").alias("short")))
     points = written(found.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("short").alias("short")))
     n = points.count()
 

@@ -166,6 +166,7 @@ def test_short_texts_lose_no_copy(spark):
     assert len(want) == 120
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.kept(docs).collect()) == want
+    assert len(near_copies.kept(docs, short=0).collect()) > 120
 
 
 def test_short_texts_with_a_common_line(spark):
